@@ -163,3 +163,127 @@ SELECT conv_id, turn, {S.strip_think('text')} AS ans, {S.think_body('text')} AS
 def q_strip_think(spark, sf):
     c = T(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return gen.strip_reasoning(c, "text").select("conv_id", "turn", "ans", "th")
+
+
+# ---------------------------------------------------------------- dense vectors (embeddings table)
+
+from grounded.operators import search as srch  # noqa: E402
+from grounded.operators import store  # noqa: E402
+
+EMB_DIM = 64          # the driver's pre-embedded collection is 64-dimensional
+NLIST = 32
+
+
+def _emb(spark, sf, cols=("vec_id", "embedding")):
+    return T(spark, sf, "embeddings", list(cols))
+
+
+def _self_search(spark, sf, cfg: SearchConfig, candidates: DataFrame | None = None):
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding")
+    return srch.nn_search(spark, e, e if candidates is None else candidates, q_id="vec_id", q_vec=vc,
+                          c_id="vec_id", c_vec=vc, cfg=cfg, dim_hint=EMB_DIM)
+
+
+KNN = SearchConfig(k=10, threshold=0.3, exact=True, exclude_self=True)
+
+
+@query("search_knn_exact", "SELECT qid, vec_id, score, rk FROM " + S.knn_self(10, 0.3))
+def q_knn_exact(spark, sf):
+    return _self_search(spark, sf, KNN)
+
+
+@query("search_threshold", "SELECT qid, vec_id, score, rk FROM " + S.knn_self(None, 0.3))
+def q_threshold(spark, sf):
+    return _self_search(spark, sf, SearchConfig(k=None, threshold=0.3, exact=True, exclude_self=True))
+
+
+@query("search_filtered", "SELECT qid, vec_id, score, rk FROM " + S.knn_self(10, 0.3, "@label = 3"))
+def q_filtered(spark, sf):
+    cand = _emb(spark, sf, ("vec_id", "embedding", "label")).where(F.col("label") == 3)
+    return _self_search(spark, sf, KNN, cand)
+
+
+@query("search_project", f"""
+SELECT h.qid, h.vec_id, h.score, h.rk, e.label FROM {S.knn_self(10, 0.3)} h JOIN embeddings e USING (vec_id)""")
+def q_project(spark, sf):
+    hits = _self_search(spark, sf, KNN)
+    # payload joined to the winners only; winners are bounded by |questions| * k
+    return hits.join(_emb(spark, sf, ("vec_id", "label")), "vec_id").select("qid", "vec_id", "score", "rk", "label")
+
+
+@query("search_best_hit", f"""
+SELECT e.vec_id AS qid, h.vec_id AS hit_id, h.score, h.vec_id IS NOT NULL AS found
+FROM embeddings e LEFT JOIN {S.knn_self(1, 0.3)} h ON h.qid = e.vec_id""")
+def q_best_hit(spark, sf):
+    hits = _self_search(spark, sf, replace_k(KNN, 1))
+    q = _emb(spark, sf, ("vec_id",)).withColumnRenamed("vec_id", "qid")
+    return (q.join(hits.select("qid", F.col("vec_id").alias("hit_id"), "score"), "qid", "left")
+            .withColumn("found", F.col("hit_id").isNotNull()))
+
+
+def replace_k(cfg: SearchConfig, k):
+    from dataclasses import replace
+    return replace(cfg, k=k)
+
+
+def _pivots(spark, sf):
+    vc = srch.VecCol("embedding")
+    return srch.pivot_matrix(srch.first_pivots(_emb(spark, sf), "vec_id", "embedding", NLIST), "vec_id", vc)
+
+
+@query("search_indexed_only", "SELECT qid, vec_id, score, rk FROM " + S.knn_self(10, 0.3))
+def q_indexed_only(spark, sf):
+    vc = srch.VecCol("embedding")
+    indexed = srch.assign_cells(_emb(spark, sf), vc, _pivots(spark, sf)).where(F.col("cell").isNotNull())
+    return _self_search(spark, sf, KNN, indexed)
+
+
+def _ivf(spark, sf, nprobe):
+    from dataclasses import replace
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding")
+    return srch.ivf_search(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                           cfg=replace(KNN, exact=False, nprobe=nprobe), pivots=_pivots(spark, sf),
+                           dim_hint=EMB_DIM)
+
+
+@query("search_ann_ivf", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
+def q_ann_ivf(spark, sf):
+    return _ivf(spark, sf, 8)
+
+
+RECALL_SQL = " UNION ALL ".join(
+    f"""SELECT {p} AS nprobe, (SELECT count(*) FROM {S.knn_self(10, 0.3)}) AS n_exact,
+       (SELECT count(*) FROM {S.ivf(p)} a JOIN {S.knn_self(10, 0.3)} x USING (qid, vec_id)) AS n_found"""
+    for p in (4, 8, 32))
+
+
+@query("ann_recall", f"SELECT nprobe, n_exact, n_found, round(n_found / n_exact, 6) AS recall FROM ({RECALL_SQL})")
+def q_ann_recall(spark, sf):
+    exact = _self_search(spark, sf, KNN).select("qid", "vec_id")
+    n_exact = exact.groupBy().agg(F.count(F.lit(1)).alias("n_exact"))
+    parts = []
+    for p in (4, 8, 32):
+        found = (_ivf(spark, sf, p).select("qid", "vec_id").join(exact, ["qid", "vec_id"])
+                 .groupBy().agg(F.count(F.lit(1)).alias("n_found")).withColumn("nprobe", F.lit(p)))
+        parts.append(found)
+    allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    one = F.lit(1).alias("_one")
+    return (allp.select("*", one).join(n_exact.select("*", one), "_one")   # scalar lookup on a constant key
+            .select("nprobe", "n_exact", "n_found", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall")))
+
+
+@query("search_quantized", "SELECT qid, vec_id, score, rk FROM " + S.quantized(40, 10))
+def q_quantized(spark, sf):
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding")
+    return srch.quantized_search(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                                 cfg=SearchConfig(k=10, threshold=None, exclude_self=True), candidates=40,
+                                 dim_hint=EMB_DIM)
+
+
+@query("dim_check", f"SELECT len(embedding) AS dim, count(*) AS n, len(embedding) = {EMB_DIM} AS ok "
+       "FROM embeddings GROUP BY 1")
+def q_dim_check(spark, sf):
+    return store.dim_report(_emb(spark, sf), "embedding", EMB_DIM)

@@ -121,3 +121,46 @@ def chunk_search(q_src: str, q_key: str, q_text: str, k: int | None, threshold:
         GROUP BY q.{q_key}, c.cid) s
   JOIN {cw} w ON s.cid = w.cid
   {thr}) {lim})"""
+
+
+def cos(a: str, b: str) -> str:
+    return f"round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
+
+
+def knn_self(k: int | None, threshold: float | None, cand_where: str = "true", src: str = "embeddings") -> str:
+    """every vector as a question against the others -> (qid, vec_id, score, rk)."""
+    thr = f"AND score >= {threshold}" if threshold is not None else ""
+    lim = f"WHERE rk <= {k}" if k else ""
+    return f"""(SELECT * FROM (
+  SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
+  FROM (SELECT a.vec_id AS qid, b.vec_id, {cos('a.embedding', 'b.embedding')} AS score
+        FROM {src} a JOIN {src} b ON a.vec_id <> b.vec_id WHERE {cand_where.replace('@', 'b.')})
+  WHERE score IS NOT NULL {thr}) {lim})"""
+
+
+def ivf(nprobe: int, nlist: int = 32, k: int = 10, threshold: float = 0.3) -> str:
+    """fixed pivots = the nlist smallest ids; cell = best pivot (ties to the lower one)."""
+    return f"""(WITH piv AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding
+                  FROM (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT {nlist})),
+     sim AS (SELECT e.vec_id, p.cell, {cos('e.embedding', 'p.embedding')} AS s FROM embeddings e, piv p),
+     rnk AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS r FROM sim),
+     cand AS (SELECT p.vec_id AS qid, a.vec_id FROM rnk p JOIN rnk a ON p.cell = a.cell
+              WHERE p.r <= {nprobe} AND a.r = 1 AND a.vec_id <> p.vec_id),
+     sc AS (SELECT c.qid, c.vec_id, {cos('q.embedding', 'v.embedding')} AS score
+            FROM cand c JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings v ON v.vec_id = c.vec_id)
+SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
+               FROM sc WHERE score >= {threshold}) WHERE rk <= {k})"""
+
+
+def quantized(candidates: int, k: int) -> str:
+    q8 = "list_transform(embedding, x -> floor(x / sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y::DOUBLE))) * 127.0 + 0.5))"
+    q8 = q8.replace("x -> ", "lambda x: ").replace("y -> ", "lambda y: ")
+    return f"""(WITH qv AS (SELECT vec_id, embedding, {q8} AS q FROM embeddings),
+     coarse AS (SELECT a.vec_id AS qid, b.vec_id, list_dot_product(a.q, b.q) AS s
+                FROM qv a JOIN qv b ON a.vec_id <> b.vec_id),
+     cand AS (SELECT qid, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS r
+                                       FROM coarse) WHERE r <= {candidates}),
+     sc AS (SELECT c.qid, c.vec_id, {cos('q.embedding', 'v.embedding')} AS score
+            FROM cand c JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings v ON v.vec_id = c.vec_id)
+SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
+               FROM sc) WHERE rk <= {k})"""
