@@ -101,8 +101,8 @@ def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     keys = F.map_keys(obj)
     exact = F.array_contains(keys, F.lit(QUERY_KEY))
     ci = F.filter(keys, lambda k: F.lower(k) == F.lit(QUERY_KEY))
-    key = F.when(exact, F.lit(QUERY_KEY)).otherwise(F.element_at(ci, 1))
-    val = F.element_at(obj, key)
+    key = F.when(exact, F.lit(QUERY_KEY)).otherwise(F.try_element_at(ci, F.lit(1)))
+    val = F.try_element_at(obj, key)
     val_kind = F.schema_of_variant(val)
     is_str = val_kind == "STRING"
     is_null = val.isNull() | F.is_variant_null(val)
@@ -115,14 +115,11 @@ def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
 def answer_batch(spark: SparkSession, requests: DataFrame, chunks: DataFrame, *, q_key: str = "item_id",
                  q_text: str = "text", route_col: str = "route", cfg: SearchConfig = SearchConfig(k=1),
                  answer_cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """Dispatch by route; both pipelines run on their share, results unioned."""
-    keys = [q_key, route_col]
-    plain = plain_answer(requests.where(F.col(route_col) == ROUTE_PLAIN).select(
-        F.concat_ws("|", q_key, route_col).alias("_rid"), F.col(q_text)), q_key="_rid", q_text=q_text,
-        answer_cfg=answer_cfg)
-    rag = grounded_answer(spark, requests.where(F.col(route_col) == ROUTE_RAG).select(
-        F.concat_ws("|", q_key, route_col).alias("_rid"), F.col(q_text)), chunks, q_key="_rid",
-        q_text=q_text, cfg=cfg, answer_cfg=answer_cfg)
-    cols = ["_rid", "status", "body"]
-    both = plain.select(*cols).unionByName(rag.select(*cols))
-    return both.join(requests.select(*keys, F.concat_ws("|", q_key, route_col).alias("_rid")), "_rid").drop("_rid")
+    """Dispatch by route; each pipeline runs on its share, results are unioned."""
+    plain = plain_answer(requests.where(F.col(route_col) == ROUTE_PLAIN).select(q_key, q_text),
+                         q_key=q_key, q_text=q_text, answer_cfg=answer_cfg)
+    rag = grounded_answer(spark, requests.where(F.col(route_col) == ROUTE_RAG).select(q_key, q_text), chunks,
+                          q_key=q_key, q_text=q_text, cfg=cfg, answer_cfg=answer_cfg)
+    cols = [q_key, "status", "body"]
+    return (plain.select(*cols, F.lit(ROUTE_PLAIN).alias(route_col))
+            .unionByName(rag.select(*cols, F.lit(ROUTE_RAG).alias(route_col))))

@@ -287,3 +287,122 @@ def q_quantized(spark, sf):
        "FROM embeddings GROUP BY 1")
 def q_dim_check(spark, sf):
     return store.dim_report(_emb(spark, sf), "embedding", EMB_DIM)
+
+
+# ---------------------------------------------------------------- moderation
+
+@query("guard_request", f"""
+SELECT d.doc_id, {S.label_verdict('l.toxic')} AS verdict, {S.passes(S.label_verdict('l.toxic'))} AS passed,
+       CASE WHEN {S.passes(S.label_verdict('l.toxic'))} THEN d.text END AS query_out,
+       CASE WHEN NOT {S.passes(S.label_verdict('l.toxic'))} THEN {S.lit(gd.REQUEST_REFUSAL)} END AS error
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def q_guard_request(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "text"])
+    g = gd.LabelGuard(T(spark, sf, "labels", ["doc_id", "toxic"]))
+    return gd.guard_request(d, "text", g, "doc_id").select("doc_id", "verdict", "passed", "query_out", "error")
+
+
+@query("guard_response", f"""
+SELECT conv_id, turn, verdict, {S.passes('verdict')} AS passed,
+       CASE WHEN {S.passes('verdict')} THEN {S.strip_think('text')} END AS answer,
+       CASE WHEN NOT {S.passes('verdict')} THEN {S.lit(gd.RESPONSE_REFUSAL)} END AS error
+FROM (SELECT *, {S.rule_verdict('text')} AS verdict FROM conversations WHERE role = 'assistant')""")
+def q_guard_response(spark, sf):
+    c = T(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "assistant")
+    return gd.guard_response(c, "text", gd.RuleGuard()).select("conv_id", "turn", "verdict", "passed", "answer",
+                                                                 "error")
+
+
+VERDICT_CATS = (f"CASE WHEN regexp_matches(text, {S.lit(gd.BLOCKED_WORDS_PATTERN)}) "
+                f"THEN list_distinct(list_concat({S.pii_list('text')}, ['VIOLENCE'])) ELSE {S.pii_list('text')} END")
+
+
+@query("verdict_parse", f"""
+SELECT doc_id, valid, CASE WHEN valid THEN decision END AS decision, CASE WHEN valid THEN n_categories END AS n_categories,
+       CASE WHEN NOT valid THEN 'BLOCK' WHEN n_categories > 0 THEN 'BLOCK' WHEN conf < {gd.MIN_CONFIDENCE} THEN 'BLOCK'
+            WHEN decision = 'ALLOW' THEN 'ALLOW' ELSE 'BLOCK' END AS final
+FROM (SELECT doc_id, regexp_matches(text, '[A-Za-z]') AS valid, len(cats)::INTEGER AS n_categories,
+             CASE WHEN len(cats) > 0 THEN 'BLOCK' ELSE 'ALLOW' END AS decision,
+             CASE WHEN len(cats) > 0 THEN 0.9 ELSE 0.8 END AS conf
+      FROM (SELECT doc_id, text, {VERDICT_CATS} AS cats FROM documents))""")
+def q_verdict_parse(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "text"]).withColumn("record", gd.moderation_record(F.col("text")))
+    return gd.parse_verdict(d, "record").select("doc_id", "valid", "decision", "n_categories", "final")
+
+
+PII_SQL = " UNION ALL ".join(
+    f"SELECT {S.lit(n)} AS cat, count(*) FILTER (WHERE regexp_matches(text, {S.lit(p)})) AS n_docs, "
+    f"sum(len(regexp_extract_all(text, {S.lit(p)}))) AS n_matches FROM documents"
+    for n, p in tf.PII_PATTERNS)
+
+
+@query("policy_pii", f"SELECT cat, n_docs, n_matches::BIGINT AS n_matches FROM ({PII_SQL})")
+def q_policy_pii(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "text"])
+    m = gd.pii_matches(d, "text", "doc_id")
+    return (m.groupBy("cat").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("m").cast("long").alias("n_matches")))
+
+
+@query("guard_confusion", f"""
+SELECT CASE WHEN {S.passes('v')} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, l.toxic, count(*) AS n
+FROM (SELECT doc_id, {S.rule_verdict('text')} AS v FROM documents) d LEFT JOIN labels l USING (doc_id)
+GROUP BY 1, 2""")
+def q_guard_confusion(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "text"])
+    v = gd.RuleGuard().verdict(d, "text")
+    return gd.confusion(v, T(spark, sf, "labels", ["doc_id", "toxic"]))
+
+
+# ---------------------------------------------------------------- request handling
+
+PLAIN_SQL = f"""
+SELECT item_id, CASE WHEN err IS NULL THEN 200 ELSE 500 END AS status,
+       CASE WHEN err IS NULL THEN answer ELSE {S.error_body('err')} END AS body
+FROM (SELECT item_id,
+        CASE WHEN NOT {S.passes('rv')} THEN NULL WHEN {S.passes('sv')} THEN {S.strip_think('completion')} END AS answer,
+        CASE WHEN NOT {S.passes('rv')} THEN {S.lit(gd.REQUEST_REFUSAL)}
+             WHEN NOT {S.passes('sv')} THEN {S.lit(gd.RESPONSE_REFUSAL)} END AS err
+      FROM (SELECT *, {S.rule_verdict('completion')} AS sv FROM
+            (SELECT *, {S.standin_completion('text')} AS completion FROM
+             (SELECT item_id, text, {S.rule_verdict('text')} AS rv FROM benchmark))))"""
+
+
+@query("plain_answer", PLAIN_SQL)
+def q_plain_answer(spark, sf):
+    return ans.plain_answer(_bench(spark, sf)).select("item_id", "status", "body")
+
+
+def _request_bodies(spark, sf):
+    ev = T(spark, sf, "events", ["event_id", "props"]).select(
+        F.lit("events").alias("src"), F.col("event_id").alias("id"), F.col("props").alias("body"))
+    cv = T(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    body = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query"))))
+            .when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("Query"))))
+            .otherwise(F.col("text")))
+    cv = cv.select(F.lit("conversations").alias("src"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+                   body.alias("body"))
+    return ev.unionByName(cv)
+
+
+BODIES_SQL = """
+SELECT 'events' AS src, event_id AS id, props AS body FROM events
+UNION ALL
+SELECT 'conversations', conv_id * 100 + turn,
+       CASE role WHEN 'user' THEN json_object('query', text)::VARCHAR WHEN 'assistant' THEN json_object('Query', text)::VARCHAR
+                 ELSE text END FROM conversations"""
+
+
+@query("request_decode", f"SELECT src, id, {S.decode('body')} FROM ({BODIES_SQL})")
+def q_request_decode(spark, sf):
+    return ans.decode_request(_request_bodies(spark, sf)).select("src", "id", "status", "query")
+
+
+@query("answer_batch", f"""
+SELECT item_id, route, status, body FROM (
+  SELECT item_id, '/query' AS route, status, body FROM ({PLAIN_SQL})
+  UNION ALL
+  SELECT item_id, '/ragquery' AS route, status, body FROM ({GROUNDED_SQL}))""")
+def q_answer_batch(spark, sf):
+    b = _bench(spark, sf)
+    req = (b.withColumn("route", F.explode(F.array(F.lit(ans.ROUTE_PLAIN), F.lit(ans.ROUTE_RAG)))))
+    return ans.answer_batch(spark, req, _chunks(spark, sf)).select("item_id", "route", "status", "body")

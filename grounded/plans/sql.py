@@ -164,3 +164,26 @@ def quantized(candidates: int, k: int) -> str:
             FROM cand c JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings v ON v.vec_id = c.vec_id)
 SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
                FROM sc) WHERE rk <= {k})"""
+
+
+def pii_list(x: str) -> str:
+    items = ", ".join(f"CASE WHEN regexp_matches({x}, {lit(p)}) THEN {lit(n)} END" for n, p in tf.PII_PATTERNS)
+    return f"list_filter([{items}], lambda c: c IS NOT NULL)"
+
+
+def label_verdict(toxic: str) -> str:
+    return f"CASE WHEN {toxic} = 0 THEN 'safe' WHEN {toxic} = 1 THEN {lit(gd.UNSAFE_LABEL)} END"
+
+
+def decode(body: str) -> str:
+    """-> status, query for a request body (DuckDB JSON functions).  Invalid JSON
+    is nulled first so no JSON function ever sees it."""
+    j = f"(CASE WHEN json_valid({body}) THEN {body} END)"
+    key = (f"CASE WHEN list_contains(json_keys({j}), 'query') THEN 'query' "
+           f"ELSE list_filter(json_keys({j}), lambda k: lower(k) = 'query')[1] END")
+    path = f"'$.\"' || ({key}) || '\"'"
+    vtype = f"json_type({j}, {path})"
+    obj = f"({j} IS NOT NULL AND json_type({j}) = 'OBJECT')"
+    bad = f"(NOT coalesce({obj}, false) OR (({key}) IS NOT NULL AND {vtype} <> 'NULL' AND {vtype} <> 'VARCHAR'))"
+    q = f"CASE WHEN ({key}) IS NULL OR {vtype} = 'NULL' THEN '' ELSE json_extract_string({j}, {path}) END"
+    return f"CASE WHEN {bad} THEN 400 ELSE 200 END AS status, CASE WHEN NOT {bad} THEN {q} END AS query"
