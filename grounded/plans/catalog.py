@@ -406,3 +406,114 @@ def q_answer_batch(spark, sf):
     b = _bench(spark, sf)
     req = (b.withColumn("route", F.explode(F.array(F.lit(ans.ROUTE_PLAIN), F.lit(ans.ROUTE_RAG)))))
     return ans.answer_batch(spark, req, _chunks(spark, sf)).select("item_id", "route", "status", "body")
+
+
+# ---------------------------------------------------------------- lexical, fusion, rerank, evaluation
+
+from grounded.operators import evaluate as ev  # noqa: E402
+from grounded.operators import lexical as lex  # noqa: E402
+
+
+@query("bm25_topk", "SELECT item_id, doc_id, score, rk FROM " + S.bm25())
+def q_bm25(spark, sf):
+    return lex.bm25(_bench(spark, sf), T(spark, sf, "documents", ["doc_id", "text"]))
+
+
+def _doc_vectors(spark, sf, cfg: SearchConfig):
+    b = _bench(spark, sf).select("item_id", tf.token_buckets(tf.strip_newlines("text"), 768).alias("qb"))
+    d = T(spark, sf, "documents", ["doc_id", "text"]).select(
+        "doc_id", tf.token_buckets(tf.strip_newlines("text"), 768).alias("db"))
+    return srch.nn_search(spark, b, d, q_id="item_id", q_vec=srch.VecCol("qb", "buckets", 768), c_id="doc_id",
+                          c_vec=srch.VecCol("db", "buckets", 768), cfg=cfg)
+
+
+@query("hybrid_rrf", f"""
+SELECT item_id, doc_id, score, rk FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk
+  FROM (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rk)), 6) AS score FROM (
+          SELECT item_id, doc_id, rk FROM {S.bm25()}
+          UNION ALL SELECT qid, doc_id, rk FROM {S.doc_search(10, None)}) GROUP BY item_id, doc_id))
+WHERE rk <= 10""")
+def q_hybrid(spark, sf):
+    lexical = q_bm25(spark, sf)
+    vec = _doc_vectors(spark, sf, SearchConfig(k=10, threshold=None)).withColumnRenamed("qid", "item_id")
+    return lex.rrf([lexical, vec], "item_id", "doc_id")
+
+
+@query("rerank_topk", f"""
+SELECT qid, doc_id, i, score, overlap, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, score DESC, doc_id, i) AS rk
+FROM (SELECT h.qid, h.doc_id, h.i, h.score,
+             round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, list_distinct(regexp_extract_all(lower(h.chunk), {S.TOKEN}))))
+                   / len(qt) ELSE 0.0 END, 6) AS overlap
+      FROM {S.chunk_search('benchmark', 'item_id', 'text', 10, 0.3)} h
+      JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), {S.TOKEN})) AS qt FROM benchmark) b
+        ON b.item_id = h.qid)""")
+def q_rerank(spark, sf):
+    b = _bench(spark, sf)
+    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
+    return (lex.rerank_overlap(hits, b, "item_id", "text", "chunk", ["doc_id", "i"])
+            .select("qid", "doc_id", "i", "score", "overlap", "rk"))
+
+
+EVAL_SQL = f"""
+WITH ranked AS (SELECT qid AS item_id, doc_id, rk FROM {S.chunk_search('benchmark', 'item_id', 'text', 10, 0.3)}),
+     gold AS {S.GOLD},
+     first AS (SELECT g.item_id, min(r.rk) AS first_rk FROM (SELECT DISTINCT item_id FROM gold) g
+               LEFT JOIN (SELECT r.item_id, r.rk FROM ranked r JOIN gold USING (item_id, doc_id)) r USING (item_id)
+               GROUP BY g.item_id)
+SELECT k, count(*) AS n_items, count(*) FILTER (WHERE first_rk <= k) AS hits,
+       round(sum(CASE WHEN first_rk <= k THEN 1.0::DOUBLE / first_rk ELSE 0.0::DOUBLE END) / count(*), 6) AS mrr
+FROM first CROSS JOIN (VALUES (1), (4), (10)) ks(k) GROUP BY k"""
+
+
+@query("retrieval_eval", EVAL_SQL)
+def q_retrieval_eval(spark, sf):
+    b = _bench(spark, sf)
+    docs = T(spark, sf, "documents", ["doc_id", "text"])
+    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
+    ranked = hits.select(F.col("qid").alias("item_id"), "doc_id", "rk")
+    return ev.hit_at_k(ranked, ev.containment_gold(b, docs), "item_id", "doc_id")
+
+
+@query("containment_gold", f"SELECT item_id, doc_id FROM {S.GOLD}")
+def q_gold(spark, sf):
+    return ev.containment_gold(_bench(spark, sf), T(spark, sf, "documents", ["doc_id", "text"]))
+
+
+# ---------------------------------------------------------------- multi-hit context and citations
+
+TOP4_SQL = f"""
+SELECT b.item_id, b.text, coalesce(n_hits, 0) AS n_hits, coalesce(ctx, '') AS ctx, coalesce(sources, '') AS sources
+FROM benchmark b LEFT JOIN (
+  SELECT qid, count(*) AS n_hits,
+         string_agg(chunk, {S.lit(ctxop.HIT_SEPARATOR)} ORDER BY rk) AS ctx,
+         string_agg(rk || ':' || doc_id || ':' || i || ':' || printf('%.6f', score), ';' ORDER BY rk) AS sources
+  FROM {S.chunk_search('benchmark', 'item_id', 'text', 4, 0.25)} GROUP BY qid) h ON h.qid = b.item_id"""
+
+
+def _top4(spark, sf):
+    b = _bench(spark, sf)
+    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=4, threshold=0.25))
+    return ctxop.context_concat(b, hits, "item_id", 4, cite_cols=["doc_id", "i"])
+
+
+@query("context_top4", f"SELECT item_id, n_hits, ctx, {S.prompt('text', 'ctx', context_only=True)} AS prompt "
+       f"FROM ({TOP4_SQL})")
+def q_context_top4(spark, sf):
+    out = ctxop.build_prompt(_top4(spark, sf), "text", "ctx", context_only=True)
+    return out.select("item_id", F.col("n_hits").cast("long").alias("n_hits"), "ctx", "prompt")
+
+
+@query("answer_citations", f"""
+SELECT item_id, status, body, sources FROM (
+  SELECT *, CASE WHEN {S.passes('verdict')} THEN 200 ELSE 500 END AS status,
+         CASE WHEN {S.passes('verdict')} THEN {S.strip_think('completion')}
+              ELSE {S.error_body(S.lit(gd.RESPONSE_REFUSAL))} END AS body
+  FROM (SELECT *, {S.rule_verdict('completion')} AS verdict FROM
+        (SELECT *, {S.standin_completion('prompt')} AS completion FROM
+         (SELECT *, {S.prompt('text', 'ctx', context_only=True)} AS prompt FROM ({TOP4_SQL})))))""")
+def q_answer_citations(spark, sf):
+    p = ctxop.build_prompt(_top4(spark, sf), "text", "ctx", context_only=True)
+    done = gen.complete(p, "prompt")
+    checked = gd.guard_response(done.drop("error"), "completion", gd.RuleGuard())
+    return ans.response_status(checked).select("item_id", "status", "body", "sources")

@@ -187,3 +187,35 @@ def decode(body: str) -> str:
     bad = f"(NOT coalesce({obj}, false) OR (({key}) IS NOT NULL AND {vtype} <> 'NULL' AND {vtype} <> 'VARCHAR'))"
     q = f"CASE WHEN ({key}) IS NULL OR {vtype} = 'NULL' THEN '' ELSE json_extract_string({j}, {path}) END"
     return f"CASE WHEN {bad} THEN 400 ELSE 200 END AS status, CASE WHEN NOT {bad} THEN {q} END AS query"
+
+
+def bm25(k: int = 10, k1: float = 1.2, b: float = 0.75) -> str:
+    return f"""(WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), {TOKEN}) AS t FROM documents),
+     stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM d),
+     tf AS (SELECT doc_id, dl, term, count(*) AS tf
+            FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY doc_id, dl, term),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+     q AS (SELECT DISTINCT item_id, term FROM
+           (SELECT item_id, unnest(regexp_extract_all(lower(text), {TOKEN})) AS term FROM benchmark)),
+     s AS (SELECT q.item_id, tf.doc_id,
+                  round(sum(ln(1.0::DOUBLE + (stats.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE))
+                        * (tf.tf * ({k1}::DOUBLE + 1.0::DOUBLE)
+                           / (tf.tf + {k1}::DOUBLE * (1.0::DOUBLE - {b}::DOUBLE + {b}::DOUBLE * tf.dl / stats.avgdl)))), 6) AS score
+           FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = q.term CROSS JOIN stats
+           GROUP BY q.item_id, tf.doc_id)
+SELECT item_id, doc_id, score, rk FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM s) WHERE rk <= {k})"""
+
+
+def doc_search(k: int | None, threshold: float | None, dim: int = 768) -> str:
+    thr = f"WHERE score >= {threshold}" if threshold is not None else ""
+    lim = f"WHERE rk <= {k}" if k else ""
+    return f"""(SELECT * FROM (
+  SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk
+  FROM (SELECT q.item_id AS qid, c.doc_id, round(sum(q.w * c.w), 6) AS score
+        FROM {sparse_embed('benchmark', 'item_id', 'text', dim)} q
+        JOIN {sparse_embed('documents', 'doc_id', 'text', dim)} c ON q.b = c.b
+        GROUP BY q.item_id, c.doc_id) {thr}) {lim})"""
+
+
+GOLD = "(SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0)"
