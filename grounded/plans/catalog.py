@@ -517,3 +517,98 @@ def q_answer_citations(spark, sf):
     done = gen.complete(p, "prompt")
     checked = gd.guard_response(done.drop("error"), "completion", gd.RuleGuard())
     return ans.response_status(checked).select("item_id", "status", "body", "sources")
+
+
+# ---------------------------------------------------------------- storage
+
+from grounded.session import scratch_dir  # noqa: E402
+
+PATH_SQL = "(source || '/' || doc_id)"
+
+
+def _doc_chunks(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "source", "text"]).withColumn(
+        "path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return txt.token_windows(d, keys=["doc_id", "path"])
+
+
+W_SQL = f"""(SELECT w.doc_id, w.i, w.chunk, {PATH_SQL} AS path FROM {S.token_windows()} w
+            JOIN documents d USING (doc_id))"""
+
+
+@query("knowledge_items", f"""
+SELECT doc_id, i, path AS source_document, chunk, coalesce(nnz, 0) AS nnz FROM {W_SQL} w
+LEFT JOIN (SELECT cid, count(*)::INTEGER AS nnz FROM {S.sparse_embed(S.chunks_with_id(), 'cid', 'chunk')} GROUP BY cid) e
+  ON e.cid = w.doc_id * 16777216 + w.i""")
+def q_knowledge_items(spark, sf):
+    return emb.knowledge_items(_doc_chunks(spark, sf), ["doc_id", "i"], "chunk", "path").select(
+        "doc_id", "i", "source_document", "chunk", "nnz")
+
+
+@query("point_build", f"""
+SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, doc_id, i AS chunk_no, strlen(chunk) AS n_bytes
+FROM {W_SQL}""")
+def q_point_build(spark, sf):
+    p = store.chunk_points(_doc_chunks(spark, sf))
+    return p.select("point_id", "path", "doc_id", "chunk_no", F.octet_length("chunk").alias("n_bytes"))
+
+
+@query("ingest_corpus", f"""
+SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, i AS chunk_no, 768 AS dim, 1 AS v FROM {W_SQL}""")
+def q_ingest_corpus(spark, sf):
+    """Chunks -> points -> embed -> dimension gate -> snapshot upsert -> read back."""
+    pts = store.chunk_points(_doc_chunks(spark, sf))
+    vecs = emb.dense_embed(pts.select("point_id", "path", "chunk_no", "embed_text"), "embed_text",
+                           cfg=EmbedConfig(strip_newlines=False))
+    good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", 768)
+    col = store.Collection(spark, scratch_dir(spark, "collections"), "rag")
+    col.ensure(truncate=True, dim=768)
+    col.upsert(good)
+    return col.current().select("point_id", "path", "chunk_no", F.size("embedding").alias("dim"), "v")
+
+
+@query("upsert_latest", """
+SELECT vec_id, CASE WHEN label >= 5 THEN label - 5 ELSE label END AS label,
+       CASE WHEN label >= 5 THEN 2 ELSE 1 END AS v FROM embeddings""")
+def q_upsert_latest(spark, sf):
+    e = _emb(spark, sf, ("vec_id", "embedding", "label"))
+    col = store.Collection(spark, scratch_dir(spark, "collections"), "relabel")
+    col.ensure(truncate=True, dim=EMB_DIM)
+    col.upsert(e, key="vec_id")                                          # version 1: everything
+    col.upsert(e.where(F.col("label") >= 5).withColumn("label", F.col("label") - 5), key="vec_id")  # version 2
+    return col.current().select("vec_id", "label", "v")
+
+
+@query("collection_truncate", "SELECT vec_id, label, 'recreated' AS action FROM embeddings")
+def q_collection_truncate(spark, sf):
+    e = _emb(spark, sf, ("vec_id", "embedding", "label"))
+    col = store.Collection(spark, scratch_dir(spark, "collections"), "lifecycle")
+    assert col.ensure(truncate=True, dim=EMB_DIM) == "created"
+    col.upsert(e.withColumn("label", F.lit(-1)), key="vec_id")
+    assert col.ensure(truncate=False, dim=EMB_DIM) == "kept" and col.versions() == [1]
+    action = col.ensure(truncate=True, dim=EMB_DIM)                        # drop and create: old points gone
+    col.upsert(e, key="vec_id")
+    return col.current().select("vec_id", "label", F.lit(action).alias("action"))
+
+
+@query("response_status", f"""
+WITH r AS (SELECT src, id, {S.decode('body')} FROM ({BODIES_SQL})),
+     ok AS (SELECT src, id, query AS text, {S.rule_verdict('query')} AS rv FROM r WHERE status = 200),
+     done AS (SELECT *, {S.standin_completion('text')} AS completion FROM ok),
+     chk AS (SELECT *, {S.rule_verdict('completion')} AS sv FROM done),
+     res AS (SELECT src, id,
+                    CASE WHEN NOT {S.passes('rv')} THEN {S.lit(gd.REQUEST_REFUSAL)}
+                         WHEN NOT {S.passes('sv')} THEN {S.lit(gd.RESPONSE_REFUSAL)} END AS err,
+                    {S.strip_think('completion')} AS answer FROM chk)
+SELECT src, id, CASE WHEN err IS NULL THEN 200 ELSE 500 END AS status,
+       CASE WHEN err IS NULL THEN answer ELSE {S.error_body('err')} END AS body FROM res
+UNION ALL SELECT src, id, 400 AS status, NULL AS body FROM r WHERE status = 400""")
+def q_response_status(spark, sf):
+    dec = ans.decode_request(_request_bodies(spark, sf)).withColumn("rid", F.concat_ws("#", "src", "id"))
+    bad = dec.where(F.col("status") == ans.STATUS_BAD_REQUEST).select(
+        "src", "id", "status", F.lit(None).cast("string").alias("body"))
+    good = dec.where(F.col("status") == ans.STATUS_OK).select("src", "id", (F.col("id") * 2 + F.when(
+        F.col("src") == "events", 0).otherwise(1)).alias("rid"), F.col("query").alias("text"))
+    answered = ans.plain_answer(good.select("rid", "text"), q_key="rid", q_text="text")
+    out = good.select("rid", "src", "id").join(answered.select("rid", "status", "body"), "rid").drop("rid")
+    return out.unionByName(bad)
