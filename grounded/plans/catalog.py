@@ -612,3 +612,23 @@ def q_response_status(spark, sf):
     answered = ans.plain_answer(good.select("rid", "text"), q_key="rid", q_text="text")
     out = good.select("rid", "src", "id").join(answered.select("rid", "status", "body"), "rid").drop("rid")
     return out.unionByName(bad)
+
+
+# ---------------------------------------------------------------- packing
+
+from grounded.operators import packing  # noqa: E402
+
+PACK_SQL = """
+WITH RECURSIVE p AS (SELECT conv_id, turn, coalesce(strlen(text), 0) AS l, text FROM conversations),
+r AS (SELECT conv_id, turn, 0 AS blk_no, l AS buf FROM p WHERE turn = 0
+      UNION ALL
+      SELECT p.conv_id, p.turn, CASE WHEN r.buf >= 3000 THEN r.blk_no + 1 ELSE r.blk_no END,
+             CASE WHEN r.buf >= 3000 THEN p.l ELSE r.buf + p.l END
+      FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.turn + 1)
+SELECT conv_id, blk_no AS block_no, string_agg(text, '' ORDER BY turn) AS blk, sum(l)::BIGINT AS n_bytes
+FROM r JOIN p USING (conv_id, turn) WHERE l > 0 GROUP BY conv_id, blk_no"""
+
+
+@query("pack_blocks", PACK_SQL)
+def q_pack_blocks(spark, sf):
+    return packing.pack_blocks(T(spark, sf, "conversations", ["conv_id", "turn", "text"]))
