@@ -97,12 +97,22 @@ class Collection:
         return self.spark.read.parquet(f"{self.path}/snap-{v[-1]:08d}") if v else None
 
     # -- upsert (O10) ---------------------------------------------------------
-    def upsert(self, points: DataFrame, key: str = "point_id") -> int:
-        """Latest wins by key; writes the merged collection as a new snapshot."""
+    def upsert(self, points: DataFrame, key: str = "point_id", version: int | None = None) -> int:
+        """Latest wins by key; writes the merged collection as a new snapshot.
+
+        With an explicit ``version`` (e.g. a stream batch id) the call is
+        idempotent: a committed snapshot of that version is left as it is, a
+        partial one is removed and rebuilt."""
         vs = self.versions()
-        nxt = (vs[-1] + 1) if vs else 1
+        if version is not None and version in vs:
+            return version
+        nxt = version if version is not None else ((vs[-1] + 1) if vs else 1)
+        target = self._Path(f"{self.path}/snap-{nxt:08d}")
+        if self._fs.exists(target):
+            self._fs.delete(target, True)
         new = points.withColumn("v", F.lit(nxt))
-        cur = self.current()
+        prev = [v for v in vs if v < nxt]
+        cur = self.spark.read.parquet(f"{self.path}/snap-{prev[-1]:08d}") if prev else None
         merged = latest_wins(new if cur is None else cur.unionByName(new, allowMissingColumns=True), key)
         merged.write.mode("errorifexists").parquet(f"{self.path}/snap-{nxt:08d}")
         return nxt

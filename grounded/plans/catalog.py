@@ -632,3 +632,29 @@ FROM r JOIN p USING (conv_id, turn) WHERE l > 0 GROUP BY conv_id, blk_no"""
 @query("pack_blocks", PACK_SQL)
 def q_pack_blocks(spark, sf):
     return packing.pack_blocks(T(spark, sf, "conversations", ["conv_id", "turn", "text"]))
+
+
+# ---------------------------------------------------------------- streams
+
+from grounded.streaming import streams  # noqa: E402
+
+
+@query("stream_answers", GROUNDED_SQL)
+def q_stream_answers(spark, sf):
+    out = streams.stream_answers(spark, streams.table_stream(spark, sf, "benchmark"), _chunks(spark, sf))
+    return out.select("item_id", "doc_id", "i", "score", "has_context", "verdict", "status", "body")
+
+
+@query("stream_ingest", ORACLE["ingest_corpus"])
+def q_stream_ingest(spark, sf):
+    col = store.Collection(spark, scratch_dir(spark, "collections"), "rag-stream")
+    col.ensure(truncate=True, dim=768)
+    cur = streams.stream_ingest(spark, streams.table_stream(spark, sf, "documents"), col)
+    return cur.select("point_id", "path", "chunk_no", F.size("embedding").alias("dim"), "v")
+
+
+@query("request_rate", """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total_value
+FROM events GROUP BY 1, 2""")
+def q_request_rate(spark, sf):
+    return streams.request_rate(spark, streams.table_stream(spark, sf, "events"))
