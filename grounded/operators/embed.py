@@ -56,7 +56,8 @@ def hashed_sparse(df: DataFrame, keys: list[str], text_col: str, cfg: EmbedConfi
     One row per (text, bucket); the aggregate is partial per task, so a long text
     shuffles at most ``dim`` rows, and the norm window holds at most ``dim`` rows."""
     cfg.validate()
-    counts = (df.select(*keys, F.explode(tf.token_buckets(text_col, cfg.dim)).alias("b"))
+    counts = (df.select(*keys, F.explode_outer(tf.token_buckets(text_col, cfg.dim)).alias("b"))
+              .where(F.col("b").isNotNull())
               .groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n")))
     lw = F.log1p(F.col("n").cast("double"))
     norm = F.sqrt(F.sum(lw * lw).over(Window.partitionBy(*keys)))

@@ -21,7 +21,8 @@ RRF_K = 60
 
 
 def query_terms(questions: DataFrame, q_key: str, text_col: str) -> DataFrame:
-    return questions.select(q_key, F.explode(F.array_distinct(tf.tokens(text_col, lower=True))).alias("term"))
+    return (questions.select(q_key, F.explode_outer(F.array_distinct(tf.tokens(text_col, lower=True))).alias("term"))
+            .where(F.col("term").isNotNull()))
 
 
 def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
@@ -30,11 +31,14 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
     qt = query_terms(questions, q_key, q_text)
     vocab = F.broadcast(qt.select("term").distinct())          # bounded by the question set
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
-    stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    stats = toks.agg(F.count(d_key).cast("double").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+                .where(F.col("term").isNotNull())
                 .join(vocab, "term", "left_semi")
                 .groupBy(d_key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # count("tf") keeps the postings aggregate identical in both uses, so the
+    # exchange is computed once and reused
+    df_ = postings.groupBy("term").agg(F.count("tf").alias("df"))
     one = F.lit(1).alias("_one")
     scored_terms = (postings.join(F.broadcast(df_), "term")
                     .select("*", one).join(F.broadcast(stats.select("*", one)), "_one"))

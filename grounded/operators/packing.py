@@ -86,17 +86,15 @@ def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", tex
     levels = [_next_flush(pg, key, T).checkpoint(eager=True)]
     for _ in range(K):
         J = levels[-1]
-        nxt = (J.alias("a").join(J.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.y") == F.col("b.x")),
-                                 "left")
-               .select(F.col(f"a.{key}").alias(key), F.col("a.x").alias("x"), F.col("b.y").alias("y")))
+        hop = J.select(key, F.col("x").alias("y"), F.col("y").alias("y2"))
+        nxt = J.join(hop, [key, "y"], "left").select(key, "x", F.col("y2").alias("y"))
         levels.append(nxt.checkpoint(eager=True))
     S = pg.select(key).distinct().select(key, F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("d"))
     for k in range(len(levels) - 1, -1, -1):
         J = levels[k].where(F.col("y").isNotNull())
         step = (S.join(J, [key, "x"]).select(key, F.col("y").alias("x"), (F.col("d") + (1 << k)).alias("d")))
-        S = S.unionByName(step)
-        if k % 4 == 0:
-            S = S.checkpoint(eager=True)
+        # one row per block start: small; checkpointing keeps every union's inputs leaves
+        S = S.unionByName(step).checkpoint(eager=True)
     starts = S.withColumnRenamed("x", "bs").withColumn("cb", F.floor(F.col("bs") / T))
     starts = starts.select(key, "bs", "d", F.explode(F.array(F.col("cb"), F.col("cb") + 1)).alias("bkt"))
     placed = (pg.withColumn("bkt", F.floor(F.col("s") / T))

@@ -20,10 +20,13 @@ def token_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None
     keys = keys or ["doc_id"]
     stride = cfg.window_tokens - cfg.window_overlap
     toks = tf.tokens(text_col)
+    # explode_outer + null filter: no inferred size() predicate that would
+    # re-evaluate the tokenizer (and be pushed towards the scan)
+    starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), (F.ceil(F.size("_t") / F.lit(float(stride))) - 1)
+                                                 .cast("int")))
     return (df.select(*keys, toks.alias("_t"))
-            .where(F.size("_t") > 0)
-            .select(*keys, "_t", F.explode(F.sequence(F.lit(0), (F.ceil(F.size("_t") / F.lit(float(stride))) - 1)
-                                                     .cast("int"))).alias("i"))
+            .select(*keys, "_t", F.explode_outer(starts).alias("i"))
+            .where(F.col("i").isNotNull())
             .select(*keys, "i", F.array_join(F.slice("_t", F.col("i") * stride + 1, cfg.window_tokens), " ")
                     .alias("chunk")))
 
@@ -35,9 +38,9 @@ def char_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None =
     keys = keys or ["doc_id"]
     stride = cfg.char_window - cfg.char_overlap
     n = F.char_length(text_col)
-    return (df.where(n > 0)
-            .select(*keys, text_col, F.explode(F.sequence(F.lit(0), (F.ceil(n / F.lit(float(stride))) - 1)
-                                                         .cast("int"))).alias("i"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / F.lit(float(stride))) - 1).cast("int")))
+    return (df.select(*keys, text_col, F.explode_outer(starts).alias("i"))
+            .where(F.col("i").isNotNull())
             .select(*keys, "i", F.substring(F.col(text_col), F.col("i") * stride + 1, cfg.char_window)
                     .alias("chunk")))
 

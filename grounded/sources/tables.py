@@ -17,11 +17,34 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+# Tables whose rows carry heavy per-row work (tokenising, hashing, scoring).
+HEAVY = ("documents", "pages", "conversations", "embeddings")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Add parallelism only when a scan under-fills the cluster.
+
+    A file stored as one row group is read by one task; CPU-heavy narrow work
+    after it would then run serially.  Large inputs already arrive in many
+    splits and are left alone (no shuffle)."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    # The always-true non-deterministic filter stops Catalyst from pushing later
+    # predicates on derived columns (tokenising regexes) below the exchange,
+    # which would put that work back into the single scan task.
+    return df.repartition(n).where(F.spark_partition_id() >= 0)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               parallel: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if parallel if parallel is not None else name in HEAVY:
+        df = spread(df)
+    return df
 
 
 def corpus_scan(documents: DataFrame) -> DataFrame:
