@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grounded.config import AnswerConfig, EmbedConfig, SearchConfig
+from grounded.config import AnswerConfig, EmbedConfig, SearchConfig, TextConfig
 from grounded.functions import text as tf
 from grounded.operators import context as ctxop
 from grounded.operators import generate, guard
+from grounded.operators import text as txt
 from grounded.operators.search import VecCol, nn_search
 
 # ---- fixed values -------------------------------------------------------------
@@ -28,24 +29,28 @@ def chunk_ids(chunks: DataFrame, doc_col: str = "doc_id", i_col: str = "i") -> D
     return chunks.withColumn("chunk_id", F.col(doc_col).cast("long") * CHUNK_ID_SHIFT + F.col(i_col))
 
 
-def retrieve(spark: SparkSession, questions: DataFrame, chunks: DataFrame, q_key: str, q_text: str,
-             cfg: SearchConfig, ecfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """O07 + O14 + O18 + O20: questions x chunk collection, stand-in embedder.
+def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str, q_text: str,
+             cfg: SearchConfig, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig()) -> DataFrame:
+    """O04 + O07 + O14 + O18 + O20: questions x token-window chunks of ``docs(doc_id, text)``.
 
-    Returns ``(qid, doc_id, i, chunk, score, rk)``: ranking runs on ids and
-    vectors only; chunk text is joined back for the winners."""
+    Returns ``(qid, doc_id, i, chunk, score, rk)``.  Scoring reads only window
+    ids and hashed tokens; chunk text is rebuilt afterwards for the documents
+    that own a winning window (a broadcast semi-join bounded by |questions| * k),
+    so the corpus is tokenised for text only where it is needed."""
     dim = ecfg.dim
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
-    c = chunk_ids(chunks)
-    cvec = c.select("chunk_id", tf.token_buckets(tf.strip_newlines("chunk"), dim).alias("cb"))
+    cvec = chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], dim, tcfg)).select("chunk_id", "cb")
     hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
                      c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
-    # winners are bounded by |questions| * k: broadcast them against the chunk scan
-    return (c.join(F.broadcast(hits), "chunk_id")
+    hits = hits.select("qid", (F.col("chunk_id") / CHUNK_ID_SHIFT).cast("long").alias("doc_id"),
+                       (F.col("chunk_id") % CHUNK_ID_SHIFT).cast("int").alias("i"), "score", "rk")
+    winners = F.broadcast(hits.select("doc_id").distinct())
+    text = txt.token_windows(docs.join(winners, "doc_id", "left_semi"), "text", ["doc_id"], tcfg)
+    return (text.join(F.broadcast(hits), ["doc_id", "i"])
             .select("qid", "doc_id", "i", "chunk", "score", "rk"))
 
 
-def grounded_answer(spark: SparkSession, questions: DataFrame, chunks: DataFrame, *, q_key: str = "item_id",
+def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame, *, q_key: str = "item_id",
                     q_text: str = "text", cfg: SearchConfig = SearchConfig(k=1),
                     answer_cfg: AnswerConfig = AnswerConfig(),
                     model: generate.CompletionProvider | None = None,
@@ -58,7 +63,7 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, chunks: DataFrame
     if answer_cfg.guard_request_on_rag:
         qs = (guard.guard_request(qs, q_text, guard_provider, q_key)
               .where(F.col("passed")).select(q_key, q_text))
-    hits = retrieve(spark, qs, chunks, q_key, q_text, cfg)
+    hits = retrieve(spark, qs, docs, q_key, q_text, cfg)
     ctx = ctxop.context_top1(qs, hits, q_key, ["doc_id", "i"])
     prompts = ctxop.build_prompt(ctx, q_text, "ctx")
     done = generate.complete(prompts, "prompt", model, answer_cfg.main_temperature)
@@ -112,13 +117,13 @@ def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
             .withColumn("query", F.when(~bad, query)))
 
 
-def answer_batch(spark: SparkSession, requests: DataFrame, chunks: DataFrame, *, q_key: str = "item_id",
+def answer_batch(spark: SparkSession, requests: DataFrame, docs: DataFrame, *, q_key: str = "item_id",
                  q_text: str = "text", route_col: str = "route", cfg: SearchConfig = SearchConfig(k=1),
                  answer_cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
     """Dispatch by route; each pipeline runs on its share, results are unioned."""
     plain = plain_answer(requests.where(F.col(route_col) == ROUTE_PLAIN).select(q_key, q_text),
                          q_key=q_key, q_text=q_text, answer_cfg=answer_cfg)
-    rag = grounded_answer(spark, requests.where(F.col(route_col) == ROUTE_RAG).select(q_key, q_text), chunks,
+    rag = grounded_answer(spark, requests.where(F.col(route_col) == ROUTE_RAG).select(q_key, q_text), docs,
                           q_key=q_key, q_text=q_text, cfg=cfg, answer_cfg=answer_cfg)
     cols = [q_key, "status", "body"]
     return (plain.select(*cols, F.lit(ROUTE_PLAIN).alias(route_col))

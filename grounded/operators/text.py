@@ -31,6 +31,25 @@ def token_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None
                     .alias("chunk")))
 
 
+def window_buckets(df: DataFrame, text_col: str = "text", keys: list[str] | None = None, dim: int = 768,
+                   cfg: TextConfig = TextConfig()) -> DataFrame:
+    """Stand-in embedder input per token window, without materialising chunk text.
+
+    Tokens are hashed once per document (lower-casing never moves a token
+    boundary, so the document's hashed tokens sliced per window equal the
+    window's own hashed tokens); windows then only slice the bucket array."""
+    cfg.validate()
+    keys = keys or ["doc_id"]
+    stride = cfg.window_tokens - cfg.window_overlap
+    b = tf.token_buckets(text_col, dim)
+    starts = F.when(F.size("_b") > 0, F.sequence(F.lit(0), (F.ceil(F.size("_b") / F.lit(float(stride))) - 1)
+                                                 .cast("int")))
+    return (df.select(*keys, b.alias("_b"))
+            .select(*keys, "_b", F.explode_outer(starts).alias("i"))
+            .where(F.col("i").isNotNull())
+            .select(*keys, "i", F.slice("_b", F.col("i") * stride + 1, cfg.window_tokens).alias("cb")))
+
+
 def char_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None = None,
                  cfg: TextConfig = TextConfig()) -> DataFrame:
     """Draft character splitter: ``char_window`` characters, ``char_overlap`` overlap."""

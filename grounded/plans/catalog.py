@@ -94,8 +94,9 @@ def q_embed_queries(spark, sf):
 
 # ---------------------------------------------------------------- retrieval over chunks
 
-def _chunks(spark, sf):
-    return txt.token_windows(T(spark, sf, "documents", ["doc_id", "text"]))
+def _docs(spark, sf):
+    """The chunk collection is derived from ``documents`` inside each retrieval."""
+    return T(spark, sf, "documents", ["doc_id", "text"])
 
 
 def _bench(spark, sf):
@@ -105,7 +106,7 @@ def _bench(spark, sf):
 @query("search_exact_topk", "SELECT qid, doc_id, i, score, rk FROM "
        + S.chunk_search("benchmark", "item_id", "text", 10, 0.3))
 def q_search_exact(spark, sf):
-    hits = ans.retrieve(spark, _bench(spark, sf), _chunks(spark, sf), "item_id", "text",
+    hits = ans.retrieve(spark, _bench(spark, sf), _docs(spark, sf), "item_id", "text",
                         SearchConfig(k=10, threshold=0.3, exact=True))
     return hits.select("qid", "doc_id", "i", "score", "rk")
 
@@ -117,7 +118,7 @@ FROM benchmark b LEFT JOIN {S.chunk_search('benchmark', 'item_id', 'text', 1, 0.
 
 def _ctx1(spark, sf):
     b = _bench(spark, sf)
-    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=1, threshold=0.3))
+    hits = ans.retrieve(spark, b, _docs(spark, sf), "item_id", "text", SearchConfig(k=1, threshold=0.3))
     return ctxop.context_top1(b, hits, "item_id", ["doc_id", "i"])
 
 
@@ -154,7 +155,7 @@ FROM (SELECT *, {S.rule_verdict('completion')} AS verdict FROM ({COMPLETE_SQL}))
 
 @query("grounded_answer", GROUNDED_SQL)
 def q_grounded_answer(spark, sf):
-    out = ans.grounded_answer(spark, _bench(spark, sf), _chunks(spark, sf))
+    out = ans.grounded_answer(spark, _bench(spark, sf), _docs(spark, sf))
     return out.select("item_id", "doc_id", "i", "score", "has_context", "verdict", "status", "body")
 
 
@@ -405,7 +406,7 @@ SELECT item_id, route, status, body FROM (
 def q_answer_batch(spark, sf):
     b = _bench(spark, sf)
     req = (b.withColumn("route", F.explode(F.array(F.lit(ans.ROUTE_PLAIN), F.lit(ans.ROUTE_RAG)))))
-    return ans.answer_batch(spark, req, _chunks(spark, sf)).select("item_id", "route", "status", "body")
+    return ans.answer_batch(spark, req, _docs(spark, sf)).select("item_id", "route", "status", "body")
 
 
 # ---------------------------------------------------------------- lexical, fusion, rerank, evaluation
@@ -450,7 +451,7 @@ FROM (SELECT h.qid, h.doc_id, h.i, h.score,
         ON b.item_id = h.qid)""")
 def q_rerank(spark, sf):
     b = _bench(spark, sf)
-    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
+    hits = ans.retrieve(spark, b, _docs(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
     return (lex.rerank_overlap(hits, b, "item_id", "text", "chunk", ["doc_id", "i"])
             .select("qid", "doc_id", "i", "score", "overlap", "rk"))
 
@@ -470,7 +471,7 @@ FROM first CROSS JOIN (VALUES (1), (4), (10)) ks(k) GROUP BY k"""
 def q_retrieval_eval(spark, sf):
     b = _bench(spark, sf)
     docs = T(spark, sf, "documents", ["doc_id", "text"])
-    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
+    hits = ans.retrieve(spark, b, _docs(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.3))
     ranked = hits.select(F.col("qid").alias("item_id"), "doc_id", "rk")
     return ev.hit_at_k(ranked, ev.containment_gold(b, docs), "item_id", "doc_id")
 
@@ -493,7 +494,7 @@ FROM benchmark b LEFT JOIN (
 
 def _top4(spark, sf):
     b = _bench(spark, sf)
-    hits = ans.retrieve(spark, b, _chunks(spark, sf), "item_id", "text", SearchConfig(k=4, threshold=0.25))
+    hits = ans.retrieve(spark, b, _docs(spark, sf), "item_id", "text", SearchConfig(k=4, threshold=0.25))
     return ctxop.context_concat(b, hits, "item_id", 4, cite_cols=["doc_id", "i"])
 
 
@@ -526,7 +527,7 @@ from grounded.session import scratch_dir  # noqa: E402
 PATH_SQL = "(source || '/' || doc_id)"
 
 
-def _doc_chunks(spark, sf):
+def _doc_docs(spark, sf):
     d = T(spark, sf, "documents", ["doc_id", "source", "text"]).withColumn(
         "path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     return txt.token_windows(d, keys=["doc_id", "path"])
@@ -541,7 +542,7 @@ SELECT doc_id, i, path AS source_document, chunk, coalesce(nnz, 0) AS nnz FROM {
 LEFT JOIN (SELECT cid, count(*)::INTEGER AS nnz FROM {S.sparse_embed(S.chunks_with_id(), 'cid', 'chunk')} GROUP BY cid) e
   ON e.cid = w.doc_id * 16777216 + w.i""")
 def q_knowledge_items(spark, sf):
-    return emb.knowledge_items(_doc_chunks(spark, sf), ["doc_id", "i"], "chunk", "path").select(
+    return emb.knowledge_items(_doc_docs(spark, sf), ["doc_id", "i"], "chunk", "path").select(
         "doc_id", "i", "source_document", "chunk", "nnz")
 
 
@@ -549,7 +550,7 @@ def q_knowledge_items(spark, sf):
 SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, doc_id, i AS chunk_no, strlen(chunk) AS n_bytes
 FROM {W_SQL}""")
 def q_point_build(spark, sf):
-    p = store.chunk_points(_doc_chunks(spark, sf))
+    p = store.chunk_points(_doc_docs(spark, sf))
     return p.select("point_id", "path", "doc_id", "chunk_no", F.octet_length("chunk").alias("n_bytes"))
 
 
@@ -557,7 +558,7 @@ def q_point_build(spark, sf):
 SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, i AS chunk_no, 768 AS dim, 1 AS v FROM {W_SQL}""")
 def q_ingest_corpus(spark, sf):
     """Chunks -> points -> embed -> dimension gate -> snapshot upsert -> read back."""
-    pts = store.chunk_points(_doc_chunks(spark, sf))
+    pts = store.chunk_points(_doc_docs(spark, sf))
     vecs = emb.dense_embed(pts.select("point_id", "path", "chunk_no", "embed_text"), "embed_text",
                            cfg=EmbedConfig(strip_newlines=False))
     good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", 768)
@@ -641,7 +642,7 @@ from grounded.streaming import streams  # noqa: E402
 
 @query("stream_answers", GROUNDED_SQL)
 def q_stream_answers(spark, sf):
-    out = streams.stream_answers(spark, streams.table_stream(spark, sf, "benchmark"), _chunks(spark, sf))
+    out = streams.stream_answers(spark, streams.table_stream(spark, sf, "benchmark"), _docs(spark, sf))
     return out.select("item_id", "doc_id", "i", "score", "has_context", "verdict", "status", "body")
 
 

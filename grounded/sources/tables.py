@@ -68,3 +68,49 @@ def binary_corpus_scan(spark: SparkSession, root: str, suffix: str = ".pdf") ->
             .option("pathGlobFilter", f"*{suffix}")
             .load(root)
             .where(F.col("path").endswith(suffix)))
+
+
+def _plain_pages(content: bytes) -> list[str]:
+    """Default extractor: UTF-8 text, pages separated by form feeds."""
+    return content.decode("utf-8").split("\f")
+
+
+def pdf_pages(content: bytes) -> list[str]:
+    """PDF extractor, available when the optional ``pypdf`` package is installed."""
+    try:
+        import io
+
+        from pypdf import PdfReader
+    except ImportError as exc:  # pragma: no cover - optional dependency
+        raise RuntimeError("pypdf is not installed") from exc
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+
+def extract_pages(files: DataFrame, extractor=_plain_pages) -> tuple[DataFrame, DataFrame]:
+    """O02 for binary files: ``(path, content)`` -> pages ``(path, page_no, text)``.
+
+    The extractor runs once per file inside ``mapInPandas`` (one file's bytes at a
+    time).  A file that cannot be opened goes to the dead-letter frame; a page that
+    fails yields a NULL text (skipped by packing) and the document continues."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("page_no", T.IntegerType()),
+                           T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    pages = extractor(bytes(content))
+                except Exception as exc:  # noqa: BLE001 - becomes a dead-letter row
+                    out.append((path, None, None, f"{type(exc).__name__}: {exc}"))
+                    continue
+                for i, p in enumerate(pages):
+                    out.append((path, i, p if isinstance(p, str) else None, None))
+            yield pd.DataFrame(out, columns=["path", "page_no", "text", "error"])
+
+    res = files.select("path", "content").mapInPandas(run, schema)
+    return (res.where(F.col("error").isNull()).drop("error"),
+            res.where(F.col("error").isNotNull()).select("path", F.col("error").alias("reason")))

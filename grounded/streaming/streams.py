@@ -32,7 +32,7 @@ def _run(writer, ckpt: str):
         raise RuntimeError(str(q.exception()))
 
 
-def stream_answers(spark: SparkSession, questions: DataFrame, chunks: DataFrame, q_key: str = "item_id",
+def stream_answers(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str = "item_id",
                    q_text: str = "text") -> DataFrame:
     """Questions arrive as a stream; each micro-batch runs the grounded
     pipeline against the static collection and lands in ``batch=<id>``."""
@@ -40,7 +40,7 @@ def stream_answers(spark: SparkSession, questions: DataFrame, chunks: DataFrame,
     out = f"{root}/out"
 
     def handle(batch: DataFrame, batch_id: int):
-        res = ans.grounded_answer(batch.sparkSession, batch.select(q_key, q_text), chunks, q_key=q_key, q_text=q_text)
+        res = ans.grounded_answer(batch.sparkSession, batch.select(q_key, q_text), docs, q_key=q_key, q_text=q_text)
         res.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     _run(questions.writeStream.foreachBatch(handle), f"{root}/checkpoint")
