@@ -66,41 +66,50 @@ def _next_flush(pg: DataFrame, key: str, T: int) -> DataFrame:
 
 
 def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text",
-                block_bytes: int = 3000) -> DataFrame:
-    """-> (key, block_no, blk, n_bytes); block_no counts from 0 per document."""
+                block_bytes: int = 3000, checkpoint_every: int = 6) -> DataFrame:
+    """-> (key, block_no, blk, n_bytes); block_no counts from 0 per document.
+
+    Only narrow offset rows (no text) take part in the offset, pointer and
+    doubling phases; page text is joined back once and grouped per block."""
     T = int(block_bytes)
     spark = pages.sparkSession
-    base = pages.select(key, order, text_col).withColumn("_n", F.coalesce(F.octet_length(text_col), F.lit(0))
-                                                         .cast("long"))
-    pg = _offsets(base, key, order, "_n").where(F.col("_n") > 0)
+    scratch_dir(spark, "packing")          # makes sure a checkpoint folder is configured
+    meta = (pages.select(key, order, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_n")))
+    pg = _offsets(meta, key, order, "_n").where(F.col("_n") > 0).checkpoint(eager=True)
     # chain length is bounded by pages per document and by bytes / T
     stats = pg.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("C").alias("b")).agg(
         F.max("n").alias("n"), F.max("b").alias("b")).first()
     if stats is None or stats["n"] is None:
         return spark.createDataFrame([], f"{key} long, block_no int, blk string, n_bytes long")
     steps = int(min(stats["n"], stats["b"] // T)) + 1
-    K = max(0, math.ceil(math.log2(steps))) if steps > 1 else 0
-    ck = scratch_dir(spark, "packing")
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir() or ck)
-    pg = pg.checkpoint(eager=True)
+    K = math.ceil(math.log2(steps)) if steps > 1 else 0
     levels = [_next_flush(pg, key, T).checkpoint(eager=True)]
     for _ in range(K):
         J = levels[-1]
         hop = J.select(key, F.col("x").alias("y"), F.col("y").alias("y2"))
         nxt = J.join(hop, [key, "y"], "left").select(key, "x", F.col("y2").alias("y"))
         levels.append(nxt.checkpoint(eager=True))
+    # orbit of 0, top-down: every member keeps itself and adds its 2^k-th successor
     S = pg.select(key).distinct().select(key, F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("d"))
     for k in range(len(levels) - 1, -1, -1):
         J = levels[k].where(F.col("y").isNotNull())
-        step = (S.join(J, [key, "x"]).select(key, F.col("y").alias("x"), (F.col("d") + (1 << k)).alias("d")))
-        # one row per block start: small; checkpointing keeps every union's inputs leaves
-        S = S.unionByName(step).checkpoint(eager=True)
+        both = F.array(F.struct(F.col("x").alias("x"), F.col("d").alias("d")),
+                       F.struct(F.col("y").alias("x"), (F.col("d") + (1 << k)).alias("d")))
+        S = (S.join(J, [key, "x"], "left")
+             .select(key, F.explode(F.when(F.col("y").isNull(), F.array(F.struct("x", "d"))).otherwise(both))
+                     .alias("_s"))
+             .select(key, "_s.x", "_s.d"))
+        if k and k % checkpoint_every == 0:
+            S = S.checkpoint(eager=True)   # keep lineage short for very long documents
     starts = S.withColumnRenamed("x", "bs").withColumn("cb", F.floor(F.col("bs") / T))
     starts = starts.select(key, "bs", "d", F.explode(F.array(F.col("cb"), F.col("cb") + 1)).alias("bkt"))
     placed = (pg.withColumn("bkt", F.floor(F.col("s") / T))
               .join(starts, [key, "bkt"])
-              .where((F.col("bs") <= F.col("s")) & (F.col("s") < F.col("bs") + T)))
-    blocks = (placed.groupBy(key, F.col("d").cast("int").alias("block_no"))
+              .where((F.col("bs") <= F.col("s")) & (F.col("s") < F.col("bs") + T))
+              .select(key, order, F.col("d").cast("int").alias("block_no"), "_n"))
+    texts = pages.select(key, order, text_col).where(F.octet_length(text_col) > 0)
+    blocks = (placed.join(texts, [key, order])
+              .groupBy(key, "block_no")
               .agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text_col)))).alias("_p"),
                    F.sum("_n").alias("n_bytes")))
     return blocks.select(key, "block_no", F.array_join(F.transform("_p", lambda x: x[text_col]), "").alias("blk"),
