@@ -322,3 +322,100 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     if cfg.threshold is not None:
         scored = scored.where(F.col("score") >= cfg.threshold)
     return _rank(scored, c_id, cfg.k)
+
+
+# ---- IVF index layout and the broadcast-free (cogroup) strategy ----------------
+
+def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.ndarray, path: str,
+                    cell_col: str = "cell") -> str:
+    """Write the collection partitioned by cell; searches then prune unprobed cells
+    at the scan (``PartitionFilters``).  Unscorable vectors land in ``cell=NULL``
+    (the not-indexed partition)."""
+    cols = [c_id, c_vec.name] + [c for c in collection.columns if c not in (c_id, c_vec.name)]
+    assign_cells(collection.select(*cols), c_vec, pivots, cell_col=cell_col) \
+        .write.mode("errorifexists").partitionBy(cell_col).parquet(path)
+    return path
+
+
+def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
+                       q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
+                       target_vectors: int = 100_000, target_questions: int = 2_000) -> DataFrame:
+    """IVF without collecting questions: probes and vectors meet in a cogroup on
+    ``(cell, vector salt, question salt)``.
+
+    Salt counts come from per-cell cardinalities (at most ``nlist`` rows), so a
+    cell holding a third of the collection is split into many groups, each with
+    at most about ``target_vectors`` vectors and ``target_questions`` questions;
+    vectors are replicated over question salts and probes over vector salts.
+    Every group emits only its per-question top-k."""
+    cfg.validate()
+    digits, thr, k = cfg.round_digits, cfg.threshold, cfg.k
+    pb = spark.sparkContext.broadcast(pivots)
+    nprobe = cfg.nprobe
+    vecs = assign_cells(collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv")),
+                        VecCol("cv", c_vec.kind, c_vec.dim), pivots).where(F.col("cell").isNotNull())
+
+    probe_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
+                                 T.StructField("cell", T.IntegerType())])
+
+    def probe(batches):
+        P = pb.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            Q = unit_rows(q_vec.matrix(pdf[q_vec.name]))
+            if Q.shape[1] != P.shape[1]:
+                continue
+            S = round_scores(Q @ P.T, digits)
+            S[np.isnan(S)] = -np.inf
+            order = np.lexsort((np.broadcast_to(np.arange(P.shape[0]), S.shape), -S), axis=1)[:, :nprobe]
+            ok = ~np.isnan(Q).any(axis=1)
+            rows = np.repeat(np.nonzero(ok)[0], nprobe)
+            yield pd.DataFrame({"qid": pdf[q_id].to_numpy(dtype=np.int64)[rows],
+                                "qv": list(Q[rows]), "cell": order[ok].reshape(-1).astype(np.int32)})
+
+    probes = questions.select(q_id, q_vec.name).mapInPandas(probe, probe_schema)
+    vsizes = vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
+    qsizes = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    salts = (vsizes.join(qsizes, "cell")      # bounded by nlist rows
+             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nv") / target_vectors)).cast("int").alias("vn"),
+                     F.greatest(F.lit(1), F.ceil(F.col("nq") / target_questions)).cast("int").alias("qn")))
+    salts = F.broadcast(salts)
+    vside = (vecs.join(salts, "cell")
+             .withColumn("vs", F.pmod(F.xxhash64("cid"), F.col("vn")).cast("int"))
+             .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
+             .select("cell", "vs", "qs", "cid", "cv"))
+    qside = (probes.join(salts, "cell")
+             .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int"))
+             .withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)))
+             .select("cell", "vs", "qs", "qid", "qv"))
+    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
+                               T.StructField("score", T.DoubleType())])
+    excl = cfg.exclude_self
+    cvec = VecCol("cv", c_vec.kind, c_vec.dim)
+
+    def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(vpdf) == 0:
+            return pd.DataFrame({"qid": [], c_id: [], "score": []})
+        qids = qpdf["qid"].to_numpy(dtype=np.int64)
+        Q = stack_vectors(list(qpdf["qv"]))
+        ids = vpdf["cid"].to_numpy(dtype=np.int64)
+        V = unit_rows(cvec.matrix(vpdf["cv"]))
+        S = round_scores(Q @ V.T, digits)
+        S[np.isnan(S)] = -np.inf
+        if thr is not None:
+            S[S < thr] = -np.inf
+        if excl:
+            S[qids[:, None] == ids[None, :]] = -np.inf
+        if k:
+            keep = TopK(len(qids), k)
+            keep.add(S, ids)
+            qi, cid, sc = keep.items()
+        else:
+            qi, cj = np.nonzero(np.isfinite(S))
+            cid, sc = ids[cj], S[qi, cj]
+        return pd.DataFrame({"qid": qids[qi], c_id: cid, "score": sc})
+
+    scored = (qside.groupBy("cell", "vs", "qs").cogroup(vside.groupBy("cell", "vs", "qs"))
+              .applyInPandas(score, out_schema))
+    return _rank(scored, c_id, k)

@@ -659,3 +659,26 @@ SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(
 FROM events GROUP BY 1, 2""")
 def q_request_rate(spark, sf):
     return streams.request_rate(spark, streams.table_stream(spark, sf, "events"))
+
+
+@query("search_ann_ivf_join", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
+def q_ann_ivf_join(spark, sf):
+    """IVF for question sets too large to broadcast: salted cogroup on cells."""
+    from dataclasses import replace
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding")
+    return srch.ivf_search_cogroup(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                                   cfg=replace(KNN, exact=False, nprobe=8), pivots=_pivots(spark, sf))
+
+
+@query("search_ivf_index", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
+def q_ivf_index(spark, sf):
+    """IVF over a persisted index written partitionBy(cell): unprobed cells are pruned at the scan."""
+    from dataclasses import replace
+    vc = srch.VecCol("embedding")
+    piv = _pivots(spark, sf)
+    path = srch.build_ivf_index(_emb(spark, sf), "vec_id", vc, piv, scratch_dir(spark, "ivf-index"))
+    index = spark.read.parquet(path)
+    return srch.ivf_search(spark, _emb(spark, sf), index, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                           cfg=replace(KNN, exact=False, nprobe=8), pivots=piv, cell_col="cell",
+                           dim_hint=EMB_DIM)

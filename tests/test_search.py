@@ -124,3 +124,18 @@ def test_quantized_matches_bruteforce_rescore(spark):
     # with every vector a candidate the rescored top-k is the exact top-k
     assert sorted((r.qid, r.id, r.score) for r in res.collect()) == \
         sorted((a, b, c) for a, b, c, _ in brute(rows, rows, 3, None, excl=True))
+
+
+def test_ivf_cogroup_salted_equals_broadcast(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    # a hot cell: a third of the vectors sit next to pivot 0
+    rows += [(1000 + i, (np.array([5.0, 0, 0, 0]) + rng.normal(scale=0.3, size=4)).tolist()) for i in range(60)]
+    df = frame(spark, rows)
+    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 5), "id", VC)
+    cfg = SearchConfig(k=4, threshold=0.2, nprobe=2, exclude_self=True)
+    a = srch.ivf_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv, dim_hint=4)
+    b = srch.ivf_search_cogroup(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv,
+                                target_vectors=7, target_questions=9)
+    key = lambda d: sorted((r.qid, r.id, r.score, r.rk) for r in d.collect())
+    assert key(a) == key(b) and len(key(a)) > 0
