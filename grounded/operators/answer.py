@@ -34,9 +34,9 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     """O04 + O07 + O14 + O18 + O20: questions x token-window chunks of ``docs(doc_id, text)``.
 
     Returns ``(qid, doc_id, i, chunk, score, rk)``.  Scoring reads only window
-    ids and hashed tokens; chunk text is rebuilt afterwards for the documents
-    that own a winning window (a broadcast semi-join bounded by |questions| * k),
-    so the corpus is tokenised for text only where it is needed."""
+    ids and hashed tokens.  The winners (bounded by |questions| * k) are then
+    broadcast against the document scan and only each winner's own window text
+    is rebuilt; the scoring result is consumed once, so it is computed once."""
     dim = ecfg.dim
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
     cvec = chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], dim, tcfg)).select("chunk_id", "cb")
@@ -44,10 +44,10 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
                      c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
     hits = hits.select("qid", (F.col("chunk_id") / CHUNK_ID_SHIFT).cast("long").alias("doc_id"),
                        (F.col("chunk_id") % CHUNK_ID_SHIFT).cast("int").alias("i"), "score", "rk")
-    winners = F.broadcast(hits.select("doc_id").distinct())
-    text = txt.token_windows(docs.join(winners, "doc_id", "left_semi"), "text", ["doc_id"], tcfg)
-    return (text.join(F.broadcast(hits), ["doc_id", "i"])
-            .select("qid", "doc_id", "i", "chunk", "score", "rk"))
+    stride = tcfg.window_tokens - tcfg.window_overlap
+    chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
+    return (docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id")
+            .select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk"))
 
 
 def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame, *, q_key: str = "item_id",

@@ -19,21 +19,21 @@ ANCHOR_TOKENS = 8
 
 def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
                      d_key: str = "doc_id", d_text: str = "text") -> DataFrame:
-    qt = questions.select(q_key, q_text, tf.tokens(q_text).alias("_t"))
+    qt = questions.select(q_key, tf.tokens(q_text).alias("_t"))
     n = F.size("_t")
     # interior tokens 2..(1+L), L = min(ANCHOR_TOKENS, n - 2); questions under 3 tokens anchor on all tokens
     L = F.when(n >= 3, F.least(F.lit(ANCHOR_TOKENS), n - 2)).otherwise(n)
     start = F.when(n >= 3, F.lit(2)).otherwise(F.lit(1))
     anchors = (qt.where(n > 0)
-               .select(q_key, L.alias("L"), F.xxhash64(F.array_join(F.slice("_t", start, L), " ")).alias("h")))
+               .select(q_key, L.alias("L"), F.xxhash64(F.slice("_t", start, L)).alias("h")))
     lengths = sorted(r[0] for r in anchors.select("L").distinct().collect())   # a handful of small ints
     dt = docs.select(d_key, tf.tokens(d_text).alias("_t"))
     shingles = None
     for ln in lengths:
+        # one hash per token position, computed inside the row: linear in the text
+        hs = F.transform(F.sequence(F.lit(1), F.size("_t") - ln + 1), lambda p: F.xxhash64(F.slice("_t", p, ln)))
         s = (dt.where(F.size("_t") >= ln)
-             .select(d_key, F.explode(F.sequence(F.lit(1), F.size("_t") - ln + 1)).alias("p"), "_t")
-             .select(d_key, F.lit(ln).alias("L"), F.xxhash64(F.array_join(F.slice("_t", F.col("p"), ln), " "))
-                     .alias("h")))
+             .select(d_key, F.lit(ln).alias("L"), F.explode(F.array_distinct(hs)).alias("h")))
         shingles = s if shingles is None else shingles.unionByName(s)
     if shingles is None:
         return questions.sparkSession.createDataFrame([], f"{q_key} long, {d_key} long")

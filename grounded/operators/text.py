@@ -10,25 +10,29 @@ from grounded.config import TextConfig
 from grounded.functions import text as tf
 
 
+def _starts(n, stride: int):
+    """Window starts 0, stride, ... while start < n; NULL for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / F.lit(float(stride))) - 1).cast("int")))
+
+
 def token_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None = None,
                   cfg: TextConfig = TextConfig()) -> DataFrame:
     """Split each text into overlapping whitespace-token windows.
 
     Windows start at 0, stride, 2*stride, ... while start < n tokens; each holds up to
-    ``window_tokens`` tokens joined by one space.  Empty texts yield no windows."""
+    ``window_tokens`` tokens joined by one space.  Empty texts yield no windows.
+    The windows are built inside the row (``transform``) and then exploded, so an
+    output row carries only its own window: linear in the text length."""
     cfg.validate()
     keys = keys or ["doc_id"]
-    stride = cfg.window_tokens - cfg.window_overlap
-    toks = tf.tokens(text_col)
-    # explode_outer + null filter: no inferred size() predicate that would
-    # re-evaluate the tokenizer (and be pushed towards the scan)
-    starts = F.when(F.size("_t") > 0, F.sequence(F.lit(0), (F.ceil(F.size("_t") / F.lit(float(stride))) - 1)
-                                                 .cast("int")))
-    return (df.select(*keys, toks.alias("_t"))
-            .select(*keys, "_t", F.explode_outer(starts).alias("i"))
-            .where(F.col("i").isNotNull())
-            .select(*keys, "i", F.array_join(F.slice("_t", F.col("i") * stride + 1, cfg.window_tokens), " ")
-                    .alias("chunk")))
+    stride, size = cfg.window_tokens - cfg.window_overlap, cfg.window_tokens
+    wins = F.transform(_starts(F.size("_t"), stride),
+                       lambda i: F.struct(i.alias("i"), F.array_join(F.slice("_t", i * stride + 1, size), " ")
+                                          .alias("chunk")))
+    return (df.select(*keys, tf.tokens(text_col).alias("_t"))
+            .select(*keys, F.explode_outer(wins).alias("_w"))
+            .where(F.col("_w").isNotNull())
+            .select(*keys, "_w.i", "_w.chunk"))
 
 
 def window_buckets(df: DataFrame, text_col: str = "text", keys: list[str] | None = None, dim: int = 768,
@@ -40,14 +44,13 @@ def window_buckets(df: DataFrame, text_col: str = "text", keys: list[str] | None
     window's own hashed tokens); windows then only slice the bucket array."""
     cfg.validate()
     keys = keys or ["doc_id"]
-    stride = cfg.window_tokens - cfg.window_overlap
-    b = tf.token_buckets(text_col, dim)
-    starts = F.when(F.size("_b") > 0, F.sequence(F.lit(0), (F.ceil(F.size("_b") / F.lit(float(stride))) - 1)
-                                                 .cast("int")))
-    return (df.select(*keys, b.alias("_b"))
-            .select(*keys, "_b", F.explode_outer(starts).alias("i"))
-            .where(F.col("i").isNotNull())
-            .select(*keys, "i", F.slice("_b", F.col("i") * stride + 1, cfg.window_tokens).alias("cb")))
+    stride, size = cfg.window_tokens - cfg.window_overlap, cfg.window_tokens
+    wins = F.transform(_starts(F.size("_b"), stride),
+                       lambda i: F.struct(i.alias("i"), F.slice("_b", i * stride + 1, size).alias("cb")))
+    return (df.select(*keys, tf.token_buckets(text_col, dim).alias("_b"))
+            .select(*keys, F.explode_outer(wins).alias("_w"))
+            .where(F.col("_w").isNotNull())
+            .select(*keys, "_w.i", "_w.cb"))
 
 
 def char_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None = None,
@@ -55,13 +58,13 @@ def char_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None =
     """Draft character splitter: ``char_window`` characters, ``char_overlap`` overlap."""
     cfg.validate()
     keys = keys or ["doc_id"]
-    stride = cfg.char_window - cfg.char_overlap
-    n = F.char_length(text_col)
-    starts = F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / F.lit(float(stride))) - 1).cast("int")))
-    return (df.select(*keys, text_col, F.explode_outer(starts).alias("i"))
-            .where(F.col("i").isNotNull())
-            .select(*keys, "i", F.substring(F.col(text_col), F.col("i") * stride + 1, cfg.char_window)
-                    .alias("chunk")))
+    stride, size = cfg.char_window - cfg.char_overlap, cfg.char_window
+    wins = F.transform(_starts(F.char_length(text_col), stride),
+                       lambda i: F.struct(i.alias("i"), F.substring(F.col(text_col), i * stride + 1, F.lit(size))
+                                          .alias("chunk")))
+    return (df.select(*keys, F.explode_outer(wins).alias("_w"))
+            .where(F.col("_w").isNotNull())
+            .select(*keys, "_w.i", "_w.chunk"))
 
 
 def with_embed_text(df: DataFrame, chunk_col: str = "chunk", out: str = "embed_text",
