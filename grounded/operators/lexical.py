@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grounded.functions import text as tf
+from grounded.session import ensure_checkpoint_dir
 
 # ---- fixed values: BM25 parameters and fusion constant ----
 BM25_K1 = 1.2
@@ -28,24 +29,32 @@ def query_terms(questions: DataFrame, q_key: str, text_col: str) -> DataFrame:
 def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
          d_key: str = "doc_id", d_text: str = "text", k: int = 10, k1: float = BM25_K1,
          b: float = BM25_B) -> DataFrame:
+    ensure_checkpoint_dir(questions.sparkSession)
     qt = query_terms(questions, q_key, q_text)
-    vocab = F.broadcast(qt.select("term").distinct())          # bounded by the question set
+    # query vocabulary (bounded by the question set) with fixed-width ids; the ids
+    # are checked collision-free, so aggregating on them is exact
+    vocab = qt.select("term").distinct().withColumn("tid", F.xxhash64("term"))
+    chk = vocab.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("u")).first()
+    if chk["n"] != chk["u"]:
+        vocab = vocab.withColumn("tid", F.dense_rank().over(Window.orderBy("term")).cast("long"))
+    vocab = F.broadcast(vocab)
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
-    stats = toks.agg(F.count(d_key).cast("double").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    stats = (docs.select(d_key, F.size(tf.tokens(d_text)).alias("dl"))
+             .agg(F.count(d_key).cast("double").alias("n"), F.avg("dl").alias("avgdl")))
+    # postings of query terms only, computed once: both tf and df read them
     postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-                .where(F.col("term").isNotNull())
-                .join(vocab, "term", "left_semi")
-                .groupBy(d_key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    # count("tf") keeps the postings aggregate identical in both uses, so the
-    # exchange is computed once and reused
-    df_ = postings.groupBy("term").agg(F.count("tf").alias("df"))
+                .join(vocab, "term")
+                .groupBy(d_key, "dl", "tid").agg(F.count(F.lit(1)).alias("tf"))
+                .checkpoint(eager=True))
+    df_ = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     one = F.lit(1).alias("_one")
-    scored_terms = (postings.join(F.broadcast(df_), "term")
+    scored_terms = (postings.join(F.broadcast(df_), "tid")
                     .select("*", one).join(F.broadcast(stats.select("*", one)), "_one"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    contrib = scored_terms.select(d_key, "term", (idf * tfw).alias("c"))
-    scores = (F.broadcast(qt).join(contrib, "term")
+    contrib = scored_terms.select(d_key, "tid", (idf * tfw).alias("c"))
+    qtid = qt.join(vocab, "term").select(q_key, "tid")
+    scores = (F.broadcast(qtid).join(contrib, "tid")
               .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
     return scores.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)

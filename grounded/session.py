@@ -50,3 +50,11 @@ def scratch_dir(spark: SparkSession, name: str = "") -> str:
         sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (``spark.checkpoint.dir``); created only when unset."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        scratch_dir(spark, "init")
+    return sc.getCheckpointDir()
