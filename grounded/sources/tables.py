@@ -40,6 +40,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
                parallel: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
+    from grounded.session import ship_package
+    ship_package(spark)
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
     if parallel if parallel is not None else name in HEAVY:
