@@ -39,19 +39,19 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
         vocab = vocab.withColumn("tid", F.dense_rank().over(Window.orderBy("term")).cast("long"))
     vocab = F.broadcast(vocab)
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
-    stats = (docs.select(d_key, F.size(tf.tokens(d_text)).alias("dl"))
-             .agg(F.count(d_key).cast("double").alias("n"), F.avg("dl").alias("avgdl")))
+    # corpus statistics: one aggregate row, used as two scalars
+    st = (docs.select(d_key, F.size(tf.tokens(d_text)).alias("dl"))
+          .agg(F.count(d_key).cast("double").alias("n"), F.avg("dl").alias("avgdl")).first())
     # postings of query terms only, computed once: both tf and df read them
     postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
                 .join(vocab, "term")
                 .groupBy(d_key, "dl", "tid").agg(F.count(F.lit(1)).alias("tf"))
                 .checkpoint(eager=True))
     df_ = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    one = F.lit(1).alias("_one")
-    scored_terms = (postings.join(F.broadcast(df_), "tid")
-                    .select("*", one).join(F.broadcast(stats.select("*", one)), "_one"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    scored_terms = postings.join(F.broadcast(df_), "tid")      # df_ is bounded by the query vocabulary
+    n_docs, avgdl = F.lit(float(st["n"])), F.lit(float(st["avgdl"] or 0.0))
+    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
     contrib = scored_terms.select(d_key, "tid", (idf * tfw).alias("c"))
     qtid = qt.join(vocab, "term").select(q_key, "tid")
     scores = (F.broadcast(qtid).join(contrib, "tid")

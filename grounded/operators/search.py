@@ -51,7 +51,7 @@ def _quantize(m: np.ndarray) -> np.ndarray:
 
 
 def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg: SearchConfig,
-                  cell_col: str | None, candidates: int | None):
+                  cell_col: str | None):
     """Build the per-partition scoring function (closure over broadcast handles)."""
     k = cfg.k
     digits = cfg.round_digits
@@ -63,9 +63,7 @@ def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg
         allowed = allowed_b.value if allowed_b is not None else None
         pivots = pivots_b.value if pivots_b is not None else None
         nq = Q.shape[0]
-        Qq = _quantize(np.nan_to_num(Q)) if candidates else None
-        keep = TopK(nq, candidates or k) if (k or candidates) else None
-        side = {}                       # id -> vector, only for the quantised rescore
+        keep = TopK(nq, k) if k else None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -76,16 +74,10 @@ def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg
                 V = unit_rows(vec.matrix(part[vec.name]))
                 if V.shape[1] != Q.shape[1]:
                     continue            # wrong dimension: never scores
-                if candidates:
-                    S = Qq @ np.nan_to_num(_quantize(V)).T
-                    S[:, np.isnan(V).any(axis=1)] = -np.inf
-                    for j, i in enumerate(ids):
-                        side[int(i)] = V[j]
-                else:
-                    S = round_scores(Q @ V.T, digits)
-                    S[np.isnan(S)] = -np.inf
-                    if thr is not None:
-                        S[S < thr] = -np.inf
+                S = round_scores(Q @ V.T, digits)
+                S[np.isnan(S)] = -np.inf
+                if thr is not None:
+                    S[S < thr] = -np.inf
                 if cfg.exclude_self:
                     S[qids[:, None] == ids[None, :]] = -np.inf
                 if allowed is not None:
@@ -105,17 +97,10 @@ def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg
                     qi, cj = np.nonzero(np.isfinite(S))
                     if len(qi):
                         yield pd.DataFrame({"qid": qids[qi], id_cols[0]: ids[cj], "score": S[qi, cj]})
-        if keep is None:
-            return
-        qi, cid, sc = keep.items()
-        if candidates and len(qi):
-            # full-precision rescore of the quantised candidates
-            Vc = np.stack([side[int(i)] for i in cid])
-            sc = round_scores(np.einsum("ij,ij->i", Q[qi], Vc), digits)
-            ok = np.isfinite(sc) if thr is None else sc >= thr
-            qi, cid, sc = qi[ok], cid[ok], sc[ok]
-        if len(qi):
-            yield pd.DataFrame({"qid": qids[qi], id_cols[0]: cid, "score": sc})
+        if keep is not None:
+            qi, cid, sc = keep.items()
+            if len(qi):
+                yield pd.DataFrame({"qid": qids[qi], id_cols[0]: cid, "score": sc})
 
     return run
 
@@ -136,6 +121,16 @@ def _question_batches(questions: DataFrame, q_id: str, dim_hint: int, cfg: Searc
     return [questions.where(F.pmod(F.xxhash64(q_id), F.lit(nb)) == b) for b in range(nb)]
 
 
+def project_hits(hits: DataFrame, collection: DataFrame, c_id: str, payload: list[str],
+                 vec_col: str | None = None, with_vectors: bool = False) -> DataFrame:
+    """Payload (and optionally the vector) for the winners only.
+
+    The collection is read a second time with just the requested columns; the
+    winners side is bounded by |questions| * k."""
+    cols = [c_id] + payload + ([vec_col] if with_vectors and vec_col else [])
+    return hits.join(collection.select(*cols), c_id)
+
+
 def _rank(scored: DataFrame, id_col: str, k: int | None) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
     out = scored.withColumn("rk", F.row_number().over(w))
@@ -145,8 +140,7 @@ def _rank(scored: DataFrame, id_col: str, k: int | None) -> DataFrame:
 def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
               q_id: str, q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig,
               pivots: np.ndarray | None = None, probes: dict | None = None,
-              cell_col: str | None = None, candidates: int | None = None,
-              dim_hint: int = 768) -> DataFrame:
+              cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
     """Cosine top-k of every question against a collection.
 
     Returns ``(qid, <c_id>, score, rk)``; ``score`` is rounded to
@@ -179,7 +173,7 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
         fn = _score_kernel(sc.broadcast(Q), sc.broadcast(qids),
                            sc.broadcast(allowed) if allowed is not None else None,
                            sc.broadcast(pivots) if pivots is not None else None,
-                           [c_id], c_vec, cfg, cell_col, candidates)
+                           [c_id], c_vec, cfg, cell_col)
         parts.append(coll.mapInPandas(fn, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rk", T.IntegerType()))
@@ -270,152 +264,62 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     """int8 coarse pass selects ``candidates`` per question, full precision picks top k.
 
     Candidate lists are merged across tasks before rescoring so the coarse top-c
-    is global, then the exact top-k is taken over those candidates."""
-    coarse_cfg = replace(cfg, k=candidates, threshold=None)
+    is global; the rescore joins the broadcast candidates (bounded by
+    |question batch| * candidates) against the collection scan."""
+    cfg.validate()
     sc = spark.sparkContext
-    qids, Q = _collect_questions(questions, q_id, q_vec)
-    if len(qids) == 0:
-        return spark.createDataFrame([], "qid long, %s long, score double, rk int" % c_id)
     out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
                                T.StructField("score", T.DoubleType())])
     coll = collection.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec.name))
-    qb, ib = sc.broadcast(Q), sc.broadcast(qids)
     digits = cfg.round_digits
     excl = cfg.exclude_self
-
-    def coarse(batches):
-        Qq = _quantize(np.nan_to_num(qb.value))
-        ids_q = ib.value
-        keep = TopK(len(ids_q), candidates)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[c_id].to_numpy(dtype=np.int64)
-            V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
-            if V.shape[1] != Qq.shape[1]:
-                continue
-            S = Qq @ np.nan_to_num(_quantize(V)).T
-            S[:, np.isnan(V).any(axis=1)] = -np.inf
-            if excl:
-                S[ids_q[:, None] == ids[None, :]] = -np.inf
-            keep.add(S, ids)
-        qi, cid, s = keep.items()
-        if len(qi):
-            yield pd.DataFrame({"qid": ids_q[qi], c_id: cid, "score": s})
-
-    cand = _rank(coll.mapInPandas(coarse, out_schema), c_id, candidates).drop("rk")
-    # rescore: join candidates back to their full-precision vectors (bounded: |Q| * candidates)
-    with_vec = cand.join(coll, c_id).select("qid", c_id, c_vec.name)
-
-    def rescore(batches):
-        Qm = qb.value
-        pos = {int(q): r for r, q in enumerate(ib.value)}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
-            rows = np.array([pos[int(q)] for q in pdf["qid"]])
-            s = round_scores(np.einsum("ij,ij->i", Qm[rows], V), digits)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy(), c_id: pdf[c_id].to_numpy(), "score": s})
-
-    scored = with_vec.mapInPandas(rescore, out_schema)
+    parts = []
+    for qbatch in _question_batches(questions, q_id, dim_hint, cfg):
+        qids, Q = _collect_questions(qbatch, q_id, q_vec)
+        if len(qids) == 0:
+            continue
+        qb, ib = sc.broadcast(Q), sc.broadcast(qids)
+
+        def coarse(batches, qb=qb, ib=ib):
+            Qq = _quantize(np.nan_to_num(qb.value))
+            ids_q = ib.value
+            keep = TopK(len(ids_q), candidates)
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                ids = pdf[c_id].to_numpy(dtype=np.int64)
+                V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
+                if V.shape[1] != Qq.shape[1]:
+                    continue
+                S = Qq @ np.nan_to_num(_quantize(V)).T
+                S[:, np.isnan(V).any(axis=1)] = -np.inf
+                if excl:
+                    S[ids_q[:, None] == ids[None, :]] = -np.inf
+                keep.add(S, ids)
+            qi, cid, s = keep.items()
+            if len(qi):
+                yield pd.DataFrame({"qid": ids_q[qi], c_id: cid, "score": s})
+
+        cand = _rank(coll.mapInPandas(coarse, out_schema), c_id, candidates).drop("rk", "score")
+        with_vec = coll.join(F.broadcast(cand), c_id).select("qid", c_id, c_vec.name)
+
+        def rescore(batches, qb=qb, ib=ib):
+            Qm = qb.value
+            pos = {int(q): r for r, q in enumerate(ib.value)}
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
+                rows = np.array([pos[int(q)] for q in pdf["qid"]])
+                s = round_scores(np.einsum("ij,ij->i", Qm[rows], V), digits)
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy(), c_id: pdf[c_id].to_numpy(), "score": s})
+
+        parts.append(with_vec.mapInPandas(rescore, out_schema))
+    if not parts:
+        return spark.createDataFrame([], "qid long, %s long, score double, rk int" % c_id)
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
     if cfg.threshold is not None:
         scored = scored.where(F.col("score") >= cfg.threshold)
     return _rank(scored, c_id, cfg.k)
-
-
-# ---- IVF index layout and the broadcast-free (cogroup) strategy ----------------
-
-def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.ndarray, path: str,
-                    cell_col: str = "cell") -> str:
-    """Write the collection partitioned by cell; searches then prune unprobed cells
-    at the scan (``PartitionFilters``).  Unscorable vectors land in ``cell=NULL``
-    (the not-indexed partition)."""
-    cols = [c_id, c_vec.name] + [c for c in collection.columns if c not in (c_id, c_vec.name)]
-    assign_cells(collection.select(*cols), c_vec, pivots, cell_col=cell_col) \
-        .write.mode("errorifexists").partitionBy(cell_col).parquet(path)
-    return path
-
-
-def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
-                       q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
-                       target_vectors: int = 100_000, target_questions: int = 2_000) -> DataFrame:
-    """IVF without collecting questions: probes and vectors meet in a cogroup on
-    ``(cell, vector salt, question salt)``.
-
-    Salt counts come from per-cell cardinalities (at most ``nlist`` rows), so a
-    cell holding a third of the collection is split into many groups, each with
-    at most about ``target_vectors`` vectors and ``target_questions`` questions;
-    vectors are replicated over question salts and probes over vector salts.
-    Every group emits only its per-question top-k."""
-    cfg.validate()
-    digits, thr, k = cfg.round_digits, cfg.threshold, cfg.k
-    pb = spark.sparkContext.broadcast(pivots)
-    nprobe = cfg.nprobe
-    vecs = assign_cells(collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv")),
-                        VecCol("cv", c_vec.kind, c_vec.dim), pivots).where(F.col("cell").isNotNull())
-
-    probe_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
-                                 T.StructField("cell", T.IntegerType())])
-
-    def probe(batches):
-        P = pb.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = unit_rows(q_vec.matrix(pdf[q_vec.name]))
-            if Q.shape[1] != P.shape[1]:
-                continue
-            S = round_scores(Q @ P.T, digits)
-            S[np.isnan(S)] = -np.inf
-            order = np.lexsort((np.broadcast_to(np.arange(P.shape[0]), S.shape), -S), axis=1)[:, :nprobe]
-            ok = ~np.isnan(Q).any(axis=1)
-            rows = np.repeat(np.nonzero(ok)[0], nprobe)
-            yield pd.DataFrame({"qid": pdf[q_id].to_numpy(dtype=np.int64)[rows],
-                                "qv": list(Q[rows]), "cell": order[ok].reshape(-1).astype(np.int32)})
-
-    probes = questions.select(q_id, q_vec.name).mapInPandas(probe, probe_schema)
-    vsizes = vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
-    qsizes = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
-    salts = (vsizes.join(qsizes, "cell")      # bounded by nlist rows
-             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nv") / target_vectors)).cast("int").alias("vn"),
-                     F.greatest(F.lit(1), F.ceil(F.col("nq") / target_questions)).cast("int").alias("qn")))
-    salts = F.broadcast(salts)
-    vside = (vecs.join(salts, "cell")
-             .withColumn("vs", F.pmod(F.xxhash64("cid"), F.col("vn")).cast("int"))
-             .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
-             .select("cell", "vs", "qs", "cid", "cv"))
-    qside = (probes.join(salts, "cell")
-             .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int"))
-             .withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)))
-             .select("cell", "vs", "qs", "qid", "qv"))
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    excl = cfg.exclude_self
-    cvec = VecCol("cv", c_vec.kind, c_vec.dim)
-
-    def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(vpdf) == 0:
-            return pd.DataFrame({"qid": [], c_id: [], "score": []})
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        Q = stack_vectors(list(qpdf["qv"]))
-        ids = vpdf["cid"].to_numpy(dtype=np.int64)
-        V = unit_rows(cvec.matrix(vpdf["cv"]))
-        S = round_scores(Q @ V.T, digits)
-        S[np.isnan(S)] = -np.inf
-        if thr is not None:
-            S[S < thr] = -np.inf
-        if excl:
-            S[qids[:, None] == ids[None, :]] = -np.inf
-        if k:
-            keep = TopK(len(qids), k)
-            keep.add(S, ids)
-            qi, cid, sc = keep.items()
-        else:
-            qi, cj = np.nonzero(np.isfinite(S))
-            cid, sc = ids[cj], S[qi, cj]
-        return pd.DataFrame({"qid": qids[qi], c_id: cid, "score": sc})
-
-    scored = (qside.groupBy("cell", "vs", "qs").cogroup(vside.groupBy("cell", "vs", "qs"))
-              .applyInPandas(score, out_schema))
-    return _rank(scored, c_id, k)

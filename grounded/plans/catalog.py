@@ -210,7 +210,8 @@ SELECT h.qid, h.vec_id, h.score, h.rk, e.label FROM {S.knn_self(10, 0.3)} h JOIN
 def q_project(spark, sf):
     hits = _self_search(spark, sf, KNN)
     # payload joined to the winners only; winners are bounded by |questions| * k
-    return hits.join(_emb(spark, sf, ("vec_id", "label")), "vec_id").select("qid", "vec_id", "score", "rk", "label")
+    return srch.project_hits(hits, _emb(spark, sf, ("vec_id", "label")), "vec_id", ["label"]).select(
+        "qid", "vec_id", "score", "rk", "label")
 
 
 @query("search_best_hit", f"""
@@ -263,16 +264,15 @@ RECALL_SQL = " UNION ALL ".join(
 @query("ann_recall", f"SELECT nprobe, n_exact, n_found, round(n_found / n_exact, 6) AS recall FROM ({RECALL_SQL})")
 def q_ann_recall(spark, sf):
     exact = _self_search(spark, sf, KNN).select("qid", "vec_id")
-    n_exact = exact.groupBy().agg(F.count(F.lit(1)).alias("n_exact"))
+    n_exact = exact.count()                                  # a scalar
     parts = []
     for p in (4, 8, 32):
         found = (_ivf(spark, sf, p).select("qid", "vec_id").join(exact, ["qid", "vec_id"])
                  .groupBy().agg(F.count(F.lit(1)).alias("n_found")).withColumn("nprobe", F.lit(p)))
         parts.append(found)
     allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    one = F.lit(1).alias("_one")
-    return (allp.select("*", one).join(n_exact.select("*", one), "_one")   # scalar lookup on a constant key
-            .select("nprobe", "n_exact", "n_found", F.round(F.col("n_found") / F.col("n_exact"), 6).alias("recall")))
+    return allp.select("nprobe", F.lit(n_exact).cast("long").alias("n_exact"), "n_found",
+                       F.round(F.col("n_found") / F.lit(float(n_exact)), 6).alias("recall"))
 
 
 @query("search_quantized", "SELECT qid, vec_id, score, rk FROM " + S.quantized(40, 10))

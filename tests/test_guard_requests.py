@@ -64,3 +64,18 @@ def test_pii_patterns(spark):
     df = spark.createDataFrame([(1, text)], "id long, text string")
     cats = {r.cat: r.m for r in gd.pii_matches(df, "text", "id").collect()}
     assert cats == {"EMAIL": 1, "CARD": 1, "PHONE": 1, "IP": 1, "SECRET": 1}
+
+
+def test_failing_provider_becomes_row_error(spark):
+    from grounded.operators import generate as gen
+
+    class Down(gen.CompletionProvider):
+        def complete(self, prompts, temperature):
+            raise ConnectionError("model unreachable")
+
+    df = spark.createDataFrame([(1, "p1"), (2, "p2")], "id long, prompt string")
+    out = gen.complete(df, "prompt", Down()).collect()
+    assert [r.completion for r in out] == [None, None]
+    assert all("model unreachable" in r.error for r in out)
+    status = ans.response_status(gen.complete(df, "prompt", Down()).withColumnRenamed("completion", "answer"))
+    assert {r.status for r in status.collect()} == {500}

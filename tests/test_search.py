@@ -139,3 +139,14 @@ def test_ivf_cogroup_salted_equals_broadcast(spark):
                                 target_vectors=7, target_questions=9)
     key = lambda d: sorted((r.qid, r.id, r.score, r.rk) for r in d.collect())
     assert key(a) == key(b) and len(key(a)) > 0
+
+
+def test_project_hits_with_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 1.0, 0.0])]
+    df = frame(spark, rows).withColumn("label", F.col("id") * 10)
+    hits = srch.nn_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC,
+                          cfg=SearchConfig(k=1, threshold=0.3, exclude_self=True), dim_hint=3)
+    out = srch.project_hits(hits, df, "id", ["label"], "v", with_vectors=True).collect()
+    assert {(r.qid, r.id, r.label) for r in out} == {(1, 2, 20), (2, 1, 10)}
+    assert all(r.v is not None for r in out)
+    assert "v" not in srch.project_hits(hits, df, "id", ["label"]).columns
