@@ -32,8 +32,9 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
     for ln in lengths:
         # one hash per token position, computed inside the row: linear in the text
         hs = F.transform(F.sequence(F.lit(1), F.size("_t") - ln + 1), lambda p: F.xxhash64(F.slice("_t", p, ln)))
-        s = (dt.where(F.size("_t") >= ln)
-             .select(d_key, F.lit(ln).alias("L"), F.explode(F.array_distinct(hs)).alias("h")))
+        hs = F.when(F.size("_t") >= ln, F.array_distinct(hs))
+        s = (dt.select(d_key, F.lit(ln).alias("L"), F.explode_outer(hs).alias("h"))
+             .where(F.col("h").isNotNull()))
         shingles = s if shingles is None else shingles.unionByName(s)
     if shingles is None:
         return questions.sparkSession.createDataFrame([], f"{q_key} long, {d_key} long")

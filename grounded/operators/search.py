@@ -420,3 +420,30 @@ def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: Da
     scored = (qside.groupBy("cell", "vs", "qs").cogroup(vside.groupBy("cell", "vs", "qs"))
               .applyInPandas(score, out_schema))
     return _rank(scored, c_id, k)
+
+
+def search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str, q_vec: VecCol,
+           c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | None = None,
+           cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
+    """One entry point honouring the reference's search settings.
+
+    ``exact`` -> full scan (O15); otherwise IVF with ``nprobe`` cells (O16), the
+    beam's counterpart, falling back to exact when no pivots exist; ``indexed_only``
+    keeps vectors that have an index cell (O17); ``threshold`` (O18) and ``k``
+    apply in every mode.  Question sets above the broadcast bound go through the
+    salted cogroup form of IVF instead of repeated scans."""
+    if cfg.indexed_only:
+        if cell_col is None:
+            if pivots is None:
+                raise ValueError("indexed_only needs an index (cell column) or pivots")
+            collection = assign_cells(collection, c_vec, pivots)
+            cell_col = "cell"
+        collection = collection.where(F.col(cell_col).isNotNull())
+    if cfg.exact or pivots is None:
+        return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
+                         cfg=cfg, dim_hint=dim_hint)
+    if questions.count() * max(dim_hint, 1) * 8 > cfg.max_broadcast_bytes:
+        return ivf_search_cogroup(spark, questions, collection.drop(*([cell_col] if cell_col else [])),
+                                  q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg, pivots=pivots)
+    return ivf_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
+                      pivots=pivots, cell_col=cell_col, dim_hint=dim_hint)

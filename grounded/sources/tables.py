@@ -26,14 +26,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A file stored as one row group is read by one task; CPU-heavy narrow work
     after it would then run serially.  Large inputs already arrive in many
-    splits and are left alone (no shuffle)."""
+    splits and are left alone (no shuffle).  Filters on stored columns written
+    after this still reach the Parquet scan; operators avoid predicates on
+    derived columns (they use ``explode_outer`` + a null filter), so tokenising
+    work is not pushed back below the exchange."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= n:
         return df
-    # The always-true non-deterministic filter stops Catalyst from pushing later
-    # predicates on derived columns (tokenising regexes) below the exchange,
-    # which would put that work back into the single scan task.
-    return df.repartition(n).where(F.spark_partition_id() >= 0)
+    return df.repartition(n)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,

@@ -150,3 +150,19 @@ def test_project_hits_with_vectors(spark):
     assert {(r.qid, r.id, r.label) for r in out} == {(1, 2, 20), (2, 1, 10)}
     assert all(r.v is not None for r in out)
     assert "v" not in srch.project_hits(hits, df, "id", ["label"]).columns
+
+
+def test_search_dispatch_modes(spark):
+    from dataclasses import replace
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(999, [0.0, 0.0, 0.0])]
+    df = frame(spark, rows)
+    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 4), "id", VC)
+    base = SearchConfig(k=3, threshold=0.2, nprobe=4, exclude_self=True)
+    run_ = lambda cfg, p=piv: sorted((r.qid, r.id, r.score) for r in srch.search(
+        spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=p, dim_hint=3).collect())
+    exact = run_(replace(base, exact=True))
+    assert run_(base) == exact                                   # all cells probed
+    assert run_(replace(base, indexed_only=True)) == exact       # zero vector has no cell and never scores
+    assert run_(replace(base, max_broadcast_bytes=16)) == exact  # cogroup form
+    assert run_(replace(base, exact=False), None) == exact       # no index: exact fallback
