@@ -30,10 +30,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     after this still reach the Parquet scan; operators avoid predicates on
     derived columns (they use ``explode_outer`` + a null filter), so tokenising
     work is not pushed back below the exchange."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as it is
         return df
-    return df.repartition(n)
+    return df if have >= n else df.repartition(n)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
