@@ -29,8 +29,21 @@ def chunk_ids(chunks: DataFrame, doc_col: str = "doc_id", i_col: str = "i") -> D
     return chunks.withColumn("chunk_id", F.col(doc_col).cast("long") * CHUNK_ID_SHIFT + F.col(i_col))
 
 
+def chunk_index(docs: DataFrame, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig()) -> DataFrame:
+    """The searchable chunk collection ``(chunk_id, cb)``: window ids and hashed tokens."""
+    return chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], ecfg.dim, tcfg)).select("chunk_id", "cb")
+
+
+def build_chunk_index(spark: SparkSession, docs: DataFrame, path: str, ecfg: EmbedConfig = EmbedConfig(),
+                      tcfg: TextConfig = TextConfig()) -> DataFrame:
+    """Persist the chunk collection once (e.g. before a question stream starts)."""
+    chunk_index(docs, ecfg, tcfg).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str, q_text: str,
-             cfg: SearchConfig, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig()) -> DataFrame:
+             cfg: SearchConfig, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig(),
+             index: DataFrame | None = None) -> DataFrame:
     """O04 + O07 + O14 + O18 + O20: questions x token-window chunks of ``docs(doc_id, text)``.
 
     Returns ``(qid, doc_id, i, chunk, score, rk)``.  Scoring reads only window
@@ -39,7 +52,7 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     is rebuilt; the scoring result is consumed once, so it is computed once."""
     dim = ecfg.dim
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
-    cvec = chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], dim, tcfg)).select("chunk_id", "cb")
+    cvec = index if index is not None else chunk_index(docs, ecfg, tcfg)
     hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
                      c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
     hits = hits.select("qid", (F.col("chunk_id") / CHUNK_ID_SHIFT).cast("long").alias("doc_id"),
@@ -54,7 +67,8 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
                     q_text: str = "text", cfg: SearchConfig = SearchConfig(k=1),
                     answer_cfg: AnswerConfig = AnswerConfig(),
                     model: generate.CompletionProvider | None = None,
-                    guard_provider: guard.GuardProvider | None = None) -> DataFrame:
+                    guard_provider: guard.GuardProvider | None = None,
+                    index: DataFrame | None = None) -> DataFrame:
     """Retrieve -> best chunk -> prompt -> complete -> response guard -> status.
 
     No request guard unless ``answer_cfg.guard_request_on_rag``."""
@@ -63,7 +77,7 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
     if answer_cfg.guard_request_on_rag:
         qs = (guard.guard_request(qs, q_text, guard_provider, q_key)
               .where(F.col("passed")).select(q_key, q_text))
-    hits = retrieve(spark, qs, docs, q_key, q_text, cfg)
+    hits = retrieve(spark, qs, docs, q_key, q_text, cfg, index=index)
     ctx = ctxop.context_top1(qs, hits, q_key, ["doc_id", "i"])
     prompts = ctxop.build_prompt(ctx, q_text, "ctx")
     done = generate.complete(prompts, "prompt", model, answer_cfg.main_temperature)

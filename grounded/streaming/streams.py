@@ -35,12 +35,18 @@ def _run(writer, ckpt: str):
 def stream_answers(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str = "item_id",
                    q_text: str = "text") -> DataFrame:
     """Questions arrive as a stream; each micro-batch runs the grounded
-    pipeline against the static collection and lands in ``batch=<id>``."""
+    pipeline against a static index and lands in ``batch=<id>``.
+
+    The chunk index (window ids + hashed tokens) is written once before the
+    stream starts, so a micro-batch only scans it instead of re-tokenising the
+    corpus."""
     root = scratch_dir(spark, "stream-answers")
     out = f"{root}/out"
+    index = ans.build_chunk_index(spark, docs, f"{root}/index")
 
     def handle(batch: DataFrame, batch_id: int):
-        res = ans.grounded_answer(batch.sparkSession, batch.select(q_key, q_text), docs, q_key=q_key, q_text=q_text)
+        res = ans.grounded_answer(batch.sparkSession, batch.select(q_key, q_text), docs, q_key=q_key, q_text=q_text,
+                                  index=index)
         res.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     _run(questions.writeStream.foreachBatch(handle), f"{root}/checkpoint")
