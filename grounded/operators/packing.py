@@ -34,20 +34,36 @@ from grounded.session import scratch_dir
 SEGMENT_PAGES = 4096
 
 
-def _offsets(pages: DataFrame, key: str, order: str, n_col: str) -> DataFrame:
+def _prefix_sum(df: DataFrame, key: str, order: str, val: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``val`` in ``order`` within ``key``; no window ever
+    holds more than SEGMENT_PAGES rows.  ``order`` values are unique per key.
+
+    Rows are cut into segments of SEGMENT_PAGES consecutive order values; each
+    segment is summed locally, and the exclusive prefix over segment totals is
+    the same problem on a table SEGMENT_PAGES times smaller (recursion while any
+    key still has more than SEGMENT_PAGES segments)."""
     seg = F.floor(F.col(order) / SEGMENT_PAGES)
-    p = pages.withColumn("_seg", seg)
-    local = p.withColumn("_loc", F.sum(n_col).over(
+    p = df.withColumn("_seg", seg)
+    local = p.withColumn("_loc", F.sum(val).over(
         Window.partitionBy(key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    tot = p.groupBy(key, "_seg").agg(F.sum(n_col).alias("_tot"))
-    off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(
-        Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tot = p.groupBy(key, "_seg").agg(F.sum(val).alias("_tot"))
+    widest = tot.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if widest <= SEGMENT_PAGES:
+        off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(
+            Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        off = (_prefix_sum(tot.withColumnRenamed("_seg", "_s2"), key, "_s2", "_tot", "_inc")
+               .select(key, F.col("_s2").alias("_seg"), (F.col("_inc") - F.col("_tot")).alias("_off")))
     return (local.join(off.select(key, "_seg", "_off"), [key, "_seg"])
-            .withColumn("C", F.col("_off") + F.col("_loc"))
-            .withColumn("s", F.col("C") - F.col(n_col))
+            .withColumn(out, F.col("_off") + F.col("_loc"))
             .drop("_seg", "_loc", "_off"))
 
 
+def _offsets(pages: DataFrame, key: str, order: str, n_col: str) -> DataFrame:
+    return (_prefix_sum(pages, key, order, n_col, "C")
+            .withColumn("s", F.col("C") - F.col(n_col)))
+
+
 def _next_flush(pg: DataFrame, key: str, T: int) -> DataFrame:
     """(key, x, y): y = end offset of the page covering byte x + T, NULL past the end."""
     nodes = pg.select(key, F.col("C").alias("x")).unionByName(pg.select(key, F.lit(0).cast("long").alias("x")).distinct())

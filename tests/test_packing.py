@@ -66,3 +66,11 @@ def test_concatenation_preserved(spark):
     pages = [f"p{i}-" * (i * 37 % 400) for i in range(80)]
     got = run(spark, {9: pages}, T=500)
     assert "".join(got[9]) == "".join(pages)
+
+
+def test_recursive_prefix_sum(spark, monkeypatch):
+    from grounded.operators import packing
+    monkeypatch.setattr(packing, "SEGMENT_PAGES", 4)      # force three levels on a 70-page document
+    pages = [("ab" * (i % 7)) for i in range(70)]
+    got = run(spark, {5: pages, 6: ["x" * 5] * 9}, T=9)
+    assert got[5] == fold(pages, 9) and got[6] == fold(["x" * 5] * 9, 9)

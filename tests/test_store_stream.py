@@ -51,3 +51,12 @@ def test_request_rate_matches_batch(spark):
     got = streams.request_rate(spark, streams.table_stream(spark, SF_SMALL, "events"))
     assert sorted((r.w, r.event_type, r.n) for r in exp.collect()) == \
         sorted((r.window_start, r.event_type, r.n) for r in got.collect())
+
+
+def test_stream_ingest_equals_batch(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    cols = ["point_id", "path", "chunk_no", "dim"]
+    batch = sorted(tuple(r) for r in qs["ingest_corpus"](spark, SF_SMALL).select(*cols).collect())
+    stream = sorted(tuple(r) for r in qs["stream_ingest"](spark, SF_SMALL).select(*cols).collect())
+    assert batch == stream and len(batch) > 0
