@@ -47,15 +47,13 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
 
 def hit_at_k(ranked: DataFrame, gold: DataFrame, q_key: str, d_key: str, ks=(1, 4, 10)) -> DataFrame:
     """``ranked``: (q_key, d_key, rk).  Per k: gold questions, questions with a gold
-    document in the top k, and MRR restricted to the top k."""
+    document in the top k, and MRR restricted to the top k.  One pass: the k
+    values are exploded next to each gold question's first gold rank."""
     first = (ranked.join(gold, [q_key, d_key]).groupBy(q_key).agg(F.min("rk").alias("first_rk")))
     gq = gold.select(q_key).distinct().join(first, q_key, "left")
-    rows = [gq.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_items"),
-                   F.count(F.when(F.col("first_rk") <= k, 1)).alias("hits"),
-                   F.round(F.sum(F.when(F.col("first_rk") <= k, 1.0 / F.col("first_rk")).otherwise(0.0))
-                           / F.count(F.lit(1)), 6).alias("mrr"))
-            for k in ks]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    per_k = gq.select("first_rk", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    hit = F.col("first_rk") <= F.col("k")
+    return (per_k.groupBy("k")
+            .agg(F.count(F.lit(1)).alias("n_items"), F.count(F.when(hit, 1)).alias("hits"),
+                 F.round(F.sum(F.when(hit, 1.0 / F.col("first_rk")).otherwise(0.0)) / F.count(F.lit(1)), 6)
+                 .alias("mrr")))

@@ -137,14 +137,29 @@ def _rank(scored: DataFrame, id_col: str, k: int | None) -> DataFrame:
     return out.where(F.col("rk") <= k) if k else out
 
 
+def _probes(Q: np.ndarray, pivots: np.ndarray, nprobe: int, digits: int) -> np.ndarray:
+    """Boolean (questions x cells): the ``nprobe`` nearest cells per question, ties to the lower cell."""
+    S = round_scores(Q @ pivots.T, digits)
+    S[np.isnan(S)] = -np.inf
+    cells = np.broadcast_to(np.arange(pivots.shape[0]), S.shape)
+    order = np.lexsort((cells, -S), axis=1)[:, :nprobe]
+    allowed = np.zeros(S.shape, dtype=bool)
+    np.put_along_axis(allowed, order, True, axis=1)
+    allowed[np.isnan(Q).any(axis=1)] = False
+    return allowed
+
+
 def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
               q_id: str, q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig,
-              pivots: np.ndarray | None = None, probes: dict | None = None,
-              cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
+              pivots: np.ndarray | None = None, cell_col: str | None = None,
+              dim_hint: int = 768) -> DataFrame:
     """Cosine top-k of every question against a collection.
 
     Returns ``(qid, <c_id>, score, rk)``; ``score`` is rounded to
-    ``cfg.round_digits`` and only scores ``>= cfg.threshold`` survive."""
+    ``cfg.round_digits`` and only scores ``>= cfg.threshold`` survive.  With
+    ``pivots`` the search is IVF: each question batch probes its ``cfg.nprobe``
+    nearest cells (computed from the already bounded batch), and with a stored
+    ``cell_col`` unprobed cells are pruned at the scan."""
     cfg.validate()
     sc = spark.sparkContext
     out_schema = T.StructType([T.StructField("qid", T.LongType()),
@@ -154,27 +169,22 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
     if cell_col is not None:
         cols.append(F.col(cell_col))
     coll = collection.select(*cols)
-    if cell_col is not None and probes is not None:
-        probed = sorted({c for cs in probes.values() for c in cs})
-        coll = coll.where(F.col(cell_col).isin(probed))      # partition pruning on an IVF layout
     parts = []
     for qb in _question_batches(questions, q_id, dim_hint, cfg):
         qids, Q = _collect_questions(qb, q_id, q_vec)
         if len(qids) == 0:
             continue
-        allowed = None
-        if probes is not None:
-            n_cells = (pivots.shape[0] if pivots is not None
-                       else 1 + max((c for cs in probes.values() for c in cs), default=0))
-            allowed = np.zeros((len(qids), n_cells), dtype=bool)
-            for r, q in enumerate(qids):
-                for c in probes.get(int(q), ()):
-                    allowed[r, c] = True
+        allowed, scan = None, coll
+        if pivots is not None:
+            allowed = _probes(Q, pivots, cfg.nprobe, cfg.round_digits)
+            if cell_col is not None:
+                probed = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
+                scan = coll.where(F.col(cell_col).isin(probed))     # partition pruning on an IVF layout
         fn = _score_kernel(sc.broadcast(Q), sc.broadcast(qids),
                            sc.broadcast(allowed) if allowed is not None else None,
                            sc.broadcast(pivots) if pivots is not None else None,
                            [c_id], c_vec, cfg, cell_col)
-        parts.append(coll.mapInPandas(fn, out_schema))
+        parts.append(scan.mapInPandas(fn, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rk", T.IntegerType()))
     scored = parts[0]
@@ -229,22 +239,6 @@ def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray, digits: in
     return vectors.mapInPandas(run, schema)
 
 
-def probe_cells(spark: SparkSession, questions: DataFrame, q_id: str, q_vec: VecCol,
-                pivots: np.ndarray, nprobe: int, digits: int = 6) -> dict:
-    """Nearest ``nprobe`` cells per question (questions are broadcast-bounded)."""
-    qids, Q = _collect_questions(questions, q_id, q_vec)
-    out = {}
-    if len(qids) == 0:
-        return out
-    S = round_scores(Q @ pivots.T, digits)
-    S[np.isnan(S)] = -np.inf
-    cells = np.broadcast_to(np.arange(pivots.shape[0]), S.shape)
-    order = np.lexsort((cells, -S), axis=1)[:, :nprobe]
-    for r, q in enumerate(qids):
-        out[int(q)] = [int(c) for c in order[r]]
-    return out
-
-
 def ivf_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
                q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
                cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
@@ -253,9 +247,8 @@ def ivf_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
     With ``cell_col`` (a persisted index, ideally written ``partitionBy(cell)``)
     unprobed cells are pruned at the scan; without it cells are computed in the
     scoring task from the broadcast pivots."""
-    probes = probe_cells(spark, questions, q_id, q_vec, pivots, cfg.nprobe, cfg.round_digits)
     return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
-                     cfg=cfg, pivots=pivots, probes=probes, cell_col=cell_col, dim_hint=dim_hint)
+                     cfg=cfg, pivots=pivots, cell_col=cell_col, dim_hint=dim_hint)
 
 
 def quantized_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
