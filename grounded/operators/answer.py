@@ -56,7 +56,7 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
                      c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
     hits = hits.select("qid", (F.col("chunk_id") / CHUNK_ID_SHIFT).cast("long").alias("doc_id"),
-                       (F.col("chunk_id") % CHUNK_ID_SHIFT).cast("int").alias("i"), "score", "rk")
+                       (F.col("chunk_id") % CHUNK_ID_SHIFT).cast("long").alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
     chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
     return (docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id")

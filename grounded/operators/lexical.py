@@ -57,7 +57,7 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
     scores = (F.broadcast(qtid).join(contrib, "tid")
               .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
-    return scores.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
 def rrf(lists: list[DataFrame], q_key: str, d_key: str, k: int = 10, c: int = RRF_K) -> DataFrame:
@@ -68,7 +68,7 @@ def rrf(lists: list[DataFrame], q_key: str, d_key: str, k: int = 10, c: int = RR
         u = u.unionByName(l.select(q_key, d_key, "rk"))
     fused = u.groupBy(q_key, d_key).agg(F.round(F.sum(1.0 / (F.lit(float(c)) + F.col("rk"))), 6).alias("score"))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
-    return fused.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return fused.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
 def rerank_overlap(hits: DataFrame, questions: DataFrame, q_key: str, q_text: str, chunk_col: str,
@@ -81,4 +81,4 @@ def rerank_overlap(hits: DataFrame, questions: DataFrame, q_key: str, q_text: st
     scored = hits.join(qt, "qid").withColumn("overlap", F.round(ov, 6))
     w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), F.col("score").desc(),
                                           *[F.col(c).asc() for c in id_cols])
-    return scored.withColumn("rk", F.row_number().over(w)).drop("_q")
+    return scored.withColumn("rk", F.row_number().over(w).cast("long")).drop("_q")

@@ -133,7 +133,7 @@ def project_hits(hits: DataFrame, collection: DataFrame, c_id: str, payload: lis
 
 def _rank(scored: DataFrame, id_col: str, k: int | None) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col(id_col).asc())
-    out = scored.withColumn("rk", F.row_number().over(w))
+    out = scored.withColumn("rk", F.row_number().over(w).cast("long"))
     return out.where(F.col("rk") <= k) if k else out
 
 

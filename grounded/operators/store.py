@@ -42,7 +42,7 @@ def latest_wins(df: DataFrame, key: str, version_col: str = "v") -> DataFrame:
 def dim_report(df: DataFrame, vec_col: str, expected: int) -> DataFrame:
     """Vector sizes and whether they honour the collection contract."""
     d = F.size(vec_col)
-    return (df.groupBy(d.alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    return (df.groupBy(d.cast("long").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
             .withColumn("ok", F.col("dim") == F.lit(expected)))
 
 

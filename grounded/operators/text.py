@@ -12,7 +12,7 @@ from grounded.functions import text as tf
 
 def _starts(n, stride: int):
     """Window starts 0, stride, ... while start < n; NULL for n = 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / F.lit(float(stride))) - 1).cast("int")))
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), (F.ceil(n / F.lit(float(stride))) - 1).cast("long")))
 
 
 def token_windows(df: DataFrame, text_col: str = "text", keys: list[str] | None = None,

@@ -75,7 +75,7 @@ def q_strip_newlines(spark, sf):
     d = T(spark, sf, "documents", ["doc_id", "text"])
     return (txt.with_embed_text(d, "text", "embed_text")
             .select("doc_id", "embed_text",
-                    (F.length("text") - F.length(F.regexp_replace("text", "\n", ""))).alias("n_newlines")))
+                    (F.length("text") - F.length(F.regexp_replace("text", "\n", ""))).cast("long").alias("n_newlines")))
 
 
 @query("embed_hash", f"SELECT doc_id, b::INTEGER AS b, n, round(w, 6) AS w FROM "
@@ -551,7 +551,7 @@ SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, doc_id, i AS chu
 FROM {W_SQL}""")
 def q_point_build(spark, sf):
     p = store.chunk_points(_doc_docs(spark, sf))
-    return p.select("point_id", "path", "doc_id", "chunk_no", F.octet_length("chunk").alias("n_bytes"))
+    return p.select("point_id", "path", "doc_id", "chunk_no", F.octet_length("chunk").cast("long").alias("n_bytes"))
 
 
 @query("ingest_corpus", f"""

@@ -59,7 +59,7 @@ def corpus_scan(documents: DataFrame) -> DataFrame:
     return (documents
             .where(F.col("text").isNotNull() & (F.length("text") > 0))
             .select("doc_id", F.col("source").alias("path"), "lang",
-                    F.octet_length("text").alias("n_bytes")))
+                    F.octet_length("text").cast("long").alias("n_bytes")))
 
 
 def binary_corpus_scan(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFrame:
