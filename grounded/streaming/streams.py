@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grounded.config import EmbedConfig
+from grounded.functions.time import instant_as_utc_ntz, ntz_as_utc_instant
 from grounded.operators import answer as ans
 from grounded.operators import embed as emb
 from grounded.operators import store
@@ -79,13 +80,14 @@ def request_rate(spark: SparkSession, events: DataFrame, window: str = "1 hour",
     by the watermark while the table stays complete)."""
     root = scratch_dir(spark, "request-rate")
     out = f"{root}/out"
-    agg = (events.withColumn("ts", F.col("ts").cast("timestamp"))
+    # event time is recorded as UTC wall clock (TIMESTAMP_NTZ); watermarks need an instant
+    agg = (events.withColumn("ts", ntz_as_utc_instant(F.col("ts")))
            .withWatermark("ts", watermark)
            .groupBy(F.window("ts", window), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")))
 
     def handle(batch: DataFrame, batch_id: int):
-        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n",
+        (batch.select(instant_as_utc_ntz(F.col("window.start")).alias("window_start"), "event_type", "n",
                       "total_value", F.lit(batch_id).alias("b"))
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 

@@ -60,3 +60,22 @@ def test_stream_ingest_equals_batch(spark):
     batch = sorted(tuple(r) for r in qs["ingest_corpus"](spark, SF_SMALL).select(*cols).collect())
     stream = sorted(tuple(r) for r in qs["stream_ingest"](spark, SF_SMALL).select(*cols).collect())
     assert batch == stream and len(batch) > 0
+
+
+def test_request_rate_independent_of_session_time_zone(spark):
+    from grounded.functions.time import instant_as_utc_ntz, ntz_as_utc_instant
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")     # +05:30
+        got = streams.request_rate(spark, streams.table_stream(spark, SF_SMALL, "events"))
+        rows = sorted((r.window_start, r.event_type, r.n) for r in got.collect())
+        rt = spark.createDataFrame([("2024-03-10 23:59:59.123456",)], "s string").select(
+            F.col("s").cast("timestamp_ntz").alias("w"))
+        back = rt.select(instant_as_utc_ntz(ntz_as_utc_instant(F.col("w"))).alias("b"), "w").first()
+        assert back.b == back.w
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    exp = (ev.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("w"), "event_type")
+           .agg(F.count(F.lit(1)).alias("n")))
+    assert rows == sorted((r.w, r.event_type, r.n) for r in exp.collect())
