@@ -104,10 +104,9 @@ def knowledge_items(chunks: DataFrame, keys: list[str], chunk_col: str, path_col
                     cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
     """Chunk, source document and vector travel as columns of one row.
 
-    Returned scalars describe the vector (non-zero buckets, L2 norm) so the result
-    stays comparable without shipping 768-wide arrays."""
+    Returned scalars describe the vector (tokens embedded, non-zero buckets) so
+    the result stays comparable without shipping 768-wide arrays."""
     b = tf.token_buckets(tf.strip_newlines(chunk_col) if cfg.strip_newlines else F.col(chunk_col), cfg.dim)
     src = F.col(path_col) if path_col else F.lit("")
     return chunks.select(*keys, src.alias("source_document"), F.col(chunk_col).alias("chunk"),
-                         F.size(F.array_distinct(b)).alias("nnz"),
-                         F.when(F.size(b) > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("l2"))
+                         F.size(b).cast("long").alias("n_tokens"), F.size(F.array_distinct(b)).alias("nnz"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grounded.config import EmbedConfig, SearchConfig, TextConfig
+from grounded.config import EmbedConfig, SearchConfig
 from grounded.functions import text as tf
 from grounded.operators import answer as ans
 from grounded.operators import context as ctxop
