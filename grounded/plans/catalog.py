@@ -682,3 +682,36 @@ def q_ivf_index(spark, sf):
     return srch.ivf_search(spark, _emb(spark, sf), index, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
                            cfg=replace(KNN, exact=False, nprobe=8), pivots=piv, cell_col="cell",
                            dim_hint=EMB_DIM)
+
+
+# ---------------------------------------------------------------- full ingest: pages -> blocks -> windows -> points
+
+def ingest_blocks_plan(spark, pages: DataFrame, collection_name: str = "rag-blocks") -> DataFrame:
+    """O01-O13 end to end: ordered pages are packed into blocks (O03), blocks are
+    split into token windows (O04), windows become points with content ids (O09),
+    are embedded (O05/O06), pass the dimension gate (O12) and are upserted (O10)."""
+    blocks = packing.pack_blocks(pages)
+    wins = txt.token_windows(blocks.select(F.col("conv_id").cast("string").alias("path"), "block_no", "blk"),
+                             "blk", keys=["path", "block_no"])
+    pts = (store.point_ids(wins, "path", "block_no", "i", "chunk")
+           .select("point_id", "path", "block_no", F.col("i").alias("chunk_no"), "chunk",
+                   tf.strip_newlines("chunk").alias("embed_text")))
+    vecs = emb.dense_embed(pts.drop("chunk"), "embed_text", cfg=EmbedConfig(strip_newlines=False))
+    good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", 768)
+    col = store.Collection(spark, scratch_dir(spark, "collections"), collection_name)
+    col.ensure(truncate=True, dim=768)
+    col.upsert(good)
+    return col.current()
+
+
+@query("ingest_blocks", f"""
+WITH b AS ({PACK_SQL}),
+     w AS (SELECT conv_id::VARCHAR AS path, block_no, i,
+                  array_to_string(t[i * 412 + 1 : i * 412 + 512], ' ') AS chunk
+           FROM (SELECT conv_id, block_no, t, unnest(range(0, ceil(len(t) / 412.0)::BIGINT)) AS i
+                 FROM (SELECT conv_id, block_no, regexp_extract_all(blk, {S.TOKEN}) AS t FROM b) WHERE len(t) > 0))
+SELECT md5(path || ':' || block_no || ':' || i || ':' || chunk) AS point_id, path, block_no, i AS chunk_no,
+       768 AS dim, 1 AS v FROM w""")
+def q_ingest_blocks(spark, sf):
+    cur = ingest_blocks_plan(spark, T(spark, sf, "conversations", ["conv_id", "turn", "text"]))
+    return cur.select("point_id", "path", "block_no", "chunk_no", F.size("embedding").alias("dim"), "v")
