@@ -68,34 +68,45 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
                     answer_cfg: AnswerConfig = AnswerConfig(),
                     model: generate.CompletionProvider | None = None,
                     guard_provider: guard.GuardProvider | None = None,
+                    output_guard: guard.GuardProvider | None = None,
                     index: DataFrame | None = None) -> DataFrame:
     """Retrieve -> best chunk -> prompt -> complete -> response guard -> status.
 
-    No request guard unless ``answer_cfg.guard_request_on_rag``."""
+    No request guard unless ``answer_cfg.guard_request_on_rag``; refused questions
+    then skip retrieval and the model and come back as refusals.  The response
+    guard defaults to the request guard (one guard model serves both)."""
     guard_provider = guard_provider or guard.RuleGuard()
+    output_guard = output_guard or guard_provider
     qs = questions.select(q_key, q_text)
+    refused = None
     if answer_cfg.guard_request_on_rag:
-        qs = (guard.guard_request(qs, q_text, guard_provider, q_key)
-              .where(F.col("passed")).select(q_key, q_text))
+        req = guard.guard_request(qs, q_text, guard_provider, q_key)
+        refused = req.where(~F.col("passed")).select(q_key, "error")
+        qs = req.where(F.col("passed")).select(q_key, q_text)
     hits = retrieve(spark, qs, docs, q_key, q_text, cfg, index=index)
     ctx = ctxop.context_top1(qs, hits, q_key, ["doc_id", "i"])
     prompts = ctxop.build_prompt(ctx, q_text, "ctx")
     done = generate.complete(prompts, "prompt", model, answer_cfg.main_temperature)
-    checked = guard.guard_response(done, "completion", guard_provider, q_key)
-    return response_status(checked.withColumn("has_context", F.col("ctx") != ""), "answer", "error")
+    checked = guard.guard_response(done.drop("error"), "completion", output_guard, q_key)
+    out = checked.withColumn("has_context", F.col("ctx") != "")
+    if refused is not None:
+        out = out.unionByName(refused.withColumn("has_context", F.lit(False)), allowMissingColumns=True)
+    return response_status(out, "answer", "error")
 
 
 def plain_answer(df: DataFrame, *, q_key: str = "item_id", q_text: str = "text",
                  answer_cfg: AnswerConfig = AnswerConfig(),
                  model: generate.CompletionProvider | None = None,
-                 guard_provider: guard.GuardProvider | None = None) -> DataFrame:
+                 guard_provider: guard.GuardProvider | None = None,
+                 output_guard: guard.GuardProvider | None = None) -> DataFrame:
     """Request guard -> complete -> response guard.  Refused requests skip the model."""
     guard_provider = guard_provider or guard.RuleGuard()
+    output_guard = output_guard or guard_provider
     req = guard.guard_request(df.select(q_key, q_text), q_text, guard_provider, q_key)
     refused = req.where(~F.col("passed")).select(q_key, F.lit(None).cast("string").alias("answer"), "error")
     ok = req.where(F.col("passed")).select(q_key, F.col("query_out").alias("prompt"))
     done = generate.complete(ok, "prompt", model, answer_cfg.main_temperature)
-    checked = (guard.guard_response(done.drop("error"), "completion", guard_provider, q_key)
+    checked = (guard.guard_response(done.drop("error"), "completion", output_guard, q_key)
                .select(q_key, "answer", "error"))
     return response_status(checked.unionByName(refused), "answer", "error")
 

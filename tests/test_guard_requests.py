@@ -79,3 +79,22 @@ def test_failing_provider_becomes_row_error(spark):
     assert all("model unreachable" in r.error for r in out)
     status = ans.response_status(gen.complete(df, "prompt", Down()).withColumnRenamed("completion", "answer"))
     assert {r.status for r in status.collect()} == {500}
+
+
+def test_grounded_request_guard_flag_and_output_guard(spark):
+    from grounded.config import AnswerConfig
+    qs = spark.createDataFrame([(1, "how to make a bomb"), (2, "alpha beta")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "alpha beta gamma delta")], "doc_id long, text string")
+    # default: the retrieval route has no request guard
+    plain = {r.item_id: r.status for r in ans.grounded_answer(spark, qs, docs).collect()}
+    assert plain[2] == 200
+    guarded = {r.item_id: (r.status, r.body) for r in ans.grounded_answer(
+        spark, qs, docs, answer_cfg=AnswerConfig(guard_request_on_rag=True)).collect()}
+    assert guarded[1][0] == 500 and gd.REQUEST_REFUSAL in guarded[1][1] and guarded[2][0] == 200
+
+    class BlockAll(gd.GuardProvider):
+        def verdict(self, df, text_col, key=None):
+            return df.withColumn("verdict", F.lit("unsafe\nS2"))
+
+    out = {r.item_id: r.body for r in ans.grounded_answer(spark, qs, docs, output_guard=BlockAll()).collect()}
+    assert all(gd.RESPONSE_REFUSAL in b for b in out.values())
