@@ -121,8 +121,9 @@ def response_status(df: DataFrame, answer_col: str = "answer", error_col: str =
 
 
 def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """JSON body -> query.  Malformed JSON or a non-object body -> 400; the key
-    matches case-insensitively; a missing key gives ``''``; a non-string value -> 400."""
+    """JSON body -> query.  Malformed JSON or a non-object body -> 400 (a JSON
+    ``null`` body is an empty request); the key matches case-insensitively, an
+    exact match first; a missing or null value gives ``''``; a non-string value -> 400."""
     v = F.try_parse_json(F.col(body_col))
     kind = F.schema_of_variant(v)
     is_obj = kind.startswith("OBJECT")
@@ -137,7 +138,8 @@ def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
     is_str = val_kind == "STRING"
     is_null = val.isNull() | F.is_variant_null(val)
     query = F.when(key.isNull() | is_null, F.lit("")).otherwise(F.try_variant_get(val, "$", "string"))
-    bad = v.isNull() | ~is_obj | (key.isNotNull() & ~is_null & ~is_str)
+    # a JSON null body decodes into an empty request (empty query), not an error
+    bad = v.isNull() | (~is_obj & ~F.is_variant_null(v)) | (key.isNotNull() & ~is_null & ~is_str)
     return (df.withColumn("status", F.when(bad, F.lit(STATUS_BAD_REQUEST)).otherwise(F.lit(STATUS_OK)))
             .withColumn("query", F.when(~bad, query)))
 

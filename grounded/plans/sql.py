@@ -183,7 +183,7 @@ def decode(body: str) -> str:
            f"ELSE list_filter(json_keys({j}), lambda k: lower(k) = 'query')[1] END")
     path = f"'$.\"' || ({key}) || '\"'"
     vtype = f"json_type({j}, {path})"
-    obj = f"({j} IS NOT NULL AND json_type({j}) = 'OBJECT')"
+    obj = f"({j} IS NOT NULL AND json_type({j}) IN ('OBJECT', 'NULL'))"
     bad = f"(NOT coalesce({obj}, false) OR (({key}) IS NOT NULL AND {vtype} <> 'NULL' AND {vtype} <> 'VARCHAR'))"
     q = f"CASE WHEN ({key}) IS NULL OR {vtype} = 'NULL' THEN '' ELSE json_extract_string({j}, {path}) END"
     return f"CASE WHEN {bad} THEN 400 ELSE 200 END AS status, CASE WHEN NOT {bad} THEN {q} END AS query"

@@ -44,11 +44,12 @@ def test_verdict_parse(spark):
 
 def test_request_decode_edges(spark):
     rows = [(1, '{"query":"a"}'), (2, '{"Query":"b"}'), (3, '{}'), (4, '{"query":5}'), (5, '[1]'),
-            (6, 'not json'), (7, ''), (8, '{"query":null}'), (9, '{"QUERY":"c","query":"d"}')]
+            (6, 'not json'), (7, ''), (8, '{"query":null}'), (9, '{"QUERY":"c","query":"d"}'), (10, 'null'),
+            (11, '"text"')]
     df = spark.createDataFrame(rows, "id long, body string")
     out = {r.id: (r.status, r.query) for r in ans.decode_request(df).collect()}
     assert out == {1: (200, "a"), 2: (200, "b"), 3: (200, ""), 4: (400, None), 5: (400, None),
-                   6: (400, None), 7: (400, None), 8: (200, ""), 9: (200, "d")}
+                   6: (400, None), 7: (400, None), 8: (200, ""), 9: (200, "d"), 10: (200, ""), 11: (400, None)}
 
 
 def test_plain_answer_refusal_and_status(spark):
