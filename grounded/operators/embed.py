@@ -2,7 +2,7 @@
 
 The offline provider is a hashed bag of words: lower-cased whitespace tokens are
 hashed to ``dim`` buckets (md5 prefix), weighted ln(1 + count), L2-normalised.
-Its sparse form is pure JVM SQL (explode + partial aggregate); its dense form is
+Its sparse form is pure JVM SQL, counted inside each row (no shuffle); its dense form is
 built inside the scoring task from the bucket-id array, so 768-wide vectors are
 only materialised where they are stored.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,17 +51,30 @@ def with_buckets(df: DataFrame, text_col: str, dim: int, out: str = "buckets") -
 
 
 def hashed_sparse(df: DataFrame, keys: list[str], text_col: str, cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """Sparse stand-in embedding ``(keys..., b, n, w)``.
+    """Sparse stand-in embedding ``(keys..., b, n, w)``: one row per (text, bucket).
 
-    One row per (text, bucket); the aggregate is partial per task, so a long text
-    shuffles at most ``dim`` rows, and the norm window holds at most ``dim`` rows."""
+    A text's tokens all sit in one row, so counting needs no shuffle: the bucket
+    array is sorted, run starts give the counts, and the L2 norm is folded over
+    the runs, all inside the row; the result is exploded.  Narrow end to end."""
     cfg.validate()
-    counts = (df.select(*keys, F.explode_outer(tf.token_buckets(text_col, cfg.dim)).alias("b"))
-              .where(F.col("b").isNotNull())
-              .groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n")))
-    lw = F.log1p(F.col("n").cast("double"))
-    norm = F.sqrt(F.sum(lw * lw).over(Window.partitionBy(*keys)))
-    return counts.withColumn("w", F.round(lw / norm, 6))
+    s = F.col("_s")
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(1), n),
+                      lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    st = F.col("_st")
+    runs = F.transform(F.sequence(F.lit(1), F.size(st)),
+                       lambda k: F.struct(F.element_at(s, F.element_at(st, k)).alias("b"),
+                                          (F.coalesce(F.try_element_at(st, k + 1), n + 1) - F.element_at(st, k))
+                                          .cast("long").alias("n")))
+    norm = F.sqrt(F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + F.pow(F.log1p(r["n"].cast("double")), 2)))
+    return (df.select(*keys, F.array_sort(tf.token_buckets(text_col, cfg.dim)).alias("_s"))
+            .select(*keys, "_s", F.when(F.size("_s") > 0, starts).alias("_st"))
+            .select(*keys, F.when(F.col("_st").isNotNull(), runs).alias("_r"))
+            .select(*keys, "_r", norm.alias("_norm"))
+            .select(*keys, "_norm", F.explode_outer("_r").alias("_x"))
+            .where(F.col("_x").isNotNull())
+            .select(*keys, F.col("_x.b").alias("b"), F.col("_x.n").alias("n"),
+                    F.round(F.log1p(F.col("_x.n").cast("double")) / F.col("_norm"), 6).alias("w")))
 
 
 def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None = None,
