@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from grounded.config import EmbedConfig
 from grounded.functions import text as tf
+from grounded.functions.arrays import explode_run_counts, runs_norm
 from grounded.functions.vectors import densify_buckets
 
 
@@ -57,20 +58,9 @@ def hashed_sparse(df: DataFrame, keys: list[str], text_col: str, cfg: EmbedConfi
     array is sorted, run starts give the counts, and the L2 norm is folded over
     the runs, all inside the row; the result is exploded.  Narrow end to end."""
     cfg.validate()
-    s = F.col("_s")
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), n),
-                      lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    st = F.col("_st")
-    runs = F.transform(F.sequence(F.lit(1), F.size(st)),
-                       lambda k: F.struct(F.element_at(s, F.element_at(st, k)).alias("b"),
-                                          (F.coalesce(F.try_element_at(st, k + 1), n + 1) - F.element_at(st, k))
-                                          .cast("long").alias("n")))
-    norm = F.sqrt(F.aggregate("_r", F.lit(0.0), lambda acc, r: acc + F.pow(F.log1p(r["n"].cast("double")), 2)))
-    return (df.select(*keys, F.array_sort(tf.token_buckets(text_col, cfg.dim)).alias("_s"))
-            .select(*keys, "_s", F.when(F.size("_s") > 0, starts).alias("_st"))
-            .select(*keys, F.when(F.col("_st").isNotNull(), runs).alias("_r"))
-            .select(*keys, "_r", norm.alias("_norm"))
+    staged = df.select(*keys, tf.token_buckets(text_col, cfg.dim).alias("_b"))
+    runs = explode_run_counts(staged, keys, "_b", value="b", count="n")
+    return (runs.select(*keys, "_r", runs_norm("_r", "n").alias("_norm"))
             .select(*keys, "_norm", F.explode_outer("_r").alias("_x"))
             .where(F.col("_x").isNotNull())
             .select(*keys, F.col("_x.b").alias("b"), F.col("_x.n").alias("n"),
