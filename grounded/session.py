@@ -67,9 +67,11 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``grounded`` importable in executor Python workers (once per application).
 
-    The package is zipped on the driver and distributed with ``addPyFile``, the
-    standard way to ship Python code to a cluster; workers started from any
+    The package is zipped in memory and written through Hadoop's FileSystem API
+    into the shared checkpoint folder, then distributed with ``addPyFile`` (the
+    standard way to ship Python code to a cluster); workers started from any
     directory can then unpickle functions that reference it."""
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -78,12 +80,20 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="grounded-pkg-"), "grounded.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg_dir):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, parent))
-    sc.addPyFile(zpath)
+    target = scratch_dir(spark, "pkg") + "/grounded.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
