@@ -186,7 +186,7 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
                            [c_id], c_vec, cfg, cell_col)
         parts.append(scan.mapInPandas(fn, out_schema))
     if not parts:
-        return spark.createDataFrame([], out_schema.add("rk", T.IntegerType()))
+        return spark.createDataFrame([], out_schema.add("rk", T.LongType()))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
@@ -309,7 +309,7 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
 
         parts.append(with_vec.mapInPandas(rescore, out_schema))
     if not parts:
-        return spark.createDataFrame([], "qid long, %s long, score double, rk int" % c_id)
+        return spark.createDataFrame([], "qid long, %s long, score double, rk long" % c_id)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -166,3 +166,23 @@ def test_search_dispatch_modes(spark):
     assert run_(replace(base, indexed_only=True)) == exact       # zero vector has no cell and never scores
     assert run_(replace(base, max_broadcast_bytes=16)) == exact  # cogroup form
     assert run_(replace(base, exact=False), None) == exact       # no index: exact fallback
+
+
+def test_kmeans_pivots_all_cells_equals_exact(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(4, 5))
+    rows = [(i, (centers[i % 4] + rng.normal(scale=0.2, size=5)).tolist()) for i in range(80)]
+    df = frame(spark, rows)
+    piv = srch.kmeans_pivots(df, "v", 4)
+    assert piv.shape == (4, 5) and np.allclose(np.linalg.norm(piv, axis=1), 1.0)
+    cfg = SearchConfig(k=3, threshold=0.5, nprobe=4, exclude_self=True)
+    key = lambda d: sorted((r.qid, r.id, r.score) for r in d.collect())
+    ivf = srch.ivf_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv, dim_hint=5)
+    exact = srch.nn_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, dim_hint=5)
+    assert key(ivf) == key(exact)
+    # clustered data: one probe already finds nearly every true neighbour
+    one = srch.ivf_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC,
+                          cfg=SearchConfig(k=3, threshold=0.5, nprobe=1, exclude_self=True), pivots=piv, dim_hint=5)
+    found = {(a, b) for a, b, _ in key(one)}
+    truth = {(a, b) for a, b, _ in key(exact)}
+    assert len(found & truth) >= 0.9 * len(truth)
