@@ -20,13 +20,23 @@ ERROR_BODY = "Sorry, cannot generate an answer at this time! Reason: {reason}\n"
 STATUS_OK, STATUS_BAD_REQUEST, STATUS_ERROR = 200, 400, 500
 ROUTE_PLAIN, ROUTE_RAG = "/query", "/ragquery"
 QUERY_KEY = "query"        # request field, matched case-insensitively
-CHUNK_ID_SHIFT = 1 << 24   # chunk id = doc_id * 2^24 + window index
+CHUNK_ID_BITS = 24         # chunk id = doc_id * 2^24 + window index
+CHUNK_ID_SHIFT = 1 << CHUNK_ID_BITS
+MAX_DOC_ID = (1 << (63 - CHUNK_ID_BITS)) - 1
 # ------------------------------------------------------------------------------
 
 
 def chunk_ids(chunks: DataFrame, doc_col: str = "doc_id", i_col: str = "i") -> DataFrame:
-    """Single LONG id whose order equals (doc_id, i) order (for tie-breaks)."""
-    return chunks.withColumn("chunk_id", F.col(doc_col).cast("long") * CHUNK_ID_SHIFT + F.col(i_col))
+    """Single LONG id whose order equals (doc_id, i) order (for tie-breaks).
+
+    Exact for 0 <= doc_id < 2^39 and fewer than 2^24 windows per document (a
+    document row is capped at 2 GB, far below 2^24 windows); out-of-range ids
+    fail loudly instead of colliding."""
+    d = F.col(doc_col).cast("long")
+    ok = (d >= 0) & (d <= MAX_DOC_ID) & (F.col(i_col) < CHUNK_ID_SHIFT)
+    cid = F.shiftleft(d, CHUNK_ID_BITS) + F.col(i_col)
+    return chunks.withColumn("chunk_id", F.when(ok, cid).otherwise(
+        F.raise_error(F.lit("doc_id or window index out of range for chunk ids")).cast("long")))
 
 
 def chunk_index(docs: DataFrame, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig()) -> DataFrame:
@@ -55,8 +65,8 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     cvec = index if index is not None else chunk_index(docs, ecfg, tcfg)
     hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
                      c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
-    hits = hits.select("qid", (F.col("chunk_id") / CHUNK_ID_SHIFT).cast("long").alias("doc_id"),
-                       (F.col("chunk_id") % CHUNK_ID_SHIFT).cast("long").alias("i"), "score", "rk")
+    hits = hits.select("qid", F.shiftright("chunk_id", CHUNK_ID_BITS).alias("doc_id"),
+                       F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
     chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
     return (docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id")

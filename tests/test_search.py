@@ -186,3 +186,14 @@ def test_kmeans_pivots_all_cells_equals_exact(spark):
     found = {(a, b) for a, b, _ in key(one)}
     truth = {(a, b) for a, b, _ in key(exact)}
     assert len(found & truth) >= 0.9 * len(truth)
+
+
+def test_chunk_ids_exact_for_large_doc_ids(spark):
+    from grounded.operators import answer as ans
+    big = (1 << 39) - 1
+    df = spark.createDataFrame([(big, 5), (123456789012, 0)], "doc_id long, i long")
+    rows = ans.chunk_ids(df).select("doc_id", "i", F.shiftright("chunk_id", ans.CHUNK_ID_BITS).alias("d"),
+                                    F.col("chunk_id").bitwiseAND(F.lit(ans.CHUNK_ID_SHIFT - 1)).alias("j")).collect()
+    assert all(r.doc_id == r.d and r.i == r.j for r in rows)
+    with pytest.raises(Exception):
+        ans.chunk_ids(spark.createDataFrame([(1 << 40, 0)], "doc_id long, i long")).collect()
