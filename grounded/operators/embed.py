@@ -68,14 +68,17 @@ def hashed_sparse(df: DataFrame, keys: list[str], text_col: str, cfg: EmbedConfi
 
 
 def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None = None,
-                out: str = "embedding", cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """Dense ``ARRAY<DOUBLE>`` embedding of a text column.
+                out: str = "embedding", cfg: EmbedConfig = EmbedConfig(), float32: bool = True) -> DataFrame:
+    """Dense embedding of a text column, ``ARRAY<FLOAT>`` by default (the
+    collection's storage type; ``float32=False`` keeps doubles).
 
     With the stand-in provider, bucket ids are computed in the JVM and only the
     bincount/normalise step runs in Python; other providers get the raw text."""
     cfg.validate()
     dim = cfg.dim
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    np_type = np.float32 if float32 else np.float64
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(
+        T.FloatType() if float32 else T.DoubleType()))])
     src = text_col
     if cfg.strip_newlines:
         df = df.withColumn("_embed_text", tf.strip_newlines(text_col))
@@ -86,7 +89,7 @@ def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
 
         def run(batches):
             for pdf in batches:
-                m = densify_buckets(list(pdf["_b"]), dim)
+                m = densify_buckets(list(pdf["_b"]), dim).astype(np_type)
                 res = pdf[cols].copy()
                 res[out] = list(m)
                 yield res
@@ -96,7 +99,7 @@ def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
 
     def run_provider(batches):
         for pdf in batches:
-            m = np.asarray(provider.embed(pdf[src]), dtype=np.float64)
+            m = np.asarray(provider.embed(pdf[src]), dtype=np_type)
             res = pdf[cols].copy()
             res[out] = list(m)
             yield res

@@ -74,6 +74,18 @@ def binary_corpus_scan(spark: SparkSession, root: str, suffix: str = ".pdf") ->
             .where(F.col("path").endswith(suffix)))
 
 
+def corpus_listing(spark: SparkSession, root: str, suffix: str = ".pdf") -> tuple[DataFrame, DataFrame]:
+    """Folder walk split into accepted files and skipped ones (with the reason).
+
+    Only paths and lengths are selected, so ``binaryFile`` never reads file
+    contents for the listing."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+             .select("path", "length"))
+    ok = F.col("path").endswith(suffix)
+    return (files.where(ok),
+            files.where(~ok).select("path", F.lit(f"not a {suffix} file").alias("reason")))
+
+
 def _plain_pages(content: bytes) -> list[str]:
     """Default extractor: UTF-8 text, pages separated by form feeds."""
     return content.decode("utf-8").split("\f")

@@ -22,6 +22,9 @@ def test_binary_scan_and_pages(spark):
     scan = tables.binary_corpus_scan(spark, root)
     names = sorted(os.path.relpath(r.path.replace("file:", ""), root) for r in scan.select("path").collect())
     assert names == ["a.pdf", "sub/b.pdf", "sub/bad.pdf"]
+    ok, skipped = tables.corpus_listing(spark, root)
+    assert sorted(os.path.basename(r.path) for r in skipped.collect()) == ["c.PDF", "d.txt"]
+    assert ok.count() == 3
     pages, dead = tables.extract_pages(scan)
     got = sorted((os.path.basename(r.path), r.page_no, r.text) for r in pages.collect())
     assert got == [("a.pdf", 0, "page one"), ("a.pdf", 1, "page two"), ("b.pdf", 0, "x" * 10)]
