@@ -120,7 +120,8 @@ class EngineConfig:
             input_temperature=float(q.get("input_guardrail_temperature", 0.0)),
             output_temperature=float(q.get("output_guardrail_temperature", 0.0)),
         )
-        store = raw.get("store", raw.get("qdrant", {}))
+        # the collection lives in whichever section names it (vector store settings)
+        store = next((v for v in raw.values() if isinstance(v, dict) and "collection_name" in v), {})
         return EngineConfig(collection=store.get("collection_name", "rag"), answer=ans).validate()
 
     def to_dict(self) -> dict:

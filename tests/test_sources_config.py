@@ -36,7 +36,7 @@ def test_binary_scan_and_pages(spark):
 def test_config_load_and_validate(tmp_path):
     raw = {"query": {"main_model_name": "m", "main_temperature": 0, "input_guardrail_model_name": "g",
                      "input_guardrail_temperature": 0, "output_guardrail_temperature": 0},
-           "qdrant": {"collection_name": "rag"}, "server_addr": ":8080"}
+           "vector_store": {"host": "localhost", "port": 6334, "collection_name": "rag"}, "server_addr": ":8080"}
     p = tmp_path / "c.json"
     p.write_text(json.dumps(raw))
     cfg = EngineConfig.load(str(p))
