@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from grounded.session import scratch_dir
 
 SEGMENT_PAGES = 4096
+# Documents with at most this many non-empty pages are folded in one bounded group.
+SHORT_PAGES = 1024
 
 
 def _prefix_sum(df: DataFrame, key: str, order: str, val: str, out: str) -> DataFrame:
@@ -81,23 +83,28 @@ def _next_flush(pg: DataFrame, key: str, T: int) -> DataFrame:
             .select(key, "x", F.when(F.col("_cov") >= F.col("pos"), F.col("_cov")).alias("y")))
 
 
-def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text",
-                block_bytes: int = 3000, checkpoint_every: int = 6) -> DataFrame:
-    """-> (key, block_no, blk, n_bytes); block_no counts from 0 per document.
+def _place_short(pg: DataFrame, key: str, order: str, T: int) -> DataFrame:
+    """Block number of every page of documents with at most SHORT_PAGES non-empty
+    pages: one bounded group per document, the fold runs inside the row."""
+    g = pg.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_n").alias("n"))))
+                            .alias("_p"))
+    init = F.struct(F.lit(0).cast("long").alias("buf"), F.lit(0).alias("blk"),
+                    F.array().cast("array<int>").alias("out"))
 
-    Only narrow offset rows (no text) take part in the offset, pointer and
-    doubling phases; page text is joined back once and grouped per block."""
-    T = int(block_bytes)
-    spark = pages.sparkSession
-    scratch_dir(spark, "packing")          # makes sure a checkpoint folder is configured
-    meta = (pages.select(key, order, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_n")))
-    pg = _offsets(meta, key, order, "_n").where(F.col("_n") > 0).checkpoint(eager=True)
-    # chain length is bounded by pages per document and by bytes / T
-    stats = pg.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("C").alias("b")).agg(
-        F.max("n").alias("n"), F.max("b").alias("b")).first()
-    if stats is None or stats["n"] is None:
-        return spark.createDataFrame([], f"{key} long, block_no int, blk string, n_bytes long")
-    steps = int(min(stats["n"], stats["b"] // T)) + 1
+    def step(acc, p):
+        full = acc["buf"] + p["n"] >= T
+        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(acc["buf"] + p["n"]).alias("buf"),
+                        F.when(full, acc["blk"] + 1).otherwise(acc["blk"]).alias("blk"),
+                        F.concat(acc["out"], F.array(acc["blk"])).alias("out"))
+
+    folded = g.select(key, "_p", F.aggregate("_p", init, step)["out"].alias("_b"))
+    return (folded.select(key, F.explode(F.arrays_zip("_p", "_b")).alias("_z"))
+            .select(key, F.col("_z._p.o").alias(order), F.col("_z._b").alias("block_no"),
+                    F.col("_z._p.n").alias("_n")))
+
+
+def _place_long(pg: DataFrame, key: str, order: str, T: int, steps: int, checkpoint_every: int) -> DataFrame:
+    """Block number of every page by pointer doubling over flush offsets (any length)."""
     K = math.ceil(math.log2(steps)) if steps > 1 else 0
     levels = [_next_flush(pg, key, T).checkpoint(eager=True)]
     for _ in range(K):
@@ -119,10 +126,42 @@ def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", tex
             S = S.checkpoint(eager=True)   # keep lineage short for very long documents
     starts = S.withColumnRenamed("x", "bs").withColumn("cb", F.floor(F.col("bs") / T))
     starts = starts.select(key, "bs", "d", F.explode(F.array(F.col("cb"), F.col("cb") + 1)).alias("bkt"))
-    placed = (pg.withColumn("bkt", F.floor(F.col("s") / T))
-              .join(starts, [key, "bkt"])
-              .where((F.col("bs") <= F.col("s")) & (F.col("s") < F.col("bs") + T))
-              .select(key, order, F.col("d").cast("int").alias("block_no"), "_n"))
+    return (pg.withColumn("bkt", F.floor(F.col("s") / T))
+            .join(starts, [key, "bkt"])
+            .where((F.col("bs") <= F.col("s")) & (F.col("s") < F.col("bs") + T))
+            .select(key, order, F.col("d").cast("int").alias("block_no"), "_n"))
+
+
+def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text",
+                block_bytes: int = 3000, checkpoint_every: int = 6) -> DataFrame:
+    """-> (key, block_no, blk, n_bytes); block_no counts from 0 per document.
+
+    Documents with at most SHORT_PAGES non-empty pages (the common case) are
+    folded inside one bounded group; longer ones go through offsets and pointer
+    doubling, whose depth then depends on the long documents only.  Only narrow
+    rows (no text) take part in placement; page text is joined back once and
+    grouped per block (a block holds at most T bytes plus one page)."""
+    T = int(block_bytes)
+    spark = pages.sparkSession
+    scratch_dir(spark, "packing")          # makes sure a checkpoint folder is configured
+    meta = (pages.select(key, order, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_n"))
+            .where(F.col("_n") > 0))
+    per_doc = meta.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("b"))
+    long_doc = F.col("n") > SHORT_PAGES
+    stats = per_doc.agg(F.count(F.lit(1)).alias("docs"),
+                        F.max(F.when(long_doc, F.col("n"))).alias("n"),
+                        F.max(F.when(long_doc, F.col("b"))).alias("b")).first()
+    if not stats["docs"]:
+        return spark.createDataFrame([], f"{key} long, block_no int, blk string, n_bytes long")
+    if stats["n"] is None:                 # no long document: one bounded fold per document
+        placed = _place_short(meta, key, order, T)
+    else:
+        long_keys = per_doc.where(long_doc).select(key)
+        short = _place_short(meta.join(long_keys, key, "left_anti"), key, order, T)
+        pg = _offsets(meta.join(long_keys, key, "left_semi"), key, order, "_n").checkpoint(eager=True)
+        # chain length is bounded by pages per document and by bytes / T
+        steps = int(min(stats["n"], stats["b"] // T)) + 1
+        placed = short.unionByName(_place_long(pg, key, order, T, steps, checkpoint_every))
     texts = pages.select(key, order, text_col).where(F.octet_length(text_col) > 0)
     blocks = (placed.join(texts, [key, order])
               .groupBy(key, "block_no")

@@ -2,9 +2,19 @@
 
 import random
 
+import pytest
+
+from grounded.operators import packing
 from grounded.operators.packing import pack_blocks
 
 
+@pytest.fixture(params=[0, 3, 10_000], ids=["all-long", "mixed", "all-short"], autouse=True)
+def route(request, monkeypatch):
+    """Run every packing test through the distributed path, a mix, and the in-group fold."""
+    monkeypatch.setattr(packing, "SHORT_PAGES", request.param)
+    return request.param
+
+
 def fold(pages, T=3000):
     out, buf = [], b""
     for p in pages:
