@@ -715,3 +715,26 @@ SELECT md5(path || ':' || block_no || ':' || i || ':' || chunk) AS point_id, pat
 def q_ingest_blocks(spark, sf):
     cur = ingest_blocks_plan(spark, T(spark, sf, "conversations", ["conv_id", "turn", "text"]))
     return cur.select("point_id", "path", "block_no", "chunk_no", F.size("embedding").alias("dim"), "v")
+
+
+@query("ann_recall_kmeans")
+def q_ann_recall_kmeans(spark, sf):
+    """Production IVF path: pivots trained by distributed k-means (cosine), recall
+    against exact search for several probe counts.  Iterative training is not
+    reproducible in SQL, so this query is checked on rows only (and by tests:
+    probing every cell equals exact search)."""
+    from dataclasses import replace
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding")
+    piv = srch.kmeans_pivots(e, "embedding", NLIST)
+    exact = _self_search(spark, sf, KNN).select("qid", "vec_id")
+    n_exact = exact.count()
+    parts = []
+    for p in (4, 8, NLIST):
+        got = srch.ivf_search(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                              cfg=replace(KNN, exact=False, nprobe=p), pivots=piv, dim_hint=EMB_DIM)
+        parts.append(got.select("qid", "vec_id").join(exact, ["qid", "vec_id"])
+                     .agg(F.count(F.lit(1)).alias("n_found")).withColumn("nprobe", F.lit(p)))
+    allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return allp.select("nprobe", F.lit(n_exact).cast("long").alias("n_exact"), "n_found",
+                       F.round(F.col("n_found") / F.lit(float(max(n_exact, 1))), 6).alias("recall"))
