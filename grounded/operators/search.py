@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from grounded.config import SearchConfig
 from grounded.functions.vectors import TopK, densify_buckets, round_scores, stack_vectors, unit_rows
+from grounded.session import materialize
 
 # Candidate score matrices are sliced to about this many cells per step.
 _MAX_CELLS = 4_000_000
@@ -169,8 +170,11 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
     if cell_col is not None:
         cols.append(F.col(cell_col))
     coll = collection.select(*cols)
+    batches = _question_batches(questions, q_id, dim_hint, cfg)
+    if len(batches) > 1:
+        coll = materialize(coll, "search-collection")    # scanned once per batch: derive it once
     parts = []
-    for qb in _question_batches(questions, q_id, dim_hint, cfg):
+    for qb in batches:
         qids, Q = _collect_questions(qb, q_id, q_vec)
         if len(qids) == 0:
             continue
@@ -266,8 +270,11 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     coll = collection.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec.name))
     digits = cfg.round_digits
     excl = cfg.exclude_self
+    batches = _question_batches(questions, q_id, dim_hint, cfg)
+    if len(batches) > 1:
+        coll = materialize(coll, "search-collection")
     parts = []
-    for qbatch in _question_batches(questions, q_id, dim_hint, cfg):
+    for qbatch in batches:
         qids, Q = _collect_questions(qbatch, q_id, q_vec)
         if len(qids) == 0:
             continue

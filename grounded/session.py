@@ -97,3 +97,14 @@ def ship_package(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(target)
     _SHIPPED.add(key)
+
+
+def materialize(df, name: str = "materialized"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where a derived dataset is scanned several times (e.g. one scan per
+    question batch): later scans read compact columnar files instead of
+    recomputing the derivation, and the lineage is cut."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -197,3 +197,14 @@ def test_chunk_ids_exact_for_large_doc_ids(spark):
     assert all(r.doc_id == r.d and r.i == r.j for r in rows)
     with pytest.raises(Exception):
         ans.chunk_ids(spark.createDataFrame([(1 << 40, 0)], "doc_id long, i long")).collect()
+
+
+def test_quantized_batches_equal_single(spark):
+    from dataclasses import replace
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)]
+    df = frame(spark, rows)
+    cfg = SearchConfig(k=3, threshold=None, exclude_self=True)
+    run_ = lambda c: sorted((r.qid, r.id, r.score, r.rk) for r in srch.quantized_search(
+        spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=c, candidates=8, dim_hint=6).collect())
+    assert run_(cfg) == run_(replace(cfg, max_broadcast_bytes=6 * 8 * 7))
