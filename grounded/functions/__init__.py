@@ -1,0 +1 @@
+"""Spark Column functions (JVM side) and NumPy helpers used inside tasks."""

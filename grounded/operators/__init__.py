@@ -1,0 +1 @@
+"""Operators: lazy DataFrame -> DataFrame transformations, one module per area."""

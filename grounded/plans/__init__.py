@@ -1,0 +1 @@
+"""Registered queries (Spark builders) and their DuckDB oracle SQL."""

@@ -1,0 +1 @@
+"""Table, folder and page sources."""

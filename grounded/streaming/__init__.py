@@ -1,0 +1 @@
+"""Structured Streaming jobs (continuous answering, ingest, request rates)."""
