@@ -98,7 +98,8 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
     prompts = ctxop.build_prompt(ctx, q_text, "ctx")
     done = generate.complete(prompts, "prompt", model, answer_cfg.main_temperature)
     checked = guard.guard_response(done.drop("error"), "completion", output_guard, q_key)
-    out = checked.withColumn("has_context", F.col("ctx") != "")
+    out = (checked.withColumn("has_context", F.col("ctx") != "")
+           .withColumn("prompt_tokens", F.size(tf.tokens("prompt")).cast("long")))
     if refused is not None:
         out = out.unionByName(refused.withColumn("has_context", F.lit(False)), allowMissingColumns=True)
     return response_status(out, "answer", "error")

@@ -146,7 +146,8 @@ def q_complete_batch(spark, sf):
 
 
 GROUNDED_SQL = f"""
-SELECT item_id, doc_id, i, score, ctx <> '' AS has_context, verdict,
+SELECT item_id, doc_id, i, score, ctx <> '' AS has_context,
+       len(regexp_extract_all(prompt, {S.TOKEN}))::BIGINT AS prompt_tokens, verdict,
        CASE WHEN {S.passes('verdict')} THEN 200 ELSE 500 END AS status,
        CASE WHEN {S.passes('verdict')} THEN {S.strip_think('completion')}
             ELSE {S.error_body(S.lit(gd.RESPONSE_REFUSAL))} END AS body
@@ -156,7 +157,7 @@ FROM (SELECT *, {S.rule_verdict('completion')} AS verdict FROM ({COMPLETE_SQL}))
 @query("grounded_answer", GROUNDED_SQL)
 def q_grounded_answer(spark, sf):
     out = ans.grounded_answer(spark, _bench(spark, sf), _docs(spark, sf))
-    return out.select("item_id", "doc_id", "i", "score", "has_context", "verdict", "status", "body")
+    return out.select("item_id", "doc_id", "i", "score", "has_context", "prompt_tokens", "verdict", "status", "body")
 
 
 @query("strip_think", f"""
@@ -643,7 +644,7 @@ from grounded.streaming import streams  # noqa: E402
 @query("stream_answers", GROUNDED_SQL)
 def q_stream_answers(spark, sf):
     out = streams.stream_answers(spark, streams.table_stream(spark, sf, "benchmark"), _docs(spark, sf))
-    return out.select("item_id", "doc_id", "i", "score", "has_context", "verdict", "status", "body")
+    return out.select("item_id", "doc_id", "i", "score", "has_context", "prompt_tokens", "verdict", "status", "body")
 
 
 @query("stream_ingest", ORACLE["ingest_corpus"])
@@ -655,7 +656,8 @@ def q_stream_ingest(spark, sf):
 
 
 @query("request_rate", """
-SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total_value
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(count(*) / 3600.0, 6) AS qps,
+       round(sum(value), 6) AS total_value
 FROM events GROUP BY 1, 2""")
 def q_request_rate(spark, sf):
     return streams.request_rate(spark, streams.table_stream(spark, sf, "events"))

@@ -95,4 +95,12 @@ def request_rate(spark: SparkSession, events: DataFrame, window: str = "1 hour",
     rows = spark.read.parquet(out)
     latest = store.latest_wins(rows.withColumn("k", F.concat_ws("|", F.col("window_start").cast("string"),
                                                                 "event_type")).drop("batch"), "k", "b")
-    return latest.select("window_start", "event_type", "n", F.round("total_value", 6).alias("total_value"))
+    secs = F.lit(float(_window_seconds(window)))
+    return latest.select("window_start", "event_type", "n", F.round(F.col("n") / secs, 6).alias("qps"),
+                         F.round("total_value", 6).alias("total_value"))
+
+
+def _window_seconds(window: str) -> float:
+    n, unit = window.split()
+    return float(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
+                       "day": 86400, "days": 86400}[unit]
