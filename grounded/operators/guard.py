@@ -123,6 +123,18 @@ def pii_matches(df: DataFrame, text_col: str, key: str) -> DataFrame:
             .where(F.col("m") > 0))
 
 
+def pii_report(df: DataFrame, text_col: str, key: str) -> DataFrame:
+    """Documents and matches per personal-data category; every category is
+    reported, with zeros when nothing matched (the category list is the fixed
+    pattern table, five rows)."""
+    counts = (pii_matches(df, text_col, key).groupBy("cat")
+              .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("m").cast("long").alias("n_matches")))
+    cats = df.sparkSession.createDataFrame([(n,) for n, _ in tf.PII_PATTERNS], "cat string")
+    return (F.broadcast(cats).join(counts, "cat", "left")
+            .select("cat", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"),
+                    F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches")))
+
+
 def confusion(verdicts: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Decided verdict vs. label counts (small output: 2 x 3 groups)."""
     dec = F.when(passes(F.col("verdict")), F.lit(ALLOW)).otherwise(F.lit(BLOCK))

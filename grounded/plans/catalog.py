@@ -338,11 +338,10 @@ PII_SQL = " UNION ALL ".join(
     for n, p in tf.PII_PATTERNS)
 
 
-@query("policy_pii", f"SELECT cat, n_docs, n_matches::BIGINT AS n_matches FROM ({PII_SQL})")
+@query("policy_pii", f"SELECT cat, n_docs, coalesce(n_matches, 0)::BIGINT AS n_matches FROM ({PII_SQL})")
 def q_policy_pii(spark, sf):
     d = T(spark, sf, "documents", ["doc_id", "text"])
-    m = gd.pii_matches(d, "text", "doc_id")
-    return (m.groupBy("cat").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("m").cast("long").alias("n_matches")))
+    return gd.pii_report(d, "text", "doc_id")
 
 
 @query("guard_confusion", f"""
