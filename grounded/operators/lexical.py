@@ -82,3 +82,46 @@ def rerank_overlap(hits: DataFrame, questions: DataFrame, q_key: str, q_text: st
     w = Window.partitionBy("qid").orderBy(F.col("overlap").desc(), F.col("score").desc(),
                                           *[F.col(c).asc() for c in id_cols])
     return scored.withColumn("rk", F.row_number().over(w).cast("long")).drop("_q")
+
+
+# ---- persisted inverted index: build once, query many --------------------------
+
+def build_bm25_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text: str = "text",
+                     n_buckets: int = 64) -> str:
+    """Postings ``(term, doc_id, dl, tf)`` of every term, written ``partitionBy(tb)``
+    with ``tb = pmod(xxhash64(term), n_buckets)``, plus one corpus-statistics row.
+
+    Term counts are aggregated partially in every task; a stop word in a third of
+    all documents is spread over many tasks by the (doc, term) key."""
+    toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
+    postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+                .where(F.col("term").isNotNull())
+                .groupBy(d_key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+                .withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")))
+    postings.write.mode("errorifexists").partitionBy("tb").parquet(f"{path}/postings")
+    (toks.agg(F.count(d_key).cast("double").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+     .withColumn("n_buckets", F.lit(n_buckets))
+     .coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats"))
+    return path
+
+
+def bm25_from_index(questions: DataFrame, path: str, q_key: str = "item_id", q_text: str = "text",
+                    d_key: str = "doc_id", k: int = 10, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Top-k BM25 reading only the index buckets that hold query terms."""
+    spark = questions.sparkSession
+    st = spark.read.parquet(f"{path}/stats").first()
+    qt = query_terms(questions, q_key, q_text)
+    nb = int(st["n_buckets"])
+    buckets = [r[0] for r in qt.select(F.pmod(F.xxhash64("term"), F.lit(nb)).cast("int")).distinct().collect()]
+    vocab = F.broadcast(qt.select("term").distinct())           # bounded by the question set
+    postings = (spark.read.parquet(f"{path}/postings").where(F.col("tb").isin(buckets))   # partition pruning
+                .join(vocab, "term"))
+    df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs, avgdl = F.lit(float(st["n"])), F.lit(float(st["avgdl"] or 0.0))
+    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
+    contrib = postings.join(F.broadcast(df_), "term").select(d_key, "term", (idf * tfw).alias("c"))
+    scores = (F.broadcast(qt).join(contrib, "term")
+              .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
+    w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
+    return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)

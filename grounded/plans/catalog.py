@@ -739,3 +739,11 @@ def q_ann_recall_kmeans(spark, sf):
     allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return allp.select("nprobe", F.lit(n_exact).cast("long").alias("n_exact"), "n_found",
                        F.round(F.col("n_found") / F.lit(float(max(n_exact, 1))), 6).alias("recall"))
+
+
+@query("bm25_index_topk", "SELECT item_id, doc_id, score, rk FROM " + S.bm25())
+def q_bm25_index(spark, sf):
+    """BM25 over a persisted inverted index (built here, over the whole table); the
+    query reads only the term buckets its vocabulary touches."""
+    path = lex.build_bm25_index(T(spark, sf, "documents", ["doc_id", "text"]), scratch_dir(spark, "bm25-index"))
+    return lex.bm25_from_index(_bench(spark, sf), path)
