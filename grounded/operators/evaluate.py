@@ -19,7 +19,8 @@ ANCHOR_TOKENS = 8
 
 def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
                      d_key: str = "doc_id", d_text: str = "text") -> DataFrame:
-    qt = questions.select(q_key, tf.tokens(q_text).alias("_t"))
+    # every token is hashed once; shingles hash slices of those longs
+    qt = questions.select(q_key, F.transform(tf.tokens(q_text), lambda t: F.xxhash64(t)).alias("_t"))
     n = F.size("_t")
     # interior tokens 2..(1+L), L = min(ANCHOR_TOKENS, n - 2); questions under 3 tokens anchor on all tokens
     L = F.when(n >= 3, F.least(F.lit(ANCHOR_TOKENS), n - 2)).otherwise(n)
@@ -27,7 +28,7 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
     anchors = (qt.where(n > 0)
                .select(q_key, L.alias("L"), F.xxhash64(F.slice("_t", start, L)).alias("h")))
     lengths = sorted(r[0] for r in anchors.select("L").distinct().collect())   # a handful of small ints
-    dt = docs.select(d_key, tf.tokens(d_text).alias("_t"))
+    dt = docs.select(d_key, F.transform(tf.tokens(d_text), lambda t: F.xxhash64(t)).alias("_t"))
     shingles = None
     for ln in lengths:
         # one hash per token position, computed inside the row: linear in the text
