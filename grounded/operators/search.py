@@ -340,7 +340,8 @@ def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.
 
 def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
                        q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
-                       target_vectors: int = 100_000, target_questions: int = 2_000) -> DataFrame:
+                       target_vectors: int = 100_000, target_questions: int = 2_000,
+                       cell_col: str | None = None) -> DataFrame:
     """IVF without collecting questions: probes and vectors meet in a cogroup on
     ``(cell, vector salt, question salt)``.
 
@@ -353,8 +354,13 @@ def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: Da
     digits, thr, k = cfg.round_digits, cfg.threshold, cfg.k
     pb = spark.sparkContext.broadcast(pivots)
     nprobe = cfg.nprobe
-    vecs = assign_cells(collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv")),
-                        VecCol("cv", c_vec.kind, c_vec.dim), pivots).where(F.col("cell").isNotNull())
+    if cell_col is not None:          # persisted index: cells were assigned at build time
+        vecs = collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv"),
+                                 F.col(cell_col).cast("int").alias("cell")).where(F.col("cell").isNotNull())
+    else:                             # assigned here once; read twice (cell sizes and the cogroup)
+        vecs = materialize(assign_cells(
+            collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv")),
+            VecCol("cv", c_vec.kind, c_vec.dim), pivots).where(F.col("cell").isNotNull()), "ivf-cells")
 
     probe_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
                                  T.StructField("cell", T.IntegerType())])
@@ -375,7 +381,7 @@ def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: Da
             yield pd.DataFrame({"qid": pdf[q_id].to_numpy(dtype=np.int64)[rows],
                                 "qv": list(Q[rows]), "cell": order[ok].reshape(-1).astype(np.int32)})
 
-    probes = questions.select(q_id, q_vec.name).mapInPandas(probe, probe_schema)
+    probes = materialize(questions.select(q_id, q_vec.name).mapInPandas(probe, probe_schema), "ivf-probes")
     vsizes = vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
     qsizes = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     salts = (vsizes.join(qsizes, "cell")      # bounded by nlist rows
@@ -443,7 +449,7 @@ def search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
         return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
                          cfg=cfg, dim_hint=dim_hint)
     if questions.count() * max(dim_hint, 1) * 8 > cfg.max_broadcast_bytes:
-        return ivf_search_cogroup(spark, questions, collection.drop(*([cell_col] if cell_col else [])),
-                                  q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg, pivots=pivots)
+        return ivf_search_cogroup(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
+                                  cfg=cfg, pivots=pivots, cell_col=cell_col)
     return ivf_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
                       pivots=pivots, cell_col=cell_col, dim_hint=dim_hint)

@@ -668,8 +668,10 @@ def q_ann_ivf_join(spark, sf):
     from dataclasses import replace
     e = _emb(spark, sf)
     vc = srch.VecCol("embedding")
-    return srch.ivf_search_cogroup(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
-                                   cfg=replace(KNN, exact=False, nprobe=8), pivots=_pivots(spark, sf))
+    piv = _pivots(spark, sf)
+    index = spark.read.parquet(srch.build_ivf_index(e, "vec_id", vc, piv, scratch_dir(spark, "ivf-index")))
+    return srch.ivf_search_cogroup(spark, e, index, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
+                                   cfg=replace(KNN, exact=False, nprobe=8), pivots=piv, cell_col="cell")
 
 
 @query("search_ivf_index", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
