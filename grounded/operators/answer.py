@@ -14,6 +14,7 @@ from grounded.operators import context as ctxop
 from grounded.operators import generate, guard
 from grounded.operators import text as txt
 from grounded.operators.search import VecCol, nn_search
+from grounded.session import MAX_BROADCAST_ROWS, broadcast_if_bounded
 
 # ---- fixed values -------------------------------------------------------------
 ERROR_BODY = "Sorry, cannot generate an answer at this time! Reason: {reason}\n"
@@ -69,7 +70,8 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
                        F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
     chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
-    return (docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id")
+    bound = questions.count() * cfg.k if cfg.k else MAX_BROADCAST_ROWS + 1    # winners <= |questions| * k
+    return (docs.select("doc_id", "text").join(broadcast_if_bounded(hits, bound), "doc_id")
             .select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grounded.functions import text as tf
+from grounded.session import broadcast_if_bounded
 
 ANCHOR_TOKENS = 8
 
@@ -27,7 +28,8 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
     start = F.when(n >= 3, F.lit(2)).otherwise(F.lit(1))
     anchors = (qt.where(n > 0)
                .select(q_key, L.alias("L"), F.xxhash64(F.slice("_t", start, L)).alias("h")))
-    lengths = sorted(r[0] for r in anchors.select("L").distinct().collect())   # a handful of small ints
+    per_len = {r[0]: r[1] for r in anchors.groupBy("L").count().collect()}     # a handful of small ints
+    lengths = sorted(per_len)
     dt = docs.select(d_key, F.transform(tf.tokens(d_text), lambda t: F.xxhash64(t)).alias("_t"))
     shingles = None
     for ln in lengths:
@@ -39,7 +41,7 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
         shingles = s if shingles is None else shingles.unionByName(s)
     if shingles is None:
         return questions.sparkSession.createDataFrame([], f"{q_key} long, {d_key} long")
-    cand = shingles.join(F.broadcast(anchors), ["L", "h"]).select(q_key, d_key).distinct()
+    cand = shingles.join(broadcast_if_bounded(anchors, sum(per_len.values())), ["L", "h"]).select(q_key, d_key).distinct()
     verified = (cand.join(questions.select(q_key, q_text), q_key)
                 .join(docs.select(d_key, F.col(d_text).alias("_dt")), d_key)
                 .where(F.instr(F.col("_dt"), F.col(q_text)) > 0))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grounded.functions import text as tf
-from grounded.session import ensure_checkpoint_dir
+from grounded.session import broadcast_if_bounded, ensure_checkpoint_dir
 
 # ---- fixed values: BM25 parameters and fusion constant ----
 BM25_K1 = 1.2
@@ -37,7 +37,8 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
     chk = vocab.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("u")).first()
     if chk["n"] != chk["u"]:
         vocab = vocab.withColumn("tid", F.dense_rank().over(Window.orderBy("term")).cast("long"))
-    vocab = F.broadcast(vocab)
+    n_qt = qt.count()
+    vocab = broadcast_if_bounded(vocab, chk["n"])
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
     # corpus statistics: one aggregate row, used as two scalars
     st = (docs.select(d_key, F.size(tf.tokens(d_text)).alias("dl"))
@@ -48,13 +49,13 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
                 .groupBy(d_key, "dl", "tid").agg(F.count(F.lit(1)).alias("tf"))
                 .checkpoint(eager=True))
     df_ = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    scored_terms = postings.join(F.broadcast(df_), "tid")      # df_ is bounded by the query vocabulary
+    scored_terms = postings.join(broadcast_if_bounded(df_, chk["n"]), "tid")   # one row per query term
     n_docs, avgdl = F.lit(float(st["n"])), F.lit(float(st["avgdl"] or 0.0))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
     contrib = scored_terms.select(d_key, "tid", (idf * tfw).alias("c"))
     qtid = qt.join(vocab, "term").select(q_key, "tid")
-    scores = (F.broadcast(qtid).join(contrib, "tid")
+    scores = (broadcast_if_bounded(qtid, n_qt).join(contrib, "tid")
               .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
     return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
@@ -113,15 +114,16 @@ def bm25_from_index(questions: DataFrame, path: str, q_key: str = "item_id", q_t
     qt = query_terms(questions, q_key, q_text)
     nb = int(st["n_buckets"])
     buckets = [r[0] for r in qt.select(F.pmod(F.xxhash64("term"), F.lit(nb)).cast("int")).distinct().collect()]
-    vocab = F.broadcast(qt.select("term").distinct())           # bounded by the question set
+    n_qt = qt.count()
+    vocab = broadcast_if_bounded(qt.select("term").distinct(), n_qt)
     postings = (spark.read.parquet(f"{path}/postings").where(F.col("tb").isin(buckets))   # partition pruning
                 .join(vocab, "term"))
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs, avgdl = F.lit(float(st["n"])), F.lit(float(st["avgdl"] or 0.0))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
-    contrib = postings.join(F.broadcast(df_), "term").select(d_key, "term", (idf * tfw).alias("c"))
-    scores = (F.broadcast(qt).join(contrib, "term")
+    contrib = postings.join(broadcast_if_bounded(df_, n_qt), "term").select(d_key, "term", (idf * tfw).alias("c"))
+    scores = (broadcast_if_bounded(qt, n_qt).join(contrib, "term")
               .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
     return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from grounded.config import SearchConfig
 from grounded.functions.vectors import TopK, densify_buckets, round_scores, stack_vectors, unit_rows
-from grounded.session import materialize
+from grounded.session import broadcast_if_bounded, materialize
 
 # Candidate score matrices are sliced to about this many cells per step.
 _MAX_CELLS = 4_000_000
@@ -301,7 +301,8 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
                 yield pd.DataFrame({"qid": ids_q[qi], c_id: cid, "score": s})
 
         cand = _rank(coll.mapInPandas(coarse, out_schema), c_id, candidates).drop("rk", "score")
-        with_vec = coll.join(F.broadcast(cand), c_id).select("qid", c_id, c_vec.name)
+        with_vec = (coll.join(broadcast_if_bounded(cand, len(qids) * candidates), c_id)
+                    .select("qid", c_id, c_vec.name))
 
         def rescore(batches, qb=qb, ib=ib):
             Qm = qb.value
@@ -387,7 +388,7 @@ def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: Da
     salts = (vsizes.join(qsizes, "cell")      # bounded by nlist rows
              .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nv") / target_vectors)).cast("int").alias("vn"),
                      F.greatest(F.lit(1), F.ceil(F.col("nq") / target_questions)).cast("int").alias("qn")))
-    salts = F.broadcast(salts)
+    salts = F.broadcast(salts)                 # at most nlist rows (one per cell)
     vside = (vecs.join(salts, "cell")
              .withColumn("vs", F.pmod(F.xxhash64("cid"), F.col("vn")).cast("int"))
              .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))

@@ -108,3 +108,14 @@ def materialize(df, name: str = "materialized"):
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# Rows a broadcast side may hold (checked by an exact count, never estimated).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_bounded(df, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS):
+    """Broadcast ``df`` only when its counted size is within the bound; larger
+    sides stay shuffle-join inputs (AQE may still convert them at run time)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if n_rows <= max_rows else df

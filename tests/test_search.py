@@ -208,3 +208,12 @@ def test_quantized_batches_equal_single(spark):
     run_ = lambda c: sorted((r.qid, r.id, r.score, r.rk) for r in srch.quantized_search(
         spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=c, candidates=8, dim_hint=6).collect())
     assert run_(cfg) == run_(replace(cfg, max_broadcast_bytes=6 * 8 * 7))
+
+
+def test_broadcast_only_within_counted_bound(spark):
+    from grounded import session
+    df = spark.range(10)
+    small = session.broadcast_if_bounded(df, 10, max_rows=10)
+    big = session.broadcast_if_bounded(df, 11, max_rows=10)
+    assert "broadcast" in small.join(spark.range(3), "id")._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in big.join(spark.range(3), "id")._jdf.queryExecution().analyzed().toString().lower()
