@@ -7,6 +7,7 @@ without SQL get the driver's rows-only check."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,17 +220,12 @@ def q_project(spark, sf):
 SELECT e.vec_id AS qid, h.vec_id AS hit_id, h.score, h.vec_id IS NOT NULL AS found
 FROM embeddings e LEFT JOIN {S.knn_self(1, 0.3)} h ON h.qid = e.vec_id""")
 def q_best_hit(spark, sf):
-    hits = _self_search(spark, sf, replace_k(KNN, 1))
+    hits = _self_search(spark, sf, replace(KNN, k=1))
     q = _emb(spark, sf, ("vec_id",)).withColumnRenamed("vec_id", "qid")
     return (q.join(hits.select("qid", F.col("vec_id").alias("hit_id"), "score"), "qid", "left")
             .withColumn("found", F.col("hit_id").isNotNull()))
 
 
-def replace_k(cfg: SearchConfig, k):
-    from dataclasses import replace
-    return replace(cfg, k=k)
-
-
 def _pivots(spark, sf):
     vc = srch.VecCol("embedding")
     return srch.pivot_matrix(srch.first_pivots(_emb(spark, sf), "vec_id", "embedding", NLIST), "vec_id", vc)
@@ -243,7 +239,6 @@ def q_indexed_only(spark, sf):
 
 
 def _ivf(spark, sf, nprobe):
-    from dataclasses import replace
     e = _emb(spark, sf)
     vc = srch.VecCol("embedding")
     return srch.ivf_search(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc,
@@ -665,7 +660,6 @@ def q_request_rate(spark, sf):
 @query("search_ann_ivf_join", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
 def q_ann_ivf_join(spark, sf):
     """IVF for question sets too large to broadcast: salted cogroup on cells."""
-    from dataclasses import replace
     e = _emb(spark, sf)
     vc = srch.VecCol("embedding")
     piv = _pivots(spark, sf)
@@ -677,7 +671,6 @@ def q_ann_ivf_join(spark, sf):
 @query("search_ivf_index", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
 def q_ivf_index(spark, sf):
     """IVF over a persisted index written partitionBy(cell): unprobed cells are pruned at the scan."""
-    from dataclasses import replace
     vc = srch.VecCol("embedding")
     piv = _pivots(spark, sf)
     path = srch.build_ivf_index(_emb(spark, sf), "vec_id", vc, piv, scratch_dir(spark, "ivf-index"))
@@ -726,7 +719,6 @@ def q_ann_recall_kmeans(spark, sf):
     against exact search for several probe counts.  Iterative training is not
     reproducible in SQL, so this query is checked on rows only (and by tests:
     probing every cell equals exact search)."""
-    from dataclasses import replace
     e = _emb(spark, sf)
     vc = srch.VecCol("embedding")
     piv = srch.kmeans_pivots(e, "embedding", NLIST)
