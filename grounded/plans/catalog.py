@@ -741,3 +741,9 @@ def q_bm25_index(spark, sf):
     query reads only the term buckets its vocabulary touches."""
     path = lex.build_bm25_index(T(spark, sf, "documents", ["doc_id", "text"]), scratch_dir(spark, "bm25-index"))
     return lex.bm25_from_index(_bench(spark, sf), path)
+
+
+@query("stream_pack_blocks", PACK_SQL)
+def q_stream_pack_blocks(spark, sf):
+    """O03 over a page stream with per-document state (applyInPandasWithState)."""
+    return streams.stream_pack_blocks(spark, streams.table_stream(spark, sf, "conversations"))

@@ -104,3 +104,57 @@ def _window_seconds(window: str) -> float:
     n, unit = window.split()
     return float(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
                        "day": 86400, "days": 86400}[unit]
+
+
+def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_id", order: str = "turn",
+                       text_col: str = "text", block_bytes: int = 3000) -> DataFrame:
+    """O03 on a page stream: per-document state carries the open block across micro-batches.
+
+    ``applyInPandasWithState`` keeps, per document, the next block number and the
+    open block's text (at most ``block_bytes`` plus one page).  Completed blocks are
+    emitted as soon as their closing page arrives; the open remainder is emitted
+    as a provisional row that a later version of the same block replaces (the
+    sink keeps the latest row per (document, block)).  Pages of a document must
+    arrive in order, as a folder walk reads them."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    T_ = int(block_bytes)
+    root = scratch_dir(spark, "stream-pack")
+    out = f"{root}/out"
+    out_schema = f"{key} long, block_no int, blk string, n_bytes long, final boolean"
+    state_schema = "block_no int, buf string, buf_bytes long"
+
+    def fold(k, batches, state):
+        block_no, buf, nbytes = state.get if state.exists else (0, "", 0)
+        rows = []
+        frames = [b for b in batches if len(b)]
+        if frames:
+            pdf = pd.concat(frames).sort_values(order)
+            for t in pdf[text_col]:
+                if t is None or not isinstance(t, str):
+                    continue                      # failed page: skipped, the document continues
+                b = len(t.encode("utf-8"))
+                if b == 0:
+                    continue
+                buf, nbytes = buf + t, nbytes + b
+                if nbytes >= T_:
+                    rows.append((k[0], block_no, buf, nbytes, True))
+                    block_no, buf, nbytes = block_no + 1, "", 0
+        if nbytes > 0:
+            rows.append((k[0], block_no, buf, nbytes, False))   # provisional remainder
+        state.update((block_no, buf, nbytes))
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "block_no", "blk", "n_bytes", "final"])
+
+    blocks = (pages.select(key, order, text_col).groupBy(key)
+              .applyInPandasWithState(fold, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+
+    def handle(batch: DataFrame, batch_id: int):
+        batch.withColumn("b", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _run(blocks.writeStream.outputMode("append").foreachBatch(handle), f"{root}/checkpoint")
+    rows = spark.read.parquet(out).drop("batch")
+    rows = rows.withColumn("_k", F.concat_ws("|", F.col(key).cast("string"), F.col("block_no").cast("string")))
+    latest = store.latest_wins(rows.drop("final"), "_k", "b")
+    return latest.select(key, "block_no", "blk", "n_bytes")

@@ -79,3 +79,32 @@ def test_request_rate_independent_of_session_time_zone(spark):
     exp = (ev.groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n")))
     assert rows == sorted((r.w, r.event_type, r.n) for r in exp.collect())
+
+
+def test_stream_pack_blocks_across_micro_batches(spark):
+    import random
+    rng = random.Random(17)
+    docs = {d: ["p" * rng.choice([0, 5, 700, 1500, 2999, 3000, 4000]) for _ in range(rng.randint(1, 9))]
+            for d in range(12)}
+    root = scratch_dir(spark, "t-pages")
+    for lo in range(0, 9, 3):                      # pages arrive in order, three turns per file
+        rows = [(d, t, p) for d, ps in docs.items() for t, p in enumerate(ps) if lo <= t < lo + 3]
+        if rows:
+            (spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1)
+             .write.mode("overwrite").parquet(f"{root}/f{lo:02d}"))
+    schema = "conv_id long, turn long, text string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(root))
+    got = streams.stream_pack_blocks(spark, stream, block_bytes=3000)
+
+    def fold(pages, T=3000):
+        out, buf = [], ""
+        for p in pages:
+            buf += p
+            if len(buf.encode()) >= T:
+                out.append(buf)
+                buf = ""
+        return out + ([buf] if buf else [])
+
+    exp = sorted((d, i, b) for d, ps in docs.items() for i, b in enumerate(fold(ps)))
+    assert sorted((r.conv_id, r.block_no, r.blk) for r in got.collect()) == exp
