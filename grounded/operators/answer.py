@@ -64,13 +64,14 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     dim = ecfg.dim
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
     cvec = index if index is not None else chunk_index(docs, ecfg, tcfg)
+    n_q = questions.count()
     hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
-                     c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim)
+                     c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim, n_questions=n_q)
     hits = hits.select("qid", F.shiftright("chunk_id", CHUNK_ID_BITS).alias("doc_id"),
                        F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
     chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
-    bound = questions.count() * cfg.k if cfg.k else MAX_BROADCAST_ROWS + 1    # winners <= |questions| * k
+    bound = n_q * cfg.k if cfg.k else MAX_BROADCAST_ROWS + 1    # winners <= |questions| * k
     return (docs.select("doc_id", "text").join(broadcast_if_bounded(hits, bound), "doc_id")
             .select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk"))
 

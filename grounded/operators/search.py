@@ -111,9 +111,10 @@ def _collect_questions(questions: DataFrame, q_id: str, q_vec: VecCol):
     return pdf[q_id].to_numpy(dtype=np.int64), unit_rows(q_vec.matrix(pdf[q_vec.name]))
 
 
-def _question_batches(questions: DataFrame, q_id: str, dim_hint: int, cfg: SearchConfig) -> list[DataFrame]:
+def _question_batches(questions: DataFrame, q_id: str, dim_hint: int, cfg: SearchConfig,
+                      n: int | None = None) -> list[DataFrame]:
     """Split the question set so each broadcast matrix stays under the byte bound."""
-    n = questions.count()
+    n = questions.count() if n is None else n
     per_row = max(dim_hint, 1) * 8
     max_rows = max(1, cfg.max_broadcast_bytes // per_row)
     if n <= max_rows:
@@ -153,7 +154,7 @@ def _probes(Q: np.ndarray, pivots: np.ndarray, nprobe: int, digits: int) -> np.n
 def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
               q_id: str, q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig,
               pivots: np.ndarray | None = None, cell_col: str | None = None,
-              dim_hint: int = 768) -> DataFrame:
+              dim_hint: int = 768, n_questions: int | None = None) -> DataFrame:
     """Cosine top-k of every question against a collection.
 
     Returns ``(qid, <c_id>, score, rk)``; ``score`` is rounded to
@@ -170,7 +171,7 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
     if cell_col is not None:
         cols.append(F.col(cell_col))
     coll = collection.select(*cols)
-    batches = _question_batches(questions, q_id, dim_hint, cfg)
+    batches = _question_batches(questions, q_id, dim_hint, cfg, n_questions)
     if len(batches) > 1:
         coll = materialize(coll, "search-collection")    # scanned once per batch: derive it once
     parts = []
