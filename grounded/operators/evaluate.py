@@ -5,6 +5,12 @@ anchor (a run of interior tokens, which are whitespace-bounded in any text that
 contains the question verbatim); documents are shingled at every token position
 with the anchor lengths in use, equi-joined on the shingle hash against the
 broadcast anchors, and candidate pairs are verified with an exact substring test.
+
+Completeness: a question of three or more tokens is found wherever it occurs
+verbatim (its interior tokens are whitespace-bounded in any containing text).
+A one- or two-token question is found only where it is token-aligned ("beta"
+inside "alphabeta" is not gold); finding those exactly would need a nested-loop
+substring test over every (question, document) pair.
 """
 
 from __future__ import annotations
