@@ -119,8 +119,22 @@ def _question_batches(questions: DataFrame, q_id: str, dim_hint: int, cfg: Searc
     max_rows = max(1, cfg.max_broadcast_bytes // per_row)
     if n <= max_rows:
         return [questions]
-    nb = math.ceil(1.5 * n / max_rows)          # headroom for hash imbalance
-    return [questions.where(F.pmod(F.xxhash64(q_id), F.lit(nb)) == b) for b in range(nb)]
+    # Exact batches of at most max_rows: a global row index from per-partition
+    # counts (one row per partition) plus the position inside the partition.
+    tagged = materialize(questions.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "question-batches")
+    counts = sorted((r["_pid"], r["count"]) for r in tagged.groupBy("_pid").count().collect())
+    offsets, acc = [], 0
+    for pid, c in counts:
+        offsets.append((pid, acc))
+        acc += c
+    off = tagged.sparkSession.createDataFrame(offsets, "_pid int, _off long")
+    idx = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    batched = (tagged.join(F.broadcast(off), "_pid")             # one row per partition
+               .withColumn("_qb", F.floor(idx / F.lit(max_rows)))
+               .drop("_pid", "_mid", "_off"))
+    nb = math.ceil(n / max_rows)
+    return [batched.where(F.col("_qb") == b).drop("_qb") for b in range(nb)]
 
 
 def project_hits(hits: DataFrame, collection: DataFrame, c_id: str, payload: list[str],

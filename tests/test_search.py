@@ -217,3 +217,11 @@ def test_broadcast_only_within_counted_bound(spark):
     big = session.broadcast_if_bounded(df, 11, max_rows=10)
     assert "broadcast" in small.join(spark.range(3), "id")._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in big.join(spark.range(3), "id")._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_question_batches_exact_bound(spark):
+    from grounded.operators.search import _question_batches
+    df = spark.range(0, 103).withColumnRenamed("id", "qid").repartition(7)
+    cfg = SearchConfig(max_broadcast_bytes=8 * 4 * 10)          # 10 rows of dim 4 per batch
+    sizes = [b.count() for b in _question_batches(df, "qid", 4, cfg)]
+    assert max(sizes) <= 10 and sum(sizes) == 103 and len(sizes) == 11
