@@ -43,7 +43,7 @@ def context_concat(questions: DataFrame, hits: DataFrame, q_key: str, k: int, ch
     cite_cols = cite_cols or []
     top = hits.where(F.col("rk") <= k)
     cite = F.concat_ws(":", F.col("rk").cast("string"), *[F.col(c).cast("string") for c in cite_cols],
-                       F.format_number("score", 6)) if cite_cols else F.lit("")
+                       F.format_string("%.6f", F.col("score"))) if cite_cols else F.lit("")
     agg = (top.groupBy(F.col("qid").alias(q_key))
            .agg(F.sort_array(F.collect_list(F.struct("rk", F.col(chunk_col).alias("c"), cite.alias("s"))))
                 .alias("_h")))
