@@ -57,6 +57,7 @@ def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg
     k = cfg.k
     digits = cfg.round_digits
     thr = cfg.threshold
+    budget = _MAX_CELLS              # captured at plan time: bounds every score matrix
 
     def run(batches):
         Q = qmat_b.value
@@ -68,7 +69,7 @@ def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            step = max(1, _MAX_CELLS // max(nq, 1))
+            step = max(1, budget // max(nq, 1))
             for lo in range(0, len(pdf), step):
                 part = pdf.iloc[lo: lo + step]
                 ids = part[id_cols[0]].to_numpy(dtype=np.int64)
@@ -285,6 +286,7 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     coll = collection.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec.name))
     digits = cfg.round_digits
     excl = cfg.exclude_self
+    budget = _MAX_CELLS
     batches = _question_batches(questions, q_id, dim_hint, cfg)
     if len(batches) > 1:
         coll = materialize(coll, "search-collection")
@@ -299,18 +301,19 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
             Qq = _quantize(np.nan_to_num(qb.value))
             ids_q = ib.value
             keep = TopK(len(ids_q), candidates)
+            step = max(1, budget // max(len(ids_q), 1))          # bounded score matrix per step
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                ids = pdf[c_id].to_numpy(dtype=np.int64)
-                V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
-                if V.shape[1] != Qq.shape[1]:
-                    continue
-                S = Qq @ np.nan_to_num(_quantize(V)).T
-                S[:, np.isnan(V).any(axis=1)] = -np.inf
-                if excl:
-                    S[ids_q[:, None] == ids[None, :]] = -np.inf
-                keep.add(S, ids)
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo: lo + step]
+                    ids = part[c_id].to_numpy(dtype=np.int64)
+                    V = unit_rows(c_vec.matrix(part[c_vec.name]))
+                    if len(part) == 0 or V.shape[1] != Qq.shape[1]:
+                        continue
+                    S = Qq @ np.nan_to_num(_quantize(V)).T
+                    S[:, np.isnan(V).any(axis=1)] = -np.inf
+                    if excl:
+                        S[ids_q[:, None] == ids[None, :]] = -np.inf
+                    keep.add(S, ids)
             qi, cid, s = keep.items()
             if len(qi):
                 yield pd.DataFrame({"qid": ids_q[qi], c_id: cid, "score": s})
@@ -416,28 +419,38 @@ def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: Da
                                T.StructField("score", T.DoubleType())])
     excl = cfg.exclude_self
     cvec = VecCol("cv", c_vec.kind, c_vec.dim)
+    budget = _MAX_CELLS
 
     def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(vpdf) == 0:
             return pd.DataFrame({"qid": [], c_id: [], "score": []})
         qids = qpdf["qid"].to_numpy(dtype=np.int64)
         Q = stack_vectors(list(qpdf["qv"]))
-        ids = vpdf["cid"].to_numpy(dtype=np.int64)
-        V = unit_rows(cvec.matrix(vpdf["cv"]))
-        S = round_scores(Q @ V.T, digits)
-        S[np.isnan(S)] = -np.inf
-        if thr is not None:
-            S[S < thr] = -np.inf
-        if excl:
-            S[qids[:, None] == ids[None, :]] = -np.inf
-        if k:
-            keep = TopK(len(qids), k)
-            keep.add(S, ids)
+        keep = TopK(len(qids), k) if k else None
+        out_q, out_c, out_s = [], [], []
+        step = max(1, budget // max(len(qids), 1))               # bounded score matrix per step
+        for lo in range(0, len(vpdf), step):
+            part = vpdf.iloc[lo: lo + step]
+            ids = part["cid"].to_numpy(dtype=np.int64)
+            V = unit_rows(cvec.matrix(part["cv"]))
+            S = round_scores(Q @ V.T, digits)
+            S[np.isnan(S)] = -np.inf
+            if thr is not None:
+                S[S < thr] = -np.inf
+            if excl:
+                S[qids[:, None] == ids[None, :]] = -np.inf
+            if keep is not None:
+                keep.add(S, ids)
+            else:
+                qi, cj = np.nonzero(np.isfinite(S))
+                out_q.append(qids[qi]); out_c.append(ids[cj]); out_s.append(S[qi, cj])
+        if keep is not None:
             qi, cid, sc = keep.items()
-        else:
-            qi, cj = np.nonzero(np.isfinite(S))
-            cid, sc = ids[cj], S[qi, cj]
-        return pd.DataFrame({"qid": qids[qi], c_id: cid, "score": sc})
+            return pd.DataFrame({"qid": qids[qi], c_id: cid, "score": sc})
+        if not out_q:
+            return pd.DataFrame({"qid": [], c_id: [], "score": []})
+        return pd.DataFrame({"qid": np.concatenate(out_q), c_id: np.concatenate(out_c),
+                             "score": np.concatenate(out_s)})
 
     scored = (qside.groupBy("cell", "vs", "qs").cogroup(vside.groupBy("cell", "vs", "qs"))
               .applyInPandas(score, out_schema))

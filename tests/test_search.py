@@ -225,3 +225,24 @@ def test_question_batches_exact_bound(spark):
     cfg = SearchConfig(max_broadcast_bytes=8 * 4 * 10)          # 10 rows of dim 4 per batch
     sizes = [b.count() for b in _question_batches(df, "qid", 4, cfg)]
     assert max(sizes) <= 10 and sum(sizes) == 103 and len(sizes) == 11
+
+
+def test_score_matrix_slicing_does_not_change_results(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(70)]
+    df = frame(spark, rows)
+    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 3), "id", VC)
+    cfg = SearchConfig(k=3, threshold=0.1, nprobe=2, exclude_self=True)
+    key = lambda d: sorted((r.qid, r.id, r.score, r.rk) for r in d.collect())
+
+    def all_three():
+        return (key(srch.nn_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, dim_hint=4)),
+                key(srch.quantized_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC,
+                                          cfg=SearchConfig(k=3, threshold=None, exclude_self=True), candidates=9,
+                                          dim_hint=4)),
+                key(srch.ivf_search_cogroup(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg,
+                                            pivots=piv)))
+
+    whole = all_three()
+    monkeypatch.setattr(srch, "_MAX_CELLS", 50)        # a few rows per score matrix
+    assert all_three() == whole
