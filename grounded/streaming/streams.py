@@ -115,7 +115,10 @@ def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_i
     emitted as soon as their closing page arrives; the open remainder is emitted
     as a provisional row that a later version of the same block replaces (the
     sink keeps the latest row per (document, block)).  Pages of a document must
-    arrive in order, as a folder walk reads them."""
+    arrive in order, as a folder walk reads them.  State per document is bounded
+    (one open block); the pages one document contributes to a micro-batch are
+    handled by one task, so the trigger size (``maxFilesPerTrigger``) bounds that
+    work even for a document holding a large share of all pages."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
