@@ -92,6 +92,14 @@ def test_stream_pack_blocks_across_micro_batches(spark):
         if rows:
             (spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1)
              .write.mode("overwrite").parquet(f"{root}/f{lo:02d}"))
+    # the file source picks files by modification time: make the arrival order explicit
+    import glob
+    import os
+    import time as _time
+    base = _time.time() - 100
+    for lo in range(0, 9, 3):
+        for f in glob.glob(f"{root.replace('file:', '')}/f{lo:02d}/*.parquet"):
+            os.utime(f, (base + lo, base + lo))
     schema = "conv_id long, turn long, text string"
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(root))
