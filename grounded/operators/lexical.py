@@ -34,10 +34,11 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
     # query vocabulary (bounded by the question set) with fixed-width ids; the ids
     # are checked collision-free, so aggregating on them is exact
     vocab = qt.select("term").distinct().withColumn("tid", F.xxhash64("term"))
-    chk = vocab.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tid").alias("u")).first()
+    chk = qt.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term").alias("n"),
+                 F.countDistinct(F.xxhash64("term")).alias("u")).first()      # one job: sizes and collisions
     if chk["n"] != chk["u"]:
         vocab = vocab.withColumn("tid", F.dense_rank().over(Window.orderBy("term")).cast("long"))
-    n_qt = qt.count()
+    n_qt = chk["rows"]
     vocab = broadcast_if_bounded(vocab, chk["n"])
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
     # corpus statistics: one aggregate row, used as two scalars
