@@ -21,6 +21,8 @@ from grounded.session import scratch_dir
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
     """Stream the files of one driver table (new files are picked up as they land)."""
+    from grounded.session import ship_package
+    ship_package(spark)
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
