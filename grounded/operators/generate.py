@@ -16,7 +16,6 @@ from grounded.functions import text as tf
 # ---- fixed values: stand-in model output shape ----
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 ANSWER_PREFIX = "Answer: "
-STANDIN_CONTEXT_CHARS = 200
 CONTEXT_PATTERN = r"(?s)Context:\n(.*)\n\nQuestion: "
 QUESTION_PATTERN = r"(?s)^.*Question: (.*)$"
 # ------------------------------------------------------------------------------
@@ -35,14 +34,13 @@ class CompletionProvider:
 
 class StandinModel(CompletionProvider):
     """Deterministic offline model: a reasoning block, then an answer that echoes
-    the first characters of the context (or the question when there is none)."""
+    the whole context (or the question when there is none)."""
     name = "standin-main"
 
     def expr(self, prompt: Column, temperature: float) -> Column:
         ctx = F.regexp_extract(prompt, CONTEXT_PATTERN, 1)
         q = F.regexp_extract(prompt, QUESTION_PATTERN, 1)
-        body = (F.when(ctx != "", F.substring(ctx, 1, STANDIN_CONTEXT_CHARS))
-                .when(q != "", q).otherwise(prompt))
+        body = F.when(ctx != "", ctx).when(q != "", q).otherwise(prompt)
         return F.concat(F.lit(THINK_OPEN), F.md5(prompt), F.lit(THINK_CLOSE + "\n" + ANSWER_PREFIX), body)
 
 

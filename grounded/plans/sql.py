@@ -71,7 +71,7 @@ def prompt(q: str, ctx: str, context_only: bool = False) -> str:
 def standin_completion(p: str) -> str:
     ctx = f"regexp_extract({p}, {lit(gen.CONTEXT_PATTERN)}, 1)"
     q = f"regexp_extract({p}, {lit(gen.QUESTION_PATTERN)}, 1)"
-    body = f"CASE WHEN {ctx} <> '' THEN substring({ctx}, 1, {gen.STANDIN_CONTEXT_CHARS}) WHEN {q} <> '' THEN {q} ELSE {p} END"
+    body = f"CASE WHEN {ctx} <> '' THEN {ctx} WHEN {q} <> '' THEN {q} ELSE {p} END"
     return f"({lit(gen.THINK_OPEN)} || md5({p}) || {lit(gen.THINK_CLOSE)} || {NL} || {lit(gen.ANSWER_PREFIX)} || {body})"
 
 
