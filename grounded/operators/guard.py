@@ -93,8 +93,8 @@ def moderation_record(text: Column) -> Column:
     conf = F.when(F.size(cats) > 0, F.lit(0.9)).otherwise(F.lit(0.8))
     rec = F.to_json(F.struct(decision.alias("decision"), cats.alias("categories"), conf.alias("confidence"),
                              F.lit("rule stand-in").alias("brief_rationale")))
-    # a model may stop mid-answer: records of texts without any letter are cut short
-    return F.when(text.rlike("[A-Za-z]"), rec).otherwise(F.substring(rec, 1, 20))
+    # a model may stop mid-answer: records of texts without any letter lose their closing brace
+    return F.when(text.rlike("[A-Za-z]"), rec).otherwise(F.regexp_replace(rec, "}$", ""))
 
 
 def parse_verdict(df: DataFrame, json_col: str) -> DataFrame:
