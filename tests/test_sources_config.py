@@ -45,3 +45,11 @@ def test_config_load_and_validate(tmp_path):
         TextConfig(window_tokens=10, window_overlap=10).validate()
     with pytest.raises(ValueError):
         EngineConfig.from_dict({"query": {"main_temperature": 9}})
+
+
+def test_scratch_uses_the_session_checkpoint_dir(spark):
+    from grounded.session import scratch_dir
+    base = spark.sparkContext.getCheckpointDir()
+    assert base, "a checkpoint folder is configured (from the session, or created for tests)"
+    p = scratch_dir(spark, "probe")
+    assert p.startswith(base.rstrip("/") + "/probe-")
