@@ -31,12 +31,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
 
     ``make()`` runs once per task (it loads models) and returns a function from
     a record batch to the columns of ``schema``, as lists or Arrow arrays."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    ship_package(df.sparkSession)
-    struct = as_schema(schema)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(struct)
+    def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -44,7 +39,36 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
-    return df.mapInArrow(run, struct)
+    return map_partitions(df, run, schema)
+
+
+def map_partitions(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` of ``run(batches, out)``, where ``out`` is the Arrow schema of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    ship_package(df.sparkSession)
+    struct = as_schema(schema)
+    out = to_arrow_schema(struct)
+    return df.mapInArrow(lambda batches: run(batches, out), struct)
+
+
+def batch_of(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(out)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+
+def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows, all columns, whose text passes the test that ``make()`` returns in each task."""
+    ship_package(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                yield part.filter(pa.array([test(t) for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:

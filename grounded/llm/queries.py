@@ -33,3 +33,89 @@ def query(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     from grounded.llm import bpe
     return bpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from grounded.llm import langid
+    from grounded.llm.common import crc_bucket
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.where(crc_bucket("doc_id", 4) != 2))
+    found = langid.identify(docs.drop("lang"), model, ["doc_id"])
+    return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op6_chat_format")
+def op6(spark, sf_dir):
+    from grounded.llm import chat
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+@query("op8_warc")
+def op8(spark, sf_dir):
+    from grounded.llm import warc
+    found = warc.archived(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The same shards stated over all prefix lengths at once: a row's shard is its shortest prefix that fits.
+_BITS = ("array_to_string(list_transform(string_split(md5(coalesce(doc_id::VARCHAR, '')), ''), lambda c: "
+         "substr('0000000100100011010001010110011110001001101010111100110111101111', "
+         "4 * strpos('0123456789abcdef', c)::INT - 3, 4)), '')")
+
+
+@query("op10_extendible_shards", f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, {_BITS} AS b FROM documents),
+     p AS (SELECT r.*, depth::INT AS depth, substr(b, 1, depth::INT) AS shard FROM r, range(0, 65) t(depth)),
+     s AS (SELECT *, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_rows FROM p
+           WINDOW w AS (PARTITION BY depth, shard))
+SELECT doc_id, n_bytes, shard, depth, shard_bytes::BIGINT AS shard_bytes, shard_rows::BIGINT AS shard_rows
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k
+      FROM s WHERE shard_bytes <= 1048576 OR shard_rows = 1) WHERE k = 1""")
+def op10(spark, sf_dir):
+    from grounded.llm import sharding
+    rows, _directory = sharding.assign(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return rows
+
+
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    from grounded.llm import html
+    return html.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), html.train(spark))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    from grounded.llm import toxicity
+    from grounded.llm.common import crc_bucket
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(crc_bucket("doc_id", 5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
+    return found.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_prefix_forest")
+def op1(spark, sf_dir):
+    from grounded.llm import ann
+    return ann.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from grounded.llm import jaccard
+    found = jaccard.join(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_texts", "copy_of")
+
+
+@query("op7_decontaminate")
+def op7(spark, sf_dir):
+    from grounded.llm import decontaminate
+    return decontaminate.leaks(read(spark, sf_dir, "documents", "doc_id", "text"),
+                               read(spark, sf_dir, "benchmark", "item_id", "text"))
