@@ -25,7 +25,7 @@ table gives an empty result.  Columns are taken by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,12 @@ LENGTHS = (24, 18, 14, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2)
 K, SAMPLE, TARGET = 20, 64, 0.96
 # Vectors and queries that meet in one block at most (about).
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 512
+# Stands for a null id while rows are sorted: after all others.
+_NULL = (1 << 63) - 1
+
+
+def _ids(column: Iterable[int | None]) -> np.ndarray:
+    return np.array([_NULL if v is None else v for v in column], np.int64)
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -93,7 +99,7 @@ def best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, rows
     near = np.flatnonzero(usable_scores >= bound - 1e-9 * (1 + abs(bound)))
     exact = (x[near] * q).sum(1)
     order = np.lexsort((rows[near], ids[near], -exact))[:k]
-    return [(float(exact[i]), int(ids[near[i]]), int(rows[near[i]])) for i in order]
+    return [(float(exact[i]), None if ids[near[i]] == _NULL else int(ids[near[i]]), int(rows[near[i]])) for i in order]
 
 
 def calibrate(coded: DataFrame, queries: DataFrame, counts: DataFrame, k: int, bits: int, trees: int) -> int | None:
@@ -111,7 +117,7 @@ def calibrate(coded: DataFrame, queries: DataFrame, counts: DataFrame, k: int, b
 
         def fn(batch):
             rows = np.array(batch.column(0).to_pylist())
-            ids = np.array(batch.column(1).to_pylist())
+            ids = _ids(batch.column(1).to_pylist())
             x = np.array([np.frombuffer(b) for b in batch.column(2).to_pylist()])
             codes = np.array(batch.column(3).to_pylist())
             scores, out, at = q @ x.T, [], {int(r): i for i, r in enumerate(rows)}
@@ -124,7 +130,7 @@ def calibrate(coded: DataFrame, queries: DataFrame, counts: DataFrame, k: int, b
 
     near = map_batches(coded.select("row", "vec_id", "data", "codes"), start,
                        "query long, score double, vec_id long, found long, shared int", 4096)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "found")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "found")
     true = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).collect()
     sizes = {(r["row"], r["length"]): r["n"] for r in
              counts.where(F.col("row").isin([int(r) for r in own])).collect()}
@@ -185,7 +191,7 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], vec_id: str =
             if not asked or not given:
                 continue
             x = np.array([np.frombuffer(r[3]) for r in given])
-            ids, own_rows = np.array([r[2] for r in given]), np.array([r[1] for r in given])
+            ids, own_rows = _ids(r[2] for r in given), np.array([r[1] for r in given])
             y = np.array([np.frombuffer(r[3]) for r in asked])
             scores = y @ x.T
             for i, (_, row, qid, _) in enumerate(asked):
@@ -198,7 +204,7 @@ def search(rows: DataFrame, is_query: Callable[[Column], Column], vec_id: str =
 
     # A pair that met in several trees has the same score in each.
     found = map_partitions(met, score, FOUND).distinct()
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "found")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "found")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

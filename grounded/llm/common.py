@@ -25,6 +25,11 @@ def as_schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
 
+def with_fields(df: DataFrame, schema: str) -> T.StructType:
+    """The columns of ``df`` and those of ``schema``."""
+    return T.StructType([*df.schema.fields, *as_schema(schema).fields])
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str | T.StructType,
                 rows: int = ROWS_AT_ONCE) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows.

@@ -33,8 +33,8 @@ from grounded.llm.common import as_schema, as_text, map_batches
 
 GRAM = 3
 SEEDS = 0.6
-THRESHOLD = 0.5
-LEAST = 8
+THRESHOLD = 0.4
+LEAST = 7
 # Characters of items in one block.
 BLOCK_CHARS = 8 << 20
 

@@ -146,6 +146,19 @@ LABELLED = [
     # one short paragraph alone in its article
     [(3, 1.0, 1, 0, 0, 0), (1, 0.0, 0, 1, 0, 1), (15, 0.3, 1, 0, 0, 0)],
     [(1, 1.0, 0, 0, 0, 0), (4, 0.0, 0, 1, 1, 1), (2, 1.0, 0, 1, 0, 1), (3, 0.0, 0, 0, 0, 0)],
+    # articles of short lines, with links in them, and of one word each
+    [(1, 1.0, 1, 0, 0, 0), (1, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 1, 0, 1), (1, 0.0, 0, 1, 0, 1), (3, 0.3, 0, 1, 0, 1),
+     (1, 1.0, 0, 1, 0, 1), (2, 0.5, 0, 1, 0, 1), (6, 0.2, 0, 1, 0, 1), (1, 0.0, 0, 1, 0, 1)],
+    [(6, 0.0, 0, 1, 1, 1), (5, 0.8, 0, 1, 0, 1), (4, 0.25, 0, 1, 0, 1), (200, 0.1, 0, 1, 0, 1), (3, 0.0, 0, 1, 0, 1),
+     (12, 0.0, 1, 0, 0, 0)],
+    [(12, 0.0, 1, 0, 0, 0), (4, 0.0, 0, 1, 1, 1), (9, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 1, 0, 1), (20, 0.0, 1, 0, 0, 0)],
+    [(9, 0.0, 1, 0, 0, 0), (30, 0.15, 0, 1, 0, 1), (1, 0.0, 0, 1, 0, 1), (10, 0.1, 1, 0, 0, 0)],
+    # long boilerplate without links: notices, sidebars, forms, comments
+    [(18, 0.0, 1, 0, 0, 0), (30, 0.05, 1, 0, 0, 0), (25, 0.0, 1, 0, 0, 0), (5, 0.0, 0, 1, 1, 1), (2, 0.0, 0, 1, 0, 1),
+     (44, 0.0, 1, 0, 0, 0), (7, 0.0, 1, 0, 1, 0), (80, 0.0, 1, 0, 0, 0), (22, 0.0, 1, 0, 0, 0), (1, 0.0, 1, 0, 0, 0)],
+    [(12, 0.0, 0, 1, 1, 1), (33, 0.0, 0, 1, 0, 1), (55, 0.0, 1, 0, 0, 0), (80, 0.0, 1, 0, 0, 0), (41, 0.0, 1, 0, 0, 0),
+     (9, 0.0, 1, 0, 0, 0), (100, 0.0, 1, 1, 0, 0), (6, 0.0, 0, 1, 0, 1), (130, 0.0, 1, 0, 0, 0), (3, 0.0, 1, 0, 0, 0)],
+    [(20, 0.0, 1, 0, 0, 0), (6, 0.0, 1, 0, 1, 0), (3, 0.0, 1, 0, 0, 0), (60, 0.0, 1, 0, 0, 0), (35, 0.0, 1, 0, 0, 0)],
     # unmarked blocks beside an article
     [(4, 0.0, 0, 0, 0, 0), (30, 0.0, 0, 0, 0, 0), (8, 0.0, 0, 1, 1, 1), (80, 0.0, 0, 1, 0, 1), (20, 0.0, 0, 1, 0, 1),
      (25, 0.2, 0, 0, 0, 0), (60, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 0, 0, 0)],

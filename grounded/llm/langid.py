@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grounded.llm.common import as_text, has_letter, hashed_share, map_batches
+from grounded.llm.common import as_text, has_letter, hashed_share, map_batches, with_fields
 
 UNKNOWN = "und"
 # Hashed n-grams: bigrams in the lower half of the bins, trigrams in the upper half.
@@ -188,7 +188,6 @@ def identify(documents: DataFrame, model: LanguageModel, keys: list[str], text:
     """``keys``, ``lang_pred``, ``score`` and ``ambiguous`` for every row, from the whole text alone."""
     rows = documents.select(*keys, F.col(text).alias("__in"))
     shared = documents.sparkSession.sparkContext.broadcast(model)      # BINS x bits numbers
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__in")
 
     def start():
         m = shared.value
@@ -198,7 +197,7 @@ def identify(documents: DataFrame, model: LanguageModel, keys: list[str], text:
             return [*batch.columns[:-1], *([f[i] for f in found] for i in range(3))]
         return fn
 
-    return map_batches(rows, start, f"{names}, lang_pred string, score double, ambiguous boolean")
+    return map_batches(rows, start, with_fields(rows.drop("__in"), "lang_pred string, score double, ambiguous boolean"))
 
 
 def rejected(lang: str = "lang_pred") -> Column:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grounded.llm.common import as_text, checkpointed, hashed_share, map_batches
+from grounded.llm.common import as_text, checkpointed, hashed_share, map_batches, with_fields
 
 # Labelled documents learned from: so many toxic ones, and twice as many others.
 SAMPLE = 3000
@@ -219,7 +219,6 @@ def score(documents: DataFrame, model: ToxicityModel, keys: list[str], text: str
     """``keys``, ``score`` and ``predicted`` for every row, from the whole text alone."""
     rows = documents.select(*keys, F.col(text).alias("__in"))
     shared = documents.sparkSession.sparkContext.broadcast(model)        # at most VOTERS terms
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__in")
 
     def start():
         m = shared.value
@@ -228,5 +227,5 @@ def score(documents: DataFrame, model: ToxicityModel, keys: list[str], text: str
             return [*batch.columns[:-1], [m.score(as_text(t)) for t in batch.columns[-1].to_pylist()]]
         return fn
 
-    return (map_batches(rows, start, f"{names}, score double")
+    return (map_batches(rows, start, with_fields(rows.drop("__in"), "score double"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))

@@ -1,0 +1,125 @@
+"""Jaccard join against brute force over all pairs, components, large groups in blocks, odd rows."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from grounded.llm import jaccard
+from grounded.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    n = min(5, len(w))
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def brute(rows):
+    """Per row: class id, links, other texts, smallest copy."""
+    sets = [shingles(t) for _, t in rows]
+    size = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    linked = [[j for j in range(len(rows)) if j != i and size(sets[i], sets[j]) >= 0.8] for i in range(len(rows))]
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        same = [rows[j][0] for j in range(len(rows)) if sets[j] == sets[i]] if sets[i] else [rows[i][0]]
+        out.append((rows[i][0], min(rows[j][0] for j in seen), len(linked[i]),
+                    len({sets[j] for j in linked[i]} - {sets[i]}), min(same)))
+    return sorted(out)
+
+
+def joined(df, **options):
+    return sorted((r.id, r.class_id, r.n_links, r.n_texts, r.copy_of) for r in jaccard.join(df, **options).collect())
+
+
+def family(rng, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10 ** 6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_the_table_as_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert joined(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_families_in_one_block_and_in_many(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for n, length, edits in ((60, 120, 6), (25, 40, 2), (5, 300, 20), (30, 9, 1)):
+        texts += family(rng, [f"w{rng.randrange(5000)}" for _ in range(length)], n, edits)
+    texts += texts[:20] + [" ".join(f"u{rng.randrange(9000)}" for _ in range(50)) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert joined(df) == want
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 10)
+    assert joined(df) == want
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "ONE\ttwo"), (6, "one two three"), (7, "a b c d e"), (7, "a b c d e"),
+            (8, "x " * 30000), (9, "x " * 20000)]
+    df = spark.createDataFrame([(*r, 0, "z") for r in rows], "doc_id long, text string, digest int, class_id string")
+    assert joined(df) == brute(rows)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert joined(df.limit(0)) == [] and jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    classes = {r[0]: r[1] for r in brute(rows)}
+    kept = sorted(r.doc_id for r in jaccard.one_of_each(df).collect())
+    assert kept == sorted(set(classes.values()))
+
+
+def test_prefix_shortens_to_the_recall():
+    for target in (0.5, 0.9, 0.99, 0.9999):
+        n = jaccard.prefix_length(recall=target)
+        assert jaccard.expected_recall(0.8, n) >= target
+        assert n == jaccard.LEVELS or jaccard.expected_recall(0.8, n + 1) < target
+
+
+def test_links_of_blocks():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) < 0.93], rng.integers(0, 1 << 60, 10, dtype=np.uint64)])) for _ in range(12)]
+    j = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = np.array([[i != k and j(a, b) >= 0.8 for k, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (jaccard.links_of(sets, None, 0.8) == want).all() and want.any()
+    assert (jaccard.links_of(sets[:5], sets[5:], 0.8) == want[:5, 5:]).all()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]
+    parent = {n: n for e in edges for n in e if n is not None}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        if a is not None and b is not None and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    sizes = Counter(find(n) for n in parent)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: find(n) for n in parent if sizes[find(n)] > 1}
