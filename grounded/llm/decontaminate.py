@@ -1,12 +1,13 @@
 """Operator 7: benchmark decontamination by rare n-gram seeds and local alignment.
 
 Test items are cut into word trigrams.  One pass over all documents counts in
-how many each trigram stands; the rarest ``SEEDS`` share of every item's own
-trigrams are its seeds, so that an item that leaked everywhere, or one of
-common words, keeps seeds too.  In a second pass a document that holds a seed
-is aligned with the seed's item by Smith-Waterman on words (match +1, mismatch
-and gap -1) around the seed; documents whose best alignment reaches
-``THRESHOLD`` of the item's length hold a copy of it, edited or not.
+how many each trigram stands; an item's seeds are its rare trigrams, where what
+counts as rare follows the item's own trigrams, so that an item that leaked
+everywhere, or one of common words, keeps seeds too.  In a second pass a
+document that holds a seed is aligned with the seed's item by Smith-Waterman on
+words (match +1, mismatch and gap -1) around the seed; documents whose best
+alignment reaches ``THRESHOLD`` of the item's length hold a copy of it, edited
+or not.
 
 Items are taken in blocks of bounded size, each of which goes to every task;
 documents are never shuffled.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from grounded.llm.common import as_schema, as_text, map_batches
 
 GRAM = 3
-SEEDS = 0.6
+# N-grams in at most so many documents are rare; so are those not far above this quantile of their item's n-grams.
+RARE, USUAL = 16, 0.85
 THRESHOLD = 0.4
 LEAST = 7
 # Characters of items in one block.
@@ -49,9 +51,9 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best local alignment score and the window position after its end (the first of equals)."""
     row, steps = np.zeros(len(window) + 1, np.int32), np.arange(len(window) + 1, dtype=np.int32)
     best, end = 0, 0
-    for w in item:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(row[:-1] + np.where(window == w, 1, -1), row[1:] - 1)
+    for gain in np.where(item[:, None] == window[None, :], 1, -1).astype(np.int32):
+        new = row - 1
+        np.maximum(new[1:], row[:-1] + gain, out=new[1:])
         np.maximum(new, 0, out=new)
         # Gaps along the window: the best of all earlier cells less their distance.
         row = np.maximum.accumulate(new + steps) - steps
@@ -112,17 +114,19 @@ class Items:
             index.append(k[right])
         return (np.concatenate(at), np.concatenate(index)) if at else (np.zeros(0, int), np.zeros(0, int))
 
-    def with_seeds(self, documents_with: np.ndarray, share: float) -> "Items":
-        """Only each item's rarest n-grams (the earlier of equals), at least eight of them where it has as many."""
-        rare = defaultdict(list)
+    def with_seeds(self, documents_with: np.ndarray) -> "Items":
+        """Only n-grams that are rare for their item: in at most ``RARE`` documents, or in no more than four times as
+        many as the item's n-gram at the ``USUAL`` quantile.
+
+        So a copy that leaked everywhere keeps its seeds, whichever part of the item it holds, as long as that is
+        more than the rest above the quantile; what goes are the few n-grams that are common by themselves."""
+        counts = defaultdict(list)
         for gram, places in enumerate(self.places):
-            for i, at in places:
-                rare[i].append((int(documents_with[gram]), at, gram))
-        kept = defaultdict(list)
-        for i, grams in rare.items():
-            for _, at, gram in sorted(grams)[:max(8, int(np.ceil(share * len(grams))))]:
-                kept[gram].append((i, at))
-        order = sorted(kept)
+            for i, _ in places:
+                counts[i].append(int(documents_with[gram]))
+        bound = {i: max(RARE, 4 * np.quantile(n, USUAL)) for i, n in counts.items()}
+        kept = [[(i, at) for i, at in places if documents_with[gram] <= bound[i]] for gram, places in enumerate(self.places)]
+        order = [gram for gram, places in enumerate(kept) if places and documents_with[gram]]
         return Items(self.ids, self.vocabulary, self.items, self.grams[order], [kept[g] for g in order])
 
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
@@ -200,7 +204,7 @@ def _counted(documents: DataFrame, text: str, items: Items) -> Items:
     documents_with = np.zeros(len(items.grams), np.int64)
     for r in counts:
         documents_with[r["gram"]] = r["n"]
-    return items.with_seeds(documents_with, SEEDS)
+    return items.with_seeds(documents_with)
 
 
 def seeded(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> list[Items]:

@@ -66,6 +66,15 @@ def test_an_item_that_leaked_into_most_documents_is_found(spark):
     assert {r.doc_id for r in dec.leaks(docs, bench).collect()} == {i for i in range(300) if i % 3}
 
 
+def test_a_widely_leaked_part_and_a_rare_edited_copy(spark):
+    words = [f"w{i}" for i in range(40)]
+    part, other = " ".join(words[:20]), " ".join(w if i % 5 else "zz" for i, w in enumerate(words))
+    rows = [(i, f"start {part} end {i}") for i in range(200)] + [(900, f"a {other} b")] + [(1000 + i, "w1 w2 w3 and so on") for i in range(500)]
+    got = dec.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {*range(200), 900}
+
+
 def test_blocks_of_items_give_the_same_rows(spark, monkeypatch):
     bench, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
     whole = sorted(map(tuple, dec.leaks(docs, bench).collect()))
