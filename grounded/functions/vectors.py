@@ -28,16 +28,23 @@ def densify_buckets(bucket_lists, dim: int) -> np.ndarray:
     return w
 
 
-def stack_vectors(vec_list) -> np.ndarray:
-    """List of array-likes -> (n, d) float64; rows of the wrong width become NaN rows."""
+def common_width(vec_list) -> int:
+    """The commonest vector length, the smaller of equally common ones (0 without vectors)."""
+    lens = [len(v) for v in vec_list if v is not None and len(v)]
+    if not lens:
+        return 0
+    widths, counts = np.unique(lens, return_counts=True)
+    return int(widths[np.argmax(counts)])
+
+
+def stack_vectors(vec_list, dim: int) -> np.ndarray:
+    """List of array-likes -> (n, dim) float64; only rows of another width (or NULL) become NaN rows."""
     n = len(vec_list)
-    if n == 0:
-        return np.zeros((0, 0))
-    d = max((len(v) for v in vec_list if v is not None), default=0)
-    out = np.full((n, d), np.nan)
-    for i, v in enumerate(vec_list):
-        if v is not None and len(v) == d:
-            out[i] = v
+    out = np.full((n, dim), np.nan)
+    lens = np.fromiter((-1 if v is None else len(v) for v in vec_list), dtype=np.int64, count=n)
+    right = np.flatnonzero(lens == dim) if dim else np.zeros(0, dtype=np.int64)
+    if len(right):
+        out[right] = np.stack([vec_list[i] for i in right]).astype(np.float64)
     return out
 
 
@@ -56,32 +63,48 @@ def round_scores(s: np.ndarray, digits: int) -> np.ndarray:
 
 
 class TopK:
-    """Running per-question top-k over a stream of candidate batches (bounded memory)."""
+    """Running per-question top-k over a stream of candidate batches (bounded memory).
+
+    Ids may be integers or strings; equal scores go to the smaller id."""
 
     def __init__(self, n_questions: int, k: int):
         self.k = k
         self.scores = np.full((n_questions, 0), -np.inf)
-        self.ids = np.zeros((n_questions, 0), dtype=np.int64)
+        self.ids = None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        q = scores.shape[0]
-        if scores.shape[1] == 0:
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Scores of (questions x candidates); ``rows`` names the questions if they are not all of them."""
+        if scores.size == 0:
             return
-        # cheap pre-selection: keep only the best k+ties columns per row
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, dtype=ids.dtype)
         if scores.shape[1] > self.k:
-            part = np.argpartition(-scores, self.k - 1, axis=1)[:, : self.k]
-            kth = np.take_along_axis(scores, part, axis=1).min(axis=1, keepdims=True)
-            keep = scores >= kth
-            # rows with many ties at the k-th score keep all tied columns
-            cols = np.nonzero(keep.any(axis=0))[0]
-            scores = scores[:, cols]
-            ids = ids[cols]
-        all_s = np.concatenate([self.scores, scores], axis=1)
-        all_i = np.concatenate([self.ids, np.broadcast_to(ids, (q, ids.shape[0]))], axis=1)
+            kth = np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
+            r, c = np.nonzero((scores >= kth) & (scores > -np.inf))       # ties at the k-th score stay
+        else:
+            r, c = np.nonzero(scores > -np.inf)
+        if not len(r):
+            return
+        counts = np.bincount(r, minlength=len(scores))
+        slot = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        new_s = np.full((len(scores), counts.max()), -np.inf)
+        new_i = np.zeros(new_s.shape, dtype=ids.dtype)
+        new_s[r, slot], new_i[r, slot] = scores[r, c], ids[c]
+        at = slice(None) if rows is None else rows
+        all_s = np.concatenate([self.scores[at], new_s], axis=1)
+        all_i = np.concatenate([self.ids[at], new_i], axis=1)
         order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(all_s, order, axis=1)
-        self.ids = np.take_along_axis(all_i, order, axis=1)
+        top_s, top_i = np.take_along_axis(all_s, order, axis=1), np.take_along_axis(all_i, order, axis=1)
+        if rows is None:
+            self.scores, self.ids = top_s, top_i
+            return
+        more = top_s.shape[1] - self.scores.shape[1]
+        if more > 0 or top_i.dtype != self.ids.dtype:
+            self.scores = np.pad(self.scores, ((0, 0), (0, max(more, 0))), constant_values=-np.inf)
+            self.ids = np.concatenate([self.ids, np.zeros((len(self.ids), max(more, 0)), dtype=top_i.dtype)], axis=1)
+        self.scores[rows], self.ids[rows] = top_s, top_i
 
     def items(self):
         qi, slot = np.nonzero(np.isfinite(self.scores))
-        return qi, self.ids[qi, slot], self.scores[qi, slot]
+        ids = self.ids[qi, slot] if self.ids is not None else np.zeros(0, dtype=np.int64)
+        return qi, ids, self.scores[qi, slot]

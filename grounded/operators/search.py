@@ -2,22 +2,23 @@
 
 Plan shape for a question set Q and a collection C:
 
-* Q is small and size-checked: it is collected in bounded batches and shipped
-  to executors as a broadcast variable (never C).
-* C is scanned once per question batch with ``mapInPandas``: every task scores
-  its rows against Q with one float64 matrix multiply per Arrow batch and keeps
-  a running per-question top-k, so a task emits at most |Q| * k rows.
-* A final ``row_number() <= k`` per question merges the per-task lists; Spark
-  plans a partial ``WindowGroupLimit`` before the shuffle.
-
-Filters and projections on C are applied before the Python stage so Catalyst
-pushes them into the Parquet scan; the payload is joined back to the winners
-only (late materialisation).
+* If Q, counted, fits the byte bound, it goes to the executors once as a broadcast
+  variable (never C).  C is scanned once with ``mapInPandas``: every task scores its
+  rows against Q with float64 matrix multiplies and keeps a running per-question
+  top-k, so a task emits at most |Q| * k rows.
+* A larger Q is never brought to the driver: question blocks and vector blocks of
+  bounded bytes meet in a cogroup, and each pair of blocks emits its top-k.
+* A final ``row_number() <= k`` per question merges the lists; Spark plans a partial
+  ``WindowGroupLimit`` before that shuffle.
+
+With pivots the search is IVF: a vector is multiplied only with the questions that
+probe its cell.  Filters and projections on C are applied before the Python stage so
+Catalyst pushes them into the Parquet scan; the payload is joined back to the winners
+only (late materialisation).  Ids of questions and vectors may be integers or strings.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grounded.config import SearchConfig
-from grounded.functions.vectors import TopK, densify_buckets, round_scores, stack_vectors, unit_rows
-from grounded.session import broadcast_if_bounded, materialize
+from grounded.functions.vectors import TopK, common_width, densify_buckets, round_scores, stack_vectors, unit_rows
+from grounded.session import materialize
 
-# Candidate score matrices are sliced to about this many cells per step.
+# Score matrices are sliced to about this many cells per step.
 _MAX_CELLS = 4_000_000
+# Dense bytes of the vectors, and of the questions, in one block of the cogroup.
+_BLOCK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -39,103 +42,125 @@ class VecCol:
     """How a DataFrame carries its vectors: a dense array column, or hashed bucket ids."""
     name: str
     kind: str = "dense"          # "dense" | "buckets"
-    dim: int | None = None       # required for "buckets"
+    dim: int | None = None       # declared width; required for "buckets"
 
-    def matrix(self, values) -> np.ndarray:
+    def matrix(self, values, dim: int | None = None) -> np.ndarray:
+        """Rows as float64; rows of another width than the declared one are NaN, all others unaffected."""
         if self.kind == "buckets":
             return densify_buckets(list(values), self.dim)
-        return stack_vectors(list(values))
+        return stack_vectors(list(values), self.dim or dim or 0)
 
 
 def _quantize(m: np.ndarray) -> np.ndarray:
     return np.floor(m * 127.0 + 0.5)
 
 
-def _score_kernel(qmat_b, qids_b, allowed_b, pivots_b, id_cols, vec: VecCol, cfg: SearchConfig,
-                  cell_col: str | None):
-    """Build the per-partition scoring function (closure over broadcast handles)."""
-    k = cfg.k
-    digits = cfg.round_digits
-    thr = cfg.threshold
-    budget = _MAX_CELLS              # captured at plan time: bounds every score matrix
+def id_type(df: DataFrame, col: str) -> T.DataType:
+    """Integers of any width are ids as LONG; everything else as STRING."""
+    t = df.schema[col].dataType
+    return T.LongType() if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else T.StringType()
 
-    def run(batches):
-        Q = qmat_b.value
-        qids = qids_b.value
-        allowed = allowed_b.value if allowed_b is not None else None
-        pivots = pivots_b.value if pivots_b is not None else None
-        nq = Q.shape[0]
-        keep = TopK(nq, k) if k else None
-        for pdf in batches:
-            if len(pdf) == 0:
+
+def _ids(values: pd.Series, t: T.DataType) -> np.ndarray:
+    return values.to_numpy(dtype=np.int64) if isinstance(t, T.LongType) else np.array(list(values), dtype=str)
+
+
+def _out(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(object) if ids.dtype.kind == "U" else ids
+
+
+def _with_id(df: DataFrame, id_col: str, out: str, *cols) -> DataFrame:
+    """``out`` (a LONG or STRING id) and ``cols``; rows without an id cannot be hits and are left out."""
+    return (df.select(F.col(id_col).cast(id_type(df, id_col)).alias(out), *cols)
+            .where(F.col(out).isNotNull()))
+
+
+def unscorable(df: DataFrame, id_col: str, vec: VecCol, dim: int) -> DataFrame:
+    """Reject frame: rows of a dense column that search never scores, with the reason."""
+    v = F.col(vec.name)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    reason = (F.when(F.col(id_col).isNull(), "no id").when(v.isNull(), "no vector")
+              .when(F.size(v) != dim, f"vector size is not {dim}").when(bad, "a component is missing")
+              .when(~F.exists(v, lambda x: x != 0), "zero vector"))
+    return df.select(F.col(id_col).cast("string").alias("id"), reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _found(q: DataFrame, q_id: str, c: DataFrame, c_id: str) -> T.StructType:
+    return T.StructType([T.StructField("qid", id_type(q, q_id)), T.StructField(c_id, id_type(c, c_id)),
+                         T.StructField("score", T.DoubleType())])
+
+
+class _Scorer:
+    """Scores blocks of vectors against a question matrix and keeps what the settings ask for."""
+
+    def __init__(self, Q, qids, cfg: SearchConfig, budget: int, allowed=None, coarse: int | None = None):
+        self.Q = _quantize(np.nan_to_num(Q)) if coarse else Q
+        self.qids, self.cfg, self.budget, self.allowed, self.coarse = qids, cfg, budget, allowed, coarse
+        k = coarse or cfg.k
+        self.top = TopK(len(qids), k) if k else None
+
+    def _scores(self, rows, V, ids) -> np.ndarray:
+        Q = self.Q if rows is None else self.Q[rows]
+        qids = self.qids if rows is None else self.qids[rows]
+        bad = np.isnan(V).any(axis=1)
+        if self.coarse:
+            S = Q @ np.nan_to_num(_quantize(V)).T
+            S[:, bad] = -np.inf
+        else:
+            S = round_scores(Q @ V.T, self.cfg.round_digits)
+            S[np.isnan(S)] = -np.inf
+            if self.cfg.threshold is not None:
+                S[S < self.cfg.threshold] = -np.inf
+        if self.cfg.exclude_self:
+            S[qids[:, None] == ids[None, :]] = -np.inf
+        return S
+
+    def add(self, V, ids, cells=None):
+        """Yields (question rows, ids, scores) at once if there is no k."""
+        if cells is None or self.allowed is None:
+            parts = [(None, slice(None))]
+        else:                                   # every cell only with the questions that probe it
+            order = np.argsort(cells, kind="stable")
+            cuts = np.flatnonzero(np.diff(cells[order])) + 1
+            parts = [(np.flatnonzero(self.allowed[:, cells[p[0]]]), p) for p in np.split(order, cuts) if len(p) and cells[p[0]] >= 0]
+        for rows, sel in parts:
+            if rows is not None and not len(rows):
                 continue
-            step = max(1, budget // max(nq, 1))
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo: lo + step]
-                ids = part[id_cols[0]].to_numpy(dtype=np.int64)
-                V = unit_rows(vec.matrix(part[vec.name]))
-                if V.shape[1] != Q.shape[1]:
-                    continue            # wrong dimension: never scores
-                S = round_scores(Q @ V.T, digits)
-                S[np.isnan(S)] = -np.inf
-                if thr is not None:
-                    S[S < thr] = -np.inf
-                if cfg.exclude_self:
-                    S[qids[:, None] == ids[None, :]] = -np.inf
-                if allowed is not None:
-                    if cell_col is not None:
-                        cells = part[cell_col].to_numpy()
-                        valid = ~pd.isna(cells)
-                        cells = np.where(valid, cells, 0).astype(np.int64)
-                    else:
-                        P = round_scores(V @ pivots.T, digits)
-                        valid = ~np.isnan(P).any(axis=1)
-                        cells = np.argmax(np.nan_to_num(P, nan=-np.inf), axis=1)
-                    ok = allowed[:, cells] & valid[None, :]
-                    S[~ok] = -np.inf
-                if keep is not None:
-                    keep.add(S, ids)
+            Vs, ids_s = V[sel], ids[sel]
+            step = max(1, self.budget // max(len(self.qids) if rows is None else len(rows), 1))
+            for lo in range(0, len(ids_s), step):
+                S = self._scores(rows, Vs[lo:lo + step], ids_s[lo:lo + step])
+                if self.top is not None:
+                    self.top.add(S, ids_s[lo:lo + step], rows)
                 else:
                     qi, cj = np.nonzero(np.isfinite(S))
                     if len(qi):
-                        yield pd.DataFrame({"qid": qids[qi], id_cols[0]: ids[cj], "score": S[qi, cj]})
-        if keep is not None:
-            qi, cid, sc = keep.items()
+                        yield (qi if rows is None else rows[qi]), ids_s[lo:lo + step][cj], S[qi, cj]
+
+    def rest(self):
+        if self.top is not None:
+            qi, ids, s = self.top.items()
             if len(qi):
-                yield pd.DataFrame({"qid": qids[qi], id_cols[0]: cid, "score": sc})
-
-    return run
-
-
-def _collect_questions(questions: DataFrame, q_id: str, q_vec: VecCol):
-    pdf = questions.select(q_id, q_vec.name).toPandas()
-    return pdf[q_id].to_numpy(dtype=np.int64), unit_rows(q_vec.matrix(pdf[q_vec.name]))
-
-
-def _question_batches(questions: DataFrame, q_id: str, dim_hint: int, cfg: SearchConfig,
-                      n: int | None = None) -> list[DataFrame]:
-    """Split the question set so each broadcast matrix stays under the byte bound."""
-    n = questions.count() if n is None else n
-    per_row = max(dim_hint, 1) * 8
-    max_rows = max(1, cfg.max_broadcast_bytes // per_row)
-    if n <= max_rows:
-        return [questions]
-    # Exact batches of at most max_rows: a global row index from per-partition
-    # counts (one row per partition) plus the position inside the partition.
-    tagged = materialize(questions.withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_mid", F.monotonically_increasing_id()), "question-batches")
-    counts = sorted((r["_pid"], r["count"]) for r in tagged.groupBy("_pid").count().collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets.append((pid, acc))
-        acc += c
-    off = tagged.sparkSession.createDataFrame(offsets, "_pid int, _off long")
-    idx = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    batched = (tagged.join(F.broadcast(off), "_pid")             # one row per partition
-               .withColumn("_qb", F.floor(idx / F.lit(max_rows)))
-               .drop("_pid", "_mid", "_off"))
-    nb = math.ceil(n / max_rows)
-    return [batched.where(F.col("_qb") == b).drop("_qb") for b in range(nb)]
+                yield qi, ids, s
+
+
+def _nearest_cell(V: np.ndarray, pivots: np.ndarray, digits: int) -> np.ndarray:
+    """Cell of every vector (ties to the lower cell); -1 for rows that cannot be scored."""
+    S = round_scores(V @ pivots.T, digits)
+    bad = np.isnan(S).any(axis=1)
+    return np.where(bad, -1, np.argmax(np.nan_to_num(S, nan=-np.inf), axis=1))
+
+
+def _probes(Q: np.ndarray, pivots: np.ndarray, nprobe: int, digits: int) -> np.ndarray:
+    """Boolean (questions x cells): the ``nprobe`` nearest cells per question, ties to the lower cell."""
+    S = round_scores(Q @ pivots.T, digits)
+    S[np.isnan(S)] = -np.inf
+    cells = np.broadcast_to(np.arange(pivots.shape[0]), S.shape)
+    order = np.lexsort((cells, -S), axis=1)[:, :nprobe]
+    allowed = np.zeros(S.shape, dtype=bool)
+    np.put_along_axis(allowed, order, True, axis=1)
+    allowed[np.isnan(Q).any(axis=1)] = False
+    return allowed
 
 
 def project_hits(hits: DataFrame, collection: DataFrame, c_id: str, payload: list[str],
@@ -154,16 +179,14 @@ def _rank(scored: DataFrame, id_col: str, k: int | None) -> DataFrame:
     return out.where(F.col("rk") <= k) if k else out
 
 
-def _probes(Q: np.ndarray, pivots: np.ndarray, nprobe: int, digits: int) -> np.ndarray:
-    """Boolean (questions x cells): the ``nprobe`` nearest cells per question, ties to the lower cell."""
-    S = round_scores(Q @ pivots.T, digits)
-    S[np.isnan(S)] = -np.inf
-    cells = np.broadcast_to(np.arange(pivots.shape[0]), S.shape)
-    order = np.lexsort((cells, -S), axis=1)[:, :nprobe]
-    allowed = np.zeros(S.shape, dtype=bool)
-    np.put_along_axis(allowed, order, True, axis=1)
-    allowed[np.isnan(Q).any(axis=1)] = False
-    return allowed
+def _width(questions: DataFrame, q_vec: VecCol, c_vec: VecCol) -> int:
+    """Declared width of the vectors; else the commonest one among the questions (a one-row aggregate)."""
+    declared = q_vec.dim or c_vec.dim
+    if declared:
+        return declared
+    row = (questions.where(F.size(q_vec.name) > 0).groupBy(F.size(q_vec.name).alias("d"))
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first())
+    return row["d"] if row else 0
 
 
 def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
@@ -174,50 +197,77 @@ def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
 
     Returns ``(qid, <c_id>, score, rk)``; ``score`` is rounded to
     ``cfg.round_digits`` and only scores ``>= cfg.threshold`` survive.  With
-    ``pivots`` the search is IVF: each question batch probes its ``cfg.nprobe``
-    nearest cells (computed from the already bounded batch), and with a stored
-    ``cell_col`` unprobed cells are pruned at the scan."""
+    ``pivots`` the search is IVF: each question probes its ``cfg.nprobe`` nearest
+    cells, and with a stored ``cell_col`` cells that no question probes are pruned
+    at the scan.  Questions beyond ``cfg.max_broadcast_bytes`` go through the
+    block cogroup, with the same results."""
     cfg.validate()
-    sc = spark.sparkContext
-    out_schema = T.StructType([T.StructField("qid", T.LongType()),
-                               T.StructField(c_id, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    cols = [F.col(c_id).cast("long").alias(c_id), F.col(c_vec.name)]
-    if cell_col is not None:
-        cols.append(F.col(cell_col))
-    coll = collection.select(*cols)
-    batches = _question_batches(questions, q_id, dim_hint, cfg, n_questions)
-    if len(batches) > 1:
-        coll = materialize(coll, "search-collection")    # scanned once per batch: derive it once
-    parts = []
-    for qb in batches:
-        qids, Q = _collect_questions(qb, q_id, q_vec)
-        if len(qids) == 0:
-            continue
-        allowed, scan = None, coll
-        if pivots is not None:
-            allowed = _probes(Q, pivots, cfg.nprobe, cfg.round_digits)
-            if cell_col is not None:
-                probed = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
-                scan = coll.where(F.col(cell_col).isin(probed))     # partition pruning on an IVF layout
-        fn = _score_kernel(sc.broadcast(Q), sc.broadcast(qids),
-                           sc.broadcast(allowed) if allowed is not None else None,
-                           sc.broadcast(pivots) if pivots is not None else None,
-                           [c_id], c_vec, cfg, cell_col)
-        parts.append(scan.mapInPandas(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rk", T.LongType()))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    n = questions.count() if n_questions is None else n_questions
+    if n * max(dim_hint, 1) * 8 > cfg.max_broadcast_bytes:
+        return block_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
+                            pivots=pivots, cell_col=cell_col)
+    scored = _broadcast_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, pivots, cell_col)
     return _rank(scored, c_id, cfg.k)
 
 
+def _broadcast_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, pivots=None, cell_col=None,
+                    coarse: int | None = None) -> DataFrame:
+    """One scan of the collection against questions that fit the byte bound."""
+    sc, qt, ct = spark.sparkContext, id_type(questions, q_id), id_type(collection, c_id)
+    dim = _width(questions, q_vec, c_vec)
+    rows = _with_id(questions, q_id, "qid", F.col(q_vec.name).alias("v")).toArrow()      # counted: within the bound
+    qids = _ids(pd.Series(rows.column("qid").to_pylist(), dtype=object), qt) if rows.num_rows else np.zeros(0, np.int64)
+    Q = unit_rows(q_vec.matrix(rows.column("v").to_pylist(), dim))
+    coll = _with_id(collection, c_id, c_id, F.col(c_vec.name).alias("_v"),
+                    *([F.col(cell_col).alias("_cell")] if cell_col else []))
+    allowed = None
+    if pivots is not None:
+        allowed = _probes(Q, pivots, cfg.nprobe, cfg.round_digits)
+        if cell_col is not None:
+            probed = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
+            coll = coll.where(F.col("_cell").isin(probed))              # partition pruning on an IVF layout
+    shared = sc.broadcast((Q, qids, allowed, pivots if cell_col is None else None))
+    budget, digits = _MAX_CELLS, cfg.round_digits
+
+    def run(batches):
+        Q, qids, allowed, pivots = shared.value
+        scorer = _Scorer(Q, qids, cfg, budget, allowed, coarse)
+        if not len(qids):
+            return
+
+        def frames(found):
+            for qi, ids, s in found:
+                yield pd.DataFrame({"qid": _out(qids[qi]), c_id: _out(ids), "score": s})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            V = unit_rows(c_vec.matrix(pdf["_v"], Q.shape[1]))
+            cells = None
+            if allowed is not None:
+                if pivots is not None:
+                    cells = _nearest_cell(V, pivots, digits)
+                else:
+                    cells = pdf["_cell"].fillna(-1).to_numpy(dtype=np.int64)
+            yield from frames(scorer.add(V, _ids(pdf[c_id], ct), cells))
+        yield from frames(scorer.rest())
+
+    return coll.mapInPandas(run, _found(questions, q_id, collection, c_id))
+
+
 # ---- IVF ---------------------------------------------------------------------
 
-def first_pivots(vectors: DataFrame, id_col: str, vec_col: str, nlist: int) -> DataFrame:
-    """Deterministic pivot sample: the ``nlist`` smallest ids (top-k, not a full sort)."""
-    return vectors.select(id_col, vec_col).orderBy(id_col).limit(nlist)
+def default_nlist(n_vectors: int) -> int:
+    """Cells of an index: the square root of the number of vectors."""
+    return max(1, int(np.ceil(np.sqrt(n_vectors))))
+
+
+def hash_pivots(vectors: DataFrame, id_col: str, vec_col: str, nlist: int | None = None) -> DataFrame:
+    """Reproducible pivots drawn from the whole table: the ``nlist`` rows of the smallest id hash, numbered ``cell``."""
+    nlist = default_nlist(vectors.count()) if nlist is None else nlist
+    h = F.md5(F.col(id_col).cast("string"))
+    chosen = vectors.select(id_col, vec_col, h.alias("_h")).orderBy("_h", id_col).limit(nlist)
+    return chosen.withColumn("cell", F.row_number().over(Window.orderBy("_h", id_col)) - 1).drop("_h")    # nlist rows
 
 
 def kmeans_pivots(vectors: DataFrame, vec_col: str, nlist: int, seed: int = 7) -> np.ndarray:
@@ -229,32 +279,24 @@ def kmeans_pivots(vectors: DataFrame, vec_col: str, nlist: int, seed: int = 7) -
     return unit_rows(np.array([c for c in model.clusterCenters()]))
 
 
-def pivot_matrix(pivots: DataFrame, id_col: str, vec: VecCol) -> np.ndarray:
-    """Pivots are bounded by ``nlist`` rows: safe to bring to the driver."""
-    pdf = pivots.orderBy(id_col).toPandas()
-    return unit_rows(vec.matrix(pdf[vec.name]))
+def pivot_matrix(pivots: DataFrame, vec: VecCol) -> np.ndarray:
+    """Pivots in the order of their cells; bounded by ``nlist`` rows, so safe to bring to the driver."""
+    rows = [r[vec.name] for r in pivots.orderBy("cell").collect()]
+    return unit_rows(vec.matrix(rows, common_width(rows)))
 
 
 def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray, digits: int = 6,
                  cell_col: str = "cell") -> DataFrame:
     """Index build: nearest pivot per vector (ties to the lower pivot), NULL if unscorable."""
-    spark = vectors.sparkSession
-    pb = spark.sparkContext.broadcast(pivots)
+    pb = vectors.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(vectors.schema.fields + [T.StructField(cell_col, T.IntegerType())])
 
     def run(batches):
         P = pb.value
         for pdf in batches:
-            V = unit_rows(vec.matrix(pdf[vec.name]))
-            if len(pdf) == 0:
-                continue
-            if V.shape[1] != P.shape[1]:
-                yield pdf.assign(**{cell_col: pd.array([None] * len(pdf), dtype="Int32")})
-                continue
-            S = round_scores(V @ P.T, digits)
-            bad = np.isnan(S).any(axis=1)
-            cell = np.argmax(np.nan_to_num(S, nan=-np.inf), axis=1)
-            yield pdf.assign(**{cell_col: pd.array(np.where(bad, None, cell), dtype="Int32")})
+            if len(pdf):
+                cell = _nearest_cell(unit_rows(vec.matrix(pdf[vec.name], P.shape[1])), P, digits)
+                yield pdf.assign(**{cell_col: pd.array(np.where(cell < 0, None, cell), dtype="Int32")})
 
     return vectors.mapInPandas(run, schema)
 
@@ -265,208 +307,144 @@ def ivf_search(spark: SparkSession, questions: DataFrame, collection: DataFrame,
     """Approximate search: probe the ``cfg.nprobe`` nearest cells, rescore exactly.
 
     With ``cell_col`` (a persisted index, ideally written ``partitionBy(cell)``)
-    unprobed cells are pruned at the scan; without it cells are computed in the
-    scoring task from the broadcast pivots."""
+    cells that no question probes are pruned at the scan; without it cells are
+    computed in the scoring task from the broadcast pivots."""
     return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
                      cfg=cfg, pivots=pivots, cell_col=cell_col, dim_hint=dim_hint)
 
 
+def with_int8(vectors: DataFrame, vec_col: str, out: str = "v8") -> DataFrame:
+    """The vector scaled to unit length and rounded to int8, as a column to store with the collection."""
+    v = F.col(vec_col)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    eight = F.transform(v, lambda x: F.floor(x.cast("double") / norm * 127.0 + 0.5).cast("tinyint"))
+    return vectors.withColumn(out, F.when(norm > 0, eight))
+
+
 def quantized_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
                      q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, candidates: int,
                      dim_hint: int = 768) -> DataFrame:
-    """int8 coarse pass selects ``candidates`` per question, full precision picks top k.
+    """An int8 coarse pass selects ``candidates`` per question, full precision picks top k.
 
-    Candidate lists are merged across tasks before rescoring so the coarse top-c
-    is global; the rescore joins the broadcast candidates (bounded by
-    |question batch| * candidates) against the collection scan."""
+    Candidate lists are merged across tasks before rescoring, so the coarse top is
+    global.  Candidates (at most |questions| * candidates rows) then fetch both
+    vectors by joins and are scored in full precision."""
     cfg.validate()
-    sc = spark.sparkContext
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    coll = collection.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec.name))
-    digits = cfg.round_digits
-    excl = cfg.exclude_self
-    budget = _MAX_CELLS
-    batches = _question_batches(questions, q_id, dim_hint, cfg)
-    if len(batches) > 1:
-        coll = materialize(coll, "search-collection")
-    parts = []
-    for qbatch in batches:
-        qids, Q = _collect_questions(qbatch, q_id, q_vec)
-        if len(qids) == 0:
-            continue
-        qb, ib = sc.broadcast(Q), sc.broadcast(qids)
-
-        def coarse(batches, qb=qb, ib=ib):
-            Qq = _quantize(np.nan_to_num(qb.value))
-            ids_q = ib.value
-            keep = TopK(len(ids_q), candidates)
-            step = max(1, budget // max(len(ids_q), 1))          # bounded score matrix per step
-            for pdf in batches:
-                for lo in range(0, len(pdf), step):
-                    part = pdf.iloc[lo: lo + step]
-                    ids = part[c_id].to_numpy(dtype=np.int64)
-                    V = unit_rows(c_vec.matrix(part[c_vec.name]))
-                    if len(part) == 0 or V.shape[1] != Qq.shape[1]:
-                        continue
-                    S = Qq @ np.nan_to_num(_quantize(V)).T
-                    S[:, np.isnan(V).any(axis=1)] = -np.inf
-                    if excl:
-                        S[ids_q[:, None] == ids[None, :]] = -np.inf
-                    keep.add(S, ids)
-            qi, cid, s = keep.items()
-            if len(qi):
-                yield pd.DataFrame({"qid": ids_q[qi], c_id: cid, "score": s})
-
-        cand = _rank(coll.mapInPandas(coarse, out_schema), c_id, candidates).drop("rk", "score")
-        with_vec = (coll.join(broadcast_if_bounded(cand, len(qids) * candidates), c_id)
-                    .select("qid", c_id, c_vec.name))
+    bounded = questions.count() * max(dim_hint, 1) * 8 <= cfg.max_broadcast_bytes
+    coarse_fn = _broadcast_scan if bounded else _block_scan
+    coarse = coarse_fn(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, coarse=candidates)
+    cand = _rank(coarse, c_id, candidates).select("qid", c_id)
+    dim, digits = _width(questions, q_vec, c_vec), cfg.round_digits
+    both = (cand.join(_with_id(collection, c_id, c_id, F.col(c_vec.name).alias("_cv")), c_id)
+            .join(_with_id(questions, q_id, "qid", F.col(q_vec.name).alias("_qv")), "qid"))
+
+    def rescore(batches):
+        for pdf in batches:
+            if len(pdf):
+                Q, V = unit_rows(q_vec.matrix(pdf["_qv"], dim)), unit_rows(c_vec.matrix(pdf["_cv"], dim))
+                yield pd.DataFrame({"qid": pdf["qid"], c_id: pdf[c_id],
+                                    "score": round_scores(np.einsum("ij,ij->i", Q, V), digits)})
 
-        def rescore(batches, qb=qb, ib=ib):
-            Qm = qb.value
-            pos = {int(q): r for r, q in enumerate(ib.value)}
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                V = unit_rows(c_vec.matrix(pdf[c_vec.name]))
-                rows = np.array([pos[int(q)] for q in pdf["qid"]])
-                s = round_scores(np.einsum("ij,ij->i", Qm[rows], V), digits)
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy(), c_id: pdf[c_id].to_numpy(), "score": s})
-
-        parts.append(with_vec.mapInPandas(rescore, out_schema))
-    if not parts:
-        return spark.createDataFrame([], "qid long, %s long, score double, rk long" % c_id)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    scored = both.mapInPandas(rescore, _found(questions, q_id, collection, c_id)).where(~F.isnan("score"))
     if cfg.threshold is not None:
         scored = scored.where(F.col("score") >= cfg.threshold)
     return _rank(scored, c_id, cfg.k)
 
 
-# ---- IVF index layout and the broadcast-free (cogroup) strategy ----------------
+# ---- IVF index layout and the block cogroup ------------------------------------
 
 def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.ndarray, path: str,
                     cell_col: str = "cell") -> str:
     """Write the collection partitioned by cell; searches then prune unprobed cells
     at the scan (``PartitionFilters``).  Unscorable vectors land in ``cell=NULL``
-    (the not-indexed partition)."""
+    (the not-indexed partition).  Rows are dealt by (cell, salt) first, so a cell is a
+    few files, and a cell with many rows several."""
     cols = [c_id, c_vec.name] + [c for c in collection.columns if c not in (c_id, c_vec.name)]
-    assign_cells(collection.select(*cols), c_vec, pivots, cell_col=cell_col) \
-        .write.mode("errorifexists").partitionBy(cell_col).parquet(path)
+    n = max(1, collection.sparkSession.sparkContext.defaultParallelism // 4)
+    (assign_cells(collection.select(*cols), c_vec, pivots, cell_col=cell_col)
+     .repartition(F.col(cell_col), F.pmod(F.xxhash64(c_id), F.lit(n)))
+     .write.mode("errorifexists").partitionBy(cell_col).parquet(path))
     return path
 
 
-def ivf_search_cogroup(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
-                       q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
-                       target_vectors: int = 100_000, target_questions: int = 2_000,
-                       cell_col: str | None = None) -> DataFrame:
-    """IVF without collecting questions: probes and vectors meet in a cogroup on
-    ``(cell, vector salt, question salt)``.
+def block_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
+                 q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | None = None,
+                 cell_col: str | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Search without bringing questions to the driver, exact or (with pivots) IVF.
+
+    Questions and vectors meet in a cogroup on (cell, vector block, question block);
+    exact search has a single cell.  Block counts come from per-cell cardinalities (one
+    row per cell), so a cell holding a third of the collection is split into many
+    groups of at most about ``block_bytes`` of dense vectors on either side.  Vectors are
+    repeated for each question block of their cell and probes for each vector block;
+    every group emits only its per-question top-k."""
+    return _rank(_block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, pivots, cell_col,
+                             block_bytes=block_bytes), c_id, cfg.k)
+
 
-    Salt counts come from per-cell cardinalities (at most ``nlist`` rows), so a
-    cell holding a third of the collection is split into many groups, each with
-    at most about ``target_vectors`` vectors and ``target_questions`` questions;
-    vectors are replicated over question salts and probes over vector salts.
-    Every group emits only its per-question top-k."""
+def _block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, pivots=None, cell_col=None,
+                coarse: int | None = None, block_bytes: int | None = None) -> DataFrame:
     cfg.validate()
-    digits, thr, k = cfg.round_digits, cfg.threshold, cfg.k
-    pb = spark.sparkContext.broadcast(pivots)
-    nprobe = cfg.nprobe
-    if cell_col is not None:          # persisted index: cells were assigned at build time
-        vecs = collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv"),
-                                 F.col(cell_col).cast("int").alias("cell")).where(F.col("cell").isNotNull())
-    else:                             # assigned here once; read twice (cell sizes and the cogroup)
-        vecs = materialize(assign_cells(
-            collection.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec.name).alias("cv")),
-            VecCol("cv", c_vec.kind, c_vec.dim), pivots).where(F.col("cell").isNotNull()), "ivf-cells")
-
-    probe_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
-                                 T.StructField("cell", T.IntegerType())])
-
-    def probe(batches):
-        P = pb.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = unit_rows(q_vec.matrix(pdf[q_vec.name]))
-            if Q.shape[1] != P.shape[1]:
-                continue
-            S = round_scores(Q @ P.T, digits)
-            S[np.isnan(S)] = -np.inf
-            order = np.lexsort((np.broadcast_to(np.arange(P.shape[0]), S.shape), -S), axis=1)[:, :nprobe]
-            ok = ~np.isnan(Q).any(axis=1)
-            rows = np.repeat(np.nonzero(ok)[0], nprobe)
-            yield pd.DataFrame({"qid": pdf[q_id].to_numpy(dtype=np.int64)[rows],
-                                "qv": list(Q[rows]), "cell": order[ok].reshape(-1).astype(np.int32)})
+    digits, nprobe, budget = cfg.round_digits, cfg.nprobe, _MAX_CELLS
+    dim = _width(questions, q_vec, c_vec)
+    qt, ct = id_type(questions, q_id), id_type(collection, c_id)
+    per_block = max(1, (block_bytes or _BLOCK_BYTES) // (8 * max(dim, 1)))
+    vecs = _with_id(collection, c_id, "cid", F.col(c_vec.name).alias("cv"),
+                    *([F.col(cell_col).cast("int").alias("cell")] if cell_col else []))
+    asks = _with_id(questions, q_id, "qid", F.col(q_vec.name).alias("qv"))
+    if pivots is None:
+        vecs, asks = vecs.withColumn("cell", F.lit(0)), asks.withColumn("cell", F.lit(0))
+    else:
+        pb = spark.sparkContext.broadcast(pivots)
+        if cell_col is None:
+            vecs = assign_cells(vecs, VecCol("cv", c_vec.kind, c_vec.dim or dim), pivots, digits)
 
-    probes = materialize(questions.select(q_id, q_vec.name).mapInPandas(probe, probe_schema), "ivf-probes")
+        def probe(batches):
+            for pdf in batches:
+                if len(pdf):
+                    allowed = _probes(unit_rows(q_vec.matrix(pdf["qv"], dim)), pb.value, nprobe, digits)
+                    rows, cells = np.nonzero(allowed)
+                    out = pdf.iloc[rows].copy()
+                    out["cell"] = cells.astype(np.int32)
+                    yield out
+
+        asks = asks.mapInPandas(probe, T.StructType([*asks.schema.fields, T.StructField("cell", T.IntegerType())]))
+    vecs = materialize(vecs.where(F.col("cell").isNotNull()), "search-vectors")    # read twice: sizes and blocks
+    asks = materialize(asks, "search-questions")
     vsizes = vecs.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
-    qsizes = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
-    salts = (vsizes.join(qsizes, "cell")      # bounded by nlist rows
-             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nv") / target_vectors)).cast("int").alias("vn"),
-                     F.greatest(F.lit(1), F.ceil(F.col("nq") / target_questions)).cast("int").alias("qn")))
-    salts = F.broadcast(salts)                 # at most nlist rows (one per cell)
-    vside = (vecs.join(salts, "cell")
-             .withColumn("vs", F.pmod(F.xxhash64("cid"), F.col("vn")).cast("int"))
-             .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
-             .select("cell", "vs", "qs", "cid", "cv"))
-    qside = (probes.join(salts, "cell")
-             .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int"))
-             .withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("vn") - 1)))
-             .select("cell", "vs", "qs", "qid", "qv"))
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    excl = cfg.exclude_self
-    cvec = VecCol("cv", c_vec.kind, c_vec.dim)
-    budget = _MAX_CELLS
+    qsizes = asks.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+    blocks = F.broadcast(vsizes.join(qsizes, "cell")                               # one row per cell
+                         .select("cell", F.ceil(F.col("nv") / per_block).cast("int").alias("vn"),
+                                 F.ceil(F.col("nq") / per_block).cast("int").alias("qn")))
+    vside = (vecs.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("cid"), F.col("vn")).cast("int"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("cell", "vb", "qb", "cid", "cv"))
+    qside = (asks.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int"))
+             .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vn") - 1))).select("cell", "vb", "qb", "qid", "qv"))
 
     def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(vpdf) == 0:
-            return pd.DataFrame({"qid": [], c_id: [], "score": []})
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        Q = stack_vectors(list(qpdf["qv"]))
-        keep = TopK(len(qids), k) if k else None
-        out_q, out_c, out_s = [], [], []
-        step = max(1, budget // max(len(qids), 1))               # bounded score matrix per step
-        for lo in range(0, len(vpdf), step):
-            part = vpdf.iloc[lo: lo + step]
-            ids = part["cid"].to_numpy(dtype=np.int64)
-            V = unit_rows(cvec.matrix(part["cv"]))
-            S = round_scores(Q @ V.T, digits)
-            S[np.isnan(S)] = -np.inf
-            if thr is not None:
-                S[S < thr] = -np.inf
-            if excl:
-                S[qids[:, None] == ids[None, :]] = -np.inf
-            if keep is not None:
-                keep.add(S, ids)
-            else:
-                qi, cj = np.nonzero(np.isfinite(S))
-                out_q.append(qids[qi]); out_c.append(ids[cj]); out_s.append(S[qi, cj])
-        if keep is not None:
-            qi, cid, sc = keep.items()
-            return pd.DataFrame({"qid": qids[qi], c_id: cid, "score": sc})
-        if not out_q:
+        qi, ids, s = [], [], []
+        qids = _ids(qpdf["qid"], qt)
+        if len(qpdf) and len(vpdf):
+            scorer = _Scorer(unit_rows(q_vec.matrix(qpdf["qv"], dim)), qids, cfg, budget, coarse=coarse)
+            V = unit_rows(c_vec.matrix(vpdf["cv"], dim))
+            for part in (*scorer.add(V, _ids(vpdf["cid"], ct)), *scorer.rest()):
+                qi.append(part[0]); ids.append(part[1]); s.append(part[2])
+        if not qi:
             return pd.DataFrame({"qid": [], c_id: [], "score": []})
-        return pd.DataFrame({"qid": np.concatenate(out_q), c_id: np.concatenate(out_c),
-                             "score": np.concatenate(out_s)})
+        return pd.DataFrame({"qid": _out(qids[np.concatenate(qi)]), c_id: _out(np.concatenate(ids)), "score": np.concatenate(s)})
 
-    scored = (qside.groupBy("cell", "vs", "qs").cogroup(vside.groupBy("cell", "vs", "qs"))
-              .applyInPandas(score, out_schema))
-    return _rank(scored, c_id, k)
+    return (qside.groupBy("cell", "vb", "qb").cogroup(vside.groupBy("cell", "vb", "qb"))
+            .applyInPandas(score, _found(questions, q_id, collection, c_id)))
 
 
 def search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str, q_vec: VecCol,
            c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | None = None,
-           cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
+           cell_col: str | None = None, dim_hint: int = 768, n_questions: int | None = None) -> DataFrame:
     """One entry point honouring the reference's search settings.
 
-    ``exact`` -> full scan (O15); otherwise IVF with ``nprobe`` cells (O16), the
-    beam's counterpart, falling back to exact when no pivots exist; ``indexed_only``
-    keeps vectors that have an index cell (O17); ``threshold`` (O18) and ``k``
-    apply in every mode.  Question sets above the broadcast bound go through the
-    salted cogroup form of IVF instead of repeated scans."""
+    ``exact`` -> full scan (O15); otherwise IVF with the beam's counterpart, ``nprobe``
+    cells (O16), and exact when no pivots exist; ``indexed_only`` keeps vectors that have
+    an index cell (O17); ``threshold`` (O18) and ``k`` apply in every mode."""
     if cfg.indexed_only:
         if cell_col is None:
             if pivots is None:
@@ -474,11 +452,8 @@ def search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
             collection = assign_cells(collection, c_vec, pivots)
             cell_col = "cell"
         collection = collection.where(F.col(cell_col).isNotNull())
-    if cfg.exact or pivots is None:
-        return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
-                         cfg=cfg, dim_hint=dim_hint)
-    if questions.count() * max(dim_hint, 1) * 8 > cfg.max_broadcast_bytes:
-        return ivf_search_cogroup(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec,
-                                  cfg=cfg, pivots=pivots, cell_col=cell_col)
-    return ivf_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
-                      pivots=pivots, cell_col=cell_col, dim_hint=dim_hint)
+    if cfg.exact:
+        pivots = cell_col = None
+    return nn_search(spark, questions, collection, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
+                     pivots=pivots, cell_col=cell_col if pivots is not None else None, dim_hint=dim_hint,
+                     n_questions=n_questions)

@@ -138,10 +138,11 @@ def knn_self(k: int | None, threshold: float | None, cand_where: str = "true", s
   WHERE score IS NOT NULL {thr}) {lim})"""
 
 
-def ivf(nprobe: int, nlist: int = 32, k: int = 10, threshold: float = 0.3) -> str:
-    """fixed pivots = the nlist smallest ids; cell = best pivot (ties to the lower one)."""
-    return f"""(WITH piv AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding
-                  FROM (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT {nlist})),
+def ivf(nprobe: int, k: int = 10, threshold: float = 0.3) -> str:
+    """pivots = the sqrt(n) rows of the smallest id hash; cell = best pivot (ties to the lower one)."""
+    return f"""(WITH piv AS (SELECT cell, embedding FROM (
+                    SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding FROM embeddings)
+                  WHERE cell < (SELECT ceil(sqrt(count(*))) FROM embeddings)),
      sim AS (SELECT e.vec_id, p.cell, {cos('e.embedding', 'p.embedding')} AS s FROM embeddings e, piv p),
      rnk AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS r FROM sim),
      cand AS (SELECT p.vec_id AS qid, a.vec_id FROM rnk p JOIN rnk a ON p.cell = a.cell

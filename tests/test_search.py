@@ -79,7 +79,7 @@ def test_ivf_all_cells_equals_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(80)]
     df = frame(spark, rows)
-    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 6), "id", VC)
+    piv = srch.pivot_matrix(srch.hash_pivots(df, "id", "v", 6), VC)
     cfg = SearchConfig(k=5, threshold=0.3, nprobe=6, exclude_self=True)
     ivf = srch.ivf_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv, dim_hint=3)
     exact = srch.nn_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, dim_hint=3)
@@ -132,11 +132,11 @@ def test_ivf_cogroup_salted_equals_broadcast(spark):
     # a hot cell: a third of the vectors sit next to pivot 0
     rows += [(1000 + i, (np.array([5.0, 0, 0, 0]) + rng.normal(scale=0.3, size=4)).tolist()) for i in range(60)]
     df = frame(spark, rows)
-    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 5), "id", VC)
+    piv = srch.pivot_matrix(srch.hash_pivots(df, "id", "v", 5), VC)
     cfg = SearchConfig(k=4, threshold=0.2, nprobe=2, exclude_self=True)
     a = srch.ivf_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv, dim_hint=4)
-    b = srch.ivf_search_cogroup(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv,
-                                target_vectors=7, target_questions=9)
+    b = srch.block_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv,
+                          block_bytes=7 * 4 * 8)
     key = lambda d: sorted((r.qid, r.id, r.score, r.rk) for r in d.collect())
     assert key(a) == key(b) and len(key(a)) > 0
 
@@ -157,7 +157,7 @@ def test_search_dispatch_modes(spark):
     rng = np.random.default_rng(21)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(999, [0.0, 0.0, 0.0])]
     df = frame(spark, rows)
-    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 4), "id", VC)
+    piv = srch.pivot_matrix(srch.hash_pivots(df, "id", "v", 4), VC)
     base = SearchConfig(k=3, threshold=0.2, nprobe=4, exclude_self=True)
     run_ = lambda cfg, p=piv: sorted((r.qid, r.id, r.score) for r in srch.search(
         spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=p, dim_hint=3).collect())
@@ -219,19 +219,71 @@ def test_broadcast_only_within_counted_bound(spark):
     assert "broadcast" not in big.join(spark.range(3), "id")._jdf.queryExecution().analyzed().toString().lower()
 
 
-def test_question_batches_exact_bound(spark):
-    from grounded.operators.search import _question_batches
-    df = spark.range(0, 103).withColumnRenamed("id", "qid").repartition(7)
-    cfg = SearchConfig(max_broadcast_bytes=8 * 4 * 10)          # 10 rows of dim 4 per batch
-    sizes = [b.count() for b in _question_batches(df, "qid", 4, cfg)]
-    assert max(sizes) <= 10 and sum(sizes) == 103 and len(sizes) == 11
+MIXED = [(10, [1.0, 0.1, 0.0]), (11, [1.0, 0.1, 0.0]), (12, [0.5, 0.5, 0.0]), (13, [9.0] * 7), (14, [1.0, 1.0]), (15, None),
+         (16, [0.0, 0.0, 0.0]), (17, []), (None, [1.0, 0.0, 0.0])]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_a_row_of_another_width_is_the_only_one_left_out(spark, order):
+    qs = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.2]), (3, [1.0] * 9), (4, None)]
+    cfg = SearchConfig(k=5, threshold=0.1)
+    good = [(i, v) for i, v in MIXED if i is not None and v is not None and len(v) == 3]
+    want = brute([q for q in qs if q[1] is not None and len(q[1]) == 3], good, 5, 0.1)
+    cs, qs = MIXED[::order], qs[::order]
+    vc = srch.VecCol("v", dim=3)
+    q, c = frame(spark, qs).coalesce(1), frame(spark, cs).coalesce(1)
+    for small in (1 << 20, 1):                                # broadcast and block form
+        got = srch.nn_search(spark, q, c, q_id="id", q_vec=vc, c_id="id", c_vec=vc, dim_hint=3,
+                             cfg=SearchConfig(k=5, threshold=0.1, max_broadcast_bytes=small))
+        assert sorted((r.qid, r.id, r.score, r.rk) for r in got.collect()) == want
+    assert run(spark, qs[:2] if order == 1 else qs[2:], cs, cfg) == want     # width from the questions
+    cells = {r.id: r.cell for r in srch.assign_cells(c, vc, np.eye(3)).collect()}
+    assert {i for i, cell in cells.items() if cell is None} == {13, 14, 15, 16, 17}
+    rejects = {(r.id, r.reason) for r in srch.unscorable(c, "id", vc, 3).collect()}
+    assert rejects == {("13", "vector size is not 3"), ("14", "vector size is not 3"), ("15", "no vector"), ("16", "zero vector"),
+                       ("17", "vector size is not 3"), (None, "no id")}
+
+
+def test_string_ids(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.9, 0.1]), ("long-name", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    vc = srch.VecCol("v", dim=2)
+    piv = np.eye(2)
+    for bound in (1 << 20, 1):
+        for pivots in (None, piv):
+            got = srch.search(spark, df, df, q_id="id", q_vec=vc, c_id="id", c_vec=vc, pivots=pivots, dim_hint=2,
+                              cfg=SearchConfig(k=2, threshold=0.5, nprobe=2, exclude_self=True, max_broadcast_bytes=bound))
+            assert sorted((r.qid, r.id, r.rk) for r in got.collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("b", "c", 2),
+                                                                          ("c", "a", 1), ("c", "b", 2)]
+
+
+@pytest.mark.parametrize("name", ["search_knn_exact", "search_filtered", "search_project", "search_best_hit", "search_threshold",
+                                  "search_indexed_only", "search_ann_ivf", "search_ivf_index", "search_quantized"])
+def test_queries_without_any_broadcast(spark, monkeypatch, name):
+    """The same rows when no question fits the broadcast bound."""
+    from dataclasses import replace
+
+    from grounded.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = key(catalog.QUERIES[name](spark, sf))
+    tiny = lambda *a, **k: replace(SearchConfig(*a, **k), max_broadcast_bytes=1)
+    monkeypatch.setattr(catalog, "SearchConfig", tiny)
+    monkeypatch.setattr(catalog, "KNN", replace(catalog.KNN, max_broadcast_bytes=1))
+    monkeypatch.setattr(srch, "_BLOCK_BYTES", 100 * 64 * 8)
+    assert key(catalog.QUERIES[name](spark, sf)) == want and want
+
+
+def test_int8_column_is_the_coarse_pass(spark):
+    df = frame(spark, [(1, [3.0, 4.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0]), (4, None)])
+    assert {r.id: r.v8 for r in srch.with_int8(df, "v").collect()} == {1: [76, 102], 2: [-127, 0], 3: None, 4: None}
 
 
 def test_score_matrix_slicing_does_not_change_results(spark, monkeypatch):
     rng = np.random.default_rng(23)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(70)]
     df = frame(spark, rows)
-    piv = srch.pivot_matrix(srch.first_pivots(df, "id", "v", 3), "id", VC)
+    piv = srch.pivot_matrix(srch.hash_pivots(df, "id", "v", 3), VC)
     cfg = SearchConfig(k=3, threshold=0.1, nprobe=2, exclude_self=True)
     key = lambda d: sorted((r.qid, r.id, r.score, r.rk) for r in d.collect())
 
@@ -240,8 +292,7 @@ def test_score_matrix_slicing_does_not_change_results(spark, monkeypatch):
                 key(srch.quantized_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC,
                                           cfg=SearchConfig(k=3, threshold=None, exclude_self=True), candidates=9,
                                           dim_hint=4)),
-                key(srch.ivf_search_cogroup(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg,
-                                            pivots=piv)))
+                key(srch.block_search(spark, df, df, q_id="id", q_vec=VC, c_id="id", c_vec=VC, cfg=cfg, pivots=piv)))
 
     whole = all_three()
     monkeypatch.setattr(srch, "_MAX_CELLS", 50)        # a few rows per score matrix
