@@ -40,6 +40,7 @@ class TextConfig:
 @dataclass(frozen=True)
 class EmbedConfig:
     dim: int = DEFAULT_VECTOR_SIZE
+    model: str = "standin-embedding"
     strip_newlines: bool = True
 
     def validate(self) -> "EmbedConfig":
@@ -104,13 +105,14 @@ class EngineConfig:
         return self
 
     @staticmethod
-    def load(path: str) -> "EngineConfig":
+    def load(path: str, store_section: str = "vector_store") -> "EngineConfig":
         with open(path, encoding="utf-8") as fh:
             raw = json.load(fh)
-        return EngineConfig.from_dict(raw)
+        return EngineConfig.from_dict(raw, store_section)
 
     @staticmethod
-    def from_dict(raw: dict) -> "EngineConfig":
+    def from_dict(raw: dict, store_section: str = "vector_store") -> "EngineConfig":
+        """``store_section`` names the section of the vector store's settings."""
         q = raw.get("query", {})
         ans = AnswerConfig(
             main_model=q.get("main_model_name", AnswerConfig.main_model),
@@ -120,9 +122,9 @@ class EngineConfig:
             input_temperature=float(q.get("input_guardrail_temperature", 0.0)),
             output_temperature=float(q.get("output_guardrail_temperature", 0.0)),
         )
-        # the collection lives in whichever section names it (vector store settings)
-        store = next((v for v in raw.values() if isinstance(v, dict) and "collection_name" in v), {})
-        return EngineConfig(collection=store.get("collection_name", "rag"), answer=ans).validate()
+        store = raw.get(store_section, {})
+        embed = EmbedConfig(model=raw.get("embedding", {}).get("model_name", EmbedConfig.model))
+        return EngineConfig(collection=store.get("collection_name", "rag"), embed=embed, answer=ans).validate()
 
     def to_dict(self) -> dict:
         return asdict(self)

@@ -5,6 +5,7 @@ request DataFrame.  Only retrieval shuffles; completion and guards are narrow.""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from grounded.functions import text as tf
 from grounded.operators import context as ctxop
 from grounded.operators import generate, guard
 from grounded.operators import text as txt
-from grounded.operators.search import VecCol, nn_search
+from grounded.operators import embed
+from grounded.operators.search import VecCol, project_hits, search
 from grounded.session import MAX_BROADCAST_ROWS, broadcast_if_bounded
 
 # ---- fixed values -------------------------------------------------------------
@@ -54,9 +56,12 @@ def build_chunk_index(spark: SparkSession, docs: DataFrame, path: str, ecfg: Emb
 
 def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str, q_text: str,
              cfg: SearchConfig, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig(),
-             index: DataFrame | None = None) -> DataFrame:
+             index: DataFrame | None = None, pivots=None, cell_col: str | None = None) -> DataFrame:
     """O04 + O07 + O14 + O18 + O20: questions x token-window chunks of ``docs(doc_id, text)``.
 
+    The search honours ``cfg`` (``search.search``): approximate with ``pivots`` unless ``exact``, only indexed
+    chunks with ``indexed_only`` and an index that has a cell column.
+
     Returns ``(qid, doc_id, i, chunk, score, rk)``.  Scoring reads only window
     ids and hashed tokens.  The winners (bounded by |questions| * k) are then
     broadcast against the document scan and only each winner's own window text
@@ -65,8 +70,9 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
     cvec = index if index is not None else chunk_index(docs, ecfg, tcfg)
     n_q = questions.count()
-    hits = nn_search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim),
-                     c_id="chunk_id", c_vec=VecCol("cb", "buckets", dim), cfg=cfg, dim_hint=dim, n_questions=n_q)
+    hits = search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim), c_id="chunk_id",
+                  c_vec=VecCol("cb", "buckets", dim), cfg=cfg, pivots=pivots, cell_col=cell_col, dim_hint=dim,
+                  n_questions=n_q)
     hits = hits.select("qid", F.shiftright("chunk_id", CHUNK_ID_BITS).alias("doc_id"),
                        F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
@@ -100,7 +106,7 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
     ctx = ctxop.context_top1(qs, hits, q_key, ["doc_id", "i"])
     prompts = ctxop.build_prompt(ctx, q_text, "ctx")
     done = generate.complete(prompts, "prompt", model, answer_cfg.main_temperature)
-    checked = guard.guard_response(done.drop("error"), "completion", output_guard, q_key)
+    checked = guarded(done, output_guard, q_key)
     out = (checked.withColumn("has_context", F.col("ctx") != "")
            .withColumn("prompt_tokens", F.size(tf.tokens("prompt")).cast("long")))
     if refused is not None:
@@ -108,6 +114,15 @@ def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame,
     return response_status(out, "answer", "error")
 
 
+def guarded(done: DataFrame, output_guard: guard.GuardProvider, q_key: str) -> DataFrame:
+    """O27 on completed rows.  A row whose model failed keeps the model's own error: it has nothing to guard."""
+    checked = guard.guard_response(done.withColumnRenamed("error", "_model_error"), "completion", output_guard, q_key)
+    failed = F.col("_model_error").isNotNull()
+    return (checked.withColumn("answer", F.when(~failed, F.col("answer")))
+            .withColumn("verdict", F.when(~failed, F.col("verdict")))
+            .withColumn("error", F.coalesce("_model_error", "error")).drop("_model_error"))
+
+
 def plain_answer(df: DataFrame, *, q_key: str = "item_id", q_text: str = "text",
                  answer_cfg: AnswerConfig = AnswerConfig(),
                  model: generate.CompletionProvider | None = None,
@@ -120,8 +135,7 @@ def plain_answer(df: DataFrame, *, q_key: str = "item_id", q_text: str = "text",
     refused = req.where(~F.col("passed")).select(q_key, F.lit(None).cast("string").alias("answer"), "error")
     ok = req.where(F.col("passed")).select(q_key, F.col("query_out").alias("prompt"))
     done = generate.complete(ok, "prompt", model, answer_cfg.main_temperature)
-    checked = (guard.guard_response(done.drop("error"), "completion", output_guard, q_key)
-               .select(q_key, "answer", "error"))
+    checked = guarded(done, output_guard, q_key).select(q_key, "answer", "error")
     return response_status(checked.unionByName(refused), "answer", "error")
 
 
@@ -134,28 +148,56 @@ def response_status(df: DataFrame, answer_col: str = "answer", error_col: str =
             .withColumn("body", F.coalesce(body, F.col(answer_col))))
 
 
+def _decoded(body: str | None) -> tuple[int, str | None]:
+    """One request body as the service's decoder reads it: the first JSON value; keys in any case; every
+    occurrence of the key counts in turn, the last one wins and a null leaves what was there."""
+    import json
+
+    def refuse(_):
+        raise ValueError("not JSON")
+
+    try:
+        pairs, _ = json.JSONDecoder(object_pairs_hook=lambda p: ("object", p), parse_constant=refuse).raw_decode((body or "").lstrip(" \t\r\n"))
+    except (ValueError, RecursionError):
+        return STATUS_BAD_REQUEST, None
+    if pairs is None:
+        return STATUS_OK, ""
+    if not (isinstance(pairs, tuple) and pairs[0] == "object"):
+        return STATUS_BAD_REQUEST, None
+    query = ""
+    for k, v in pairs[1]:
+        if k.lower() == QUERY_KEY and v is not None:
+            if not isinstance(v, str):
+                return STATUS_BAD_REQUEST, None
+            query = v
+    return STATUS_OK, query
+
+
 def decode_request(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """JSON body -> query.  Malformed JSON or a non-object body -> 400 (a JSON
-    ``null`` body is an empty request); the key matches case-insensitively, an
-    exact match first; a missing or null value gives ``''``; a non-string value -> 400."""
-    v = F.try_parse_json(F.col(body_col))
-    kind = F.schema_of_variant(v)
-    is_obj = kind.startswith("OBJECT")
-    # case-insensitive key lookup: first key equal to 'query' ignoring case, exact match preferred
-    obj = F.try_variant_get(v, "$", "map<string,variant>")
-    keys = F.map_keys(obj)
-    exact = F.array_contains(keys, F.lit(QUERY_KEY))
-    ci = F.filter(keys, lambda k: F.lower(k) == F.lit(QUERY_KEY))
-    key = F.when(exact, F.lit(QUERY_KEY)).otherwise(F.try_element_at(ci, F.lit(1)))
-    val = F.try_element_at(obj, key)
-    val_kind = F.schema_of_variant(val)
-    is_str = val_kind == "STRING"
-    is_null = val.isNull() | F.is_variant_null(val)
-    query = F.when(key.isNull() | is_null, F.lit("")).otherwise(F.try_variant_get(val, "$", "string"))
-    # a JSON null body decodes into an empty request (empty query), not an error
-    bad = v.isNull() | (~is_obj & ~F.is_variant_null(v)) | (key.isNotNull() & ~is_null & ~is_str)
-    return (df.withColumn("status", F.when(bad, F.lit(STATUS_BAD_REQUEST)).otherwise(F.lit(STATUS_OK)))
-            .withColumn("query", F.when(~bad, query)))
+    """JSON body -> query.  Malformed JSON or a non-object body -> 400 (a JSON ``null`` body is an empty
+    request); a missing or null value gives ``''``; a non-string value -> 400.  Built-in JSON functions drop
+    repeated keys or their order, so bodies are decoded per Arrow batch."""
+    @F.pandas_udf("status int, query string")
+    def decode(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_decoded(b) for b in bodies], columns=["status", "query"])
+
+    return df.withColumn("_d", decode(F.col(body_col))).select(*df.columns, "_d.status", "_d.query")
+
+
+def answer_from_collection(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_key: str = "item_id",
+                           q_text: str = "text", cfg: SearchConfig = SearchConfig(k=1), dim: int = 768,
+                           pivots=None, cell_col: str | None = None,
+                           model: generate.CompletionProvider | None = None,
+                           guard_provider: guard.GuardProvider | None = None) -> DataFrame:
+    """O33 over a stored collection (``point_id``, ``path``, ``chunk``, ``embedding``): embed the question, search
+    the stored vectors, answer from the stored chunk.  Nothing is embedded or read from the corpus again."""
+    asked = embed.dense_embed(questions.select(q_key, q_text), q_text, out="qv", cfg=EmbedConfig(dim=dim), float32=False)
+    hits = search(spark, asked, collection, q_id=q_key, q_vec=VecCol("qv", dim=dim), c_id="point_id",
+                  c_vec=VecCol("embedding", dim=dim), cfg=cfg, pivots=pivots, cell_col=cell_col, dim_hint=dim)
+    found = project_hits(hits, collection, "point_id", ["path", "chunk"])
+    ctx = ctxop.context_top1(questions.select(q_key, q_text), found, q_key, ["point_id", "path"])
+    done = generate.complete(ctxop.build_prompt(ctx, q_text, "ctx"), "prompt", model)
+    return response_status(guarded(done, guard_provider or guard.RuleGuard(), q_key), "answer", "error")
 
 
 def answer_batch(spark: SparkSession, requests: DataFrame, docs: DataFrame, *, q_key: str = "item_id",

@@ -68,12 +68,15 @@ def hashed_sparse(df: DataFrame, keys: list[str], text_col: str, cfg: EmbedConfi
 
 
 def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None = None,
-                out: str = "embedding", cfg: EmbedConfig = EmbedConfig(), float32: bool = True) -> DataFrame:
+                out: str = "embedding", cfg: EmbedConfig = EmbedConfig(), float32: bool = True,
+                error_col: str | None = None) -> DataFrame:
     """Dense embedding of a text column, ``ARRAY<FLOAT>`` by default (the
     collection's storage type; ``float32=False`` keeps doubles).
 
     With the stand-in provider, bucket ids are computed in the JVM and only the
-    bincount/normalise step runs in Python; other providers get the raw text."""
+    bincount/normalise step runs in Python; other providers get the raw text.  A provider that
+    fails on a batch is asked row by row; rows it fails on get a NULL vector (which the dimension gate
+    rejects) and, with ``error_col``, the error."""
     cfg.validate()
     dim = cfg.dim
     np_type = np.float32 if float32 else np.float64
@@ -95,24 +98,40 @@ def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
                 yield res
         return staged.mapInPandas(run, schema)
 
-    cols = [f.name for f in schema.fields[:-1]]
+    cols = [f.name for f in df.schema.fields if f.name != "_embed_text"]
+
+    def one(text):
+        try:
+            return np.asarray(provider.embed(pd.Series([text]))[0], dtype=np_type), None
+        except Exception as exc:  # noqa: BLE001 - the row carries the error
+            return None, f"embedding failed: {exc}"
 
     def run_provider(batches):
         for pdf in batches:
-            m = np.asarray(provider.embed(pdf[src]), dtype=np_type)
             res = pdf[cols].copy()
-            res[out] = list(m)
+            try:
+                vectors, errors = list(np.asarray(provider.embed(pdf[src]), dtype=np_type)), [None] * len(pdf)
+            except Exception:  # noqa: BLE001 - one bad row must not take its batch with it
+                vectors, errors = map(list, zip(*[one(t) for t in pdf[src]])) if len(pdf) else ([], [])
+            res[out] = vectors
+            if error_col:
+                res[error_col] = errors
             yield res
+
+    if error_col:
+        schema = T.StructType([*schema.fields, T.StructField(error_col, T.StringType())])
     return df.mapInPandas(run_provider, schema)
 
 
 def knowledge_items(chunks: DataFrame, keys: list[str], chunk_col: str, path_col: str | None,
-                    cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """Chunk, source document and vector travel as columns of one row.
-
-    Returned scalars describe the vector (tokens embedded, non-zero buckets) so
-    the result stays comparable without shipping 768-wide arrays."""
-    b = tf.token_buckets(tf.strip_newlines(chunk_col) if cfg.strip_newlines else F.col(chunk_col), cfg.dim)
+                    cfg: EmbedConfig = EmbedConfig(), provider: EmbeddingProvider | None = None) -> DataFrame:
+    """Chunk, source document and vector travel as columns of one row."""
     src = F.col(path_col) if path_col else F.lit("")
-    return chunks.select(*keys, src.alias("source_document"), F.col(chunk_col).alias("chunk"),
-                         F.size(b).cast("long").alias("n_tokens"), F.size(F.array_distinct(b)).alias("nnz"))
+    return dense_embed(chunks.select(*keys, src.alias("source_document"), F.col(chunk_col).alias("chunk")), "chunk",
+                       provider, cfg=cfg)
+
+
+def checksum(vec_col: str) -> F.Column:
+    """A number that changes with any component of a vector, for comparing stored vectors."""
+    weighted = F.transform(vec_col, lambda x, i: x.cast("double") * (i % 7 + 1))
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4)

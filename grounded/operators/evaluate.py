@@ -6,11 +6,11 @@ contains the question verbatim); documents are shingled at every token position
 with the anchor lengths in use, equi-joined on the shingle hash against the
 broadcast anchors, and candidate pairs are verified with an exact substring test.
 
-Completeness: a question of three or more tokens is found wherever it occurs
-verbatim (its interior tokens are whitespace-bounded in any containing text).
-A one- or two-token question is found only where it is token-aligned ("beta"
-inside "alphabeta" is not gold); finding those exactly would need a nested-loop
-substring test over every (question, document) pair.
+Completeness: a question of ``TOKEN_ANCHORED`` or more tokens is found wherever it
+occurs verbatim (its interior tokens are whitespace-bounded in any containing
+text).  A shorter one contributes its first characters instead, at most
+``ANCHOR_CHARS`` of them, and documents are shingled at every character with the
+lengths in use; so it is found inside longer words too.
 """
 
 from __future__ import annotations
@@ -22,20 +22,25 @@ from grounded.functions import text as tf
 from grounded.session import broadcast_if_bounded
 
 ANCHOR_TOKENS = 8
+TOKEN_ANCHORED = 5
+ANCHOR_CHARS = 24
 
 
 def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
                      d_key: str = "doc_id", d_text: str = "text") -> DataFrame:
     # every token is hashed once; shingles hash slices of those longs
-    qt = questions.select(q_key, F.transform(tf.tokens(q_text), lambda t: F.xxhash64(t)).alias("_t"))
+    qt = questions.select(q_key, q_text, F.transform(tf.tokens(q_text), lambda t: F.xxhash64(t)).alias("_t"))
     n = F.size("_t")
-    # interior tokens 2..(1+L), L = min(ANCHOR_TOKENS, n - 2); questions under 3 tokens anchor on all tokens
-    L = F.when(n >= 3, F.least(F.lit(ANCHOR_TOKENS), n - 2)).otherwise(n)
-    start = F.when(n >= 3, F.lit(2)).otherwise(F.lit(1))
+    # interior tokens 2..(1+L), L = min(ANCHOR_TOKENS, n - 2); short questions: their first characters, L < 0
+    L = F.least(F.lit(ANCHOR_TOKENS), n - 2)
+    C = F.least(F.lit(ANCHOR_CHARS), F.length(q_text))
+    by_tokens = n >= TOKEN_ANCHORED
     anchors = (qt.where(n > 0)
-               .select(q_key, L.alias("L"), F.xxhash64(F.slice("_t", start, L)).alias("h")))
+               .select(q_key, F.when(by_tokens, L).otherwise(-C).alias("L"),
+                       F.when(by_tokens, F.xxhash64(F.slice("_t", F.lit(2), L)))
+                       .otherwise(F.xxhash64(F.substring(q_text, F.lit(1), C))).alias("h")))
     per_len = {r[0]: r[1] for r in anchors.groupBy("L").count().collect()}     # a handful of small ints
-    lengths = sorted(per_len)
+    lengths = sorted(x for x in per_len if x > 0)
     dt = docs.select(d_key, F.transform(tf.tokens(d_text), lambda t: F.xxhash64(t)).alias("_t"))
     shingles = None
     for ln in lengths:
@@ -45,6 +50,11 @@ def containment_gold(questions: DataFrame, docs: DataFrame, q_key: str = "item_i
         s = (dt.select(d_key, F.lit(ln).alias("L"), F.explode_outer(hs).alias("h"))
              .where(F.col("h").isNotNull()))
         shingles = s if shingles is None else shingles.unionByName(s)
+    for ln in sorted(-x for x in per_len if x < 0):
+        at = F.sequence(F.lit(1), F.length(d_text) - ln + 1)
+        hs = F.when(F.length(d_text) >= ln, F.array_distinct(F.transform(at, lambda p: F.xxhash64(F.substring(d_text, p, F.lit(ln))))))
+        s = (docs.select(d_key, F.lit(-ln).alias("L"), F.explode_outer(hs).alias("h")).where(F.col("h").isNotNull()))
+        shingles = s if shingles is None else shingles.unionByName(s)
     if shingles is None:
         return questions.sparkSession.createDataFrame([], f"{q_key} long, {d_key} long")
     cand = shingles.join(broadcast_if_bounded(anchors, sum(per_len.values())), ["L", "h"]).select(q_key, d_key).distinct()

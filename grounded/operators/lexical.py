@@ -1,18 +1,26 @@
 """Lexical retrieval (R05 BM25, hybrid reciprocal-rank fusion) and rerank.
 
-BM25 plan: question terms are few (bounded by the question set), so they are
-broadcast and used to filter the document token stream *before* aggregating:
-only postings of query terms are ever counted.  Document length rides along
-with every token, so no join is needed to fetch it; corpus statistics are one
-global aggregate row."""
+BM25 plan: question terms that fit a counted bound are broadcast.  One pass over the
+documents writes a row per document with its length and the counts of question terms;
+document frequencies and corpus statistics are aggregates of these rows, and a second
+scan of them scores whole blocks against all questions, keeping a running top-k per
+task.  No (question, document) pair is shuffled but the tasks' winners.  More terms
+than the bound go through joins on the term instead, with the same results."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grounded.functions import text as tf
-from grounded.session import broadcast_if_bounded, ensure_checkpoint_dir
+from grounded.functions.vectors import TopK
+from grounded.session import broadcast_if_bounded, ensure_checkpoint_dir, materialize
 
 # ---- fixed values: BM25 parameters and fusion constant ----
 BM25_K1 = 1.2
@@ -26,9 +34,92 @@ def query_terms(questions: DataFrame, q_key: str, text_col: str) -> DataFrame:
             .where(F.col("term").isNotNull()))
 
 
+# Question terms (rows of question and term) that are broadcast.
+MAX_QUERY_TERMS = 200_000
+
+
 def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
          d_key: str = "doc_id", d_text: str = "text", k: int = 10, k1: float = BM25_K1,
          b: float = BM25_B) -> DataFrame:
+    """Top-k BM25 documents per question: ``q_key``, ``d_key``, ``score`` (6 decimals), ``rk``."""
+    qt = query_terms(questions, q_key, q_text)
+    rows = qt.limit(MAX_QUERY_TERMS + 1).collect()                    # bounded
+    if len(rows) > MAX_QUERY_TERMS:
+        return _bm25_join(questions, docs, q_key, q_text, d_key, d_text, k, k1, b)
+    return _bm25_scan(rows, docs, q_key, questions.schema[q_key].dataType, d_key, d_text, k, k1, b)
+
+
+def _bm25_scan(rows, docs, q_key, q_type, d_key, d_text, k, k1, b) -> DataFrame:
+    spark = docs.sparkSession
+    terms = sorted({r["term"] for r in rows})
+    qids = sorted({r[q_key] for r in rows})
+    index = {t: i for i, t in enumerate(terms)}
+    at_q = {q: i for i, q in enumerate(qids)}
+    asked = np.zeros((len(terms), len(qids)))
+    for r in rows:
+        asked[index[r["term"]], at_q[r[q_key]]] = 1.0
+    d_type = docs.schema[d_key].dataType
+    out = T.StructType([T.StructField(q_key, q_type), T.StructField(d_key, d_type), T.StructField("score", T.DoubleType())])
+    if not rows:
+        return spark.createDataFrame([], T.StructType([*out.fields, T.StructField("rk", T.LongType())]))
+    vocab = spark.sparkContext.broadcast(index)
+
+    def count(batches):
+        pat, get = re.compile(tf.TOKEN_PATTERN), vocab.value.get
+        for pdf in batches:
+            found = []
+            for text in pdf["_t"]:
+                words = pat.findall(text) if isinstance(text, str) else None
+                c = Counter(i for i in map(get, words or ()) if i is not None)
+                found.append((None if words is None else len(words), list(c), list(c.values())))
+            yield pd.DataFrame({d_key: pdf[d_key], "dl": pd.array([f[0] for f in found], dtype="Int64"),
+                                "terms": [f[1] for f in found], "tf": [f[2] for f in found]})
+
+    # F.lower, not Python's: the SQL side of a comparison lowers the same way
+    postings = materialize(docs.select(d_key, F.lower(d_text).alias("_t")).mapInPandas(
+        count, T.StructType([T.StructField(d_key, d_type), T.StructField("dl", T.LongType()),
+                             T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])),
+        "bm25-postings")
+    st = postings.agg(F.count(d_key).alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(terms))
+    for r in postings.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():   # a row per term
+        df[r["t"]] = r["n"]
+    n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 0.0)
+    idf = np.log(1.0 + (n_docs - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((idf, asked, np.array(qids, dtype=object)))
+    int_ids = not isinstance(d_type, T.StringType)
+
+    def score(batches):
+        idf, asked, qids = shared.value
+        top = TopK(len(qids), k)
+        step = max(1, min(2048, 8_000_000 // max(len(idf), 1)))        # bounded block of documents x terms
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                pdf = whole.iloc[lo:lo + step]
+                lens = pdf["terms"].map(len).to_numpy()
+                if not lens.sum():
+                    continue
+                row = np.repeat(np.arange(len(pdf)), lens)
+                term = np.concatenate(list(pdf["terms"])).astype(np.int64)
+                tf_ = np.concatenate(list(pdf["tf"])).astype(np.float64)
+                dl = pdf["dl"].fillna(0).to_numpy(dtype=np.float64)[row]
+                x = np.zeros((len(pdf), len(idf)))
+                x[row, term] = idf[term] * (tf_ * (k1 + 1.0) / (tf_ + k1 * (1.0 - b + b * dl / avgdl)))
+                s = np.floor((x @ asked).T * 1e6 + 0.5) / 1e6
+                s[((x > 0).astype(np.float32) @ asked.astype(np.float32)).T == 0] = -np.inf     # shares no term
+                ids = pdf[d_key].to_numpy(dtype=np.int64) if int_ids else np.array(list(pdf[d_key]), dtype=str)
+                top.add(s, ids)
+        qi, ids, s = top.items()
+        if len(qi):
+            yield pd.DataFrame({q_key: pd.Series(qids[qi], dtype=object), d_key: ids if int_ids else pd.Series(ids.astype(object), dtype=object), "score": s})
+
+    w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
+    return (postings.mapInPandas(score, out)
+            .withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k))
+
+
+def _bm25_join(questions: DataFrame, docs: DataFrame, q_key: str, q_text: str, d_key: str, d_text: str, k: int,
+               k1: float, b: float) -> DataFrame:
     ensure_checkpoint_dir(questions.sparkSession)
     qt = query_terms(questions, q_key, q_text)
     # query vocabulary (bounded by the question set) with fixed-width ids; the ids
@@ -100,7 +191,10 @@ def build_bm25_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text:
                 .where(F.col("term").isNotNull())
                 .groupBy(d_key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
                 .withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")))
-    postings.write.mode("errorifexists").partitionBy("tb").parquet(f"{path}/postings")
+    # A bucket is a few sorted files, not one per task: a stop word's rows are spread by the salt.
+    salt = F.pmod(F.xxhash64(d_key), F.lit(max(1, docs.sparkSession.sparkContext.defaultParallelism // 8)))
+    (postings.repartition("tb", salt).sortWithinPartitions("tb", "term")
+     .write.mode("errorifexists").partitionBy("tb").parquet(f"{path}/postings"))
     (toks.agg(F.count(d_key).cast("double").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
      .withColumn("n_buckets", F.lit(n_buckets))
      .coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats"))

@@ -132,6 +132,23 @@ def _place_long(pg: DataFrame, key: str, order: str, T: int, steps: int, checkpo
             .select(key, order, F.col("d").cast("int").alias("block_no"), "_n"))
 
 
+def reject_pages(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text") -> DataFrame:
+    """Reject frame: pages that cannot be placed, with the reason."""
+    reason = (F.when(F.col(key).isNull(), "no document key").when(F.col(order).isNull(), "no order value")
+              .when(F.col(text_col).isNull(), "no text"))
+    return pages.select(F.col(key).cast("string").alias("key"), F.col(order).cast("string").alias("position"),
+                        reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def _distinct_order(pages: DataFrame, key: str, order: str, text_col: str) -> DataFrame:
+    """Order values made distinct per document: pages that share one follow each other in the order of their text."""
+    most = pages.groupBy(key, order).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    if most == 1:
+        return pages
+    tie = F.row_number().over(Window.partitionBy(key, order).orderBy(text_col)) - 1
+    return pages.withColumn(order, F.col(order).cast("long") * F.lit(most) + tie)
+
+
 def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text",
                 block_bytes: int = 3000, checkpoint_every: int = 6) -> DataFrame:
     """-> (key, block_no, blk, n_bytes); block_no counts from 0 per document.
@@ -140,10 +157,15 @@ def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", tex
     folded inside one bounded group; longer ones go through offsets and pointer
     doubling, whose depth then depends on the long documents only.  Only narrow
     rows (no text) take part in placement; page text is joined back once and
-    grouped per block (a block holds at most T bytes plus one page)."""
+    grouped per block (a block holds at most T bytes plus one page).
+
+    Pages without a document key or order value are not packed (``reject_pages`` lists
+    them); pages that share an order value are taken in the order of their text."""
     T = int(block_bytes)
     spark = pages.sparkSession
     scratch_dir(spark, "packing")          # makes sure a checkpoint folder is configured
+    pages = _distinct_order(pages.select(key, order, text_col).where(
+        F.col(key).isNotNull() & F.col(order).isNotNull() & (F.octet_length(text_col) > 0)), key, order, text_col)
     meta = (pages.select(key, order, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_n"))
             .where(F.col("_n") > 0))
     per_doc = meta.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("b"))
@@ -152,7 +174,7 @@ def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", tex
                         F.max(F.when(long_doc, F.col("n"))).alias("n"),
                         F.max(F.when(long_doc, F.col("b"))).alias("b")).first()
     if not stats["docs"]:
-        return spark.createDataFrame([], f"{key} long, block_no int, blk string, n_bytes long")
+        return spark.createDataFrame([], f"{key} {pages.schema[key].dataType.simpleString()}, block_no int, blk string, n_bytes long")
     if stats["n"] is None:                 # no long document: one bounded fold per document
         placed = _place_short(meta, key, order, T)
     else:

@@ -65,8 +65,8 @@ def _ids(values: pd.Series, t: T.DataType) -> np.ndarray:
     return values.to_numpy(dtype=np.int64) if isinstance(t, T.LongType) else np.array(list(values), dtype=str)
 
 
-def _out(ids: np.ndarray) -> np.ndarray:
-    return ids.astype(object) if ids.dtype.kind == "U" else ids
+def _out(ids: np.ndarray):
+    return pd.Series(ids.astype(object), dtype=object) if ids.dtype.kind == "U" else ids
 
 
 def _with_id(df: DataFrame, id_col: str, out: str, *cols) -> DataFrame:
@@ -296,7 +296,8 @@ def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray, digits: in
         for pdf in batches:
             if len(pdf):
                 cell = _nearest_cell(unit_rows(vec.matrix(pdf[vec.name], P.shape[1])), P, digits)
-                yield pdf.assign(**{cell_col: pd.array(np.where(cell < 0, None, cell), dtype="Int32")})
+                texts = {c: object for c in pdf.columns if isinstance(pdf[c].dtype, pd.StringDtype)}
+                yield pdf.astype(texts).assign(**{cell_col: pd.array(np.where(cell < 0, None, cell), dtype="Int32")})
 
     return vectors.mapInPandas(run, schema)
 
@@ -405,8 +406,9 @@ def _block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, piv
                     allowed = _probes(unit_rows(q_vec.matrix(pdf["qv"], dim)), pb.value, nprobe, digits)
                     rows, cells = np.nonzero(allowed)
                     out = pdf.iloc[rows].copy()
+                    out["qid"] = out["qid"].astype(object)
                     out["cell"] = cells.astype(np.int32)
-                    yield out
+                    yield out.reset_index(drop=True)
 
         asks = asks.mapInPandas(probe, T.StructType([*asks.schema.fields, T.StructField("cell", T.IntegerType())]))
     vecs = materialize(vecs.where(F.col("cell").isNotNull()), "search-vectors")    # read twice: sizes and blocks

@@ -1,11 +1,12 @@
 """Vector collection storage.
 
-A collection is a directory of immutable Parquet snapshots ``snap-<version>``
-plus a metadata row.  Writers build a new snapshot next to the current one and
-readers always read one complete snapshot, so a path being read is never
-overwritten; a snapshot counts only once its ``_SUCCESS`` marker exists.
-File-system calls go through Hadoop's FileSystem API, so the same code works on
-HDFS, object stores and local disks."""
+A collection is a directory of Parquet folders: ``delta-<version>`` holds the points
+of one upsert, ``base-<version>`` all points merged up to a version.  An upsert writes
+its own points only; readers merge the newest base with the deltas after it, and
+``compact`` (called by itself after ``COMPACT_AFTER`` deltas) writes a new base.  A
+folder counts only once its ``_SUCCESS`` marker exists, and a folder that readers may
+hold is never rewritten.  File-system calls go through Hadoop's FileSystem API, so the
+same code works on HDFS, object stores and local disks."""
 
 from __future__ import annotations
 
@@ -25,10 +26,6 @@ def point_ids(df: DataFrame, path_col: str, block_col: str | None, chunk_no_col:
     return df.withColumn(out, F.md5(F.concat_ws(":", *parts)))
 
 
-def payload(df: DataFrame, path_col: str = "path", chunk_col: str = "chunk") -> DataFrame:
-    return df.withColumn("payload", F.create_map(F.lit("path"), F.col(path_col), F.lit("chunk"), F.col(chunk_col)))
-
-
 def latest_wins(df: DataFrame, key: str, version_col: str = "v") -> DataFrame:
     """O10 merge rule: per key keep the row with the highest version.
 
@@ -51,6 +48,10 @@ def split_by_dim(df: DataFrame, vec_col: str, expected: int) -> tuple[DataFrame,
     return df.where(ok), df.where(~ok).withColumn("reason", F.lit(f"vector size is not {expected}"))
 
 
+# Deltas since the last base after which an upsert merges them.
+COMPACT_AFTER = 8
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark = spark
@@ -81,41 +82,98 @@ class Collection:
     def meta(self) -> DataFrame:
         return self.spark.read.parquet(self.path + "/_meta")
 
-    def versions(self) -> list[int]:
+    def _folders(self, kind: str) -> list[int]:
         p = self._Path(self.path)
         if not self._fs.exists(p):
             return []
-        out = []
-        for st in self._fs.listStatus(p):
-            n = st.getPath().getName()
-            if n.startswith("snap-") and self._fs.exists(self._Path(st.getPath().toString() + "/_SUCCESS")):
-                out.append(int(n[5:]))
-        return sorted(out)
+        names = [st.getPath().getName() for st in self._fs.listStatus(p)]
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(kind + "-")
+                      and self._fs.exists(self._Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _folder(self, kind: str, version: int) -> str:
+        return f"{self.path}/{kind}-{version:08d}"
+
+    def versions(self) -> list[int]:
+        """Committed versions, those merged into a base and removed included."""
+        bases, deltas = self._folders("base"), self._folders("delta")
+        return sorted({*bases, *deltas})
 
     def current(self) -> DataFrame | None:
-        v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/snap-{v[-1]:08d}") if v else None
+        """The newest base merged with the deltas after it: per key the highest version."""
+        bases, deltas = self._folders("base"), self._folders("delta")
+        base = bases[-1] if bases else 0
+        parts = ([self._folder("base", base)] if bases else []) + [self._folder("delta", v) for v in deltas if v > base]
+        if not parts:
+            return None
+        frames = [self.spark.read.parquet(p) for p in parts]
+        merged = frames[0]
+        for f in frames[1:]:
+            merged = merged.unionByName(f, allowMissingColumns=True)
+        return (latest_wins(merged, "_key") if len(frames) > 1 else merged).drop("_key", "_batch")
 
     # -- upsert (O10) ---------------------------------------------------------
-    def upsert(self, points: DataFrame, key: str = "point_id", version: int | None = None) -> int:
-        """Latest wins by key; writes the merged collection as a new snapshot.
-
-        With an explicit ``version`` (e.g. a stream batch id) the call is
-        idempotent: a committed snapshot of that version is left as it is, a
-        partial one is removed and rebuilt."""
-        vs = self.versions()
-        if version is not None and version in vs:
-            return version
-        nxt = version if version is not None else ((vs[-1] + 1) if vs else 1)
-        target = self._Path(f"{self.path}/snap-{nxt:08d}")
-        if self._fs.exists(target):
-            self._fs.delete(target, True)
-        new = points.withColumn("v", F.lit(nxt))
-        prev = [v for v in vs if v < nxt]
-        cur = self.spark.read.parquet(f"{self.path}/snap-{prev[-1]:08d}") if prev else None
-        merged = latest_wins(new if cur is None else cur.unionByName(new, allowMissingColumns=True), key)
-        merged.write.mode("errorifexists").parquet(f"{self.path}/snap-{nxt:08d}")
-        return nxt
+    def upsert(self, points: DataFrame, key: str = "point_id", batch: tuple[str, int] | None = None) -> int:
+        """Latest wins by key; always a new version, written as a delta of these points alone.
+
+        ``batch`` (a stream's name and its batch number) makes a replayed micro-batch a no-op: its
+        name is stored with the delta, and a committed delta of that name is left as it is.  Points that
+        share a key within one upsert leave one of them, always the same.  Points without a key are refused
+        by the caller's gate (``split_by_dim``), not here: NULL is a key like any other."""
+        name = f"{batch[0]}#{batch[1]}" if batch else ""
+        if batch:
+            for v in reversed(self.versions()):
+                if self._batch_of(v) == name:
+                    return v
+        version = (self.versions() or [0])[-1] + 1
+        target = self._folder("delta", version)
+        if self._fs.exists(self._Path(target)):             # left by a writer that did not commit
+            self._fs.delete(self._Path(target), True)
+        cols = [F.col(c) for c in points.columns]
+        one = (points.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r"))
+               .select("_key", "_r.*").withColumn("v", F.lit(version)))
+        marker = self.spark.createDataFrame([(name,)], "batch string").coalesce(1)
+        marker.write.mode("overwrite").parquet(f"{self.path}/_batches/{version:08d}")
+        one.write.mode("errorifexists").parquet(target)
+        if len([v for v in self._folders("delta") if v > (self._folders("base") or [0])[-1]]) >= COMPACT_AFTER:
+            self.compact()
+        return version
+
+    def _batch_of(self, version: int) -> str | None:
+        path = f"{self.path}/_batches/{version:08d}"
+        if not self._fs.exists(self._Path(path)):
+            return None
+        return self.spark.read.schema("batch string").parquet(path).first()["batch"]
+
+    def reject(self, rows: DataFrame) -> str:
+        """Append rows that did not enter the collection to its reject table, and name its folder."""
+        path = f"{self.path}/_rejects"
+        rows.write.mode("append").parquet(path)
+        return path
+
+    def compact(self, keep: int = 2) -> int | None:
+        """Merge all deltas into a new base; folders behind the last ``keep`` bases are removed."""
+        versions = self.versions()
+        if not versions:
+            return None
+        bases = self._folders("base")
+        if not bases or bases[-1] < versions[-1]:
+            base = bases[-1] if bases else 0
+            parts = ([self._folder("base", base)] if bases else []) + [self._folder("delta", v) for v in self._folders("delta") if v > base]
+            merged = self.spark.read.parquet(parts[0])
+            for p in parts[1:]:
+                merged = merged.unionByName(self.spark.read.parquet(p), allowMissingColumns=True)
+            target = self._folder("base", versions[-1])
+            if self._fs.exists(self._Path(target)):
+                self._fs.delete(self._Path(target), True)
+            latest_wins(merged, "_key").write.mode("errorifexists").parquet(target)
+            bases = self._folders("base")
+        if len(bases) > keep:
+            oldest = bases[-keep]
+            for kind in ("base", "delta"):
+                for v in self._folders(kind):
+                    if v < oldest or (kind == "delta" and v == oldest):
+                        self._fs.delete(self._Path(self._folder(kind, v)), True)
+        return bases[-1]
 
 
 def chunk_points(chunks: DataFrame, path_col: str = "path") -> DataFrame:

@@ -173,6 +173,7 @@ def q_strip_think(spark, sf):
 
 from grounded.operators import search as srch  # noqa: E402
 from grounded.operators import store  # noqa: E402
+from grounded.streaming import streams  # noqa: E402
 
 EMB_DIM = 64          # the driver's pre-embedded collection is 64-dimensional
 
@@ -374,20 +375,20 @@ def q_plain_answer(spark, sf):
 
 def _request_bodies(spark, sf):
     ev = T(spark, sf, "events", ["event_id", "props"]).select(
-        F.lit("events").alias("src"), F.col("event_id").alias("id"), F.col("props").alias("body"))
+        F.lit("events").alias("src"), F.col("event_id").cast("string").alias("id"), F.col("props").alias("body"))
     cv = T(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     body = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("query"))))
             .when(F.col("role") == "assistant", F.to_json(F.struct(F.col("text").alias("Query"))))
             .otherwise(F.col("text")))
-    cv = cv.select(F.lit("conversations").alias("src"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+    cv = cv.select(F.lit("conversations").alias("src"), F.concat_ws(":", "conv_id", "turn").alias("id"),
                    body.alias("body"))
     return ev.unionByName(cv)
 
 
 BODIES_SQL = """
-SELECT 'events' AS src, event_id AS id, props AS body FROM events
+SELECT 'events' AS src, event_id::VARCHAR AS id, props AS body FROM events
 UNION ALL
-SELECT 'conversations', conv_id * 100 + turn,
+SELECT 'conversations', conv_id || ':' || turn,
        CASE role WHEN 'user' THEN json_object('query', text)::VARCHAR WHEN 'assistant' THEN json_object('Query', text)::VARCHAR
                  ELSE text END FROM conversations"""
 
@@ -515,8 +516,7 @@ SELECT item_id, status, body, sources FROM (
 def q_answer_citations(spark, sf):
     p = ctxop.build_prompt(_top4(spark, sf), "text", "ctx", context_only=True)
     done = gen.complete(p, "prompt")
-    checked = gd.guard_response(done.drop("error"), "completion", gd.RuleGuard())
-    return ans.response_status(checked).select("item_id", "status", "body", "sources")
+    return ans.response_status(ans.guarded(done, gd.RuleGuard(), "item_id")).select("item_id", "status", "body", "sources")
 
 
 # ---------------------------------------------------------------- storage
@@ -536,13 +536,19 @@ W_SQL = f"""(SELECT w.doc_id, w.i, w.chunk, {PATH_SQL} AS path FROM {S.token_win
             JOIN documents d USING (doc_id))"""
 
 
+def _vector_sums(src: str, key: str, text: str) -> str:
+    """Per key: non-zero components and the checksum of the stored (single precision) vector."""
+    return (f"(SELECT {key}, count(*)::INTEGER AS nnz, round(sum(w::FLOAT::DOUBLE * (b % 7 + 1)), 4) AS vec_sum "
+            f"FROM {S.sparse_embed(src, key, text)} GROUP BY {key})")
+
+
 @query("knowledge_items", f"""
-SELECT doc_id, i, path AS source_document, chunk, coalesce(nnz, 0) AS nnz FROM {W_SQL} w
-LEFT JOIN (SELECT cid, count(*)::INTEGER AS nnz FROM {S.sparse_embed(S.chunks_with_id(), 'cid', 'chunk')} GROUP BY cid) e
-  ON e.cid = w.doc_id * 16777216 + w.i""")
+SELECT doc_id, i, path AS source_document, chunk, coalesce(nnz, 0) AS nnz, coalesce(vec_sum, 0.0::DOUBLE) AS vec_sum
+FROM {W_SQL} w LEFT JOIN {_vector_sums(S.chunks_with_id(), 'cid', 'chunk')} e ON e.cid = w.doc_id * 16777216 + w.i""")
 def q_knowledge_items(spark, sf):
-    return emb.knowledge_items(_doc_docs(spark, sf), ["doc_id", "i"], "chunk", "path").select(
-        "doc_id", "i", "source_document", "chunk", "nnz")
+    items = emb.knowledge_items(_doc_docs(spark, sf), ["doc_id", "i"], "chunk", "path")
+    return items.select("doc_id", "i", "source_document", "chunk",
+                        F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"), emb.checksum("embedding").alias("vec_sum"))
 
 
 @query("point_build", f"""
@@ -554,17 +560,51 @@ def q_point_build(spark, sf):
 
 
 @query("ingest_corpus", f"""
-SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, i AS chunk_no, 768 AS dim, 1 AS v FROM {W_SQL}""")
+SELECT md5(path || ':' || i || ':' || chunk) AS point_id, path, i AS chunk_no, md5(chunk) AS chunk_md5, 768 AS dim,
+       coalesce(vec_sum, 0.0::DOUBLE) AS vec_sum, 1 AS v
+FROM {W_SQL} w LEFT JOIN {_vector_sums(S.chunks_with_id(), 'cid', 'chunk')} e ON e.cid = w.doc_id * 16777216 + w.i""")
 def q_ingest_corpus(spark, sf):
-    """Chunks -> points -> embed -> dimension gate -> snapshot upsert -> read back."""
-    pts = store.chunk_points(_doc_docs(spark, sf))
-    vecs = emb.dense_embed(pts.select("point_id", "path", "chunk_no", "embed_text"), "embed_text",
-                           cfg=EmbedConfig(strip_newlines=False))
-    good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", 768)
+    """Chunks -> points -> embed -> dimension gate -> upsert with text -> read back."""
+    return _points_read(_ingested(spark, sf).current())
+
+
+def _ingested(spark, sf, float32: bool = True) -> "store.Collection":
+    good, rejected = streams.ingest_points(store.chunk_points(_doc_docs(spark, sf)).drop("doc_id"), float32=float32)
     col = store.Collection(spark, scratch_dir(spark, "collections"), "rag")
     col.ensure(truncate=True, dim=768)
     col.upsert(good)
-    return col.current().select("point_id", "path", "chunk_no", F.size("embedding").alias("dim"), "v")
+    col.reject(rejected)
+    return col
+
+
+def _points_read(current: DataFrame, *keys: str) -> DataFrame:
+    return current.select("point_id", "path", *keys, "chunk_no", F.md5("chunk").alias("chunk_md5"), F.size("embedding").alias("dim"),
+                          emb.checksum("embedding").alias("vec_sum"), "v")
+
+
+@query("answer_from_collection", f"""
+SELECT item_id, score, has_context, verdict, status, body FROM ({GROUNDED_SQL})""")
+def q_answer_from_collection(spark, sf):
+    """Ingest -> collection -> search -> answer: the stored chunk is the context, the corpus is not read again."""
+    out = ans.answer_from_collection(spark, _bench(spark, sf), _ingested(spark, sf, float32=False).current())
+    return out.select("item_id", "score", (F.col("ctx") != "").alias("has_context"), "verdict", "status", "body")
+
+
+@query("ingest_rejects", f"""
+SELECT 'dimension' AS stage, 'vector size is not 768' AS reason, count(*) AS n FROM embeddings WHERE len(embedding) IS DISTINCT FROM 768
+GROUP BY ALL HAVING count(*) > 0
+UNION ALL SELECT 'search', 'vector size is not 768', count(*) FROM embeddings WHERE len(embedding) <> 768 HAVING count(*) > 0
+UNION ALL SELECT 'page', 'no html', count(*) FROM pages WHERE html IS NULL HAVING count(*) > 0""")
+def q_ingest_rejects(spark, sf):
+    """What each gate turns away, were the given vectors offered to the 768-wide collection."""
+    e = _emb(spark, sf)
+    _good, dims = store.split_by_dim(e, "embedding", 768)
+    _ok, page = txt.page_text(T(spark, sf, "pages", ["page_id", "html"]))
+    parts = [dims.select(F.lit("dimension").alias("stage"), "reason"),
+             srch.unscorable(e, "vec_id", srch.VecCol("embedding"), 768).select(F.lit("search").alias("stage"), "reason"),
+             page.select(F.lit("page").alias("stage"), F.lit("no html").alias("reason"))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("upsert_latest", """
@@ -607,8 +647,7 @@ def q_response_status(spark, sf):
     dec = ans.decode_request(_request_bodies(spark, sf)).withColumn("rid", F.concat_ws("#", "src", "id"))
     bad = dec.where(F.col("status") == ans.STATUS_BAD_REQUEST).select(
         "src", "id", "status", F.lit(None).cast("string").alias("body"))
-    good = dec.where(F.col("status") == ans.STATUS_OK).select("src", "id", (F.col("id") * 2 + F.when(
-        F.col("src") == "events", 0).otherwise(1)).alias("rid"), F.col("query").alias("text"))
+    good = dec.where(F.col("status") == ans.STATUS_OK).select("src", "id", "rid", F.col("query").alias("text"))
     answered = ans.plain_answer(good.select("rid", "text"), q_key="rid", q_text="text")
     out = good.select("rid", "src", "id").join(answered.select("rid", "status", "body"), "rid").drop("rid")
     return out.unionByName(bad)
@@ -636,8 +675,6 @@ def q_pack_blocks(spark, sf):
 
 # ---------------------------------------------------------------- streams
 
-from grounded.streaming import streams  # noqa: E402
-
 
 @query("stream_answers", GROUNDED_SQL)
 def q_stream_answers(spark, sf):
@@ -649,8 +686,7 @@ def q_stream_answers(spark, sf):
 def q_stream_ingest(spark, sf):
     col = store.Collection(spark, scratch_dir(spark, "collections"), "rag-stream")
     col.ensure(truncate=True, dim=768)
-    cur = streams.stream_ingest(spark, streams.table_stream(spark, sf, "documents"), col)
-    return cur.select("point_id", "path", "chunk_no", F.size("embedding").alias("dim"), "v")
+    return _points_read(streams.stream_ingest(spark, streams.table_stream(spark, sf, "documents"), col))
 
 
 @query("request_rate", """
@@ -696,11 +732,11 @@ def ingest_blocks_plan(spark, pages: DataFrame, collection_name: str = "rag-bloc
     pts = (store.point_ids(wins, "path", "block_no", "i", "chunk")
            .select("point_id", "path", "block_no", F.col("i").alias("chunk_no"), "chunk",
                    tf.strip_newlines("chunk").alias("embed_text")))
-    vecs = emb.dense_embed(pts.drop("chunk"), "embed_text", cfg=EmbedConfig(strip_newlines=False))
-    good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", 768)
+    good, rejected = streams.ingest_points(pts)
     col = store.Collection(spark, scratch_dir(spark, "collections"), collection_name)
     col.ensure(truncate=True, dim=768)
     col.upsert(good)
+    col.reject(rejected)
     return col.current()
 
 
@@ -710,11 +746,12 @@ WITH b AS ({PACK_SQL}),
                   array_to_string(t[i * 412 + 1 : i * 412 + 512], ' ') AS chunk
            FROM (SELECT conv_id, block_no, t, unnest(range(0, ceil(len(t) / 412.0)::BIGINT)) AS i
                  FROM (SELECT conv_id, block_no, regexp_extract_all(blk, {S.TOKEN}) AS t FROM b) WHERE len(t) > 0))
-SELECT md5(path || ':' || block_no || ':' || i || ':' || chunk) AS point_id, path, block_no, i AS chunk_no,
-       768 AS dim, 1 AS v FROM w""")
+     , k AS (SELECT *, path || ':' || block_no || ':' || i AS cid FROM w)
+SELECT md5(cid || ':' || chunk) AS point_id, path, block_no, i AS chunk_no, md5(chunk) AS chunk_md5, 768 AS dim,
+       coalesce(vec_sum, 0.0::DOUBLE) AS vec_sum, 1 AS v
+FROM k LEFT JOIN {_vector_sums('k', 'cid', 'chunk')} USING (cid)""")
 def q_ingest_blocks(spark, sf):
-    cur = ingest_blocks_plan(spark, T(spark, sf, "conversations", ["conv_id", "turn", "text"]))
-    return cur.select("point_id", "path", "block_no", "chunk_no", F.size("embedding").alias("dim"), "v")
+    return _points_read(ingest_blocks_plan(spark, T(spark, sf, "conversations", ["conv_id", "turn", "text"])), "block_no")
 
 
 @query("ann_recall_kmeans", f"""

@@ -8,6 +8,7 @@ setting is absent (local tests) do we create one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,12 @@ def build_session(master: str | None = None, app: str = "grounded",
 def scratch_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh sub-directory of the shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a local one only if
-    it is unset (tests, single machine)."""
+    Reads ``spark.checkpoint.dir`` from the session.  Only a ``local`` master may go without the
+    setting (tests): on a cluster every executor would write to a disk of its own."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="grounded-ckpt-", dir="/tmp")
         sc.setCheckpointDir(base)
@@ -61,6 +64,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that ``scratch_dir`` named; anything outside the shared scratch folder is refused."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(base + "/") or path.rstrip("/") == base:
+        raise ValueError(f"{path} is not a scratch folder")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -91,17 +91,6 @@ def _plain_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def pdf_pages(content: bytes) -> list[str]:
-    """PDF extractor, available when the optional ``pypdf`` package is installed."""
-    try:
-        import io
-
-        from pypdf import PdfReader
-    except ImportError as exc:  # pragma: no cover - optional dependency
-        raise RuntimeError("pypdf is not installed") from exc
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
-
-
 def extract_pages(files: DataFrame, extractor=_plain_pages) -> tuple[DataFrame, DataFrame]:
     """O02 for binary files: ``(path, content)`` -> pages ``(path, page_no, text)``.
 

@@ -1,9 +1,10 @@
 """Structured Streaming jobs.
 
-Every sink is idempotent: ``foreachBatch`` writes batch ``b`` to its own
-directory (or snapshot version ``b``), so a micro-batch replayed after a
-failure overwrites exactly what it wrote before.  Checkpoints live under the
-shared checkpoint folder."""
+Every sink is idempotent: ``foreachBatch`` writes batch ``b`` to its own directory,
+or upserts it under the name (stream, ``b``), so a micro-batch replayed after a
+failure changes nothing.  ``root`` is the folder of a stream's checkpoint and output:
+with the same ``root`` a restarted stream goes on where it stopped; without one it
+gets a new folder under the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -16,16 +17,21 @@ from grounded.operators import answer as ans
 from grounded.operators import embed as emb
 from grounded.operators import store
 from grounded.operators import text as txt
-from grounded.session import scratch_dir
+from grounded.session import materialize, scratch_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """Stream the files of one driver table (new files are picked up as they land)."""
+    """Stream the files of one driver table, a single file or a folder of part files (new files are
+    picked up as they land)."""
     from grounded.session import ship_package
     ship_package(spark)
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.option("recursiveFileLookup", "true").parquet(path)
 
 
 def _run(writer, ckpt: str):
@@ -36,16 +42,16 @@ def _run(writer, ckpt: str):
 
 
 def stream_answers(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key: str = "item_id",
-                   q_text: str = "text") -> DataFrame:
+                   q_text: str = "text", root: str | None = None) -> DataFrame:
     """Questions arrive as a stream; each micro-batch runs the grounded
     pipeline against a static index and lands in ``batch=<id>``.
 
     The chunk index (window ids + hashed tokens) is written once before the
     stream starts, so a micro-batch only scans it instead of re-tokenising the
     corpus."""
-    root = scratch_dir(spark, "stream-answers")
+    root = root or scratch_dir(spark, "stream-answers")
     out = f"{root}/out"
-    index = ans.build_chunk_index(spark, docs, f"{root}/index")
+    index = ans.build_chunk_index(spark, docs, scratch_dir(spark, "stream-index"))
 
     def handle(batch: DataFrame, batch_id: int):
         res = ans.grounded_answer(batch.sparkSession, batch.select(q_key, q_text), docs, q_key=q_key, q_text=q_text,
@@ -57,49 +63,52 @@ def stream_answers(spark: SparkSession, questions: DataFrame, docs: DataFrame, q
 
 
 def stream_ingest(spark: SparkSession, docs: DataFrame, collection: store.Collection,
-                  cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """New documents -> windows -> points -> embed -> upsert (version = batch id + 1)."""
-    root = scratch_dir(spark, "stream-ingest")
+                  cfg: EmbedConfig = EmbedConfig(), root: str | None = None, name: str = "") -> DataFrame:
+    """New documents -> windows -> points -> embed -> upsert, one version per micro-batch.
+
+    Rejected vectors go to ``<root>/rejects/batch=<id>``.  ``name`` (``root`` unless given) tells the batches
+    of this stream from those of others into the same collection."""
+    root = root or scratch_dir(spark, "stream-ingest")
 
     def handle(batch: DataFrame, batch_id: int):
         d = batch.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-        pts = store.chunk_points(txt.token_windows(d, keys=["doc_id", "path"]))
-        vecs = emb.dense_embed(pts.select("point_id", "path", "chunk_no", "embed_text"), "embed_text",
-                               cfg=EmbedConfig(dim=cfg.dim, strip_newlines=False))
-        good, _rejected = store.split_by_dim(vecs.drop("embed_text"), "embedding", cfg.dim)
-        collection.upsert(good, version=batch_id + 1)
+        good, rejected = ingest_points(store.chunk_points(txt.token_windows(d, keys=["doc_id", "path"])), cfg)
+        collection.upsert(good, batch=(name or root, batch_id))
+        rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
 
     _run(docs.writeStream.foreachBatch(handle), f"{root}/checkpoint")
     return collection.current()
 
 
-def request_rate(spark: SparkSession, events: DataFrame, window: str = "1 hour",
-                 watermark: str = "1 hour") -> DataFrame:
-    """Requests per window and type, with a watermark bounding the state.
+def ingest_points(points: DataFrame, cfg: EmbedConfig = EmbedConfig(), float32: bool = True) -> tuple[DataFrame, DataFrame]:
+    """O06 + O12: points with their text and vector, and the reject frame (point, path, reason).
+
+    Vectors are computed once and written to the shared folder; both frames read them there."""
+    vecs = emb.dense_embed(points, "embed_text", cfg=EmbedConfig(dim=cfg.dim, strip_newlines=False), float32=float32)
+    vecs = materialize(vecs, "ingest-vectors")
+    good, bad = store.split_by_dim(vecs.drop("embed_text"), "embedding", cfg.dim)
+    return good, bad.select("point_id", "path", "reason")
+
+
+def request_rate(spark: SparkSession, events: DataFrame, window: str = "1 hour", root: str | None = None) -> DataFrame:
+    """Requests per window and type, whatever order the events arrive in.
 
-    Update mode emits changed windows per batch; the sink keeps every batch and
-    the read side takes the latest row per window (so state can be dropped
-    by the watermark while the table stays complete)."""
-    root = scratch_dir(spark, "request-rate")
+    Every micro-batch is counted by itself into ``batch=<id>``, and the read side adds the counts of a
+    window up.  No state is kept between batches, so none has to expire and no late event is lost."""
+    root = root or scratch_dir(spark, "request-rate")
     out = f"{root}/out"
-    # event time is recorded as UTC wall clock (TIMESTAMP_NTZ); watermarks need an instant
-    agg = (events.withColumn("ts", ntz_as_utc_instant(F.col("ts")))
-           .withWatermark("ts", watermark)
-           .groupBy(F.window("ts", window), "event_type")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value")))
 
     def handle(batch: DataFrame, batch_id: int):
-        (batch.select(instant_as_utc_ntz(F.col("window.start")).alias("window_start"), "event_type", "n",
-                      "total_value", F.lit(batch_id).alias("b"))
+        (batch.groupBy(F.window(ntz_as_utc_instant(F.col("ts")), window).alias("w"), "event_type")
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"))
+         .select(instant_as_utc_ntz(F.col("w.start")).alias("window_start"), "event_type", "n", "total_value")
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
 
-    _run(agg.writeStream.outputMode("update").foreachBatch(handle), f"{root}/checkpoint")
-    rows = spark.read.parquet(out)
-    latest = store.latest_wins(rows.withColumn("k", F.concat_ws("|", F.col("window_start").cast("string"),
-                                                                "event_type")).drop("batch"), "k", "b")
+    _run(events.writeStream.foreachBatch(handle), f"{root}/checkpoint")
     secs = F.lit(float(_window_seconds(window)))
-    return latest.select("window_start", "event_type", "n", F.round(F.col("n") / secs, 6).alias("qps"),
-                         F.round("total_value", 6).alias("total_value"))
+    return (spark.read.parquet(out).groupBy("window_start", "event_type")
+            .agg(F.sum("n").alias("n"), F.round(F.sum("total_value"), 6).alias("total_value"))
+            .select("window_start", "event_type", "n", F.round(F.col("n") / secs, 6).alias("qps"), "total_value"))
 
 
 def _window_seconds(window: str) -> float:
@@ -109,7 +118,7 @@ def _window_seconds(window: str) -> float:
 
 
 def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_id", order: str = "turn",
-                       text_col: str = "text", block_bytes: int = 3000) -> DataFrame:
+                       text_col: str = "text", block_bytes: int = 3000, root: str | None = None) -> DataFrame:
     """O03 on a page stream: per-document state carries the open block across micro-batches.
 
     ``applyInPandasWithState`` keeps, per document, the next block number and the
@@ -117,7 +126,9 @@ def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_i
     emitted as soon as their closing page arrives; the open remainder is emitted
     as a provisional row that a later version of the same block replaces (the
     sink keeps the latest row per (document, block)).  Pages of a document must
-    arrive in order, as a folder walk reads them.  State per document is bounded
+    arrive in order, as a folder walk reads them; a page that arrives late is appended
+    where it arrives.  Within a micro-batch pages are sorted by (order, text), and pages
+    without an order value are left out, as in ``packing.pack_blocks``.  State per document is bounded
     (one open block); the pages one document contributes to a micro-batch are
     handled by one task, so the trigger size (``maxFilesPerTrigger``) bounds that
     work even for a document holding a large share of all pages."""
@@ -125,9 +136,9 @@ def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_i
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     T_ = int(block_bytes)
-    root = scratch_dir(spark, "stream-pack")
+    root = root or scratch_dir(spark, "stream-pack")
     out = f"{root}/out"
-    out_schema = f"{key} long, block_no int, blk string, n_bytes long, final boolean"
+    out_schema = f"{key} {pages.schema[key].dataType.simpleString()}, block_no int, blk string, n_bytes long, final boolean"
     state_schema = "block_no int, buf string, buf_bytes long"
 
     def fold(k, batches, state):
@@ -135,7 +146,8 @@ def stream_pack_blocks(spark: SparkSession, pages: DataFrame, key: str = "conv_i
         rows = []
         frames = [b for b in batches if len(b)]
         if frames:
-            pdf = pd.concat(frames).sort_values(order)
+            pdf = pd.concat(frames)
+            pdf = pdf[pdf[order].notna()].sort_values([order, text_col])
             for t in pdf[text_col]:
                 if t is None or not isinstance(t, str):
                     continue                      # failed page: skipped, the document continues

@@ -84,3 +84,22 @@ def test_recursive_prefix_sum(spark, monkeypatch):
     pages = [("ab" * (i % 7)) for i in range(70)]
     got = run(spark, {5: pages, 6: ["x" * 5] * 9}, T=9)
     assert got[5] == fold(pages, 9) and got[6] == fold(["x" * 5] * 9, 9)
+
+
+def test_null_and_repeated_order_values(spark, monkeypatch):
+    from grounded.operators import packing
+    rows = [(1, 0, "aa"), (1, 0, "bb"), (1, 1, "c"), (1, None, "lost"), (None, 0, "lost"), (2, 5, "z"), (2, 5, "z"), (2, 5, None), (3, 0, "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    for short in (1024, 0):
+        monkeypatch.setattr(packing, "SHORT_PAGES", short)
+        got = sorted((r.conv_id, r.block_no, r.blk, r.n_bytes) for r in packing.pack_blocks(df).collect())
+        assert got == [(1, 0, "aabbc", 5), (2, 0, "zz", 2)]
+    rejects = sorted(map(str, ((r.key, r.position, r.reason) for r in packing.reject_pages(df).collect())))
+    assert rejects == sorted(map(str, [("1", None, "no order value"), (None, "0", "no document key"), ("2", "5", "no text")]))
+
+
+def test_string_document_keys(spark):
+    from grounded.operators import packing
+    df = spark.createDataFrame([("a/b.pdf", 0, "x" * 10), ("a/b.pdf", 1, "y")], "path string, page_no int, text string")
+    got = packing.pack_blocks(df, key="path", order="page_no", block_bytes=5).collect()
+    assert sorted((r.path, r.block_no, r.blk) for r in got) == [("a/b.pdf", 0, "x" * 10), ("a/b.pdf", 1, "y")]

@@ -41,12 +41,30 @@ def test_config_load_and_validate(tmp_path):
     p.write_text(json.dumps(raw))
     cfg = EngineConfig.load(str(p))
     assert cfg.collection == "rag" and cfg.answer.effective_output_guard == "g"
+    # Only the named section counts, whatever others hold.
+    raw = {"other": {"collection_name": "wrong"}, "store": {"collection_name": "right"}, "embedding": {"model_name": "e5"}}
+    assert EngineConfig.from_dict(raw, "store").collection == "right" and EngineConfig.from_dict(raw).collection == "rag"
+    assert EngineConfig.from_dict(raw).embed.model == "e5"
     with pytest.raises(ValueError):
         TextConfig(window_tokens=10, window_overlap=10).validate()
     with pytest.raises(ValueError):
         EngineConfig.from_dict({"query": {"main_temperature": 9}})
 
 
+def test_scratch_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from grounded import session
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(SimpleNamespace(sparkContext=sc, conf={}))
+    path = session.scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.remove_scratch(spark, path)
+    with pytest.raises(ValueError):
+        session.remove_scratch(spark, "/tmp/elsewhere")
+
+
 def test_scratch_uses_the_session_checkpoint_dir(spark):
     from grounded.session import scratch_dir
     base = spark.sparkContext.getCheckpointDir()
