@@ -432,7 +432,7 @@ def _block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, piv
             for part in (*scorer.add(V, _ids(vpdf["cid"], ct)), *scorer.rest()):
                 qi.append(part[0]); ids.append(part[1]); s.append(part[2])
         if not qi:
-            return pd.DataFrame({"qid": [], c_id: [], "score": []})
+            return pd.DataFrame()
         return pd.DataFrame({"qid": _out(qids[np.concatenate(qi)]), c_id: _out(np.concatenate(ids)), "score": np.concatenate(s)})
 
     return (qside.groupBy("cell", "vb", "qb").cogroup(vside.groupBy("cell", "vb", "qb"))
