@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from grounded.llm.common import checkpointed
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """Per node ``u``, the smallest of itself and its neighbours (summed up in every task before the shuffle)."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _least(edges: DataFrame) -> DataFrame:
+    """Per node ``u``, its smallest neighbour, added up in every task before the shuffle.
+
+    Written, so that the joins that follow read plain shuffles on both sides: then Spark can split the
+    partition of a node that holds a large share of all edges."""
+    return checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")), "components-least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_smallest(both), "u").where(F.col("v") > F.col("u"))
+    return (both.join(_least(both).select("u", F.least("m", "u").alias("m")), "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Every edge points from its larger to its smaller end here.
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = checkpointed(edges, "components-large")
+    least = _least(edges)
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return (moved.unionByName(least.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct())
