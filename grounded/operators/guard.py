@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from grounded.config import AnswerConfig
 from grounded.functions import text as tf
 
 # ---- fixed values -------------------------------------------------------------
@@ -21,6 +23,9 @@ BLOCKED_WORDS_PATTERN = r"(?i)(bomb|explosive|weapon|poison)"
 UNSAFE_VIOLENT = "unsafe\nS1"
 UNSAFE_PRIVACY = "unsafe\nS7"
 UNSAFE_LABEL = "unsafe\nS10"
+# Policy groups of the two moderation policies, in their order.
+REQUEST_GROUPS = ("HATE", "VIOLENCE", "SELF_HARM", "SEXUAL", "ILLEGAL", "TOXICITY", "THEMES", "PII")
+RESPONSE_GROUPS = ("HATE", "VIOLENCE", "SELF_HARM", "SEXUAL", "ILLEGAL", "PII", "ADVICE", "TOXICITY")
 # Structured moderation record.
 ALLOW, BLOCK = "ALLOW", "BLOCK"
 MODERATION_SCHEMA = "decision STRING, categories ARRAY<STRING>, confidence DOUBLE, brief_rationale STRING"
@@ -60,6 +65,37 @@ class LabelGuard(GuardProvider):
         return df.join(self.labels, key or self.key, "left").withColumn("verdict", v).drop("toxic")
 
 
+class BatchGuard(GuardProvider):
+    """A guard model called once per Arrow batch: ``call(texts, model, temperature)`` returns a verdict per text.
+
+    A failed call leaves NULL verdicts, which do not pass, and the error in ``guard_error``."""
+
+    def __init__(self, call, model: str, temperature: float = 0.0):
+        self.call, self.model, self.temperature = call, model, temperature
+
+    def verdict(self, df, text_col, key=None):
+        call, model, temperature = self.call, self.model, self.temperature
+        schema = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType()),
+                               T.StructField("guard_error", T.StringType())])
+
+        def run(batches):
+            for pdf in batches:
+                out = pdf.copy()
+                try:
+                    out["verdict"], out["guard_error"] = list(call(pdf[text_col], model, temperature)), None
+                except Exception as exc:  # noqa: BLE001 - the rows carry the error
+                    out["verdict"], out["guard_error"] = None, f"guard failed: {exc}"
+                yield out
+
+        return df.mapInPandas(run, schema)
+
+
+def guards(cfg: AnswerConfig, call) -> tuple[BatchGuard, BatchGuard]:
+    """Input and output guard with the configured models and temperatures."""
+    return (BatchGuard(call, cfg.input_guard_model, cfg.input_temperature),
+            BatchGuard(call, cfg.effective_output_guard, cfg.output_temperature))
+
+
 def passes(verdict: Column) -> Column:
     """Exact, null-safe comparison: NULL, ``Safe`` and ``safe\\n`` all fail."""
     return F.coalesce(verdict.eqNullSafe(F.lit(SAFE)), F.lit(False))
@@ -113,6 +149,39 @@ def parse_verdict(df: DataFrame, json_col: str) -> DataFrame:
             .withColumn("final", d))
 
 
+def moderate(df: DataFrame, text_col: str, call, groups: tuple[str, ...], model: str = "", temperature: float = 0.0,
+             out: str = "record") -> DataFrame:
+    """O29 through a provider: ``call(texts, groups, model, temperature)`` returns a JSON record per text, once per
+    Arrow batch.  A failed call leaves NULL records, which parse to BLOCK."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            try:
+                records = list(call(pdf[text_col], groups, model, temperature))
+            except Exception:  # noqa: BLE001 - no record is a block
+                records = None
+            yield pdf.assign(**{out: records})
+
+    return df.mapInPandas(run, schema)
+
+
+def policy_groups(text: Column, toxic: Column | None = None) -> Column:
+    """Policy groups that the stand-in rules (and a toxicity label, if there is one) trigger."""
+    hits = [F.when(text.rlike(BLOCKED_WORDS_PATTERN), F.lit("VIOLENCE")), F.when(F.size(tf.pii_categories(text)) > 0, F.lit("PII"))]
+    if toxic is not None:
+        hits.append(F.when(toxic == 1, F.lit("TOXICITY")))
+    return F.array_compact(F.array(*hits))
+
+
+def policy_report(df: DataFrame, groups_col: str, groups: tuple[str, ...]) -> DataFrame:
+    """Rows that trigger each group of a policy, zeros included, in one aggregate."""
+    counts = [F.count(F.when(F.array_contains(groups_col, g), 1)).alias(g) for g in groups]
+    one = df.agg(*counts)
+    pairs = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(g).alias("category"), F.col(g).alias("n")) for i, g in enumerate(groups)])
+    return one.select(F.explode(pairs).alias("x")).select("x.no", "x.category", "x.n")
+
+
 def pii_matches(df: DataFrame, text_col: str, key: str) -> DataFrame:
     """One row per (text, category) with the number of matches."""
     rows = [F.struct(F.lit(name).alias("cat"),

@@ -344,6 +344,20 @@ def q_policy_pii(spark, sf):
     return gd.pii_report(d, "text", "doc_id")
 
 
+POLICY_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS no, {S.lit(g)} AS category, count(*) FILTER (WHERE " + {
+        "VIOLENCE": f"regexp_matches(text, {S.lit(gd.BLOCKED_WORDS_PATTERN)})", "PII": f"len({S.pii_list('text')}) > 0",
+        "TOXICITY": "toxic = 1"}.get(g, "false") + ") AS n FROM documents LEFT JOIN labels USING (doc_id)"
+    for i, g in enumerate(gd.REQUEST_GROUPS))
+
+
+@query("policy_groups", POLICY_SQL)
+def q_policy_groups(spark, sf):
+    d = T(spark, sf, "documents", ["doc_id", "text"]).join(T(spark, sf, "labels", ["doc_id", "toxic"]), "doc_id", "left")
+    groups = d.select(gd.policy_groups(F.col("text"), F.col("toxic")).alias("groups"))
+    return gd.policy_report(groups, "groups", gd.REQUEST_GROUPS)
+
+
 @query("guard_confusion", f"""
 SELECT CASE WHEN {S.passes('v')} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, l.toxic, count(*) AS n
 FROM (SELECT doc_id, {S.rule_verdict('text')} AS v FROM documents) d LEFT JOIN labels l USING (doc_id)

@@ -117,3 +117,44 @@ def test_answers_from_a_collection_with_string_ids(spark):
     out = catalog.QUERIES["answer_from_collection"](spark, SF).collect()
     base = {r.item_id: r for r in catalog.QUERIES["grounded_answer"](spark, SF).collect()}
     assert len(out) == len(base) and all(r.body == base[r.item_id].body and r.score == base[r.item_id].score for r in out)
+
+
+def test_guards_follow_the_configuration(spark):
+    from grounded.config import AnswerConfig
+    seen = "unsafe" + chr(10) + "S1"
+
+    def call(texts, model, temperature):
+        if model == "down":
+            raise RuntimeError("no guard")
+        return [f"{model}:{temperature}" if "say" in t else (guard.SAFE if "ok" in t else seen) for t in texts]
+
+    df = spark.createDataFrame([(1, "ok"), (2, "no"), (3, "say")], "id long, text string").coalesce(1)
+    first, second = guard.guards(AnswerConfig(input_guard_model="in", input_temperature=0.5, output_guard_model="down"), call)
+    got = {r.id: (r.verdict, r.passed) for r in guard.guard_request(df, "text", first).collect()}
+    assert got == {1: (guard.SAFE, True), 2: (seen, False), 3: ("in:0.5", False)}
+    down = guard.guard_response(df, "text", second).collect()
+    assert all(not r.passed and r.guard_error == "guard failed: no guard" for r in down)
+
+
+def test_moderation_records_of_a_provider(spark):
+    records = ['{"decision":"ALLOW","categories":[],"confidence":0.9,"brief_rationale":"fine"}',
+               '{"decision":"BLOCK","categories":["HATE","PII"],"confidence":0.7,"brief_rationale":"x"}',
+               '{"decision":"ALLOW","categories":["SEXUAL"],"confidence":0.9}', '{"decision":"ALLOW","confidence":0.2,"categories":[]}',
+               '{"decision":"ALLOW","categories":[', "MAYBE", None]
+
+    def call(texts, groups, model, temperature):
+        assert groups == guard.RESPONSE_GROUPS
+        return [records[int(t)] for t in texts]
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(len(records))], "id long, text string")
+    out = guard.parse_verdict(guard.moderate(df, "text", call, guard.RESPONSE_GROUPS), "record")
+    assert {r.id: r.final for r in out.collect()} == {0: "ALLOW", **{i: "BLOCK" for i in range(1, 7)}}
+    failed = guard.parse_verdict(guard.moderate(df, "text", lambda *a: 1 / 0, guard.REQUEST_GROUPS), "record")
+    assert {r.final for r in failed.collect()} == {"BLOCK"}
+
+
+def test_redacted_personal_data_is_allowed(spark):
+    texts = ["My phone number is ***-***-1234", "call [PHONE] or <EMAIL>", "card ****-****-****-9999", "mail me: a.b@example.com"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.g for r in df.select("id", guard.policy_groups(F.col("text")).alias("g")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["PII"]}
