@@ -1,17 +1,17 @@
 """Operator 9: toxicity by weak supervision.
 
 Voters are lexicon words and word-beginning patterns, mined from labelled
-documents: terms that stand in toxic documents far more often than in others.
-Each voter votes on a document by being present.  A generative label model
-estimates by expectation maximisation how often each voter fires on toxic and
-on other documents, with the label of the document as one more, fallible voter;
-voters that fire together beyond what the class explains are found from their
-residual correlations and share their weight.  Its posteriors are the soft
-labels on which a linear classifier is trained; the classifier scores all
-documents from the votes in their whole texts.
+documents: terms that stand in toxic documents more often than chance explains
+for any of all terms.  Each voter votes on a document by being present.  A
+generative label model estimates by expectation maximisation how often voters
+fire on toxic and on other documents, with the label of the document as one
+more, fallible voter; voters that fire together beyond what the class explains
+are found from their residual correlations and vote as one from then on.  Its
+posteriors are the soft labels on which a linear classifier is trained; the
+classifier scores all documents from the votes in their whole texts.
 
 Mining and fitting take about ``sample`` toxic and twice as many other labelled
-documents, chosen by a hash of the id (the documented bound).  The driver
+documents, chosen by a hash of the id (the documented bound); of near copies one is kept.  The driver
 receives counts of the terms that stand in several of these, and their votes.
 
 Results for odd rows: a null or empty text has no votes and gets the score of
@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grounded.llm.common import as_text, checkpointed, hashed_share, map_batches, with_fields
+from grounded.llm.jaccard import Forest, Shingler
 
 # Labelled documents learned from: so many toxic ones, and twice as many others.
 SAMPLE = 3000
-# Voters at most, the documents a term must stand in, and how much likelier it must be in toxic ones (logarithm).
-VOTERS, LEAST, LIFT = 400, 4, 2.0
+# Voters at most, and the documents a candidate must stand in.
+VOTERS, LEAST = 400, 3
 # Lengths of word beginnings that are candidates for patterns.
 PATTERNS = (4, 5, 6)
 
@@ -53,7 +54,7 @@ class ToxicityModel:
     voters: list[str] = field(default_factory=list)
     fire_toxic: np.ndarray | None = None       # how often a voter fires on toxic documents
     fire_other: np.ndarray | None = None       # ... and on others
-    share: np.ndarray | None = None            # 1 / (voters that fire with it beyond the class)
+    cluster: np.ndarray | None = None          # voters of one number fire together beyond the class
     prior: float = 0.0
     weights: np.ndarray | None = None          # of the classifier: one per feature
     bias: float = 0.0
@@ -75,27 +76,20 @@ class ToxicityModel:
         return found
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
-        """Probability of toxicity given which voters fire (rows x voters), correlated voters sharing their weight."""
+        """Probability of toxicity given which clusters of voters fire (rows x clusters)."""
         a, b = self.fire_toxic, self.fire_other
-        odds = math.log(self.prior / (1 - self.prior)) + (fires * self.share) @ np.log(a / b) \
-            + ((1 - fires) * self.share) @ np.log((1 - a) / (1 - b))
+        odds = math.log(self.prior / (1 - self.prior)) + fires @ np.log(a / b) + (1 - fires) @ np.log((1 - a) / (1 - b))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
     def score(self, text: str) -> float:
         if not self.voters:
             return 0.0
         found = self.votes(text)
-        z = self.bias + _evidence(found, self.weights)
+        z = self.bias + sum(self.weights[i] * (1 + math.log(n)) for i, n in found.items())
+        z += self.weights[-1] * math.log1p(len({self.cluster[i] for i in found}))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _evidence(found: dict[int, int], weights: np.ndarray) -> float:
-    """Votes count by 1 plus the logarithm of their number; the last weight is for the number of distinct voters."""
-    if not found:
-        return 0.0
-    return sum(weights[i] * (1 + math.log(n)) for i, n in found.items()) + weights[-1] * math.log1p(len(found))
-
-
 def _sample(documents: DataFrame, labels: DataFrame, key: str, sample: int) -> DataFrame:
     known = (labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull())
              .groupBy(key).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
@@ -105,7 +99,36 @@ def _sample(documents: DataFrame, labels: DataFrame, key: str, sample: int) -> D
         if sizes.get(label):
             chosen = chosen | ((F.col("toxic") == label) & hashed_share(min(1.0, bound / sizes[label]), key))
     # About 3 * sample ids, the documented bound, go to every task.
-    return documents.select(key, "text").join(F.broadcast(known.where(chosen)), key).select("text", "toxic")
+    return documents.select(key, "text").join(F.broadcast(known.where(chosen)), key).select("text", "toxic").distinct()
+
+
+def _one_of_each_family(rows: DataFrame) -> DataFrame:
+    """One of the sampled documents of a label that are near copies of each other: copies are not independent
+    evidence for a term.  Near copies share three MinHash values in one of six trees, directly or through others."""
+    def start():
+        shingler, forest = Shingler(), Forest(6, 3, 3)
+
+        def fn(batch):
+            found = [shingler.shingles(as_text(t)) for t in batch.column(1).to_pylist()]
+            return [batch.column(0), batch.column(2), [forest.keys(f) if len(f) else [] for f in found]]
+        return fn
+
+    keyed = map_batches(rows.select("row", "text", "toxic"), start, "row long, toxic int, keys array<long>").collect()
+    head: dict[tuple, int] = {}
+    parent = {r["row"]: r["row"] for r in keyed}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in sorted(keyed, key=lambda r: r["row"]):
+        for key in r["keys"]:
+            first = head.setdefault((r["toxic"], key), r["row"])
+            a, b = find(first), find(r["row"])
+            parent[max(a, b)] = min(a, b)
+    kept = rows.sparkSession.createDataFrame([(r,) for r in parent if find(r) == r], "row long")
+    return rows.join(F.broadcast(kept), "row").drop("row")              # no more than the sample
 
 
 def _mine(sample: DataFrame, voters: int) -> tuple[list[str], int, int]:
@@ -123,19 +146,37 @@ def _mine(sample: DataFrame, voters: int) -> tuple[list[str], int, int]:
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return [], 0, other
-    # Smoothed lift of presence; longer terms first among equals, so that whole words and close patterns are kept.
-    lift = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("o") + 0.5) / (other + 1.0))
-    best = (map_batches(sample, count, "term string, t long, o long", rows=1024)
-            .groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where(F.col("t") >= LEAST)
-            .withColumn("lift", lift).where(F.col("lift") >= LIFT)
-            .orderBy((F.col("lift") * F.sqrt("t")).desc(), "term").limit(voters))
-    return [r["term"] for r in best.collect()], toxic, other
+    counts = checkpointed(map_batches(sample, count, "term string, t long, o long", rows=1024)
+                          .groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+                          .where(F.col("t") + F.col("o") >= LEAST), "toxicity-terms")
+    n_terms = counts.count()
+    # Chernoff bound on the chance that so many of a term's documents are toxic; below one in all terms is evidence.
+    share, n = toxic / (toxic + other + 1.0), F.col("t") + F.col("o")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0)
+    evidence = part(F.col("t"), share) + part(F.col("o"), 1 - share)
+    best = (counts.withColumn("evidence", evidence)
+            .where((F.col("t") > n * share) & (F.col("evidence") >= math.log(max(2, n_terms))))
+            .orderBy(F.desc("evidence"), "term").limit(4 * voters))
+    return specific({r["term"]: (r["t"], r["o"]) for r in best.collect()})[:voters], toxic, other
+
+
+def specific(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """The terms without patterns that a longer term of theirs all but explains."""
+    kept = []
+    for term, (toxic, other) in counts.items():
+        stem = term.rstrip("*")
+        longer = (c for t, c in counts.items() if t != term and t.rstrip("*").startswith(stem)) if term.endswith("*") else ()
+        if not any(t >= 0.8 * toxic and o <= other for t, o in longer):
+            kept.append(term)
+    return kept
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE,
         voters: int = VOTERS) -> ToxicityModel:
     """Learns from the texts of ``documents`` that have a row in ``labels`` (``key``, ``toxic``)."""
-    rows = checkpointed(_sample(documents, labels, key, sample), "toxicity-sample")
+    rows = checkpointed(_sample(documents, labels, key, sample).withColumn("row", F.monotonically_increasing_id()),
+                        "toxicity-sample")
+    rows = checkpointed(_one_of_each_family(rows), "toxicity-families")
     mined, toxic, other = _mine(rows, voters)
     if not mined:
         return ToxicityModel()
@@ -160,47 +201,59 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", sample: in
     return model
 
 
-def label_model(model: ToxicityModel, fires: np.ndarray, given: np.ndarray, trust: float = 0.97,
+def label_model(model: ToxicityModel, fires: np.ndarray, given: np.ndarray, trust: float = 0.98,
                 rounds: int = 25) -> np.ndarray:
     """Firing rates and correlations of the voters; returns the posteriors of the rows.
 
-    ``given`` is the label as a voter that is right with probability ``trust``."""
+    ``given`` is the label as a voter that is right with probability ``trust``.  After two rounds correlated
+    voters are joined to clusters, which fire if any of theirs does."""
     label_odds = np.where(given > 0.5, 1, -1) * math.log(trust / (1 - trust))
     p = np.where(given > 0.5, trust, 1 - trust)
-    model.share = np.ones(fires.shape[1])
+    model.cluster, votes = np.arange(fires.shape[1]), fires
     for step in range(rounds):
-        model.fire_toxic = np.clip((p @ fires + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
-        model.fire_other = np.clip(((1 - p) @ fires + 0.05) / ((1 - p).sum() + 1), 1e-5, 1 - 1e-4)
-        model.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
         if step == 2:
-            model.share = 1 / dependents(model, fires, p)
-        q = model.posterior(fires)
+            model.cluster = clusters(fires, p)
+            votes = np.stack([fires[:, model.cluster == c].max(1) for c in range(model.cluster.max() + 1)], 1)
+        model.fire_toxic = np.clip((p @ votes + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
+        model.fire_other = np.clip(((1 - p) @ votes + 0.05) / ((1 - p).sum() + 1), 1e-5, 1 - 1e-4)
+        model.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+        q = model.posterior(votes)
         odds = np.log(np.clip(q, 1e-12, 1 - 1e-12) / np.clip(1 - q, 1e-12, 1)) + label_odds
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        if np.abs(new - p).max() < 1e-4 and step > 4:
-            p = new
-            break
+        done = np.abs(new - p).max() < 1e-4 and step > 4
         p = new
+        if done:
+            break
     return p
 
 
-def dependents(model: ToxicityModel, fires: np.ndarray, p: np.ndarray, bound: float = 0.5) -> np.ndarray:
-    """Per voter, how many voters (itself included) fire with it beyond what the class explains."""
-    expected = np.outer(p, model.fire_toxic) + np.outer(1 - p, model.fire_other)
-    residual = fires - expected
-    scale = np.sqrt((residual ** 2).sum(0)) + 1e-9
-    correlation = (residual / scale).T @ (residual / scale)
-    return np.maximum(1.0, (correlation > bound).sum(0))
+def clusters(fires: np.ndarray, p: np.ndarray, bound: float = 0.5) -> np.ndarray:
+    """A number per voter: voters whose residuals, given the class, correlate above ``bound`` share it."""
+    toxic, other = p @ fires / max(p.sum(), 1e-9), (1 - p) @ fires / max((1 - p).sum(), 1e-9)
+    residual = fires - np.outer(p, toxic) - np.outer(1 - p, other)
+    residual /= np.sqrt((residual ** 2).sum(0)) + 1e-9
+    near = residual.T @ residual > bound
+    label = np.full(len(near), -1)
+    for start in range(len(near)):
+        if label[start] < 0:
+            label[start], todo = label.max() + 1, [start]
+            while todo:
+                new = np.flatnonzero(near[todo.pop()] & (label < 0))
+                label[new] = label[start]
+                todo += new.tolist()
+    return label
+
 
+def train_linear(model: ToxicityModel, votes: list[dict[int, int]], posterior: np.ndarray, hold: float = 0.2) -> None:
+    """Logistic regression on the posteriors (Newton steps); terms of toxicity never count against it.
 
-def train_linear(model: ToxicityModel, votes: list[dict[int, int]], posterior: np.ndarray, hold: float = 0.5) -> None:
-    """Logistic regression on the posteriors (Newton steps); terms of toxicity never count against it."""
+    Features: 1 plus the logarithm of each voter's count, and the logarithm of 1 plus the number of clusters."""
     n = len(model.voters)
     x = np.zeros((len(votes), n + 2))
     for i, found in enumerate(votes):
         for v, k in found.items():
             x[i, v] = 1 + math.log(k)
-        x[i, n] = math.log1p(len(found))
+        x[i, n] = math.log1p(len({model.cluster[v] for v in found}))
     x[:, n + 1] = 1
     w, ridge = np.zeros(n + 2), np.full(n + 2, hold)
     ridge[n:] = 0.05
@@ -209,7 +262,7 @@ def train_linear(model: ToxicityModel, votes: list[dict[int, int]], posterior: n
         h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, x.T @ (posterior - q) - ridge * w)
         w = w + np.clip(step, -4, 4)
-        w[:n] = np.maximum(w[:n], 0)
+        w[:n + 1] = np.maximum(w[:n + 1], 0)
         if np.abs(step).max() < 1e-4:
             break
     model.weights, model.bias = w[:n + 1], float(w[n + 1])

@@ -51,9 +51,12 @@ def test_label_model_finds_rates_and_copies():
     model = toxicity.ToxicityModel(["a", "b", "c", "d"])
     model.prior = 0.2
     p = toxicity.label_model(model, fires, given)
-    assert np.abs(model.fire_toxic[:3] - [a for a, _ in rates]).max() < 0.06
-    assert np.abs(model.fire_other[:3] - [b for _, b in rates]).max() < 0.04
-    assert model.share.tolist() == [0.5, 1.0, 1.0, 0.5]
+    assert model.cluster.tolist() == [0, 1, 2, 0]                    # the copy votes with its original
+    assert np.abs(model.fire_toxic - [a for a, _ in rates]).max() < 0.06
+    assert np.abs(model.fire_other - [b for _, b in rates]).max() < 0.04
     assert ((p > 0.5) == y).mean() >= 0.95
 
 
+def test_patterns_that_a_longer_term_explains_go():
+    counts = {"lose*": (100, 9), "loser": (95, 0), "lowe*": (50, 0), "lowei*": (50, 0), "loweia": (9, 0), "scum": (40, 0)}
+    assert toxicity.specific(counts) == ["loser", "lowei*", "loweia", "scum"]
