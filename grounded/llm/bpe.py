@@ -32,7 +32,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # Entries, and characters in their keys, that a table of recent words or pre-tokens takes before it becomes the
 # older table and a new one starts.
-RECENT, RECENT_CHARS = 150_000, 4_000_000
+RECENT, RECENT_CHARS = 100_000, 3_000_000
 # Characters that are split into pre-tokens at a time.
 SPAN = 1 << 20
 
@@ -174,9 +174,10 @@ class Encoder:
         ids = iter([b"".join(map(token, tokens)) + b"".join(map(word, words)) for tokens, words in split])
         return [b"".join([next(ids) for _ in parts]) for parts in texts]
 
-    def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+def decoded(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes of ids (little-endian unsigned 32-bit integers)."""
+    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _LOADED: dict[tuple[str, str], Encoder] = {}
@@ -189,15 +190,15 @@ def encoder(ranks: str, pattern: str) -> Encoder:
     return _LOADED[ranks, pattern]
 
 
-def _apply(df: DataFrame, keys: list[str], source: str, target: str, make: Callable) -> DataFrame:
-    if target in keys:
-        raise ValueError(f"a key column is named {target!r}, like the result")
+def _apply(df: DataFrame, keys: list[str], source: str, targets: list[str], make: Callable) -> DataFrame:
+    if set(targets) & set(keys):
+        raise ValueError(f"a key column is named like a result: {targets}")
     rows = df.select(*keys, F.col(source).alias("__in"))
-    schema = T.StructType([*(f for f in rows.schema if f.name != "__in"), T.StructField(target, T.BinaryType())])
+    schema = T.StructType([*(f for f in rows.schema if f.name != "__in"), *(T.StructField(t, T.BinaryType()) for t in targets)])
 
     def start():
         fn = make()
-        return lambda b: [*b.columns[:-1], fn(b.columns[-1].to_pylist())]
+        return lambda b: [*b.columns[:-1], *fn(b.columns[-1].to_pylist())]
 
     return map_batches(rows, start, schema)
 
@@ -209,27 +210,40 @@ def encode(df: DataFrame, keys: list[str], text: str = "text", ids: str = "ids",
 
     def make():
         e = encoder(path, pattern)
-        return lambda texts: e.encode([as_text(x) for x in texts])
+        return lambda texts: [e.encode([as_text(x) for x in texts])]
 
-    return _apply(df, keys, text, ids, make)
+    return _apply(df, keys, text, [ids], make)
 
 
-def decode(df: DataFrame, keys: list[str], ids: str = "ids", data: str = "decoded", ranks: str | None = None,
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(df: DataFrame, keys: list[str], ids: str = "ids", data: str = "decoded", ranks: str | None = None) -> DataFrame:
     """``keys`` and ``data``: the bytes that the ids stand for (null ids: no bytes)."""
     path = ranks or public_tokenizers.path(RANKS)
 
+    def make():
+        tokens = load_ranks(path)
+        return lambda column: [[decoded(tokens, x or b"") for x in column]]
+
+    return _apply(df, keys, ids, [data], make)
+
+
+def round_trip(df: DataFrame, keys: list[str], text: str = "text", ids: str = "ids", data: str = "decoded",
+               ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``keys``, ``ids`` and the bytes decoded from these ids, by one Python worker a task instead of two."""
+    path = ranks or public_tokenizers.path(RANKS)
+
     def make():
         e = encoder(path, pattern)
-        return lambda column: [e.decode(x or b"") for x in column]
 
-    return _apply(df, keys, ids, data, make)
+        def fn(texts):
+            found = e.encode([as_text(x) for x in texts])
+            return found, [decoded(e.tokens, x) for x in found]
+        return fn
+
+    return _apply(df, keys, text, [ids, data], make)
 
 
 def digests(documents: DataFrame, keys: list[str]) -> DataFrame:
     """Encodes, decodes the ids and reports both sides' SHA-256 with the number of tokens."""
-    ids = encode(documents, keys)
-    ids = ids.select(*keys, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                     F.sha2("ids", 256).alias("ids_sha256"))
-    kept = [*keys, "n_tokens", "ids_sha256"]
-    return decode(ids, kept).select(*kept, F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(documents, keys).select(
+        *keys, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from grounded.session import scratch_dir, ship_package
 from grounded.sources.tables import read_table
 
-# Rows that a Python function sees at once; the texts of so many rows are in its memory.
-ROWS_AT_ONCE = 256
+# Rows that a Python function sees at once, and rows that Spark hands to a Python worker at once: the texts of so
+# many rows are in its memory.
+ROWS_AT_ONCE, ROWS_A_BATCH = 256, 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -50,12 +51,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
 def map_partitions(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` of ``run(batches, out)``, where ``out`` is the Arrow schema of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     struct = as_schema(schema)
     out = to_arrow_schema(struct)
     return df.mapInArrow(lambda batches: run(batches, out), struct)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Executors can import the package, and Arrow batches hold at most ``ROWS_A_BATCH`` rows: texts may be long."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 def batch_of(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[]] * len(out)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
@@ -63,7 +73,7 @@ def batch_of(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
 
 def keep_rows(df: DataFrame, text: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows, all columns, whose text passes the test that ``make()`` returns in each task."""
-    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from grounded.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.9999
 # A block of a candidate group holds about so many shingles and documents; words that a task keeps hashes of.
-BLOCK_SHINGLES, BLOCK_DOCS, KNOWN = 400_000, 768, 300_000
+BLOCK_SHINGLES, BLOCK_DOCS, KNOWN = 400_000, 768, 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

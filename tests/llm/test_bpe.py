@@ -35,7 +35,7 @@ def test_equals_the_library_on_odd_texts(encoder, library, monkeypatch):
     assert encoder.encode(texts) == [ids(library, t) for t in texts]
     monkeypatch.setattr(bpe, "SPAN", 40)          # texts are cut into spans
     assert encoder.encode(texts) == [ids(library, t) for t in texts]
-    assert all(encoder.decode(i) == t.encode() for i, t in zip(encoder.encode(texts), texts))
+    assert all(bpe.decoded(encoder.tokens, i) == t.encode() for i, t in zip(encoder.encode(texts), texts))
 
 
 def test_small_tables_of_recent_words(library, monkeypatch):
@@ -55,6 +55,8 @@ def test_query_rows(spark, library):
         return key, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
     assert got == sorted((want(k, t) for k, t, _ in rows), key=str)
+    apart = bpe.decode(bpe.encode(df.drop("ids"), ["doc_id"]), ["doc_id"]).collect()
+    assert sorted((bytes(r.decoded) for r in apart)) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.digests(df.limit(0), ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(df, ["doc_id", "ids"])
