@@ -658,7 +658,8 @@ SELECT src, id, CASE WHEN err IS NULL THEN 200 ELSE 500 END AS status,
        CASE WHEN err IS NULL THEN answer ELSE {S.error_body('err')} END AS body FROM res
 UNION ALL SELECT src, id, 400 AS status, NULL AS body FROM r WHERE status = 400""")
 def q_response_status(spark, sf):
-    dec = ans.decode_request(_request_bodies(spark, sf)).withColumn("rid", F.concat_ws("#", "src", "id"))
+    # read three times below: decoded once
+    dec = materialize(ans.decode_request(_request_bodies(spark, sf)).withColumn("rid", F.concat_ws("#", "src", "id")), "requests")
     bad = dec.where(F.col("status") == ans.STATUS_BAD_REQUEST).select(
         "src", "id", "status", F.lit(None).cast("string").alias("body"))
     good = dec.where(F.col("status") == ans.STATUS_OK).select("src", "id", "rid", F.col("query").alias("text"))
