@@ -1,21 +1,24 @@
 """Operator 7: benchmark decontamination by rare n-gram seeds and local alignment.
 
-Test items are cut into word trigrams.  One pass over all documents counts in
-how many each trigram stands; an item's seeds are its rare trigrams, where what
-counts as rare follows the item's own trigrams, so that an item that leaked
-everywhere, or one of common words, keeps seeds too.  In a second pass a
-document that holds a seed is aligned with the seed's item by Smith-Waterman on
-words (match +1, mismatch and gap -1) around the seed; documents whose best
-alignment reaches ``THRESHOLD`` of the item's length hold a copy of it, edited
-or not.
+Test items are cut into word trigrams, with and without a word left out.  One
+pass over all documents counts in how many each trigram stands; an item's seeds
+are its rare trigrams, where what counts as rare follows the item's own
+trigrams, so that an item that leaked everywhere, or one of common words, keeps
+seeds too.  Every run of ``RUN`` words of an item is a seed as well, however
+common.  In a second pass a document that holds a seed is aligned with the
+seed's item by Smith-Waterman on words (match +1, mismatch and gap -1) around
+the seed; documents whose best alignment reaches ``THRESHOLD`` of the item's
+length, or ``RUN`` words net of edits, hold a copy of it or of a part, edited or
+not.
 
 Items are taken in blocks of bounded size, each of which goes to every task;
 documents are never shuffled.
 
 Results for odd rows: words are runs of letters, digits and underscores in
-lower case; null or empty documents and items match nothing; an item of fewer
-than three words is its own single seed; an item shorter than ``LEAST`` words
-must be found whole; repeated rows are reported each; equal scores end at the
+lower case; null or empty documents and items match nothing; an item shorter
+than ``LEAST`` words must be found whole, and either stand in at most ``RARE``
+documents or, from three words on, make up a sentence or line of the document (a
+common word or phrase inside running text is no copy); repeated rows are reported each; equal scores end at the
 first place; an empty table on either side gives an empty result.  Columns are
 taken by name, so others cannot clash."""
 
@@ -33,14 +36,21 @@ from pyspark.sql import functions as F
 from grounded.llm.common import as_schema, as_text, map_batches
 
 GRAM = 3
+# Offsets of the words of a trigram; the second outlives an edit of every third word.
+SHAPES = ((0, 1, 2), (0, 1, 3))
 # N-grams in at most so many documents are rare; so are those not far above this quantile of their item's n-grams.
 RARE, USUAL = 16, 0.85
-THRESHOLD = 0.4
+# Share of an item that a copy holds, net of edits: clean documents of check_s and items of 28 words or more stay below
+# 0.2, a copy with a third of its words replaced has about 0.33.  No clean document has ``LEAST`` words of any item.
+THRESHOLD = 0.25
 LEAST = 7
+# So many words net of edits are a copy of a part of an item of any length.
+RUN = 13
 # Characters of items in one block.
 BLOCK_CHARS = 8 << 20
 
 _WORD = re.compile(r"\w+")
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,7 +74,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 def needed(length: int, threshold: float) -> float:
-    return max(threshold * length, min(length, LEAST))
+    return max(min(threshold * length, RUN), min(length, LEAST))
 
 
 @dataclass
@@ -75,6 +85,8 @@ class Items:
     items: list[np.ndarray]
     grams: np.ndarray
     places: list[list[tuple[int, int]]]          # per n-gram: items it stands in, and where
+    runs: dict[int, tuple]                       # per length: sorted hashes of runs, their items, and where
+    common: dict[int, re.Pattern | None]         # short items of too many documents: what they look like on their own
 
     @classmethod
     def of(cls, rows: list[tuple]) -> "Items":
@@ -88,10 +100,23 @@ class Items:
         found = defaultdict(list)
         base = len(vocabulary) + 1
         for i, item in enumerate(items):
-            for at, gram in enumerate(_grams(item, base).tolist()):
-                found[gram].append((i, at))
+            if len(item) >= LEAST:
+                for at, gram in sorted({x for shape in SHAPES for x in enumerate(_grams(item, shape, base).tolist())}):
+                    found[gram].append((i, at))
         order = sorted(found)
-        return cls(ids, vocabulary, items, np.array(order, np.int64), [found[g] for g in order])
+        # Short items whole, the others in runs.
+        lengths = defaultdict(list)
+        for i, item in enumerate(items):
+            if len(item) < LEAST or len(item) >= RUN:
+                lengths[len(item) if len(item) < LEAST else RUN].append(i)
+        runs = {}
+        for n, own in lengths.items():
+            hashed = [_hashes(items[i], np.arange(len(items[i]) - n + 1), n) for i in own]
+            of, at = np.repeat(own, [len(h) for h in hashed]), np.concatenate([np.arange(len(h)) for h in hashed])
+            hashed = np.concatenate(hashed)
+            by = np.argsort(hashed, kind="stable")
+            runs[n] = hashed[by], of[by], at[by]
+        return cls(ids, vocabulary, items, np.array(order, np.int64), [found[g] for g in order], runs, {})
 
     def numbers(self, text: str | None) -> np.ndarray:
         """A document's words as numbers; 0 for words of no item."""
@@ -103,23 +128,56 @@ class Items:
         """Positions in the document where an n-gram of an item starts, and the n-grams' indexes."""
         base = len(self.vocabulary) + 1
         at, index = [], []
-        for n in sorted({min(GRAM, len(i)) for i in self.items}):
-            if len(doc) < n or not len(self.grams):
+        for shape in SHAPES:
+            n = len(doc) - shape[-1]
+            if n < 1 or not len(self.grams):
                 continue
-            gram = _ngrams(doc, n, base)
-            full = np.flatnonzero(np.logical_and.reduce([doc[k:len(doc) - n + 1 + k] > 0 for k in range(n)]))
-            k = np.searchsorted(self.grams, gram[full])
-            right = (k < len(self.grams)) & (self.grams[np.minimum(k, len(self.grams) - 1)] == gram[full])
+            full = np.flatnonzero(np.logical_and.reduce([doc[k:n + k] > 0 for k in shape]))
+            gram = _grams(doc, shape, base)[full]
+            k = np.searchsorted(self.grams, gram)
+            right = (k < len(self.grams)) & (self.grams[np.minimum(k, len(self.grams) - 1)] == gram)
             at.append(full[right])
             index.append(k[right])
         return (np.concatenate(at), np.concatenate(index)) if at else (np.zeros(0, int), np.zeros(0, int))
 
+    def found_runs(self, doc: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+        """Where ``n`` words of the document are a run of an item: position in the document, item, position in it."""
+        hashed, of, at = self.runs[n]
+        known = np.concatenate(([0], np.cumsum(doc > 0)))
+        full = np.flatnonzero(known[n:] - known[:-n] == n) if len(doc) >= n else np.zeros(0, int)
+        if not len(full):
+            return []
+        own = _hashes(doc, full, n)
+        low, high = np.searchsorted(hashed, own, "left"), np.searchsorted(hashed, own, "right")
+        found = []
+        for j in np.flatnonzero(high > low).tolist():
+            p = int(full[j])
+            for i, q in zip(of[low[j]:high[j]].tolist(), at[low[j]:high[j]].tolist()):
+                if np.array_equal(doc[p:p + n], self.items[i][q:q + n]):
+                    found.append((p, i, q))
+        return found
+
+    def wholes(self, doc: np.ndarray) -> dict[int, int]:
+        """Short items that the document holds whole, and where they start first."""
+        first: dict[int, int] = {}
+        for n in self.runs:
+            if n < LEAST:
+                for p, i, _ in self.found_runs(doc, n):
+                    first.setdefault(i, p)
+        return first
+
+    def counted(self, text: str | None) -> np.ndarray:
+        """Indexes of what a document holds: n-grams, and after these the short items."""
+        doc = self.numbers(text)
+        return np.concatenate((np.unique(self.hits(doc)[1]), len(self.grams) + np.array(sorted(self.wholes(doc)), int)))
+
     def with_seeds(self, documents_with: np.ndarray) -> "Items":
         """Only n-grams that are rare for their item: in at most ``RARE`` documents, or in no more than four times as
         many as the item's n-gram at the ``USUAL`` quantile.
 
         So a copy that leaked everywhere keeps its seeds, whichever part of the item it holds, as long as that is
-        more than the rest above the quantile; what goes are the few n-grams that are common by themselves."""
+        more than the rest above the quantile; what goes are the few n-grams that are common by themselves, and parts
+        below the quantile are found by their runs."""
         counts = defaultdict(list)
         for gram, places in enumerate(self.places):
             for i, _ in places:
@@ -127,19 +185,26 @@ class Items:
         bound = {i: max(RARE, 4 * np.quantile(n, USUAL)) for i, n in counts.items()}
         kept = [[(i, at) for i, at in places if documents_with[gram] <= bound[i]] for gram, places in enumerate(self.places)]
         order = [gram for gram, places in enumerate(kept) if places and documents_with[gram]]
-        return Items(self.ids, self.vocabulary, self.items, self.grams[order], [kept[g] for g in order])
+        words = {n: w for w, n in self.vocabulary.items()}
+        common = {i: _alone([words[n] for n in item.tolist()]) for i, item in enumerate(self.items)
+                  if len(item) < LEAST and documents_with[len(self.grams) + i] > RARE}
+        return Items(self.ids, self.vocabulary, self.items, self.grams[order], [kept[g] for g in order], self.runs, common)
 
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
         """Items of which the text holds a copy: item id, score from 0 to 1, matched length, last word's position."""
         doc = self.numbers(text)
         at, grams = self.hits(doc)
-        if not len(at):
-            return []
         starts = defaultdict(list)
         for p, g in zip(at.tolist(), grams.tolist()):
             for i, q in self.places[g]:
                 starts[i].append(p - q)
+        for p, i, q in self.found_runs(doc, RUN) if RUN in self.runs else ():
+            starts[i].append(p - q)
         found = []
+        for i, p in sorted(self.wholes(doc).items()):
+            n = len(self.items[i])
+            if i not in self.common or (self.common[i] and self.common[i].search(as_text(text).lower())):
+                found.append((self.ids[i], 1.0, n, p + n))
         for i, begins in sorted(starts.items()):
             item, best, end = self.items[i], 0, 0
             slack = len(item) // 2 + 4
@@ -164,15 +229,27 @@ class Items:
         return found
 
 
-def _ngrams(numbers: np.ndarray, n: int, base: int) -> np.ndarray:
-    out = numbers[:len(numbers) - n + 1].copy()
-    for k in range(1, n):
-        out = out * base + numbers[k:len(numbers) - n + 1 + k]
-    return out * GRAM + (n - 1)                   # n-grams of different lengths differ
+def _grams(numbers: np.ndarray, shape: tuple[int, ...], base: int) -> np.ndarray:
+    n = len(numbers) - shape[-1]
+    out = numbers[:n].copy()
+    for k in shape[1:]:
+        out = out * base + numbers[k:n + k]
+    return out
+
+
+def _hashes(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` numbers that start at these positions."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = out * _HASH + numbers[at + k].astype(np.uint64)
+    return out
 
 
-def _grams(numbers: np.ndarray, base: int) -> np.ndarray:
-    return _ngrams(numbers, min(GRAM, len(numbers)), base)
+def _alone(words: list[str]) -> re.Pattern | None:
+    """What a short item looks like as a sentence or line; no context tells of fewer words than ``GRAM``."""
+    if len(words) < GRAM:
+        return None
+    return re.compile(r"(?:\A|[.!?:;\n\r])\W{0,8}" + r"\W+".join(map(re.escape, words)) + r"[^\w.!?:;\n\r]{0,8}(?:\Z|[.!?:;\n\r])")
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Items]:
@@ -192,16 +269,16 @@ def _counted(documents: DataFrame, text: str, items: Items) -> Items:
 
     def run(batches):
         own = shared.value
-        total = np.zeros(len(own.grams), np.int64)
+        total = np.zeros(len(own.grams) + len(own.items), np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total[np.unique(own.hits(own.numbers(t))[1])] += 1
+                total[own.counted(t)] += 1
         gram = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array(total[gram], pa.int64())], names=["gram", "n"])
 
     counts = (documents.select(F.col(text).alias("text")).mapInArrow(run, "gram int, n long")
               .groupBy("gram").agg(F.sum("n").alias("n")).collect())       # at most the block's n-grams
-    documents_with = np.zeros(len(items.grams), np.int64)
+    documents_with = np.zeros(len(items.grams) + len(items.items), np.int64)
     for r in counts:
         documents_with[r["gram"]] = r["n"]
     return items.with_seeds(documents_with)

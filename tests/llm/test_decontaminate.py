@@ -94,3 +94,38 @@ def test_odd_rows(spark, short):
     assert got == sorted(want, key=str)
     assert dec.leaks(docs.limit(0), bench).count() == 0 and dec.leaks(docs, bench.limit(0)).count() == 0
     assert dec.clean(docs, bench.limit(0)).count() == len(rows) and dec.clean(docs, bench).columns == docs.columns
+
+
+def found(spark, docs, items):
+    got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_parts_of_items_are_found(spark):
+    words, short = [f"w{i}" for i in range(200)], [f"s{i}" for i in range(59)]
+    docs = [(1, "before it " + " ".join(words[70:130]) + " after it"), (2, "a " + " ".join(short[30:50]) + " b"),
+            (3, " ".join(words[100:113])), (4, " ".join(words[20:26]))]
+    # A part of a tenth of the item, in more documents than any other part.
+    docs += [(100 + i, f"page {i} " + " ".join(words[150:170])) for i in range(300)]
+    got = found(spark, docs, [(1, " ".join(words)), (2, " ".join(short))])
+    assert got == {(1, 1), (2, 2), (3, 1)} | {(100 + i, 1) for i in range(300)}
+
+
+def test_copies_with_a_third_replaced_are_found(spark):
+    rng = random.Random(3)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(60))) for k in range(40)]
+    third = lambda t: " ".join("zz" if j % 3 == 2 else w for j, w in enumerate(t.split()))
+    less = lambda t: " ".join(w for j, w in enumerate(t.split()) if j % 3 != 2)
+    some = lambda t: " ".join("zz" if rng.random() < 1 / 3 else w for w in t.split())
+    for edit, least in ((third, 40), (less, 40), (some, 36)):
+        got = found(spark, [(k, f"some words before {edit(t)} and after") for k, t in items], items)
+        assert len(got) >= least and all(d == i for d, i in got)
+
+
+def test_common_short_items_need_a_sentence_of_their_own(spark):
+    docs = [(i, f"the answer {i} is yes and in the end we go") for i in range(50)]
+    docs += [(100, "Text before. In the end! Text after."), (101, "a rare short item here"), (102, "Yes.")]
+    got = found(spark, docs, [(1, "yes"), (2, "in the end"), (3, "rare short item")])
+    assert got == {(100, 2), (101, 3)}
+    bench = spark.createDataFrame([(1, "yes")], "item_id long, text string")
+    assert dec.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).count() == len(docs)
