@@ -13,8 +13,10 @@ A control string inside a text or role is escaped by a backslash after its first
 character; one that already has backslashes there gets one more, so unescaping
 gives every text back exactly.
 
-A conversation of any length is handled in parts of ``TURNS`` consecutive turn
-numbers, which are rendered, encoded and masked independently (no token crosses
+A conversation of any length is handled in parts of at most ``TURNS`` rows and
+about ``CHARS`` characters (a longer text is a part of its own).  Rows are dealt
+to the tasks by ranges of their order, so one conversation, however many rows
+it has and whatever their turns, is shared by several tasks.  Parts are rendered, encoded and masked independently (no token crosses
 turns, so the parts' ids are those of the whole); only the digests of a whole
 conversation are taken in order, from a sorted stream of its parts, one part in
 memory at a time.
@@ -34,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,8 @@ AFTER = {"system": "[/SYS]</s>", "user": "[/INST]</s>", "assistant": "</s>"}
 TRAINED = "assistant"
 
 VOCABULARY = "byte_bpe_50k.json"
-# Turn numbers of one part of a conversation.
-TURNS = 64
+# Rows and characters of one part of a conversation.
+TURNS, CHARS = 64, 1 << 20
 
 _ESCAPE = re.compile(r"(<|\[)(\\*)(/?s>|/?SYS\]|/?INST\]|/?ROLE\])")
 _UNESCAPE = re.compile(r"(<|\[)\\(\\*)(/?s>|/?SYS\]|/?INST\]|/?ROLE\])")
@@ -134,14 +137,16 @@ def format_part(tokenizer, turns: list[tuple[str, str]]) -> tuple:
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text", vocabulary: str | None = None, turns: int = TURNS) -> DataFrame:
-    """One row per part of a conversation: rendered text, ids and the spans under the loss mask."""
+    """One row per part of a conversation: rendered text, ids and the spans under the loss mask.
+
+    ``part`` numbers ascend in the order of the rows: the range of the row, then the part inside the range."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    number = F.col(turn).cast("long")
-    ordered = (rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.floor(number / turns).alias("part"),
-                           number.alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-                           F.coalesce(F.col(text), F.lit("")).alias("text"))
-               .repartition("conv_id", "part")
-               .sortWithinPartitions("conv_id", "part", F.col("turn").asc_nulls_first(), "role", "text"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "tie"]
+    # Equal rows are interchangeable: the tie only deals them to several tasks.
+    ordered = (rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
+                           F.coalesce(F.col(role), F.lit("")).alias("role"),
+                           F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+               .repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text"))
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
@@ -149,20 +154,22 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
         def rows_of(done):
             return batch_of([(*key, *format_part(tokenizer, part)) for key, part in done], out)
 
-        done, key, part, size = [], None, [], 0
+        first = TaskContext.get().partitionId() << 40
+        done, conv, part, chars, size, n = [], None, [], 0, 0, 0
         for batch in batches:
-            for conv, at, _, who, said in zip(*(c.to_pylist() for c in batch.columns)):
-                if part and (conv, at) != key:
-                    done.append((key, part))
-                    part = []
+            for own, who, said in zip(*(c.to_pylist() for c in batch.columns)):
+                length = len(who) + len(said) + 16
+                if part and (own != conv or len(part) >= turns or chars + length > CHARS):
+                    done.append(((conv, first + n), part))
+                    part, size, chars, n = [], size + chars, 0, n + 1
                     if size > 1 << 20:
                         yield rows_of(done)
                         done, size = [], 0
-                key = (conv, at)
+                conv = own
                 part.append((who, said))
-                size += len(said) + 16
+                chars += length
         if part:
-            done.append((key, part))
+            done.append(((conv, first + n), part))
         if done:
             yield rows_of(done)
 

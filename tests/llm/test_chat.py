@@ -66,3 +66,15 @@ def test_odd_rows_and_a_long_conversation(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversation_digests(chat.format_conversations(df)).count() == 0
+
+
+def test_parts_are_bounded_whatever_the_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHARS", 3000)
+    rows = [(None, i % 60, "assistant" if i % 2 else "user", f"no conversation {i} " + "x" * (i % 90)) for i in range(900)]
+    rows += [(1, None, "user", f"no turn {i}") for i in range(900)] + [(2, 3, "assistant", "again and again")] * 900
+    rows += [(3, i, "user", "long " * 200) for i in range(30)] + [(3, 30, "assistant", "z" * 10000)]
+    check(spark, rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = [chat.parse(r.formatted) for r in chat.format_conversations(df).collect()]
+    assert max(map(len, parts)) <= chat.TURNS
+    assert all(len(p) == 1 or sum(len(a) + len(b) for a, b in p) <= 3000 for p in parts)
