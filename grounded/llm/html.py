@@ -8,7 +8,9 @@ decision tree, trained on the small labelled table below, keeps or drops it.
 
 Results for odd rows: null or empty html, or a page without any main block,
 gives an empty text; markup that is not closed lasts to the end of what holds
-it; repeated rows give repeated results; pages are read whole, and the regular
+it, a head to the first thing that cannot stand in one, other silent elements at
+most to the next block element; only scripts, styles, titles and text areas run
+on to their own end tag; repeated rows give repeated results; pages are read whole, and the regular
 expressions that cut them run in linear time; columns of other names are not
 read; an empty table gives an empty table."""
 
@@ -28,7 +30,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements of which nothing is text of the page.
-SILENT = "script style noscript template svg math iframe object canvas audio video textarea select title head".split()
+SILENT = frozenset("noscript template svg math iframe object canvas audio video select".split())
+# Those whose content is no markup: only their own end tag ends them.
+RAW = ("script", "style", "textarea", "title")
+# What can stand in a head.
+HEAD = frozenset(("base", "link", "meta", "noscript", "template", *RAW))
+# Elements that end a silent element without an end tag.
+BREAKS = frozenset("body article main section header footer nav aside div p table ul ol dl form blockquote pre figure center "
+                   "h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset label dir address".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,7 +53,7 @@ CONTENT_WORDS = frozenset("article articlebody body-text content entry mainconte
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>" + "|".join(SILENT) + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^<>]*>"                       # quotes that do not pair
     r"|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
@@ -72,31 +81,59 @@ def _hints(name: str, attributes: str) -> tuple[bool, bool]:
     return boiler, name in CONTENT or (name not in ("html", "body") and bool(words & CONTENT_WORDS))
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For each start tag of a silent element the place of its end tag, if it has one."""
+    opened: dict[str, list[int]] = {name: [] for name in SILENT}
+    ends = {}
+    for k, m in enumerate(tokens):
+        name = (m["name"] or m["name2"] or "").lower()
+        if name in SILENT:
+            if not (m["close"] or m["close2"]):
+                if not (m["attributes"] or "").endswith("/"):
+                    opened[name].append(k)
+            elif opened[name]:
+                ends[opened[name].pop()] = k
+    return ends
+
+
 def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     """Flat blocks of a page: text, words, link density, boilerplate, content, heading."""
     out, parts = [], []
-    stack: list[tuple[str, bool, bool, bool]] = []            # name, boilerplate, content, heading
+    nothing = ("", False, False, False, False)
+    stack: list[tuple[str, bool, bool, bool, bool]] = []      # name, boilerplate, content, heading, silent
     links = 0
-    state = ("", False, False, False)
+    state = nothing
 
     def flush():
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
             words = len(text.split())
             linked = sum(len(p.split()) for p, link in parts if link)
-            out.append((text, words, min(1.0, linked / words), *state[1:]))
+            out.append((text, words, min(1.0, linked / words), *state[1:4]))
         parts.clear()
 
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    ends, after = _ends(tokens), 0
+    for k, m in enumerate(tokens):
+        if k < after:
+            continue
         text = m["text"]
         if text is not None:
-            parts.append((entities.unescape(text), links > 0))
+            if stack and stack[-1][0] == "head" and text.strip():
+                stack.pop()
+                state = stack[-1] if stack else nothing
+            if not state[4]:
+                parts.append((entities.unescape(text), links > 0))
             continue
         name, closes, attributes = (m["name"] or m["name2"] or "").lower(), m["close"] or m["close2"], m["attributes"] or ""
         if not name:
-            if m["raw"] and m["raw"].lower() not in INLINE:
+            if m["raw"]:
                 flush()
             continue
+        if k in ends:
+            flush()
+            after = ends[k] + 1
+            continue
         if name not in INLINE:
             flush()
         elif name == "br":
@@ -108,16 +145,20 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                 while stack.pop()[0] != name:
                     pass
         elif name not in VOID and not attributes.endswith("/"):
+            if state[4] and (name in BREAKS or (stack[-1][0] == "head" and name not in HEAD)):
+                while stack and stack[-1][4]:
+                    stack.pop()
             if name in ("p", "li", "option", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                 stack.pop()
-            _, boiler, content, heading = stack[-1] if stack else ("", False, False, False)
+            _, boiler, content, heading, silent = stack[-1] if stack else nothing
             own, inside = _hints(name, attributes)
             if name == "header" and not content:
                 own = True
             if inside and not own and name not in INLINE:
                 boiler, content = False, True             # an article inside a marked wrapper is an article
-            stack.append((name, boiler or own, content, heading or name in HEADINGS))
-        state = stack[-1] if stack else ("", False, False, False)
+            stack.append((name, boiler or own, content, heading or name in HEADINGS,
+                          silent or name in SILENT or name == "head"))
+        state = stack[-1] if stack else nothing
     flush()
     return out
 

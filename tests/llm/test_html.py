@@ -75,3 +75,21 @@ def test_odd_rows(spark, tree):
     got = {(r.page_id, i): r for i, r in enumerate(html.extract(df, tree).collect())}
     assert len(got) == 6 and got[1, 0].text == "" and got[2, 1].n_chars == 0 and got[None, 2].n_chars == 399999
     assert html.extract(df.limit(0), tree).count() == 0
+
+
+BODY = "<article><h1>A</h1><p>Body text of the article.</p></article>"
+HEADS = ["<head><meta charset=utf-8><title>T</title><body>", "<head><title>T</title>", "<html><head><title>T</title><style>p {x}</style>\n<body>",
+         "<head><noscript><link href=x></noscript><script>x</script></head><body>", "<head><noscript><link href=x><body>"]
+
+
+@pytest.mark.parametrize("start", HEADS)
+def test_a_head_ends_where_the_page_begins(tree, start):
+    assert html.main_text(start + BODY, tree) == "A\n\nBody text of the article."
+
+
+@pytest.mark.parametrize("name", ["select", "iframe", "object", "noscript", "svg", "video", "canvas"])
+def test_silent_elements(tree, name):
+    for start in (f"<div><{name}>no words</div>", f"<body><{name} a=b>no words", f"<{name} />",
+                  f"<div><{name}>no <{name}>words</{name}> at all</{name}></div>",
+                  f"<div><{name}>no words</div><div><{name}>no </div> words</{name}></div>"):
+        assert html.main_text(start + BODY, tree) == "A\n\nBody text of the article.", start
