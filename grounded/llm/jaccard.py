@@ -1,11 +1,12 @@
 """Operator 3: documents joined by the Jaccard similarity of their word n-grams.
 
 Documents are sets of five-word shingles; documents with the same set form a
-text class, and one of them stands for it.  A MinHash forest of ``TREES`` trees
-finds candidates: each tree sorts the documents by ``LEVELS`` MinHash values,
-and the prefix that two documents must share is shortened from the whole string
-until a pair exactly at the threshold meets in some tree with probability
-``RECALL``.  Documents that share a prefix, directly or through others, form a
+text class, and one of them stands for it.  ``TREES`` MinHash keys of each text
+find candidates.  The length of a key, at most ``LEVELS`` MinHash values, is the
+longest at which a pair exactly at the threshold meets in some key with
+probability ``RECALL`` by calculation; it is the same for all keys and is not
+shortened on the data, so this is banding (32 keys of 6 values), not a forest of
+sorted strings.  Texts that share a key, directly or through others, form a
 candidate group, and every pair of texts inside a group is verified exactly:
 intersections come from incidence matrices of a group's shingles.  A group of
 any size is cut into blocks of bounded numbers of shingles and documents; each
@@ -81,7 +82,7 @@ class Shingler:
 
 
 class Forest:
-    """MinHash strings of the trees, cut to a prefix and hashed to one key per tree."""
+    """MinHash keys: per tree ``length`` values, the prefix that is looked up, hashed to one key; ``levels`` only names the shape."""
 
     def __init__(self, trees: int, levels: int, length: int, seed: int = 11):
         rng = np.random.default_rng(seed)
