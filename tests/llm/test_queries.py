@@ -18,8 +18,8 @@ SF = "/root/testdata/sf0.01"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -36,7 +36,8 @@ def test_sql(spark, name):
 
 
 @pytest.mark.parametrize("name, rows", [("op4_language_id", "documents"), ("op9_toxicity", "documents"), ("op2_byte_bpe", "documents"),
-                                        ("op3_jaccard_join", "documents"), ("op5_html_text", "pages"), ("op8_warc", "pages")])
+                                        ("op3_jaccard_join", "documents"), ("op5_html_text", "pages"), ("op8_warc", "pages"),
+                                        ("op11_merkle_manifest", "documents"), ("op12_bloom_dedup", "documents")])
 def test_a_row_for_each_input_row(spark, name, rows):
     got = QUERIES[name](spark, SF)
     key = "doc_id" if rows == "documents" else "page_id"
