@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grounded.config import AnswerConfig, EmbedConfig, SearchConfig, TextConfig
 from grounded.functions import text as tf
@@ -16,7 +17,7 @@ from grounded.operators import generate, guard
 from grounded.operators import text as txt
 from grounded.operators import embed
 from grounded.operators.search import VecCol, project_hits, search
-from grounded.session import MAX_BROADCAST_ROWS, broadcast_if_bounded
+from grounded.session import MAX_BROADCAST_ROWS, broadcast_if_bounded, materialize
 
 # ---- fixed values -------------------------------------------------------------
 ERROR_BODY = "Sorry, cannot generate an answer at this time! Reason: {reason}\n"
@@ -26,6 +27,7 @@ QUERY_KEY = "query"        # request field, matched case-insensitively
 CHUNK_ID_BITS = 24         # chunk id = doc_id * 2^24 + window index
 CHUNK_ID_SHIFT = 1 << CHUNK_ID_BITS
 MAX_DOC_ID = (1 << (63 - CHUNK_ID_BITS)) - 1
+WINDOW_DIGITS = 8          # of the window index in the chunk id of any other document
 # ------------------------------------------------------------------------------
 
 
@@ -42,9 +44,41 @@ def chunk_ids(chunks: DataFrame, doc_col: str = "doc_id", i_col: str = "i") -> D
         F.raise_error(F.lit("doc_id or window index out of range for chunk ids")).cast("long")))
 
 
-def chunk_index(docs: DataFrame, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig()) -> DataFrame:
-    """The searchable chunk collection ``(chunk_id, cb)``: window ids and hashed tokens."""
-    return chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], ecfg.dim, tcfg)).select("chunk_id", "cb")
+def document_keys(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", out: str = "_key") -> DataFrame:
+    """``out``: a string per (id, text), in the order of the ids, whatever their type; null ids come last.
+
+    Integers are written as 16 hexadecimal digits of their offset from the smallest LONG, other ids as the
+    hexadecimal bytes of their text; the hash of the text tells documents that share an id apart."""
+    t = docs.schema[doc_col].dataType
+    d = F.col(doc_col)
+    if isinstance(t, T.IntegralType):
+        shown = F.lpad(F.hex(d.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+    else:
+        shown = F.hex(F.encode(d.cast("string"), "UTF-8"))
+    return docs.withColumn(out, F.concat(F.coalesce(shown, F.lit("~")), F.lit(" "),
+                                         F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 32)))
+
+
+def plain_ids(docs: DataFrame, doc_col: str = "doc_id") -> bool:
+    """Whether every id is an integer that ``chunk_ids`` can hold and stands in one row only (one narrow aggregate)."""
+    if not isinstance(docs.schema[doc_col].dataType, T.IntegralType):
+        return False
+    d = F.col(doc_col)
+    per_id = docs.groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    odd = F.col("d").isNull() | (F.col("d") < 0) | (F.col("d") > MAX_DOC_ID) | (F.col("n") > 1)
+    return per_id.where(odd).limit(1).count() == 0
+
+
+def chunk_index(docs: DataFrame, ecfg: EmbedConfig = EmbedConfig(), tcfg: TextConfig = TextConfig(),
+                plain: bool | None = None) -> DataFrame:
+    """The searchable chunk collection ``(chunk_id, cb)``: window ids and hashed tokens.
+
+    ``chunk_id`` is one LONG (``chunk_ids``) for plain ids (``plain_ids``, asked of the table unless ``plain`` is given), else the
+    document's key and eight digits of the window index."""
+    if plain_ids(docs) if plain is None else plain:
+        return chunk_ids(txt.window_buckets(docs, "text", ["doc_id"], ecfg.dim, tcfg)).select("chunk_id", "cb")
+    wins = txt.window_buckets(document_keys(docs), "text", ["_key"], ecfg.dim, tcfg)
+    return wins.select(F.concat("_key", F.lpad(F.col("i").cast("string"), WINDOW_DIGITS, "0")).alias("chunk_id"), "cb")
 
 
 def build_chunk_index(spark: SparkSession, docs: DataFrame, path: str, ecfg: EmbedConfig = EmbedConfig(),
@@ -65,7 +99,11 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     Returns ``(qid, doc_id, i, chunk, score, rk)``.  Scoring reads only window
     ids and hashed tokens.  The winners (bounded by |questions| * k) are then
     broadcast against the document scan and only each winner's own window text
-    is rebuilt; the scoring result is consumed once, so it is computed once."""
+    is rebuilt; the scoring result is consumed once, so it is computed once.
+
+    Ids may be of any type, null, negative or repeated: equal scores go to the smaller id (null last), then by the
+    hash of the text and the window index; rows that share an id are documents of their own, and every repetition of a
+    row (same id, same text) is a hit of its own.  Documents without text have no windows."""
     dim = ecfg.dim
     q = questions.select(q_key, tf.token_buckets(tf.strip_newlines(q_text), dim).alias("qb"))
     cvec = index if index is not None else chunk_index(docs, ecfg, tcfg)
@@ -73,13 +111,22 @@ def retrieve(spark: SparkSession, questions: DataFrame, docs: DataFrame, q_key:
     hits = search(spark, q, cvec, q_id=q_key, q_vec=VecCol("qb", "buckets", dim), c_id="chunk_id",
                   c_vec=VecCol("cb", "buckets", dim), cfg=cfg, pivots=pivots, cell_col=cell_col, dim_hint=dim,
                   n_questions=n_q)
-    hits = hits.select("qid", F.shiftright("chunk_id", CHUNK_ID_BITS).alias("doc_id"),
-                       F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
     stride = tcfg.window_tokens - tcfg.window_overlap
     chunk = F.array_join(F.slice(tf.tokens("text"), F.col("i") * stride + 1, tcfg.window_tokens), " ")
     bound = n_q * cfg.k if cfg.k else MAX_BROADCAST_ROWS + 1    # winners <= |questions| * k
-    return (docs.select("doc_id", "text").join(broadcast_if_bounded(hits, bound), "doc_id")
-            .select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk"))
+    if isinstance(cvec.schema["chunk_id"].dataType, T.IntegralType):
+        hits = hits.select("qid", F.shiftright("chunk_id", CHUNK_ID_BITS).alias("doc_id"),
+                           F.col("chunk_id").bitwiseAND(F.lit(CHUNK_ID_SHIFT - 1)).alias("i"), "score", "rk")
+        found = docs.select("doc_id", "text").join(broadcast_if_bounded(hits, bound), "doc_id")
+        return found.select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk")
+    cut = F.length("chunk_id") - WINDOW_DIGITS
+    hits = materialize(hits.select("qid", F.substring(F.col("chunk_id"), F.lit(1), cut).alias("_key"),
+                                   F.substring(F.col("chunk_id"), cut + 1, F.lit(WINDOW_DIGITS)).cast("long").alias("i"), "score", "rk"), "hits")
+    wanted = broadcast_if_bounded(hits.select("_key").distinct(), bound)
+    # A row that is repeated, however often, leaves one text per task before it is shuffled.
+    texts = (document_keys(docs.select("doc_id", "text")).join(wanted, "_key", "left_semi")
+             .groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    return texts.join(broadcast_if_bounded(hits, bound), "_key").select("qid", "doc_id", "i", chunk.alias("chunk"), "score", "rk")
 
 
 def grounded_answer(spark: SparkSession, questions: DataFrame, docs: DataFrame, *, q_key: str = "item_id",

@@ -69,6 +69,30 @@ def q_char_windows(spark, sf):
     return txt.char_windows(T(spark, sf, "documents", ["doc_id", "text"]))
 
 
+@query("recursive_windows", r"""
+WITH RECURSIVE a AS (
+  SELECT doc_id, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS k1
+  FROM (SELECT doc_id, CASE WHEN length(text) <= 800 THEN [text] ELSE regexp_extract_all(text, '(?s).*?\n\n|(?s).+') END AS p
+        FROM documents WHERE length(text) > 0)),
+b AS (SELECT doc_id, k1, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS k2
+      FROM (SELECT doc_id, k1, CASE WHEN length(t) <= 800 THEN [t] ELSE regexp_extract_all(t, '(?s).*?\n|(?s).+') END AS p FROM a)),
+c AS (SELECT doc_id, k1, k2, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS k3
+      FROM (SELECT doc_id, k1, k2, CASE WHEN length(t) <= 800 THEN [t] ELSE regexp_extract_all(t, '(?s).*? |(?s).+') END AS p FROM b)),
+d AS (SELECT doc_id, k1, k2, k3, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS k4
+      FROM (SELECT doc_id, k1, k2, k3, CASE WHEN length(t) <= 800 THEN [t] ELSE string_split(t, '') END AS p FROM c)),
+ends AS (SELECT doc_id, list(e ORDER BY e) AS es FROM (
+           SELECT doc_id, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4 ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM d)
+         GROUP BY doc_id),
+w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS s, list_max(list_filter(es, lambda x: x <= 800)) AS e FROM ends
+      UNION ALL
+      SELECT doc_id, i + 1, s2, list_max(list_filter(es, lambda x: x <= s2 + 800))
+      FROM (SELECT w.doc_id, i, es, list_min(list_filter(es, lambda x: x >= greatest(e - 200, list_min(list_filter(es, lambda y: y > e)) - 800, s + 1))) AS s2
+            FROM w JOIN ends USING (doc_id) WHERE e < list_max(es)))
+SELECT doc_id, i, s AS start, substring(text, s + 1, e - s) AS chunk FROM w JOIN documents USING (doc_id)""")
+def q_recursive_windows(spark, sf):
+    return txt.recursive_windows(T(spark, sf, "documents", ["doc_id", "text"]))
+
+
 @query("strip_newlines", f"""
 SELECT doc_id, replace(text, {S.NL}, ' ') AS embed_text,
        length(text) - length(replace(text, {S.NL}, '')) AS n_newlines
