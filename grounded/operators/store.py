@@ -124,20 +124,38 @@ class Collection:
             for v in reversed(self.versions()):
                 if self._batch_of(v) == name:
                     return v
-        version = (self.versions() or [0])[-1] + 1
+        version = self._claim()
         target = self._folder("delta", version)
-        if self._fs.exists(self._Path(target)):             # left by a writer that did not commit
-            self._fs.delete(self._Path(target), True)
         cols = [F.col(c) for c in points.columns]
         one = (points.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r"))
                .select("_key", "_r.*").withColumn("v", F.lit(version)))
         marker = self.spark.createDataFrame([(name,)], "batch string").coalesce(1)
-        marker.write.mode("overwrite").parquet(f"{self.path}/_batches/{version:08d}")
-        one.write.mode("errorifexists").parquet(target)
+        try:
+            marker.write.mode("overwrite").parquet(f"{self.path}/_batches/{version:08d}")
+            one.write.mode("errorifexists").parquet(target)
+        finally:
+            self._fs.delete(self._Path(self._claimed(version)), False)
         if len([v for v in self._folders("delta") if v > (self._folders("base") or [0])[-1]]) >= COMPACT_AFTER:
             self.compact()
         return version
 
+    def _claimed(self, version: int) -> str:
+        return f"{self.path}/_claims/{version:08d}"
+
+    def _open_claims(self) -> list[int]:
+        p = self._Path(f"{self.path}/_claims")
+        return sorted(int(st.getPath().getName()) for st in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _claim(self) -> int:
+        """A version of this writer's own: its marker file is created exclusively, so two writers never share one.
+
+        The marker goes when the upsert ends, done or failed.  One left by a driver that died only keeps ``compact`` from
+        merging the versions from it on, until it is deleted by hand."""
+        version = max([0, *self.versions(), *self._open_claims()]) + 1
+        while not (self._fs.createNewFile(self._Path(self._claimed(version))) and version not in self.versions()):
+            version += 1
+        return version
+
     def _batch_of(self, version: int) -> str | None:
         path = f"{self.path}/_batches/{version:08d}"
         if not self._fs.exists(self._Path(path)):
@@ -151,14 +169,15 @@ class Collection:
         return path
 
     def compact(self, keep: int = 2) -> int | None:
-        """Merge all deltas into a new base; folders behind the last ``keep`` bases are removed."""
-        versions = self.versions()
+        """Merge all deltas before the oldest open claim into a new base; folders behind the last ``keep`` bases are removed."""
+        first = min(self._open_claims(), default=None)
+        versions = [v for v in self.versions() if first is None or v < first]
         if not versions:
             return None
         bases = self._folders("base")
         if not bases or bases[-1] < versions[-1]:
             base = bases[-1] if bases else 0
-            parts = ([self._folder("base", base)] if bases else []) + [self._folder("delta", v) for v in self._folders("delta") if v > base]
+            parts = ([self._folder("base", base)] if bases else []) + [self._folder("delta", v) for v in self._folders("delta") if base < v <= versions[-1]]
             merged = self.spark.read.parquet(parts[0])
             for p in parts[1:]:
                 merged = merged.unionByName(self.spark.read.parquet(p), allowMissingColumns=True)

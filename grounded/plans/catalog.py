@@ -196,7 +196,7 @@ def q_strip_think(spark, sf):
 # ---------------------------------------------------------------- dense vectors (embeddings table)
 
 from grounded.operators import search as srch  # noqa: E402
-from grounded.operators import store  # noqa: E402
+from grounded.operators import documents, store  # noqa: E402
 from grounded.streaming import streams  # noqa: E402
 
 EMB_DIM = 64          # the driver's pre-embedded collection is 64-dimensional
@@ -620,6 +620,52 @@ def _points_read(current: DataFrame, *keys: str) -> DataFrame:
                           emb.checksum("embedding").alias("vec_sum"), "v")
 
 
+# The second state of the corpus: German documents cut to their first half, French ones edited, Spanish ones removed,
+# the benchmark's items added as documents, all others as they were.
+_EDITED_SQL = f"""(SELECT {PATH_SQL} AS path, CASE WHEN lang = 'de' THEN left(text, length(text) // 2) WHEN lang = 'fr' THEN 'Revised. ' || text
+    ELSE text END AS text, CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS v FROM documents WHERE lang IS DISTINCT FROM 'es'
+  UNION ALL SELECT 'benchmark/' || item_id, text, 2 FROM benchmark)"""
+
+
+def _edited(spark, sf) -> DataFrame:
+    d = T(spark, sf, "documents", ["doc_id", "source", "lang", "text"])
+    text = (F.when(F.col("lang") == "de", F.expr("left(text, cast(length(text) div 2 as int))"))
+            .when(F.col("lang") == "fr", F.concat(F.lit("Revised. "), "text")).otherwise(F.col("text")))
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    added = _bench(spark, sf).select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
+    return (d.where(~F.col("lang").eqNullSafe(F.lit("es"))).select(path.alias("path"), text.alias("text")).unionByName(added))
+
+
+@query("ingest_edits", f"""
+WITH w AS (SELECT path, i, v, array_to_string(t[i * 412 + 1 : i * 412 + 512], ' ') AS chunk
+           FROM (SELECT path, v, t, unnest(range(0, ceil(len(t) / 412.0)::BIGINT)) AS i
+                 FROM (SELECT path, v, regexp_extract_all(text, {S.TOKEN}) AS t FROM {_EDITED_SQL}) WHERE len(t) > 0)),
+     k AS (SELECT *, path || ':' || i AS cid FROM w)
+SELECT md5(cid || ':' || chunk) AS point_id, path, i AS chunk_no, md5(chunk) AS chunk_md5, 768 AS dim,
+       coalesce(vec_sum, 0.0::DOUBLE) AS vec_sum, v
+FROM k LEFT JOIN {_vector_sums('k', 'cid', 'chunk')} USING (cid)""")
+def q_ingest_edits(spark, sf):
+    """O10/S02 over changed files: the whole corpus is ingested, then edited, shortened, extended and partly removed, and
+    ingested again; what is live equals a fresh ingest of the second state, unchanged documents still at version 1."""
+    def points(rows: DataFrame) -> DataFrame:
+        wins = txt.token_windows(rows, keys=["path"])
+        pts = store.point_ids(wins, "path", None, "i", "chunk").select(
+            "point_id", "path", F.col("i").alias("chunk_no"), "chunk", tf.strip_newlines("chunk").alias("embed_text"))
+        good, rejected = streams.ingest_points(pts)
+        col.reject(rejected)
+        return good
+
+    root = scratch_dir(spark, "collections")
+    col, manifest = store.Collection(spark, root, "edited"), store.Collection(spark, root, "edited-documents")
+    col.ensure(truncate=True, dim=768)
+    manifest.ensure(truncate=True, dim=0)
+    first = T(spark, sf, "documents", ["doc_id", "source", "text"]).select(
+        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    documents.sync(first, points, col, manifest)
+    documents.sync(_edited(spark, sf), points, col, manifest)
+    return _points_read(documents.live(col, manifest))
+
+
 @query("answer_from_collection", f"""
 SELECT item_id, score, has_context, verdict, status, body FROM ({GROUNDED_SQL})""")
 def q_answer_from_collection(spark, sf):

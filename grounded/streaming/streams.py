@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from grounded.config import EmbedConfig
 from grounded.functions.time import instant_as_utc_ntz, ntz_as_utc_instant
 from grounded.operators import answer as ans
+from grounded.operators import documents
 from grounded.operators import embed as emb
 from grounded.operators import store
 from grounded.operators import text as txt
@@ -63,21 +64,31 @@ def stream_answers(spark: SparkSession, questions: DataFrame, docs: DataFrame, q
 
 
 def stream_ingest(spark: SparkSession, docs: DataFrame, collection: store.Collection,
-                  cfg: EmbedConfig = EmbedConfig(), root: str | None = None, name: str = "") -> DataFrame:
+                  cfg: EmbedConfig = EmbedConfig(), root: str | None = None, name: str = "",
+                  manifest: store.Collection | None = None) -> DataFrame:
     """New documents -> windows -> points -> embed -> upsert, one version per micro-batch.
 
-    Rejected vectors go to ``<root>/rejects/batch=<id>``.  ``name`` (``root`` unless given) tells the batches
+    With a ``manifest`` (``operators.documents``) a document that arrives again replaces its earlier version, one with a null
+    text is removed, and one that has not changed is skipped; the result is then what is live.  Rejected vectors go to ``<root>/rejects/batch=<id>``.  ``name`` (``root`` unless given) tells the batches
     of this stream from those of others into the same collection."""
     root = root or scratch_dir(spark, "stream-ingest")
 
     def handle(batch: DataFrame, batch_id: int):
         d = batch.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-        good, rejected = ingest_points(store.chunk_points(txt.token_windows(d, keys=["doc_id", "path"])), cfg)
-        collection.upsert(good, batch=(name or root, batch_id))
-        rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+        batch_name = (name or root, batch_id)
+
+        def points(rows: DataFrame) -> DataFrame:
+            good, rejected = ingest_points(store.chunk_points(txt.token_windows(rows, keys=["doc_id", "path"])), cfg)
+            rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+            return good
+
+        if manifest is None:
+            collection.upsert(points(d), batch=batch_name)
+        else:
+            documents.sync(d, points, collection, manifest, batch=batch_name, whole=False)
 
     _run(docs.writeStream.foreachBatch(handle), f"{root}/checkpoint")
-    return collection.current()
+    return collection.current() if manifest is None else documents.live(collection, manifest)
 
 
 def ingest_points(points: DataFrame, cfg: EmbedConfig = EmbedConfig(), float32: bool = True) -> tuple[DataFrame, DataFrame]:
