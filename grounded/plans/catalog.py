@@ -782,6 +782,39 @@ def q_request_rate(spark, sf):
     return streams.request_rate(spark, streams.table_stream(spark, sf, "events"))
 
 
+# Events arrive as many minutes after their time as their value says, and are ingested once a week.
+_ARRIVED_SQL = """(SELECT *, date_trunc('hour', ts) AS window_start,
+    date_trunc('week', ts + to_microseconds((greatest(coalesce(value, 0), 0) * 60000000)::BIGINT))::DATE AS week FROM events)"""
+_MARKED_SQL = f"""(SELECT a.*, m.watermark, coalesce(a.window_start + INTERVAL 1 HOUR <= m.watermark, false) AS late
+  FROM {_ARRIVED_SQL} a JOIN (
+    SELECT week, max(max(ts)) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS watermark
+    FROM {_ARRIVED_SQL} GROUP BY week) m USING (week))"""
+
+
+def _weekly(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The stream is started once per arriving week and goes on from its checkpoint each time."""
+    events = T(spark, sf, "events")
+    delay = F.expr("make_dt_interval(0, 0, 0, cast(greatest(coalesce(value, 0), 0) * 60 as decimal(18, 6)))")
+    arrived = events.withColumn("week", F.date_trunc("week", F.col("ts") + delay).cast("date"))
+    landing, root, out = scratch_dir(spark, "arrivals"), scratch_dir(spark, "weekly-rates"), None
+    for r in arrived.select("week").distinct().orderBy("week").collect():
+        arrived.where(F.col("week") == F.lit(r.week)).drop("week").write.mode("append").parquet(f"{landing}/events.parquet")
+        out = streams.request_rate_final(spark, streams.table_stream(spark, landing, "events", max_files=1_000_000), root=root)
+    return out
+
+
+@query("request_rate_final", f"""
+SELECT window_start, event_type, count(*) AS n, round(count(*) / 3600.0, 6) AS qps, round(sum(value), 6) AS total_value
+FROM {_MARKED_SQL} WHERE NOT late AND window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL""")
+def q_request_rate_final(spark, sf):
+    return _weekly(spark, sf)[0]
+
+
+@query("request_rate_late", f"SELECT event_id, ts, event_type, value, window_start, watermark FROM {_MARKED_SQL} WHERE late")
+def q_request_rate_late(spark, sf):
+    return _weekly(spark, sf)[1].select("event_id", "ts", "event_type", "value", "window_start", "watermark")
+
+
 @query("search_ann_ivf_join", "SELECT qid, vec_id, score, rk FROM " + S.ivf(8))
 def q_ann_ivf_join(spark, sf):
     """IVF for question sets too large to broadcast: salted cogroup on cells."""

@@ -69,6 +69,11 @@ def remove_scratch(spark: SparkSession, path: str) -> bool:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     if not path.startswith(base + "/") or path.rstrip("/") == base:
         raise ValueError(f"{path} is not a scratch folder")
+    return remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of the caller's own through Hadoop's FileSystem API; False if there is none."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

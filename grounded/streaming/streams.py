@@ -18,7 +18,7 @@ from grounded.operators import documents
 from grounded.operators import embed as emb
 from grounded.operators import store
 from grounded.operators import text as txt
-from grounded.session import materialize, scratch_dir
+from grounded.session import materialize, remove_path, scratch_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
@@ -122,6 +122,61 @@ def request_rate(spark: SparkSession, events: DataFrame, window: str = "1 hour",
             .select("window_start", "event_type", "n", F.round(F.col("n") / secs, 6).alias("qps"), "total_value"))
 
 
+def request_rate_final(spark: SparkSession, events: DataFrame, window: str = "1 hour", delay: str = "2 hours",
+                       root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S03 in event time: every window is reported once, when it is over, and events that come after that are listed.
+
+    The watermark is the latest event time of the micro-batches before, less ``delay``.  A window closes when the watermark
+    reaches its end: its counts go to the final windows, and an event of it that arrives later goes to the late events with the
+    watermark that it missed.  Events without a time are late events without a window.
+
+    What has to be remembered between micro-batches is written with each of them: the counts of the windows that are
+    still open (windows within ``delay`` of the latest event, however many events they hold) and the watermark.  A replayed batch
+    reads what its predecessor left and overwrites its own output, so nothing is counted twice; older state is deleted.
+    Spark's own windowed aggregation expires its state the same way but drops late rows, and a list of them is asked for here.
+
+    Returns ``(final, late)``: ``(window_start, event_type, n, qps, total_value)`` and the events' columns with
+    ``window_start`` and ``watermark``.  The windows that are still open when the stream ends are in neither."""
+    root = root or scratch_dir(spark, "request-rate-final")
+    length, wait = F.expr(f"INTERVAL {window}"), F.expr(f"INTERVAL {delay}")
+    counted = ["window_start", "event_type", "n", "total_value"]
+
+    def handle(batch: DataFrame, batch_id: int):
+        session = batch.sparkSession
+
+        def put(df: DataFrame, name: str):
+            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+
+        before = session.read.parquet(f"{root}/mark/batch={batch_id - 1}").first()["watermark"] if batch_id else None
+        mark = F.lit(before).cast("timestamp_ntz")
+        timed = batch.where(F.col("ts").isNotNull()).withColumn(
+            "window_start", instant_as_utc_ntz(F.window(ntz_as_utc_instant(F.col("ts")), window)["start"]))
+        untimed = batch.where(F.col("ts").isNull()).withColumn("window_start", F.lit(None).cast("timestamp_ntz"))
+        over = F.coalesce(F.col("window_start") + length <= mark, F.lit(False))
+        put(timed.where(over).unionByName(untimed).withColumn("watermark", mark), "late")
+        rows = (timed.where(~over).groupBy("window_start", "event_type")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"), F.max("ts").alias("last")))
+        if batch_id:
+            rows = rows.unionByName(session.read.parquet(f"{root}/open/batch={batch_id - 1}"))
+        put(rows.groupBy("window_start", "event_type").agg(F.sum("n").alias("n"), F.sum("total_value").alias("total_value"), F.max("last").alias("last")), "counts")
+        rows = session.read.parquet(f"{root}/counts/batch={batch_id}")
+        # Late events are older than the watermark, so the latest event is among the counted ones.
+        now = rows.agg(F.greatest(mark, F.max("last") - wait).alias("watermark")).select(F.coalesce("watermark", mark).alias("watermark"))
+        put(now, "mark")
+        now = session.read.parquet(f"{root}/mark/batch={batch_id}").first()["watermark"]
+        closed = F.coalesce(F.col("window_start") + length <= F.lit(now).cast("timestamp_ntz"), F.lit(False))
+        put(rows.where(closed).select(*counted), "final")
+        put(rows.where(~closed), "open")
+        for name, last in (("counts", batch_id), ("open", batch_id - 2), ("mark", batch_id - 2)):
+            remove_path(session, f"{root}/{name}/batch={last}")
+
+    _run(events.writeStream.foreachBatch(handle), f"{root}/checkpoint")
+    secs = F.lit(float(_window_seconds(window)))
+    final = spark.read.parquet(f"{root}/final").select(
+        "window_start", "event_type", "n", F.round(F.col("n") / secs, 6).alias("qps"), F.round("total_value", 6).alias("total_value"))
+    return final, spark.read.parquet(f"{root}/late").drop("batch")
+
+
 def _window_seconds(window: str) -> float:
     n, unit = window.split()
     return float(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
