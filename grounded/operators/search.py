@@ -19,7 +19,7 @@ only (late materialisation).  Ids of questions and vectors may be integers or st
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -93,9 +93,9 @@ def _found(q: DataFrame, q_id: str, c: DataFrame, c_id: str) -> T.StructType:
 class _Scorer:
     """Scores blocks of vectors against a question matrix and keeps what the settings ask for."""
 
-    def __init__(self, Q, qids, cfg: SearchConfig, budget: int, allowed=None, coarse: int | None = None):
+    def __init__(self, Q, qids, cfg: SearchConfig, budget: int, probes: Probes | None = None, coarse: int | None = None):
         self.Q = _quantize(np.nan_to_num(Q)) if coarse else Q
-        self.qids, self.cfg, self.budget, self.allowed, self.coarse = qids, cfg, budget, allowed, coarse
+        self.qids, self.cfg, self.budget, self.probes, self.coarse = qids, cfg, budget, probes, coarse
         k = coarse or cfg.k
         self.top = TopK(len(qids), k) if k else None
 
@@ -117,12 +117,12 @@ class _Scorer:
 
     def add(self, V, ids, cells=None):
         """Yields (question rows, ids, scores) at once if there is no k."""
-        if cells is None or self.allowed is None:
+        if cells is None or self.probes is None:
             parts = [(None, slice(None))]
         else:                                   # every cell only with the questions that probe it
             order = np.argsort(cells, kind="stable")
             cuts = np.flatnonzero(np.diff(cells[order])) + 1
-            parts = [(np.flatnonzero(self.allowed[:, cells[p[0]]]), p) for p in np.split(order, cuts) if len(p) and cells[p[0]] >= 0]
+            parts = [(self.probes.questions(cells[p[0]]), p) for p in np.split(order, cuts) if len(p) and cells[p[0]] >= 0]
         for rows, sel in parts:
             if rows is not None and not len(rows):
                 continue
@@ -144,23 +144,92 @@ class _Scorer:
                 yield qi, ids, s
 
 
-def _nearest_cell(V: np.ndarray, pivots: np.ndarray, digits: int) -> np.ndarray:
+@dataclass(frozen=True)
+class PivotTree:
+    """Pivots in two levels: every leaf pivot belongs to its nearest coarse one (ties to the lower), and a search goes
+    down into the ``beam`` nearest coarse pivots only.  With about the root of the leaves as coarse pivots a row is compared with
+    ``(1 + beam) * sqrt(leaves)`` pivots in place of all."""
+    leaves: np.ndarray
+    coarse: np.ndarray
+    group: np.ndarray            # coarse pivot of every leaf
+    beam: int = 4
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.leaves.shape
+
+    def __len__(self) -> int:
+        return len(self.leaves)
+
+
+def pivot_tree(pivots: np.ndarray, beam: int = 4, n_coarse: int | None = None, digits: int = 6) -> PivotTree:
+    """A tree over flat pivots: the first ``n_coarse`` (the root of their number, rounded up) are the coarse ones."""
+    n = n_coarse or max(1, int(np.ceil(np.sqrt(len(pivots)))))
+    return PivotTree(pivots, pivots[:n], nearest_cells(pivots, pivots[:n], 1, digits)[:, 0], beam)
+
+
+def _best(rows: np.ndarray, cells: np.ndarray, scores: np.ndarray, n_rows: int, n: int) -> np.ndarray:
+    """Per row the ``n`` cells of the highest scores, ties to the lower cell; -1 where there are fewer."""
+    known = np.flatnonzero(scores > -np.inf)
+    order = known[np.lexsort((cells[known], -scores[known], rows[known]))]
+    rows, cells = rows[order], cells[order]
+    first = np.searchsorted(rows, np.arange(n_rows))
+    slot = np.arange(len(rows)) - first[rows]
+    out = np.full((n_rows, n), -1, dtype=np.int64)
+    out[rows[slot < n], slot[slot < n]] = cells[slot < n]
+    return out
+
+
+def nearest_cells(V: np.ndarray, pivots: np.ndarray | PivotTree, n: int, digits: int) -> np.ndarray:
+    """(rows x n) nearest cells of every vector, ties to the lower cell; -1 for rows that cannot be scored and where
+    there are fewer.  Rows go in slices, so the score matrices stay bounded whatever the number of rows and pivots."""
+    tree = isinstance(pivots, PivotTree)
+    top = pivots.coarse if tree else pivots
+    out = np.full((len(V), n), -1, dtype=np.int64)
+    good = np.flatnonzero(~np.isnan(V).any(axis=1))
+    step = max(1, _MAX_CELLS // max(len(pivots), 1))
+    members = [np.flatnonzero(pivots.group == g) for g in range(len(top))] if tree else []
+    for lo in range(0, len(good), step):
+        at = good[lo:lo + step]
+        S = np.nan_to_num(round_scores(V[at] @ top.T, digits), nan=-np.inf)
+        take = min(pivots.beam if tree else n, len(top))
+        # Only what reaches the row's take-th score can be among its nearest.
+        kth = np.partition(S, -take, axis=1)[:, -take][:, None]
+        r, c = np.nonzero((S >= kth) & (S > -np.inf))
+        near = _best(r, c, S[r, c], len(at), take)
+        if tree:
+            r, c, s = [], [], []
+            for g, own in enumerate(members):
+                asks = np.flatnonzero((near == g).any(axis=1))
+                if len(asks) and len(own):
+                    part = np.nan_to_num(round_scores(V[at[asks]] @ pivots.leaves[own].T, digits), nan=-np.inf)
+                    r.append(np.repeat(asks, len(own)))
+                    c.append(np.tile(own, len(asks)))
+                    s.append(part.ravel())
+            near = _best(np.concatenate(r), np.concatenate(c), np.concatenate(s), len(at), n) if r else np.full((len(at), n), -1)
+        out[at, :near.shape[1]] = near
+    return out
+
+
+def _nearest_cell(V: np.ndarray, pivots: np.ndarray | PivotTree, digits: int) -> np.ndarray:
     """Cell of every vector (ties to the lower cell); -1 for rows that cannot be scored."""
-    S = round_scores(V @ pivots.T, digits)
-    bad = np.isnan(S).any(axis=1)
-    return np.where(bad, -1, np.argmax(np.nan_to_num(S, nan=-np.inf), axis=1))
+    return nearest_cells(V, pivots, 1, digits)[:, 0]
+
+
+class Probes:
+    """Which questions probe a cell: the question rows sorted by cell, so memory is questions x nprobe."""
 
+    def __init__(self, lists: np.ndarray):
+        rows, slots = np.nonzero(lists >= 0)
+        cells = lists[rows, slots]
+        order = np.lexsort((rows, cells))
+        self.rows, self.cells = rows[order].astype(np.int32), cells[order].astype(np.int32)
 
-def _probes(Q: np.ndarray, pivots: np.ndarray, nprobe: int, digits: int) -> np.ndarray:
-    """Boolean (questions x cells): the ``nprobe`` nearest cells per question, ties to the lower cell."""
-    S = round_scores(Q @ pivots.T, digits)
-    S[np.isnan(S)] = -np.inf
-    cells = np.broadcast_to(np.arange(pivots.shape[0]), S.shape)
-    order = np.lexsort((cells, -S), axis=1)[:, :nprobe]
-    allowed = np.zeros(S.shape, dtype=bool)
-    np.put_along_axis(allowed, order, True, axis=1)
-    allowed[np.isnan(Q).any(axis=1)] = False
-    return allowed
+    def questions(self, cell: int) -> np.ndarray:
+        return self.rows[np.searchsorted(self.cells, cell, "left"):np.searchsorted(self.cells, cell, "right")]
+
+    def probed(self) -> list[int]:
+        return [int(c) for c in np.unique(self.cells)]
 
 
 def project_hits(hits: DataFrame, collection: DataFrame, c_id: str, payload: list[str],
@@ -191,7 +260,7 @@ def _width(questions: DataFrame, q_vec: VecCol, c_vec: VecCol) -> int:
 
 def nn_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *,
               q_id: str, q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig,
-              pivots: np.ndarray | None = None, cell_col: str | None = None,
+              pivots: np.ndarray | PivotTree | None = None, cell_col: str | None = None,
               dim_hint: int = 768, n_questions: int | None = None) -> DataFrame:
     """Cosine top-k of every question against a collection.
 
@@ -220,18 +289,17 @@ def _broadcast_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg,
     Q = unit_rows(q_vec.matrix(rows.column("v").to_pylist(), dim))
     coll = _with_id(collection, c_id, c_id, F.col(c_vec.name).alias("_v"),
                     *([F.col(cell_col).alias("_cell")] if cell_col else []))
-    allowed = None
+    probes = None
     if pivots is not None:
-        allowed = _probes(Q, pivots, cfg.nprobe, cfg.round_digits)
+        probes = Probes(nearest_cells(Q, pivots, cfg.nprobe, cfg.round_digits))
         if cell_col is not None:
-            probed = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
-            coll = coll.where(F.col("_cell").isin(probed))              # partition pruning on an IVF layout
-    shared = sc.broadcast((Q, qids, allowed, pivots if cell_col is None else None))
+            coll = coll.where(F.col("_cell").isin(probes.probed()))      # partition pruning on an IVF layout
+    shared = sc.broadcast((Q, qids, probes, pivots if cell_col is None else None))
     budget, digits = _MAX_CELLS, cfg.round_digits
 
     def run(batches):
-        Q, qids, allowed, pivots = shared.value
-        scorer = _Scorer(Q, qids, cfg, budget, allowed, coarse)
+        Q, qids, probes, pivots = shared.value
+        scorer = _Scorer(Q, qids, cfg, budget, probes, coarse)
         if not len(qids):
             return
 
@@ -244,7 +312,7 @@ def _broadcast_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg,
                 continue
             V = unit_rows(c_vec.matrix(pdf["_v"], Q.shape[1]))
             cells = None
-            if allowed is not None:
+            if probes is not None:
                 if pivots is not None:
                     cells = _nearest_cell(V, pivots, digits)
                 else:
@@ -285,7 +353,7 @@ def pivot_matrix(pivots: DataFrame, vec: VecCol) -> np.ndarray:
     return unit_rows(vec.matrix(rows, common_width(rows)))
 
 
-def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray, digits: int = 6,
+def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray | PivotTree, digits: int = 6,
                  cell_col: str = "cell") -> DataFrame:
     """Index build: nearest pivot per vector (ties to the lower pivot), NULL if unscorable."""
     pb = vectors.sparkSession.sparkContext.broadcast(pivots)
@@ -303,7 +371,7 @@ def assign_cells(vectors: DataFrame, vec: VecCol, pivots: np.ndarray, digits: in
 
 
 def ivf_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
-               q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray,
+               q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | PivotTree,
                cell_col: str | None = None, dim_hint: int = 768) -> DataFrame:
     """Approximate search: probe the ``cfg.nprobe`` nearest cells, rescore exactly.
 
@@ -352,9 +420,37 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     return _rank(scored, c_id, cfg.k)
 
 
+def filtered_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, where, *, q_id: str, q_vec: VecCol, c_id: str,
+                    c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | PivotTree, cell_col: str | None = None, dim_hint: int = 768,
+                    widen: int = 4) -> DataFrame:
+    """O19 over IVF: a rare filter can leave the probed cells without ``cfg.k`` hits, so questions that found fewer probe
+    ``widen`` times as many cells, until all are probed: no question has fewer than ``k`` hits where ``k`` exist.
+
+    ``where`` is a Column (``filters.compiled``) and reaches the scan.  Every round asks only the questions that are left; with
+    a tree of pivots the last round searches all of its groups."""
+    if not cfg.k:
+        raise ValueError("a filtered search needs k")
+    kept, left, nprobe, done = collection.where(where), questions, cfg.nprobe, None
+    while True:
+        last = nprobe >= len(pivots)
+        used = replace(pivots, beam=len(pivots.coarse)) if last and isinstance(pivots, PivotTree) else pivots
+        hits = materialize(ivf_search(spark, left, kept, q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=replace(cfg, nprobe=nprobe),
+                                      pivots=used, cell_col=cell_col, dim_hint=dim_hint), "filtered-hits")
+        if last:
+            return hits if done is None else done.unionByName(hits)
+        full = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.k).select("qid")
+        enough = hits.join(full, "qid", "left_semi")
+        done = enough if done is None else done.unionByName(enough)
+        asked = F.col(q_id).cast(id_type(questions, q_id))
+        left = materialize(left.join(full.withColumnRenamed("qid", "_full"), asked == F.col("_full"), "left_anti"), "filtered-left")
+        if not left.limit(1).count():
+            return done
+        nprobe *= widen
+
+
 # ---- IVF index layout and the block cogroup ------------------------------------
 
-def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.ndarray, path: str,
+def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.ndarray | PivotTree, path: str,
                     cell_col: str = "cell") -> str:
     """Write the collection partitioned by cell; searches then prune unprobed cells
     at the scan (``PartitionFilters``).  Unscorable vectors land in ``cell=NULL``
@@ -369,7 +465,7 @@ def build_ivf_index(collection: DataFrame, c_id: str, c_vec: VecCol, pivots: np.
 
 
 def block_search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str,
-                 q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | None = None,
+                 q_vec: VecCol, c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | PivotTree | None = None,
                  cell_col: str | None = None, block_bytes: int | None = None) -> DataFrame:
     """Search without bringing questions to the driver, exact or (with pivots) IVF.
 
@@ -403,11 +499,11 @@ def _block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, piv
         def probe(batches):
             for pdf in batches:
                 if len(pdf):
-                    allowed = _probes(unit_rows(q_vec.matrix(pdf["qv"], dim)), pb.value, nprobe, digits)
-                    rows, cells = np.nonzero(allowed)
+                    lists = nearest_cells(unit_rows(q_vec.matrix(pdf["qv"], dim)), pb.value, nprobe, digits)
+                    rows, slots = np.nonzero(lists >= 0)
                     out = pdf.iloc[rows].copy()
                     out["qid"] = out["qid"].astype(object)
-                    out["cell"] = cells.astype(np.int32)
+                    out["cell"] = lists[rows, slots].astype(np.int32)
                     yield out.reset_index(drop=True)
 
         asks = asks.mapInPandas(probe, T.StructType([*asks.schema.fields, T.StructField("cell", T.IntegerType())]))
@@ -440,7 +536,7 @@ def _block_scan(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, piv
 
 
 def search(spark: SparkSession, questions: DataFrame, collection: DataFrame, *, q_id: str, q_vec: VecCol,
-           c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | None = None,
+           c_id: str, c_vec: VecCol, cfg: SearchConfig, pivots: np.ndarray | PivotTree | None = None,
            cell_col: str | None = None, dim_hint: int = 768, n_questions: int | None = None) -> DataFrame:
     """One entry point honouring the reference's search settings.
 

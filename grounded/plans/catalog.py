@@ -195,6 +195,7 @@ def q_strip_think(spark, sf):
 
 # ---------------------------------------------------------------- dense vectors (embeddings table)
 
+from grounded.operators import filters as flt  # noqa: E402
 from grounded.operators import search as srch  # noqa: E402
 from grounded.operators import documents, store  # noqa: E402
 from grounded.streaming import streams  # noqa: E402
@@ -232,6 +233,46 @@ def q_filtered(spark, sf):
     return _self_search(spark, sf, replace(KNN, threshold=0.05), cand)
 
 
+# Filter trees and the same conditions in SQL.
+FILTER_TREES = [
+    ({"must": [{"key": "label", "any": [1, 2, 3]}], "must_not": [{"key": "vec_id", "range": {"lt": 100}}]},
+     "@label IN (1, 2, 3) AND NOT @vec_id < 100"),
+    ({"should": [{"key": "label", "match": 0}, {"key": "label", "range": {"gte": 7, "lt": 9}}]},
+     "(@label = 0 OR (@label >= 7 AND @label < 9))"),
+    ({"must": [{"should": [{"key": "label", "match": 4}, {"must": [{"key": "label", "match": 5}], "must_not": [{"key": "vec_id", "range": {"gt": 250}}]}]},
+               {"key": "label", "is_null": False}]},
+     "(@label = 4 OR (@label = 5 AND NOT @vec_id > 250)) AND @label IS NOT NULL"),
+    ({"must_not": [{"key": "label", "except": [6]}, {"key": "vec_id", "any": []}]}, "NOT (@label IS NOT NULL AND @label NOT IN (6))"),
+]
+
+
+@query("search_filter_trees", " UNION ALL ".join(
+    f"SELECT {n} AS tree, qid, vec_id, score, rk FROM {S.knn_self(10, 0.05, sql)}" for n, (_, sql) in enumerate(FILTER_TREES, 1)))
+def q_filter_trees(spark, sf):
+    """O19 with four filter trees, exact search: the compiled condition is part of the collection's scan."""
+    cand, out = _emb(spark, sf, ("vec_id", "embedding", "label")), None
+    for n, (tree, _) in enumerate(FILTER_TREES, 1):
+        hits = _self_search(spark, sf, replace(KNN, threshold=0.05), cand.where(flt.compiled(tree, cand.columns)))
+        hits = hits.select(F.lit(n).alias("tree"), "qid", "vec_id", "score", "rk")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+_ROUNDS = (2, 8, 32, 128, 512)
+
+
+@query("search_filtered_ann", "SELECT qid, vec_id, score, rk FROM (SELECT *, min(p) OVER (PARTITION BY qid) AS first FROM (" + " UNION ALL ".join(
+    f"""SELECT *, {p} AS p FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM {S.ivf(p, 10, 0.0, "@label = 3")})
+    WHERE n = 10 OR {p} >= (SELECT ceil(sqrt(count(*))) FROM embeddings)""" for p in _ROUNDS) + ")) WHERE p = first")
+def q_filtered_ann(spark, sf):
+    """O19 over IVF: questions that find fewer than ten vectors of label 3 in two cells probe 8, 32, ... until all."""
+    cand = _emb(spark, sf, ("vec_id", "embedding", "label"))
+    vc = srch.VecCol("embedding", dim=EMB_DIM)
+    return srch.filtered_search(spark, _emb(spark, sf), cand, flt.compiled({"must": [{"key": "label", "match": 3}]}, cand.columns), q_id="vec_id",
+                                q_vec=vc, c_id="vec_id", c_vec=vc, cfg=replace(KNN, exact=False, nprobe=2, threshold=0.0),
+                                pivots=_pivots(spark, sf), dim_hint=EMB_DIM)
+
+
 @query("search_project", f"""
 SELECT h.qid, h.vec_id, h.score, h.rk, e.label FROM {S.knn_self(3, 0.1)} h JOIN embeddings e USING (vec_id)""")
 def q_project(spark, sf):
@@ -280,6 +321,45 @@ def q_ann_ivf(spark, sf):
     return _ivf(spark, sf, 8)
 
 
+def _tree_search(spark, sf, nprobe: int, beam: int, pivots=None):
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding", dim=EMB_DIM)
+    tree = srch.pivot_tree(_pivots(spark, sf) if pivots is None else pivots, beam)
+    return srch.ivf_search(spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc, cfg=replace(KNN, exact=False, nprobe=nprobe),
+                           pivots=tree, dim_hint=EMB_DIM)
+
+
+@query("search_ann_tree", "SELECT qid, vec_id, score, rk FROM " + S.ivf_tree(8, 2))
+def q_ann_tree(spark, sf):
+    """O16 with pivots in two levels: questions and vectors go down into their two nearest coarse pivots only."""
+    return _tree_search(spark, sf, 8, 2)
+
+
+_TREE_PROBES = ((8, 1), (8, 2), (32, 4))
+TREE_RECALL_SQL = " UNION ALL ".join(
+    f"""SELECT {p} AS nprobe, {b} AS beam, (SELECT count(*) FROM {S.knn_self(10, 0.3)}) AS n_exact,
+       (SELECT count(*) FROM {S.ivf_tree(p, b)} a JOIN {S.knn_self(10, 0.3)} x USING (qid, vec_id)) AS n_found"""
+    for p, b in _TREE_PROBES)
+
+
+def _recalls(spark, sf, searches: list[tuple[dict, DataFrame]]) -> DataFrame:
+    """Per search the exact hits that it found: its settings, ``n_exact``, ``n_found``, ``recall``."""
+    exact = materialize(_self_search(spark, sf, KNN).select("qid", "vec_id"), "exact-hits")     # read by all searches
+    n_exact = exact.count()                                  # a scalar
+    parts = None
+    for settings, got in searches:
+        found = (got.select("qid", "vec_id").join(exact, ["qid", "vec_id"]).agg(F.count(F.lit(1)).alias("n_found"))
+                 .select(*[F.lit(v).alias(n) for n, v in settings.items()], F.lit(n_exact).cast("long").alias("n_exact"), "n_found"))
+        parts = found if parts is None else parts.unionByName(found)
+    return parts.withColumn("recall", F.round(F.col("n_found") / F.lit(float(n_exact)), 6))
+
+
+@query("ann_recall_tree", f"SELECT nprobe, beam, n_exact, n_found, round(n_found / n_exact, 6) AS recall FROM ({TREE_RECALL_SQL})")
+def q_ann_recall_tree(spark, sf):
+    pivots = _pivots(spark, sf)
+    return _recalls(spark, sf, [({"nprobe": p, "beam": b}, _tree_search(spark, sf, p, b, pivots)) for p, b in _TREE_PROBES])
+
+
 RECALL_SQL = " UNION ALL ".join(
     f"""SELECT {p} AS nprobe, (SELECT count(*) FROM {S.knn_self(10, 0.3)}) AS n_exact,
        (SELECT count(*) FROM {S.ivf(p)} a JOIN {S.knn_self(10, 0.3)} x USING (qid, vec_id)) AS n_found"""
@@ -892,6 +972,18 @@ def q_ann_recall_kmeans(spark, sf):
             .select("n_exact", "n_all_cells", ((F.col("few") <= F.col("more")) & (F.col("more") <= F.col("n_all_cells"))).alias("never_falls")))
 
 
+@query("ann_recall_trained")
+def q_ann_recall_trained(spark, sf):
+    """Recall of IVF with trained pivots, per number of probed cells (no SQL: training is not reproducible there).
+    ``ann_recall_kmeans`` states what holds for any pivots."""
+    e = _emb(spark, sf)
+    vc = srch.VecCol("embedding", dim=EMB_DIM)
+    piv = srch.kmeans_pivots(e, "embedding", srch.default_nlist(e.count()))
+    return _recalls(spark, sf, [({"nprobe": p}, srch.ivf_search(
+        spark, e, e, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc, cfg=replace(KNN, exact=False, nprobe=p), pivots=piv,
+        dim_hint=EMB_DIM)) for p in (4, 8, len(piv))])
+
+
 @query("bm25_index_topk", "SELECT item_id, doc_id, score, rk FROM " + S.bm25())
 def q_bm25_index(spark, sf):
     """BM25 over a persisted inverted index (built here, over the whole table); the

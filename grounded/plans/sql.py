@@ -138,13 +138,34 @@ def knn_self(k: int | None, threshold: float | None, cand_where: str = "true", s
   WHERE score IS NOT NULL {thr}) {lim})"""
 
 
-def ivf(nprobe: int, k: int = 10, threshold: float = 0.3) -> str:
+def ivf(nprobe: int, k: int = 10, threshold: float = 0.3, cand_where: str = "true") -> str:
     """pivots = the sqrt(n) rows of the smallest id hash; cell = best pivot (ties to the lower one)."""
     return f"""(WITH piv AS (SELECT cell, embedding FROM (
                     SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding FROM embeddings)
                   WHERE cell < (SELECT ceil(sqrt(count(*))) FROM embeddings)),
      sim AS (SELECT e.vec_id, p.cell, {cos('e.embedding', 'p.embedding')} AS s FROM embeddings e, piv p),
      rnk AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS r FROM sim),
+     cand AS (SELECT p.vec_id AS qid, a.vec_id FROM rnk p JOIN rnk a ON p.cell = a.cell
+              WHERE p.r <= {nprobe} AND a.r = 1 AND a.vec_id <> p.vec_id),
+     sc AS (SELECT c.qid, c.vec_id, {cos('q.embedding', 'v.embedding')} AS score
+            FROM cand c JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings v ON v.vec_id = c.vec_id WHERE {cand_where.replace('@', 'v.')})
+SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
+               FROM sc WHERE score >= {threshold}) WHERE rk <= {k})"""
+
+
+def ivf_tree(nprobe: int, beam: int, k: int = 10, threshold: float = 0.3) -> str:
+    """As ``ivf``, through two levels: the first sqrt(pivots) pivots are coarse, a leaf belongs to its best coarse one, and only
+    leaves of a vector's ``beam`` best coarse pivots are compared with it."""
+    return f"""(WITH piv AS (SELECT cell, embedding FROM (
+                    SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, embedding FROM embeddings)
+                  WHERE cell < (SELECT ceil(sqrt(count(*))) FROM embeddings)),
+     top AS (SELECT cell AS g, embedding FROM piv WHERE cell < (SELECT ceil(sqrt(count(*))) FROM piv)),
+     leaf AS (SELECT cell, embedding, g FROM (SELECT p.cell, p.embedding, t.g,
+                row_number() OVER (PARTITION BY p.cell ORDER BY {cos('p.embedding', 't.embedding')} DESC, t.g) AS r FROM piv p, top t) WHERE r = 1),
+     down AS (SELECT vec_id, embedding, g FROM (SELECT e.vec_id, e.embedding, t.g,
+                row_number() OVER (PARTITION BY e.vec_id ORDER BY {cos('e.embedding', 't.embedding')} DESC, t.g) AS r FROM embeddings e, top t) WHERE r <= {beam}),
+     rnk AS (SELECT d.vec_id, l.cell, row_number() OVER (PARTITION BY d.vec_id ORDER BY {cos('d.embedding', 'l.embedding')} DESC, l.cell) AS r
+             FROM down d JOIN leaf l USING (g)),
      cand AS (SELECT p.vec_id AS qid, a.vec_id FROM rnk p JOIN rnk a ON p.cell = a.cell
               WHERE p.r <= {nprobe} AND a.r = 1 AND a.vec_id <> p.vec_id),
      sc AS (SELECT c.qid, c.vec_id, {cos('q.embedding', 'v.embedding')} AS score
