@@ -29,6 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grounded.functions.positions import with_positions
 from grounded.session import scratch_dir
 
 SEGMENT_PAGES = 4096
@@ -141,12 +142,11 @@ def reject_pages(pages: DataFrame, key: str = "conv_id", order: str = "turn", te
 
 
 def _distinct_order(pages: DataFrame, key: str, order: str, text_col: str) -> DataFrame:
-    """Order values made distinct per document: pages that share one follow each other in the order of their text."""
+    """Order values made distinct per document: pages that share one follow each other in the order of their text.
+
+    Only if some do, pages get dense positions, whatever the order values are and however many pages share one."""
     most = pages.groupBy(key, order).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    if most == 1:
-        return pages
-    tie = F.row_number().over(Window.partitionBy(key, order).orderBy(text_col)) - 1
-    return pages.withColumn(order, F.col(order).cast("long") * F.lit(most) + tie)
+    return pages if most == 1 else with_positions(pages, key, [order, text_col], order)
 
 
 def pack_blocks(pages: DataFrame, key: str = "conv_id", order: str = "turn", text_col: str = "text",
