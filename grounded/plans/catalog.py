@@ -19,6 +19,7 @@ from grounded.operators import context as ctxop
 from grounded.operators import embed as emb
 from grounded.operators import generate as gen
 from grounded.operators import guard as gd
+from grounded.operators import pii
 from grounded.operators import text as txt
 from grounded.plans import sql as S
 from grounded.session import materialize
@@ -462,6 +463,22 @@ def q_policy_groups(spark, sf):
     return gd.policy_report(groups, "groups", gd.REQUEST_GROUPS)
 
 
+@query("pii_spans", f"SELECT doc_id, start, stop, category, n_spans FROM {S.pii_regions()}")
+def q_pii_spans(spark, sf):
+    return pii.pii_spans(T(spark, sf, "documents", ["doc_id", "text"]), "text", "doc_id")
+
+
+@query("pii_redact", f"""
+SELECT doc_id, coalesce(n_regions, 0)::INT AS n_regions, md5(coalesce(head, '') || substring(text, coalesce(stop, 0) + 1)) AS redacted_md5
+FROM documents LEFT JOIN (
+  SELECT doc_id, count(*) AS n_regions, max(stop) AS stop, string_agg(substring(text, before + 1, start - before) || '[' || category || ']', '' ORDER BY start) AS head
+  FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM {S.pii_regions()}) JOIN documents USING (doc_id)
+  GROUP BY doc_id) USING (doc_id)""")
+def q_pii_redact(spark, sf):
+    found = pii.redact(T(spark, sf, "documents", ["doc_id", "text"]), "text")
+    return found.select("doc_id", "n_regions", F.md5("redacted").alias("redacted_md5"))
+
+
 @query("guard_confusion", f"""
 SELECT CASE WHEN {S.passes('v')} THEN 'ALLOW' ELSE 'BLOCK' END AS verdict, l.toxic, count(*) AS n
 FROM (SELECT doc_id, {S.rule_verdict('text')} AS v FROM documents) d LEFT JOIN labels l USING (doc_id)

@@ -10,6 +10,7 @@ from grounded.functions import text as tf
 from grounded.operators import context as ctxop
 from grounded.operators import generate as gen
 from grounded.operators import guard as gd
+from grounded.operators import pii
 
 
 def lit(s: str) -> str:
@@ -241,3 +242,27 @@ def doc_search(k: int | None, threshold: float | None, dim: int = 768) -> str:
 
 
 GOLD = "(SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0)"
+
+
+def pii_regions(src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """-> (key, start, stop, category, n_spans): checked spans, overlapping ones joined."""
+    checks = {
+        "EMAIL": "NOT regexp_matches(regexp_extract(m, '@(.*)$', 1), '\\.\\.|^[.]')",
+        "CARD": """(CASE WHEN regexp_full_match(m, '[0-9]+') THEN length(m) BETWEEN 13 AND 19 ELSE length(regexp_replace(m, '[^0-9]', '', 'g')) = 16 END)
+            AND list_sum(list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''),
+                lambda c, i: CASE WHEN i % 2 = 0 THEN CASE WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END ELSE c::INT END)) % 10 = 0""",
+        "PHONE": "regexp_full_match(m, '.*-[0-9]{4}')",
+        "IP": """regexp_full_match(m, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')
+            AND list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(p) <= 3 THEN p::INT ELSE 999 END)) <= 255""",
+        "SECRET": "true"}
+    parts = " UNION ALL ".join(f"""
+      SELECT {key}, {n} AS no, '{cat}' AS cat, stop - (CASE WHEN '{cat}' = 'SECRET' THEN length(regexp_extract(m, '[A-Za-z0-9_-]+$')) ELSE length(m) END) AS start, stop
+      FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY {key} ORDER BY j ROWS UNBOUNDED PRECEDING)::INT AS stop
+            FROM (SELECT {key}, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS j
+                  FROM (SELECT {key}, regexp_extract_all({text}, {lit(pattern)}) AS ms, string_split_regex({text}, {lit(pattern)}) AS gaps FROM {src})))
+      WHERE {checks[cat]}""" for n, (cat, pattern) in enumerate(pii.CANDIDATES, 1))
+    return f"""(SELECT {key}, min(start)::INT AS start, max(stop)::INT AS stop, first(cat ORDER BY stop - start DESC, start, no) AS category, count(*)::INT AS n_spans
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY start, stop DESC, no ROWS UNBOUNDED PRECEDING) AS region
+        FROM (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY {key} ORDER BY start, stop DESC, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                             THEN 0 ELSE 1 END AS opens FROM ({parts})))
+  GROUP BY {key}, region)"""
