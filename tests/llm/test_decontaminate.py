@@ -129,3 +129,46 @@ def test_common_short_items_need_a_sentence_of_their_own(spark):
     assert got == {(100, 2), (101, 3)}
     bench = spark.createDataFrame([(1, "yes")], "item_id long, text string")
     assert dec.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).count() == len(docs)
+
+
+def test_a_template_of_many_items_is_evidence_for_none(spark):
+    """An instruction of 20 words that stands in 60 items; the items' own words still are found, and so is a template that is an item."""
+    template = " ".join(f"t{j}" for j in range(20))
+    items = [(k, f"{template} " + " ".join(f"i{k}w{j}" for j in range(30))) for k in range(60)]
+    docs = [(1, f"we begin {template} and go on"), (2, f"before {items[7][1]} after"), (3, " ".join(f"i9w{j}" for j in range(4, 24))), (4, f"x {template} i3w0 i3w1 i3w2 y")]
+    assert found(spark, docs, items) == {(2, 7), (3, 9)}
+    few = items[:5]                                    # in few items the run is evidence
+    assert found(spark, docs[:1], few) == {(1, k) for k in range(5)}
+    same = [(k, template) for k in range(60)]          # equal items are one item
+    assert found(spark, docs[:1], same) == {(1, k) for k in range(60)}
+    near = [(k, f"{template} own{k}") for k in range(60)]      # hardly a word of their own: the run stays evidence
+    assert found(spark, docs[:1], near) == {(1, k) for k in range(60)}
+
+
+def test_all_pairs_by_whole_alignment(spark):
+    """Every document is aligned whole with every item: nothing that reaches the bound is missed, nothing else is found."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1500").collect()]
+    rng = random.Random(11)
+    for k, (i, text) in enumerate(bench[:20]):
+        docs.append((10 ** 6 + k, " ".join(edited(rng, dec.words_of(text), 0.1 + k / 40))))
+    docs = docs[-220:]
+    numbers: dict = {}
+    coded = lambda t: np.array([numbers.setdefault(w, len(numbers) + 1) for w in dec.words_of(t)], np.int64)
+    want = set()
+    items = [(i, coded(t)) for i, t in bench]
+    for d, t in docs:
+        doc = coded(t)
+        for i, item in items:
+            if len(item) >= dec.LEAST and dec.align(item, doc)[0] >= dec.needed(len(item), dec.THRESHOLD):
+                want.add((d, i))
+    got = {g for g in found(spark, docs, bench) if len(dict(items)[g[1]]) >= dec.LEAST}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) >= 15
+
+
+def test_rows_of_one_text_go_together(spark):
+    docs = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog again", "__leak") for i in range(50)] + [(99, "clean", "k"), (100, None, "n")],
+                                 "doc_id long, text string, id string")
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    kept = dec.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [99, 100]
