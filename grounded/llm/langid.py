@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grounded.llm.common import as_text, has_letter, hashed_share, map_batches, with_fields
@@ -130,8 +130,9 @@ def _sample(labelled: DataFrame, key: str, per_language: int) -> DataFrame:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = F.lit(False)
     for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & hashed_share(min(1.0, per_language / n), key, "lang"))
-    return labelled.where(chosen)
+        chosen = chosen | ((F.col("lang") == lang) & hashed_share(min(1.0, per_language / n), key, "lang", "_row"))
+    # Rows are chosen one by one, by their place too: an id or a text that many rows share is neither all in nor all out.
+    return labelled.withColumn("_row", F.monotonically_increasing_id()).where(chosen).drop("_row")
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -199,7 +200,3 @@ def identify(documents: DataFrame, model: LanguageModel, keys: list[str], text:
 
     return map_batches(rows, start, with_fields(rows.drop("__in"), "lang_pred string, score double, ambiguous boolean"))
 
-
-def rejected(lang: str = "lang_pred") -> Column:
-    """Documents that language identification turns away: those without any language."""
-    return F.col(lang) == UNKNOWN

@@ -1,7 +1,7 @@
 """Operator 9: toxicity by weak supervision.
 
-Voters are lexicon words and word-beginning patterns, mined from labelled
-documents: terms that stand in toxic documents more often than chance explains
+Voters are lexicon words and word-beginning patterns (in scripts without spaces, pairs and triples of characters), mined
+from labelled documents: terms that stand in toxic documents more often than chance explains
 for any of all terms.  Each voter votes on a document by being present.  A
 generative label model estimates by expectation maximisation how often voters
 fire on toxic and on other documents, with the label of the document as one
@@ -11,8 +11,9 @@ posteriors are the soft labels on which a linear classifier is trained; the
 classifier scores all documents from the votes in their whole texts.
 
 Mining and fitting take about ``sample`` toxic and twice as many other labelled
-documents, chosen by a hash of the id (the documented bound); of near copies one is kept.  The driver
-receives counts of the terms that stand in several of these, and their votes.
+documents, chosen by a hash of the id and, where ids are repeated, of the text (the documented bound).  Near copies are
+not independent evidence: a family of them weighs the root of its size, each member an equal part.  The driver
+receives counts of the terms that stand in several of these documents, and their votes.
 
 Results for odd rows: a null or empty text has no votes and gets the score of
 such a text; null labels and labels without a document are left out, and an id
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,15 +40,32 @@ from grounded.llm.jaccard import Forest, Shingler
 SAMPLE = 3000
 # Voters at most, and the documents a candidate must stand in.
 VOTERS, LEAST = 400, 3
+# Log odds that all voters which do not fire may count together: a word that is missing says little, however many are, and the
+# words of one large family of documents must not speak against all other toxic ones.
+SILENCE = 2.0
+# ... and that a single one counts at most by firing: less than a label does, which no voter overrules alone.
+ALONE = 3.4
 # Lengths of word beginnings that are candidates for patterns.
 PATTERNS = (4, 5, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+# Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+_PIECES = (2, 3)
+
+
+def pieces(word: str) -> list[str]:
+    """``~xy``: the pairs and triples of characters of a run in a script without spaces."""
+    return [f"~{word[i:i + n]}" for n in _PIECES for i in range(len(word) - n + 1)]
+
+
 def terms(words: set[str]) -> set[str]:
-    """Candidate voters of a document: its words, and as ``x*`` the beginnings of longer words."""
-    return words | {w[:n] + "*" for w in words for n in PATTERNS if len(w) > n}
+    """Candidate voters of a document: its words, as ``x*`` the beginnings of longer words, and as ``~x`` pieces of runs."""
+    run = {w for w in words if _UNSPACED.search(w)}
+    spaced = words - run
+    return spaced | {w[:n] + "*" for w in spaced for n in PATTERNS if len(w) > n} | {p for w in run for p in pieces(w)}
 
 
 @dataclass
@@ -62,6 +81,7 @@ class ToxicityModel:
     def __post_init__(self):
         self.index = {v: i for i, v in enumerate(self.voters)}
         self.stems = {v.rstrip("*")[:PATTERNS[0]] for v in self.voters}
+        self.pieces = any(v.startswith("~") for v in self.voters)
 
     def votes(self, text: str) -> dict[int, int]:
         """Occurrences of each voter in the whole text."""
@@ -73,20 +93,29 @@ class ToxicityModel:
                     i = index.get(term)
                     if i is not None:
                         found[i] += 1
+            if self.pieces and _UNSPACED.search(w):
+                found.update(i for p in pieces(w) if (i := index.get(p)) is not None)
         return found
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
         """Probability of toxicity given which clusters of voters fire (rows x clusters)."""
         a, b = self.fire_toxic, self.fire_other
-        odds = math.log(self.prior / (1 - self.prior)) + fires @ np.log(a / b) + (1 - fires) @ np.log((1 - a) / (1 - b))
+        silent = np.maximum((1 - fires) @ np.log((1 - a) / (1 - b)), -SILENCE)
+        odds = math.log(self.prior / (1 - self.prior)) + fires @ np.minimum(np.log(a / b), ALONE) + silent
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
+    def firing(self, voters: Iterable[int]) -> float:
+        """How many clusters fire, each by its evidence as a part of ``ALONE``.  Of a large one an eighth of its voters have to, so
+        that one word of a family of texts does not stand for the family."""
+        sizes, part = np.bincount(self.cluster), np.clip(np.log(self.fire_toxic / self.fire_other) / ALONE, 0, 1)
+        return float(sum(part[c] for c, n in Counter(self.cluster[i] for i in voters).items() if n >= sizes[c] / 8))
+
     def score(self, text: str) -> float:
         if not self.voters:
             return 0.0
         found = self.votes(text)
         z = self.bias + sum(self.weights[i] * (1 + math.log(n)) for i, n in found.items())
-        z += self.weights[-1] * math.log1p(len({self.cluster[i] for i in found}))
+        z += self.weights[-1] * math.log1p(self.firing(found))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -99,12 +128,19 @@ def _sample(documents: DataFrame, labels: DataFrame, key: str, sample: int) -> D
         if sizes.get(label):
             chosen = chosen | ((F.col("toxic") == label) & hashed_share(min(1.0, bound / sizes[label]), key))
     # About 3 * sample ids, the documented bound, go to every task.
-    return documents.select(key, "text").join(F.broadcast(known.where(chosen)), key).select("text", "toxic").distinct()
+    ids = F.broadcast(checkpointed(known.where(chosen), "toxicity-ids"))
+    # An id may have many rows: of a label with too many, rows are taken by a hash of their text as well.
+    rows = {r["toxic"]: r["n"] for r in documents.select(key).join(ids, key).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = F.lit(False)
+    for label, bound in ((1, sample), (0, 2 * sample)):
+        if rows.get(label):
+            taken = taken | ((F.col("toxic") == label) & hashed_share(min(1.0, bound / rows[label]), key, "text"))
+    return documents.select(key, "text").join(ids, key).where(taken).select("text", "toxic").distinct()
 
 
-def _one_of_each_family(rows: DataFrame) -> DataFrame:
-    """One of the sampled documents of a label that are near copies of each other: copies are not independent
-    evidence for a term.  Near copies share three MinHash values in one of six trees, directly or through others."""
+def _families(rows: DataFrame) -> DataFrame:
+    """The sampled documents with a ``weight``: those of a label that are near copies of each other weigh the root of
+    their number together.  Near copies share three MinHash values in one of six trees, directly or through others."""
     def start():
         shingler, forest = Shingler(), Forest(6, 3, 3)
 
@@ -127,26 +163,28 @@ def _one_of_each_family(rows: DataFrame) -> DataFrame:
             first = head.setdefault((r["toxic"], key), r["row"])
             a, b = find(first), find(r["row"])
             parent[max(a, b)] = min(a, b)
-    kept = rows.sparkSession.createDataFrame([(r,) for r in parent if find(r) == r], "row long")
-    return rows.join(F.broadcast(kept), "row").drop("row")              # no more than the sample
+    size = Counter(find(r) for r in parent)
+    weights = rows.sparkSession.createDataFrame([(r, size[find(r)] ** -0.5) for r in parent], "row long, weight double")
+    return rows.join(F.broadcast(weights), "row").drop("row")           # no more than the sample
 
 
-def _mine(sample: DataFrame, voters: int) -> tuple[list[str], int, int]:
-    """The terms with the largest lift, and how many sampled documents are toxic and not."""
+def _mine(sample: DataFrame, voters: int) -> tuple[list[str], float, float]:
+    """The terms with the largest lift, and the weight of the toxic sampled documents and of the others."""
     def count():
         def fn(batch):
-            seen = [Counter(), Counter()]
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                seen[toxic].update(terms(set(_WORD.findall(as_text(text).lower()))))
+            seen: list[Counter] = [Counter(), Counter()]
+            for text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                for term in terms(set(_WORD.findall(as_text(text).lower()))):
+                    seen[toxic][term] += weight
             both = sorted(seen[0].keys() | seen[1].keys())
             return [both, [seen[1][t] for t in both], [seen[0][t] for t in both]]
         return fn
 
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return [], 0, other
-    counts = checkpointed(map_batches(sample, count, "term string, t long, o long", rows=1024)
+    counts = checkpointed(map_batches(sample, count, "term string, t double, o double", rows=1024)
                           .groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
                           .where(F.col("t") + F.col("o") >= LEAST), "toxicity-terms")
     n_terms = counts.count()
@@ -160,7 +198,7 @@ def _mine(sample: DataFrame, voters: int) -> tuple[list[str], int, int]:
     return specific({r["term"]: (r["t"], r["o"]) for r in best.collect()})[:voters], toxic, other
 
 
-def specific(counts: dict[str, tuple[int, int]]) -> list[str]:
+def specific(counts: dict[str, tuple[float, float]]) -> list[str]:
     """The terms without patterns that a longer term of theirs all but explains."""
     kept = []
     for term, (toxic, other) in counts.items():
@@ -176,7 +214,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", sample: in
     """Learns from the texts of ``documents`` that have a row in ``labels`` (``key``, ``toxic``)."""
     rows = checkpointed(_sample(documents, labels, key, sample).withColumn("row", F.monotonically_increasing_id()),
                         "toxicity-sample")
-    rows = checkpointed(_one_of_each_family(rows), "toxicity-families")
+    rows = checkpointed(_families(rows), "toxicity-families").select("text", "toxic", "weight")
     mined, toxic, other = _mine(rows, voters)
     if not mined:
         return ToxicityModel()
@@ -185,38 +223,41 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", sample: in
     def vote():
         def fn(batch):
             found = [model.votes(as_text(t)) for t in batch.column(0).to_pylist()]
-            return [[sorted(f) for f in found], [[f[i] for i in sorted(f)] for f in found], batch.column(1)]
+            return [[sorted(f) for f in found], [[f[i] for i in sorted(f)] for f in found], batch.column(1), batch.column(2)]
         return fn
 
     # About 3 * sample rows of votes.
-    found = map_batches(rows, vote, "voters array<int>, counts array<int>, toxic int").collect()
-    found.sort(key=lambda r: (r["toxic"], r["voters"], r["counts"]))
+    found = map_batches(rows, vote, "voters array<int>, counts array<int>, toxic int, weight double").collect()
+    found.sort(key=lambda r: (r["toxic"], r["voters"], r["counts"], r["weight"]))
+    weight = np.array([r["weight"] for r in found])
     fires, given = np.zeros((len(found), len(mined))), np.array([r["toxic"] for r in found], float)
     for i, r in enumerate(found):
         fires[i, r["voters"]] = 1
     # The sample holds more toxic documents than the table; posteriors are those of the sample's mixture.
     model.prior = toxic / (toxic + other) if other else 0.5
-    posterior = label_model(model, fires, given)
-    train_linear(model, [dict(zip(r["voters"], r["counts"])) for r in found], posterior)
+    posterior = label_model(model, fires, given, weight)
+    train_linear(model, [dict(zip(r["voters"], r["counts"])) for r in found], posterior, weight)
     return model
 
 
-def label_model(model: ToxicityModel, fires: np.ndarray, given: np.ndarray, trust: float = 0.97,
-                rounds: int = 25) -> np.ndarray:
+def label_model(model: ToxicityModel, fires: np.ndarray, given: np.ndarray, weight: np.ndarray | None = None,
+                trust: float = 0.97, rounds: int = 25) -> np.ndarray:
     """Firing rates and correlations of the voters; returns the posteriors of the rows.
 
     ``given`` is the label as a voter that is right with probability ``trust``.  After two rounds correlated
-    voters are joined to clusters, which fire if any of theirs does."""
+    voters are joined to clusters, which fire if any of theirs does, or in a large one an eighth."""
     label_odds = np.where(given > 0.5, 1, -1) * math.log(trust / (1 - trust))
     p = np.where(given > 0.5, trust, 1 - trust)
     model.cluster, votes = np.arange(fires.shape[1]), fires
+    weight = np.ones(len(fires)) if weight is None else weight
     for step in range(rounds):
         if step == 2:
-            model.cluster = clusters(fires, p)
-            votes = np.stack([fires[:, model.cluster == c].max(1) for c in range(model.cluster.max() + 1)], 1)
-        model.fire_toxic = np.clip((p @ votes + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
-        model.fire_other = np.clip(((1 - p) @ votes + 0.05) / ((1 - p).sum() + 1), 1e-5, 1 - 1e-4)
-        model.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+            model.cluster = clusters(fires, p, weight)
+            votes = np.stack([fires[:, model.cluster == c].mean(1) >= 1 / 8 for c in range(model.cluster.max() + 1)], 1).astype(float)
+        t, o = p * weight, (1 - p) * weight
+        model.fire_toxic = np.clip((t @ votes + 0.5) / (t.sum() + 1), 1e-4, 1 - 1e-4)
+        model.fire_other = np.clip((o @ votes + 0.05) / (o.sum() + 1), 1e-5, 1 - 1e-4)
+        model.prior = float(np.clip(t.sum() / weight.sum(), 1e-3, 1 - 1e-3))
         q = model.posterior(votes)
         odds = np.log(np.clip(q, 1e-12, 1 - 1e-12) / np.clip(1 - q, 1e-12, 1)) + label_odds
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
@@ -227,10 +268,11 @@ def label_model(model: ToxicityModel, fires: np.ndarray, given: np.ndarray, trus
     return p
 
 
-def clusters(fires: np.ndarray, p: np.ndarray, bound: float = 0.5) -> np.ndarray:
+def clusters(fires: np.ndarray, p: np.ndarray, weight: np.ndarray, bound: float = 0.5) -> np.ndarray:
     """A number per voter: voters whose residuals, given the class, correlate above ``bound`` share it."""
-    toxic, other = p @ fires / max(p.sum(), 1e-9), (1 - p) @ fires / max((1 - p).sum(), 1e-9)
-    residual = fires - np.outer(p, toxic) - np.outer(1 - p, other)
+    t, o = p * weight, (1 - p) * weight
+    toxic, other = t @ fires / max(t.sum(), 1e-9), o @ fires / max(o.sum(), 1e-9)
+    residual = (fires - np.outer(p, toxic) - np.outer(1 - p, other)) * np.sqrt(weight)[:, None]
     residual /= np.sqrt((residual ** 2).sum(0)) + 1e-9
     near = residual.T @ residual > bound
     label = np.full(len(near), -1)
@@ -244,23 +286,25 @@ def clusters(fires: np.ndarray, p: np.ndarray, bound: float = 0.5) -> np.ndarray
     return label
 
 
-def train_linear(model: ToxicityModel, votes: list[dict[int, int]], posterior: np.ndarray, hold: float = 0.2) -> None:
+def train_linear(model: ToxicityModel, votes: list[dict[int, int]], posterior: np.ndarray, weight: np.ndarray | None = None,
+                 hold: float = 0.2) -> None:
     """Logistic regression on the posteriors (Newton steps); terms of toxicity never count against it.
 
-    Features: 1 plus the logarithm of each voter's count, and the logarithm of 1 plus the number of clusters."""
+    Features: 1 plus the logarithm of each voter's count, and the logarithm of 1 plus the clusters that fire, by their evidence."""
     n = len(model.voters)
+    weight = np.ones(len(votes)) if weight is None else weight
     x = np.zeros((len(votes), n + 2))
     for i, found in enumerate(votes):
         for v, k in found.items():
             x[i, v] = 1 + math.log(k)
-        x[i, n] = math.log1p(len({model.cluster[v] for v in found}))
+        x[i, n] = math.log1p(model.firing(found))
     x[:, n + 1] = 1
     w, ridge = np.zeros(n + 2), np.full(n + 2, hold)
     ridge[n:] = 0.05
     for _ in range(25):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (posterior - q) - ridge * w)
+        h = (x * (weight * (q * (1 - q) + 1e-6))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (weight * (posterior - q)) - ridge * w)
         w = w + np.clip(step, -4, 4)
         w[:n + 1] = np.maximum(w[:n + 1], 0)
         if np.abs(step).max() < 1e-4:

@@ -58,3 +58,15 @@ def test_without_labels_or_with_one(spark, found):
     one = langid.fit(docs)
     assert [r.lang_pred for r in langid.identify(docs, one, ["doc_id"]).orderBy("doc_id").collect()] == ["xx", "xx", "und"]
     assert langid.identify(docs.limit(0), one, ["doc_id"]).count() == 0
+
+
+def test_rows_that_share_an_id_are_sampled_one_by_one(spark):
+    """A language whose rows all have one id is learned, from no more rows than the bound allows."""
+    rows = [(7, f"der hund und die katze {i} gehen nach hause", "de") for i in range(4000)]
+    rows += [(i, f"the dog and the cat {i} are going home", "en") for i in range(100, 900)]
+    for hot in (7, 3, 11):
+        docs = spark.createDataFrame([(hot if k == 7 else k, t, lang) for k, t, lang in rows], "doc_id long, text string, lang string").repartition(5)
+        sizes = {r.lang: r["count"] for r in langid._sample(docs, "doc_id", 300).groupBy("lang").count().collect()}
+        assert 230 <= sizes["de"] <= 370 and 230 <= sizes["en"] <= 370
+    model = langid.fit(docs, per_language=300)
+    assert model.languages == ["de", "en"] and model.predict("die katze und der hund")[0] == "de"
