@@ -3,7 +3,9 @@
 A page is cut into flat blocks at every tag that is not inline.  A block is
 described by its words and link density, those of the block before and the one
 after, and by what it stands in: a boilerplate element (navigation, footer,
-aside, form, or one whose class, id or role says so), an article, a heading.  A
+aside, form, or one whose class, id or role says so), an article, a heading.  Inside an article only wrappers whose
+class says nothing else (``share-buttons``, but not ``side-effects``), and paragraphs and items of one plain word
+(``advert``), are boilerplate; ids, headings and tables there say nothing.  A
 decision tree, trained on the small labelled table below, keeps or drops it.
 
 Results for odd rows: null or empty html, or a page without any main block,
@@ -49,6 +51,16 @@ BOILERPLATE_WORDS = frozenset(
     "notification outbrain overlay pager pagination paywall popup promo promoted promotion recommendations recommended "
     "related replies reply responses search share sharing shoutbox side sidebar signup skip social sponsor sponsored "
     "subscribe subscription taboola tags toc toolbar topbar tracking warning widget widgets".split())
+# Words that say no more beside one of those, as in comment-list or ad-slot.
+NEUTRAL_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container content footer group head header holder icon "
+    "icons inline inner item items left line link links list media outer panel post posts right row section slot small title top "
+    "unit wrap wrapper".split())
+# Elements of an article that hold its text, and the class words that make one of them boilerplate all the same.
+TEXTUAL = frozenset("p li dl dt dd blockquote figure figcaption pre h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th address".split())
+NEVER = frozenset("h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th address".split())
+PLAIN_WORDS = frozenset("ad ads advert advertisement advertising adverts comment comments cookie cookies newsletter promo promotion "
+                        "share sharing sponsored subscribe".split())
 CONTENT_WORDS = frozenset("article articlebody body-text content entry maincontent main post story".split())
 
 _TOKEN = re.compile(
@@ -64,20 +76,36 @@ FEATURES = ("words", "link_density", "words_before", "link_density_before", "wor
             "boilerplate", "content", "heading", "page_has_content")
 
 
+def _only_boilerplate(token: str) -> bool:
+    """Whether a class is made of boilerplate words, or of these and words that say no more."""
+    parts = {p for p in _PART.split(token) if p}
+    return bool(parts & BOILERPLATE_WORDS) and parts <= BOILERPLATE_WORDS | NEUTRAL_WORDS
+
+
+def _in_article(name: str, found: dict[str, str]) -> bool:
+    """Whether an element inside an article is boilerplate by its tag, class or role; of a div the id counts too."""
+    classes = found.get("class", "").lower().split() + found.get("role", "").lower().split()
+    if name in TEXTUAL:
+        return name not in NEVER and any(c in PLAIN_WORDS for c in classes)
+    if name in BOILERPLATE:
+        return True
+    return any(map(_only_boilerplate, classes + (found.get("id", "").lower().split() if name == "div" else [])))
+
+
 @lru_cache(4096)
-def _hints(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's own tag and attributes speak of boilerplate, and of content."""
+def _hints(name: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """Whether an element's own tag and attributes speak of boilerplate, and of content; ``inside``: in an article."""
     found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     words = set()
     for k in ("class", "id", "role"):
         value = found.get(k, "").lower()
         words.update(_PART.split(value))
         words.update(value.split())
-    boiler = name in BOILERPLATE
+    boiler = _in_article(name, found) if inside else name in BOILERPLATE
     if name not in ("html", "body"):
         hidden = ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
                   or re.search(r"display\s*:\s*none", found.get("style", "").lower()))
-        boiler = boiler or bool(words & BOILERPLATE_WORDS) or bool(hidden)
+        boiler = boiler or bool(words & BOILERPLATE_WORDS and not inside) or bool(hidden)
     return boiler, name in CONTENT or (name not in ("html", "body") and bool(words & CONTENT_WORDS))
 
 
@@ -151,7 +179,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if name in ("p", "li", "option", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                 stack.pop()
             _, boiler, content, heading, silent = stack[-1] if stack else nothing
-            own, inside = _hints(name, attributes)
+            own, inside = _hints(name, attributes, content and not boiler)
             if name == "header" and not content:
                 own = True
             if inside and not own and name not in INLINE:

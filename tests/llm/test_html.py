@@ -93,3 +93,28 @@ def test_silent_elements(tree, name):
                   f"<div><{name}>no <{name}>words</{name}> at all</{name}></div>",
                   f"<div><{name}>no words</div><div><{name}>no </div> words</{name}></div>"):
         assert html.main_text(start + BODY, tree) == "A\n\nBody text of the article.", start
+
+
+KEPT = ["<section id=\"discussion\"><h2>Discussion</h2><p>We discuss the results of it here.</p></section>",
+        "<h2 id=\"related-work\">Related work</h2><p>Others have done this.</p>", "<h2 id=\"social-security\">Social security</h2><p>It is paid.</p>",
+        "<p class=\"side-effects\">It makes you sleepy for a while.</p>", "<table class=\"tags\"><tr><td>One cell</td><td>Two cells</td></tr></table>",
+        "<address>12 Long Street, Some Town</address>", "<div class=\"search-and-rescue\"><p>The boat was found at night.</p></div>",
+        "<ul id=\"tags\"><li>First point of the list</li><li>Second point</li></ul>", "<section class=\"social-security\"><p>It is paid out.</p></section>"]
+GONE = ["<div class=\"ad\">Buy this now, it is very cheap today only.</div>", "<div class=\"share-buttons\"><a href=x>Share</a></div>",
+        "<div class=\"related-posts\"><p>Other things that you may like to read.</p></div>", "<p class=\"advert\">Buy two of them and pay for one.</p>",
+        "<aside>Beside the text stands this.</aside>", "<form><p>Your mail please, so that we can write to you.</p></form>",
+        "<section class=\"comments\"><p>I think that this is a very good article.</p></section>", "<div id=\"comments\"><p>I liked this one a lot.</p></div>",
+        "<nav><a href=x>Next</a></nav>", "<p hidden>You do not see this one.</p>"]
+
+
+@pytest.mark.parametrize("inside", KEPT)
+def test_text_of_an_article_stays_whatever_its_names(tree, inside):
+    page = f"<nav><a href=/>Home</a></nav><article><h1>A</h1><p>Body text of the article.</p>{inside}<p>Its end.</p></article><footer>Foot</footer>"
+    words = re.sub(r"<[^>]*>", " ", inside).split()
+    assert html.main_text(page, tree).split() == "A Body text of the article.".split() + words + ["Its", "end."]
+
+
+@pytest.mark.parametrize("inside", GONE)
+def test_boilerplate_inside_an_article_goes(tree, inside):
+    page = f"<article><h1>A</h1><p>Body text of the article.</p>{inside}<p>Its end.</p></article>"
+    assert html.main_text(page, tree) == "A\n\nBody text of the article.\n\nIts end."
