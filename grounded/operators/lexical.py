@@ -34,8 +34,9 @@ def query_terms(questions: DataFrame, q_key: str, text_col: str) -> DataFrame:
             .where(F.col("term").isNotNull()))
 
 
-# Question terms (rows of question and term) that are broadcast.
+# Question terms (rows of question and term) that are broadcast, and the bytes of their (terms x questions) matrix.
 MAX_QUERY_TERMS = 200_000
+MAX_MATRIX_BYTES = 256 << 20
 
 
 def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text: str = "text",
@@ -44,7 +45,8 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
     """Top-k BM25 documents per question: ``q_key``, ``d_key``, ``score`` (6 decimals), ``rk``."""
     qt = query_terms(questions, q_key, q_text)
     rows = qt.limit(MAX_QUERY_TERMS + 1).collect()                    # bounded
-    if len(rows) > MAX_QUERY_TERMS:
+    cells = len({r["term"] for r in rows}) * len({r[q_key] for r in rows})
+    if len(rows) > MAX_QUERY_TERMS or cells * 8 > MAX_MATRIX_BYTES:
         return _bm25_join(questions, docs, q_key, q_text, d_key, d_text, k, k1, b)
     return _bm25_scan(rows, docs, q_key, questions.schema[q_key].dataType, d_key, d_text, k, k1, b)
 

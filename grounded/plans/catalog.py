@@ -618,6 +618,26 @@ def q_gold(spark, sf):
 
 # ---------------------------------------------------------------- multi-hit context and citations
 
+@query("context_joined", f"""
+WITH h AS (SELECT qid, doc_id, i, rk, regexp_extract_all(chunk, {S.TOKEN}) AS t FROM {S.chunk_search('benchmark', 'item_id', 'text', 10, 0.25)}),
+x AS (SELECT qid, doc_id, rk, i * 412 + unnest(range(len(t))) AS pos, unnest(t) AS t FROM h),
+b AS (SELECT qid, doc_id, pos, min(rk) AS rk, any_value(t) AS t FROM x GROUP BY ALL),
+n AS (SELECT *, min(rk) OVER (PARTITION BY qid, doc_id) AS first, pos - row_number() OVER (PARTITION BY qid, doc_id ORDER BY pos) AS gap
+      FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rk, pos) AS n FROM b) WHERE n <= 1500),
+p AS (SELECT qid, first, gap, min(pos) AS pos, string_agg(t, ' ' ORDER BY pos) AS text, count(*) AS n FROM n GROUP BY qid, first, doc_id, gap)
+SELECT item_id, coalesce(ctx, '') AS ctx, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_parts, 0)::INT AS n_parts
+FROM benchmark LEFT JOIN (SELECT qid, string_agg(text, {S.lit(ctxop.HIT_SEPARATOR)} ORDER BY first, pos) AS ctx, sum(n) AS n_tokens, count(*) AS n_parts
+                          FROM p GROUP BY qid) ON qid = item_id""")
+def q_context_joined(spark, sf):
+    """R02 over the ten best windows with a budget of 1,500 tokens: overlapping windows of a document are joined, no token stands twice."""
+    b = _bench(spark, sf)
+    hits = ans.retrieve(spark, b, _docs(spark, sf), "item_id", "text", SearchConfig(k=10, threshold=0.25))
+    found = ctxop.joined_windows(hits, "doc_id", "i", 412, 1500)
+    return b.join(found.withColumnRenamed("qid", "item_id"), "item_id", "left").select(
+        "item_id", F.coalesce("ctx", F.lit("")).alias("ctx"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce("n_parts", F.lit(0)).alias("n_parts"))
+
+
 TOP4_SQL = f"""
 SELECT b.item_id, b.text, coalesce(n_hits, 0) AS n_hits, coalesce(ctx, '') AS ctx, coalesce(sources, '') AS sources
 FROM benchmark b LEFT JOIN (
