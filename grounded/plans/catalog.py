@@ -547,6 +547,7 @@ def q_answer_batch(spark, sf):
 # ---------------------------------------------------------------- lexical, fusion, rerank, evaluation
 
 from grounded.operators import evaluate as ev  # noqa: E402
+from grounded.operators import blockmax  # noqa: E402
 from grounded.operators import lexical as lex  # noqa: E402
 
 
@@ -1029,6 +1030,13 @@ def q_bm25_index(spark, sf):
     return lex.bm25_from_index(_bench(spark, sf), path)
 
 
+@query("bm25_block_topk", "SELECT item_id, doc_id, score, rk FROM " + S.bm25())
+def q_bm25_blocks(spark, sf):
+    """BM25 over postings in blocks with upper bounds: the same hits, without the blocks that cannot reach the k-th score."""
+    path = blockmax.build_block_index(T(spark, sf, "documents", ["doc_id", "text"]), scratch_dir(spark, "block-index"))
+    return blockmax.block_topk(_bench(spark, sf), path)[0]
+
+
 @query("stream_pack_blocks", PACK_SQL)
 def q_stream_pack_blocks(spark, sf):
     """O03 over a page stream with per-document state (applyInPandasWithState)."""
