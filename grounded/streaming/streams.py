@@ -8,7 +8,9 @@ gets a new folder under the shared checkpoint folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grounded.config import EmbedConfig
@@ -148,7 +150,7 @@ def request_rate_final(spark: SparkSession, events: DataFrame, window: str = "1
             df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
 
         before = session.read.parquet(f"{root}/mark/batch={batch_id - 1}").first()["watermark"] if batch_id else None
-        mark = F.lit(before).cast("timestamp_ntz")
+        mark = _wall_clock(before)
         timed = batch.where(F.col("ts").isNotNull()).withColumn(
             "window_start", instant_as_utc_ntz(F.window(ntz_as_utc_instant(F.col("ts")), window)["start"]))
         untimed = batch.where(F.col("ts").isNull()).withColumn("window_start", F.lit(None).cast("timestamp_ntz"))
@@ -164,7 +166,7 @@ def request_rate_final(spark: SparkSession, events: DataFrame, window: str = "1
         now = rows.agg(F.greatest(mark, F.max("last") - wait).alias("watermark")).select(F.coalesce("watermark", mark).alias("watermark"))
         put(now, "mark")
         now = session.read.parquet(f"{root}/mark/batch={batch_id}").first()["watermark"]
-        closed = F.coalesce(F.col("window_start") + length <= F.lit(now).cast("timestamp_ntz"), F.lit(False))
+        closed = F.coalesce(F.col("window_start") + length <= _wall_clock(now), F.lit(False))
         put(rows.where(closed).select(*counted), "final")
         put(rows.where(~closed), "open")
         for name, last in (("counts", batch_id), ("open", batch_id - 2), ("mark", batch_id - 2)):
@@ -177,6 +179,11 @@ def request_rate_final(spark: SparkSession, events: DataFrame, window: str = "1
     return final, spark.read.parquet(f"{root}/late").drop("batch")
 
 
+def _wall_clock(value: datetime | None) -> Column:
+    """A wall clock as a column, through its text: a datetime literal would be read in the driver's time zone."""
+    return F.lit(None if value is None else value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _window_seconds(window: str) -> float:
     n, unit = window.split()
     return float(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,

@@ -65,6 +65,16 @@ def test_one_run_over_all_files_and_ordered_input(spark, tmp_path):
     assert sorted(r.event_id for r in late.collect()) == sorted(i for i, _ in want[1])
 
 
+def test_any_session_time_zone(spark, tmp_path):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")     # +05:30
+        got = run(spark, str(tmp_path), scratch_dir(spark, "t-rates"), BATCHES)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == plain(BATCHES)
+
+
 def test_a_replayed_batch_counts_once_and_old_state_goes(spark, tmp_path, monkeypatch):
     import os
     root = scratch_dir(spark, "t-rates")
