@@ -272,14 +272,18 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", words: i
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``documents``, all columns, that stand for their class: one row of each.
 
-    A row without any word is the class of its id; exact repeats of a row leave one."""
+    A row without any word is the class of its id.  Of rows equal in id and text one stays, chosen by a hash of its
+    columns of plain types.  Columns may have any names: rows travel as one struct."""
     from pyspark.sql import Window
+    from pyspark.sql.types import AtomicType, VariantType
     found = join(documents, key, text, **options)
     heads = (found.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
-             .select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    rows = documents.withColumn("__text", F.xxhash64(F.col(text)))
-    kept = rows.join(heads, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
-    # Exact repeats of a kept row: the first stays.
-    again = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
-    return (kept.withColumn("__n", again).where("__n = 1")
-            .select(*[F.col(f"`{c}`") for c in documents.columns]))
+             .select("id", "text_hash").distinct())
+    plain = [F.col(f"`{f.name}`") for f in documents.schema
+             if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    rows = documents.select(F.col(key).cast("long").alias("row_id"), F.xxhash64(F.col(text)).alias("row_hash"),
+                            F.xxhash64(*plain).alias("at"),
+                            F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    kept = rows.join(heads, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")))
+    again = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("at"))
+    return kept.withColumn("n", again).where("n = 1").select("row.*")

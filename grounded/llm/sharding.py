@@ -16,7 +16,8 @@ any other.  A single row above the limit stays alone in its shard and is marked
 Only DataFrame functions run here.  Results for odd rows: a null key hashes as
 the empty text; null or empty content has 0 bytes; repeated rows are rows like
 any other; an empty table gives no shard.  Columns of the input may have any
-names: results are built from the named ones."""
+names: results are built from the named ones, and one of these that is named
+like a result column comes back with ``_in`` behind its name."""
 
 from __future__ import annotations
 
@@ -30,6 +31,12 @@ BITS = 12
 # Bits of the key's hash; the bits after them come from the row.
 KEY_BITS = 128
 LIMIT_BYTES = 1 << 20
+RESULT = ("n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def out_name(name: str) -> str:
+    """Name under which an input column stands in the result."""
+    return f"{name}_in" if name.lower() in RESULT else name
 
 
 def hash_bits(data: Column) -> Column:
@@ -51,13 +58,14 @@ def assign(rows: DataFrame, key: str, content: str, limit_bytes: int = LIMIT_BYT
            keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Shard of every row, and the directory of shards.
 
-    Rows: ``key``, ``keep``, ``n_bytes``, ``shard`` (its prefix of bits), ``depth``, ``shard_bytes`` and
+    Rows: ``key``, ``keep`` (both under ``out_name``), ``n_bytes``, ``shard`` (its prefix of bits), ``depth``, ``shard_bytes`` and
     ``shard_rows``.  Directory: ``shard``, ``depth``, ``shard_bytes``, ``shard_rows``, ``oversized``."""
     size = F.coalesce(F.octet_length(F.col(content)), F.lit(0)).cast("long")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    given = {f"__in{i}": c for i, c in enumerate((key, *keep))}
     rest = checkpointed(
-        rows.select(F.col(key), *keep, size.alias("n_bytes"), F.monotonically_increasing_id().alias("__row"))
-        .withColumn("__name", name), "sharding-rows")
+        rows.select(*[F.col(c).alias(inner) for inner, c in given.items()], size.alias("n_bytes"), name.alias("__name"),
+                    F.monotonically_increasing_id().alias("__row")), "sharding-rows")
     first = F.col("__name")
     second = F.concat(F.col("__name"), F.lit("#"), F.col("__row").cast("string"))
     found, directory, done = [], [], 0
@@ -83,7 +91,7 @@ def assign(rows: DataFrame, key: str, content: str, limit_bytes: int = LIMIT_BYT
                               F.col("n_rows").alias("shard_rows"))
         placed = keyed.join(place, "__prefix", "left")
         found.append(placed.where(F.col("shard").isNotNull())
-                     .select(F.col(key), *keep, "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"))
+                     .select(*[F.col(inner).alias(out_name(c)) for inner, c in given.items()], *RESULT))
         if not cells.join(chosen, "prefix", "left_anti").limit(1).count():
             break
         rest = checkpointed(placed.where(F.col("shard").isNull()).select(*rest.columns), "sharding-rows")
@@ -97,7 +105,11 @@ def assign(rows: DataFrame, key: str, content: str, limit_bytes: int = LIMIT_BYT
 
 
 def write_shards(rows: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """The rows as Parquet, one folder per shard; for keys that are unique in both inputs."""
-    place = assigned.select(F.col(key).alias("__key"), "shard")
-    (rows.join(place, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    """The rows as Parquet, one folder per shard; for keys that are unique in both inputs.
+
+    A column ``shard`` of the rows is written as ``shard_in``."""
+    place = assigned.select(F.col(out_name(key)).alias("__key"), F.col("shard").alias("__shard"))
+    named = rows.select(*[F.col(f"`{c}`").alias(f"{c}_in" if c.lower() == "shard" else c) for c in rows.columns])
+    key = f"{key}_in" if key.lower() == "shard" else key
+    (named.join(place, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").withColumnRenamed("__shard", "shard")
      .repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path))

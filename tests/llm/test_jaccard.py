@@ -81,6 +81,20 @@ def test_odd_rows(spark):
     assert joined(df.limit(0)) == [] and jaccard.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "keep me", 5, 6, "x"), (1, "a b c d e f", "keep me", 5, 6, "x"), (2, "a b c d e f", "gone", 1, 1, "y"),
+            (3, "other words stand in this text", "too", 7, 8, "z")]
+    names = ["__text", "__id", "__n", "row"]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} string, {names[1]} long, {names[2]} long, {names[3]} string")
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[3]]
+    # Rows equal in id and text: the same one stays whatever the order of the input.
+    again = [(9, "a b c d e f", str(i)) for i in range(20)]
+    stays = {tuple(jaccard.one_of_each(spark.createDataFrame(r, "doc_id long, text string, x string")).collect()[0])
+             for r in (again, again[::-1])}
+    assert len(stays) == 1
+
+
 def test_one_of_each_group_stays(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]

@@ -60,3 +60,18 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(df, rows, "doc_id", str(tmp_path / "shards"))
     back = spark.read.option("basePath", str(tmp_path / "shards")).parquet(str(tmp_path / "shards"))
     assert back.count() == 100 and back.groupBy("shard").count().where("count > 10").count() == 0
+
+
+def test_named_columns_that_clash_with_results(spark, tmp_path):
+    df = spark.createDataFrame([(i, "w" * 50, i % 3, i, i) for i in range(40)],
+                               "depth long, text string, n_bytes long, shard long, __row long")
+    rows, directory = sharding.assign(df, "depth", "text", 500, keep=("n_bytes", "shard", "__row"))
+    assert rows.columns == ["depth_in", "n_bytes_in", "shard_in", "__row", *sharding.RESULT]
+    assert sorted((r.depth_in, r.n_bytes_in, r.shard_in, r["__row"]) for r in rows.collect()) == [(i, i % 3, i, i) for i in range(40)]
+    assert {r.shard: r.shard_bytes for r in directory.collect()} == {r.shard: r.shard_bytes for r in rows.collect()}
+    for key in ("depth", "shard"):
+        rows, _ = sharding.assign(df, key, "text", 500)
+        path = str(tmp_path / key)
+        sharding.write_shards(df, rows, key, path)
+        back = spark.read.parquet(path)
+        assert back.count() == 40 and sorted(r.shard_in for r in back.collect()) == list(range(40))
