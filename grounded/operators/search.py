@@ -402,7 +402,13 @@ def quantized_search(spark: SparkSession, questions: DataFrame, collection: Data
     bounded = questions.count() * max(dim_hint, 1) * 8 <= cfg.max_broadcast_bytes
     coarse_fn = _broadcast_scan if bounded else _block_scan
     coarse = coarse_fn(spark, questions, collection, q_id, q_vec, c_id, c_vec, cfg, coarse=candidates)
-    cand = _rank(coarse, c_id, candidates).select("qid", c_id)
+    return rescored(questions, collection, _rank(coarse, c_id, candidates).select("qid", c_id), q_id=q_id, q_vec=q_vec,
+                    c_id=c_id, c_vec=c_vec, cfg=cfg)
+
+
+def rescored(questions: DataFrame, collection: DataFrame, cand: DataFrame, *, q_id: str, q_vec: VecCol, c_id: str,
+             c_vec: VecCol, cfg: SearchConfig) -> DataFrame:
+    """Candidate pairs (``qid``, ``c_id``) scored in full precision, the top k of each question."""
     dim, digits = _width(questions, q_vec, c_vec), cfg.round_digits
     both = (cand.join(_with_id(collection, c_id, c_id, F.col(c_vec.name).alias("_cv")), c_id)
             .join(_with_id(questions, q_id, "qid", F.col(q_vec.name).alias("_qv")), "qid"))

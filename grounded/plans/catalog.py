@@ -20,6 +20,7 @@ from grounded.operators import embed as emb
 from grounded.operators import generate as gen
 from grounded.operators import guard as gd
 from grounded.operators import pii
+from grounded.operators import product
 from grounded.operators import text as txt
 from grounded.plans import sql as S
 from grounded.session import materialize
@@ -390,6 +391,41 @@ def q_quantized(spark, sf):
                                  dim_hint=EMB_DIM)
 
 
+PQ = dict(parts=16, codewords=64, rounds=3)
+PQ_CANDIDATES = 400
+
+
+def _product(spark, sf):
+    """Trained codebooks, and the collection with its codes as it is stored."""
+    e = _emb(spark, sf)
+    book = product.train(e, "vec_id", "embedding", EMB_DIM, **PQ)
+    return e, book, materialize(product.with_codes(e, "embedding", book), "product-codes")
+
+
+@query("search_product", f"SELECT qid, vec_id, score, rk FROM {S.product(16, 64, 3, PQ_CANDIDATES, 10)}")
+def q_product(spark, sf):
+    """R08 by product quantisation: trained codebooks, stored codes, lookup tables, exact rescoring."""
+    e, book, coded = _product(spark, sf)
+    vc = srch.VecCol("embedding", dim=EMB_DIM)
+    return product.product_search(spark, e, coded, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc, book=book, code="code",
+                                  cfg=SearchConfig(k=10, threshold=None, exclude_self=True), n_candidates=PQ_CANDIDATES)
+
+
+@query("product_recall", f"""
+WITH c AS MATERIALIZED (SELECT qid, vec_id, r FROM {S.product_candidates(16, 64, 3, PQ_CANDIDATES)}),
+     x AS MATERIALIZED (SELECT qid, vec_id FROM {S.knn_self(10, 0.3)})
+SELECT n AS candidates, (SELECT count(*) FROM x) AS n_exact, count(*) FILTER (WHERE r <= n) AS n_found,
+       round(count(*) FILTER (WHERE r <= n) / (SELECT count(*) FROM x), 6) AS recall
+FROM x JOIN c USING (qid, vec_id) CROSS JOIN (VALUES (40), (100), ({PQ_CANDIDATES})) t(n) GROUP BY n""")
+def q_product_recall(spark, sf):
+    """Share of the exact hits that product quantisation finds, per number of candidates."""
+    e, book, coded = _product(spark, sf)
+    vc = srch.VecCol("embedding", dim=EMB_DIM)
+    return _recalls(spark, sf, [({"candidates": n}, product.product_search(
+        spark, e, coded, q_id="vec_id", q_vec=vc, c_id="vec_id", c_vec=vc, book=book, code="code", cfg=KNN, n_candidates=n))
+        for n in (40, 100, PQ_CANDIDATES)])
+
+
 @query("dim_check", f"SELECT len(embedding) AS dim, count(*) AS n, len(embedding) = {EMB_DIM} AS ok "
        "FROM embeddings GROUP BY 1")
 def q_dim_check(spark, sf):

@@ -189,6 +189,32 @@ SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid OR
                FROM sc) WHERE rk <= {k})"""
 
 
+def product_candidates(parts: int, words: int, rounds: int, n: int, dim: int = 64, scale: int = 1 << 16) -> str:
+    """-> (qid, vec_id, r): the n best codes per vector; codebooks by rounds of assignment and mean, all in whole numbers."""
+    w = dim // parts
+    fixed = f"list_transform(embedding, lambda x: floor(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) * {scale}.0 + 0.5))"
+    near = """SELECT vec_id, p, s, code, w FROM (SELECT s.vec_id, s.p, s.s, b.code, b.w, row_number() OVER (PARTITION BY s.vec_id, s.p
+                ORDER BY list_dot_product(b.w, b.w) - 2 * list_dot_product(s.s, b.w), b.code) AS r FROM sub s JOIN b{0} b USING (p)) WHERE r = 1"""
+    mean = ", ".join(f"floor(sum(s[{i}]) / count(*))" for i in range(1, w + 1))
+    steps = "".join(f""" a{r} AS MATERIALIZED ({near.format(r)}),
+     b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.code, coalesce(m.w, b{r}.w) AS w FROM b{r}
+                LEFT JOIN (SELECT p, code, [{mean}] AS w FROM a{r} GROUP BY p, code) m USING (p, code)),""" for r in range(rounds))
+    return f"""(WITH fx AS MATERIALIZED (SELECT vec_id, {fixed}::DOUBLE[] AS x FROM embeddings),
+     sub AS MATERIALIZED (SELECT vec_id, p, x[p * {w} + 1 : p * {w} + {w}] AS s FROM fx, range({parts}) t(p)),
+     b0 AS MATERIALIZED (SELECT p, code, s AS w FROM sub JOIN (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id::VARCHAR) - 1 AS code
+                FROM fx) USING (vec_id) WHERE code < {words}),{steps}
+     near AS ({near.format(rounds)}),
+     dec AS MATERIALIZED (SELECT vec_id, flatten(list(w ORDER BY p)) AS y FROM near GROUP BY vec_id)
+SELECT * FROM (SELECT a.vec_id AS qid, d.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.x, d.y) DESC, d.vec_id) AS r
+               FROM fx a JOIN dec d ON a.vec_id <> d.vec_id) WHERE r <= {n})"""
+
+
+def product(parts: int, words: int, rounds: int, candidates: int, k: int) -> str:
+    return f"""(SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk
+               FROM (SELECT c.qid, c.vec_id, {cos('q.embedding', 'v.embedding')} AS score FROM {product_candidates(parts, words, rounds, candidates)} c
+                     JOIN embeddings q ON q.vec_id = c.qid JOIN embeddings v ON v.vec_id = c.vec_id)) WHERE rk <= {k})"""
+
+
 def pii_list(x: str) -> str:
     items = ", ".join(f"CASE WHEN regexp_matches({x}, {lit(p)}) THEN {lit(n)} END" for n, p in tf.PII_PATTERNS)
     return f"list_filter([{items}], lambda c: c IS NOT NULL)"
