@@ -600,13 +600,7 @@ def _doc_vectors(spark, sf, cfg: SearchConfig):
                           c_vec=srch.VecCol("db", "buckets", 768), cfg=cfg)
 
 
-@query("hybrid_rrf", f"""
-SELECT item_id, doc_id, score, rk FROM (
-  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk
-  FROM (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rk)), 6) AS score FROM (
-          SELECT item_id, doc_id, rk FROM {S.bm25()}
-          UNION ALL SELECT qid, doc_id, rk FROM {S.doc_search(10, None)}) GROUP BY item_id, doc_id))
-WHERE rk <= 10""")
+@query("hybrid_rrf", "SELECT item_id, doc_id, score, rk FROM " + S.hybrid())
 def q_hybrid(spark, sf):
     lexical = q_bm25(spark, sf)
     vec = _doc_vectors(spark, sf, SearchConfig(k=10, threshold=None)).withColumnRenamed("qid", "item_id")
@@ -648,6 +642,17 @@ def q_retrieval_eval(spark, sf):
     return ev.hit_at_k(ranked, ev.containment_gold(b, docs), "item_id", "doc_id")
 
 
+@query("retrieval_confidence", "SELECT * FROM " + S.bootstrap(
+    {"vector": f"(SELECT qid AS item_id, doc_id, rk FROM {S.doc_search(10, None)})", "lexical": S.bm25(), "hybrid": S.hybrid()}, 200))
+def q_retrieval_confidence(spark, sf):
+    """Reciprocal rank and NDCG of three retrieval modes and their paired differences, with bootstrap intervals."""
+    lexical = materialize(q_bm25(spark, sf), "lexical-hits")                  # read by two modes each
+    vec = materialize(_doc_vectors(spark, sf, SearchConfig(k=10, threshold=None)).withColumnRenamed("qid", "item_id"), "vector-hits")
+    gold = materialize(ev.containment_gold(_bench(spark, sf), T(spark, sf, "documents", ["doc_id", "text"])), "gold")
+    modes = {"vector": vec, "lexical": lexical, "hybrid": lex.rrf([lexical, vec], "item_id", "doc_id")}
+    return ev.paired_bootstrap({n: ev.question_metrics(r, gold, "item_id", "doc_id") for n, r in modes.items()}, "item_id")
+
+
 @query("containment_gold", f"SELECT item_id, doc_id FROM {S.GOLD}")
 def q_gold(spark, sf):
     return ev.containment_gold(_bench(spark, sf), T(spark, sf, "documents", ["doc_id", "text"]))

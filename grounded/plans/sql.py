@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from grounded.functions import text as tf
 from grounded.operators import context as ctxop
+from grounded.operators import evaluate as ev
 from grounded.operators import generate as gen
 from grounded.operators import guard as gd
 from grounded.operators import pii
@@ -267,6 +268,38 @@ def doc_search(k: int | None, threshold: float | None, dim: int = 768) -> str:
         GROUP BY q.item_id, c.doc_id) {thr}) {lim})"""
 
 
+def hybrid(k: int = 10) -> str:
+    return f"""(SELECT item_id, doc_id, score, rk FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk
+  FROM (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rk)), 6) AS score FROM (
+          SELECT item_id, doc_id, rk FROM {bm25()}
+          UNION ALL SELECT qid, doc_id, rk FROM {doc_search(10, None)}) GROUP BY item_id, doc_id))
+WHERE rk <= {k})"""
+
+
+def bootstrap(modes: dict[str, str], replicates: int, k: int = 10) -> str:
+    """Paired Poisson bootstrap of reciprocal rank and NDCG; ``modes``: name -> (item_id, doc_id, rk)."""
+    ranked = " UNION ALL ".join(f"SELECT '{n}' AS mode, item_id, doc_id, rk FROM {q}" for n, q in modes.items())
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(modes))
+    weight = " + ".join(f"(u >= {bound})::BIGINT" for bound in ev.POISSON_BOUNDS)
+    return f"""(WITH ranked AS MATERIALIZED ({ranked}), gold AS MATERIALIZED {GOLD}, modes(no, mode) AS (VALUES {names}),
+     gain AS (SELECT i AS rk, round(1000000 / log2(i + 1))::BIGINT AS g, round(1000000 * sum(1 / log2(i + 1)) OVER (ORDER BY i))::BIGINT AS ideal FROM range(1, {k + 1}) t(i)),
+     q AS (SELECT item_id, count(*) AS n_gold FROM gold GROUP BY item_id),
+     hit AS (SELECT mode, item_id, min(rk) AS first, sum(g) AS dcg FROM ranked JOIN gold USING (item_id, doc_id) JOIN gain USING (rk) GROUP BY mode, item_id),
+     per AS MATERIALIZED (SELECT q.item_id, no, m.mode, coalesce(floor(1000000 / first + 0.5), 0) AS rr, floor(coalesce(dcg, 0) * 1000000.0::DOUBLE / ideal + 0.5) AS ndcg
+             FROM q CROSS JOIN modes m JOIN gain ON gain.rk = least(n_gold, {k}) LEFT JOIN hit ON hit.item_id = q.item_id AND hit.mode = m.mode),
+     w AS MATERIALIZED (SELECT item_id, b, CASE WHEN b < 0 THEN 1 ELSE {weight} END AS w
+           FROM (SELECT item_id, b, ('0x' || substr(md5(item_id || ':' || b), 1, 8))::BIGINT AS u FROM q, range(-1, {replicates}) t(b))),
+     long AS (SELECT item_id, no, mode, 'rr' AS metric, rr AS x FROM per UNION ALL SELECT item_id, no, mode, 'ndcg', ndcg FROM per),
+     s AS MATERIALIZED (SELECT b, no, mode, metric, sum(w * x) AS s, sum(w) AS n FROM long JOIN w USING (item_id) GROUP BY ALL),
+     v AS (SELECT b, n, metric, mode, NULL AS against, s / (nullif(n, 0) * 1000000.0::DOUBLE) AS x FROM s
+           UNION ALL SELECT a.b, a.n, a.metric, a.mode, o.mode, (a.s - o.s) / (nullif(a.n, 0) * 1000000.0::DOUBLE) FROM s a JOIN s o ON a.b = o.b AND a.metric = o.metric AND o.no < a.no)
+SELECT metric, mode, against, max(CASE WHEN b < 0 THEN n END)::BIGINT AS n_items, round(max(CASE WHEN b < 0 THEN x END), 6) AS value,
+       round(quantile_cont(CASE WHEN b >= 0 THEN x END, 0.025), 6) AS low, round(quantile_cont(CASE WHEN b >= 0 THEN x END, 0.975), 6) AS high,
+       count(*) FILTER (WHERE b >= 0 AND x > 0) AS n_above
+FROM v GROUP BY metric, mode, against)"""
+
+
 GOLD = "(SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON position(b.text IN d.text) > 0)"
 
 
