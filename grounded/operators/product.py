@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grounded.config import SearchConfig
-from grounded.functions.vectors import TopK
+from grounded.functions.vectors import TopK, reaching, single_margin
 from grounded.operators import search as srch
 from grounded.session import materialize
 
@@ -51,6 +51,10 @@ class Codebook:
                 out[lo:lo + _STEP, p] = (half[p] - 2 * (x @ self.words[p].T.astype(np.float64))).argmin(1)
         return out
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The codewords of every code, one after the other: (n, dim) in single precision."""
+        return np.concatenate([w.astype(np.float32)[codes[:, p]] for p, w in enumerate(self.words)], axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of every question with every codeword: (parts, n, codewords)."""
         return np.stack([x @ w.T.astype(np.float64) for x, w in zip(self.split(q), self.words)])
@@ -60,7 +64,8 @@ def fixed_point(vec: str, dim: int) -> Column:
     """The unit vector in whole numbers of 1 / ``SCALE``; null where the row cannot be scored."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    whole = F.transform(v, lambda x: F.floor(x / norm * float(SCALE) + 0.5).cast("int"))
+    # the array of one binds the norm: inside the inner lambda it would be summed anew for every component
+    whole = F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.floor(x / n * float(SCALE) + 0.5).cast("int")))[0]
     # the comparison is false for zero, overflowing and not-a-number norms, null for missing components
     return F.when((F.size(v) == dim) & (norm > 0) & (norm < float("inf")), whole)
 
@@ -124,10 +129,11 @@ def with_codes(vectors: DataFrame, vec: str, book: Codebook, out: str = "code")
     return vectors.withColumn(out, coded(fixed_point(vec, book.dim)))
 
 
-def _lookup(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    total = tables[0][:, codes[:, 0]]
+def _lookup(tables: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Table sums of pairs: question ``rows[i]`` and code ``codes[i]``."""
+    total = tables[0][rows, codes[:, 0]]
     for p in range(1, len(tables)):
-        total = total + tables[p][:, codes[:, p]]
+        total = total + tables[p][rows, codes[:, p]]
     return total
 
 
@@ -136,35 +142,41 @@ def candidates(questions: DataFrame, collection: DataFrame, *, q_id: str, q_vec:
     """The ``n`` best codes of every question: ``qid``, ``c_id``, ``score`` (inner product with the codewords).
 
     Questions and codes meet in blocks: a block of questions has tables of about ``block_bytes``, a block of codes as many
-    bytes of codes and ids.  A task emits ``n`` rows per question, so nothing whole passes the driver or one task."""
+    bytes of codes and ids.  A task emits ``n`` rows per question, so nothing whole passes the driver or one task.  Products with
+    the decoded codes in single precision, whose error is bounded, sort out what can be among the ``n`` best; the tables give its score."""
     qt, ct = srch.id_type(questions, q_id), srch.id_type(collection, c_id)
     asks = materialize(srch._with_id(questions, q_id, "qid", fixed_point(q_vec, book.dim).alias("x")).where("x IS NOT NULL"), "product-questions")
     codes = srch._with_id(collection, c_id, "cid", F.col(code).alias("code")).where(F.col("code").isNotNull())
     parts, words, _ = book.words.shape
-    nq = -(-asks.count() * parts * words * 8 // block_bytes) or 1
+    n_asks = asks.count()
+    nq = -(-n_asks * parts * words * 8 // block_bytes) or 1
     nv = -(-codes.count() * (parts + 16) // block_bytes) or 1
-    nv = max(nv, -(-questions.sparkSession.sparkContext.defaultParallelism // nq))       # enough blocks for all cores
+    # enough blocks for all cores: of questions, as every block of codes emits n rows a question
+    nq = max(nq, min(-(-2 * questions.sparkSession.sparkContext.defaultParallelism // nv), -(-n_asks // srch._TILE)))
     qside = (asks.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int"))
              .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))))
     vside = (codes.withColumn("vb", F.pmod(F.xxhash64("cid"), F.lit(nv)).cast("int"))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
     shared = questions.sparkSession.sparkContext.broadcast(book)
-    exclude = cfg.exclude_self
+    exclude, margin = cfg.exclude_self, 2 * single_margin(book.dim)
 
     def score(qpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
         if not len(qpdf) or not len(vpdf):
             return pd.DataFrame()
         qids, ids = srch._ids(qpdf["qid"], qt), srch._ids(vpdf["cid"], ct)
-        tables = shared.value.tables(_matrix(qpdf["x"]))
+        book, x = shared.value, _matrix(qpdf["x"])
         coded = np.frombuffer(b"".join(vpdf["code"]), np.uint8).reshape(len(ids), -1)
-        top, step = TopK(len(qids), n), max(1, srch._MAX_CELLS // len(qids))
-        for lo in range(0, len(ids), step):
-            S = _lookup(tables, coded[lo:lo + step])
-            if exclude:
-                S[qids[:, None] == ids[None, lo:lo + step]] = -np.inf
-            top.add(S, ids[lo:lo + step])
+        decoded, asked = book.decode(coded) / np.float32(SCALE), (x / SCALE).astype(np.float32)
+        order = np.argsort(ids, kind="stable") if exclude else None
+        top, chunk = TopK(len(qids), n), max(1, srch._MAX_CELLS // (4 * srch._TILE))
+        for lo in range(0, len(qids), srch._TILE):
+            at = np.arange(lo, min(lo + srch._TILE, len(qids)))
+            tables = book.tables(x[at])
+            own = None if order is None else srch.same_ids(qids[at], ids, order)
+            for r, c, _ in reaching(asked[at], decoded, margin, chunk, top, at, own=own):
+                top.push(at[r], ids[c], _lookup(tables, r, coded[c]) / SCALE ** 2)
         qi, found, s = top.items()
-        return pd.DataFrame({"qid": srch._out(qids[qi]), c_id: srch._out(found), "score": s / SCALE ** 2})
+        return pd.DataFrame({"qid": srch._out(qids[qi]), c_id: srch._out(found), "score": s})
 
     found = (qside.groupBy("qb", "vb").cogroup(vside.groupBy("qb", "vb"))
              .applyInPandas(score, srch._found(questions, q_id, collection, c_id)))
@@ -180,4 +192,5 @@ def product_search(spark: SparkSession, questions: DataFrame, collection: DataFr
     if code is None:
         collection, code = with_codes(collection, c_vec.name, book, "_code"), "_code"
     near = candidates(questions, collection, q_id=q_id, q_vec=q_vec.name, c_id=c_id, code=code, book=book, cfg=cfg, n=n_candidates)
-    return srch.rescored(questions, collection, near.select("qid", c_id), q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg)
+    return srch.rescored(questions, collection, near.select("qid", c_id), q_id=q_id, q_vec=q_vec, c_id=c_id, c_vec=c_vec, cfg=cfg,
+                         n_candidates=n_candidates)
