@@ -64,8 +64,8 @@ def fixed_point(vec: str, dim: int) -> Column:
     """The unit vector in whole numbers of 1 / ``SCALE``; null where the row cannot be scored."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    # the array of one binds the norm: inside the inner lambda it would be summed anew for every component
-    whole = F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.floor(x / n * float(SCALE) + 0.5).cast("int")))[0]
+    # outside the lambda: inside it the norm would be summed anew for every component
+    whole = F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: F.floor(x / n * float(SCALE) + 0.5).cast("int"))
     # the comparison is false for zero, overflowing and not-a-number norms, null for missing components
     return F.when((F.size(v) == dim) & (norm > 0) & (norm < float("inf")), whole)
 
