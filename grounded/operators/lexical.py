@@ -187,7 +187,10 @@ def build_bm25_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text:
     with ``tb = pmod(xxhash64(term), n_buckets)``, plus one corpus-statistics row.
 
     Term counts are aggregated partially in every task; a stop word in a third of
-    all documents is spread over many tasks by the (doc, term) key."""
+    all documents is spread over many tasks by the (doc, term) key.  A table of fewer splits than cores is dealt out first."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select(d_key, d_text)
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
     toks = docs.select(d_key, tf.tokens(d_text, lower=True).alias("_t"))
     postings = (toks.select(d_key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
                 .where(F.col("term").isNotNull())
@@ -205,22 +208,95 @@ def build_bm25_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text:
 
 def bm25_from_index(questions: DataFrame, path: str, q_key: str = "item_id", q_text: str = "text",
                     d_key: str = "doc_id", k: int = 10, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Top-k BM25 reading only the index buckets that hold query terms."""
+    """Top-k BM25 reading only the index buckets that hold query terms.
+
+    The question terms (counted, bounded) go to the tasks; the postings that they touch are gathered per document, and a task
+    scores documents with all questions and emits those that reach the k-th score so far: no (question, document) pair is
+    shuffled but these.  More terms than the bound are joined instead, with the same results."""
     spark = questions.sparkSession
     st = spark.read.parquet(f"{path}/stats").first()
     qt = query_terms(questions, q_key, q_text)
     nb = int(st["n_buckets"])
     buckets = [r[0] for r in qt.select(F.pmod(F.xxhash64("term"), F.lit(nb)).cast("int")).distinct().collect()]
+    index = spark.read.parquet(f"{path}/postings").where(F.col("tb").isin(buckets))   # partition pruning
+    n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 0.0)
+    rows = qt.limit(MAX_QUERY_TERMS + 1).collect()                                    # bounded
+    if len(rows) > MAX_QUERY_TERMS:
+        scores = _join_postings(index, qt, q_key, d_key, n_docs, avgdl, k1, b)
+    else:
+        scores = _scan_postings(index, rows, questions.schema[q_key].dataType, q_key, d_key, n_docs, avgdl, k, k1, b)
+    w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
+    return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
+
+
+def _scan_postings(index, rows, q_type, q_key, d_key, n_docs, avgdl, k, k1, b) -> DataFrame:
+    """Scores of the documents that can be among the ``k`` best of a question."""
+    import pyarrow as pa
+
+    spark = index.sparkSession
+    d_type = index.schema[d_key].dataType
+    out = T.StructType([T.StructField(q_key, q_type), T.StructField(d_key, d_type), T.StructField("score", T.DoubleType())])
+    if not rows:
+        return spark.createDataFrame([], out)
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    qids = {q: i for i, q in enumerate(dict.fromkeys(r[q_key] for r in rows))}
+    # the questions of every term, one after the other; a term counts as often as rows of the question hold it
+    asks = np.array(sorted((terms[r["term"]], qids[r[q_key]]) for r in rows), dtype=np.int64)
+    first = np.searchsorted(asks[:, 0], np.arange(len(terms) + 1))
+    vocab = F.broadcast(spark.createDataFrame(list(terms.items()), "term string, tid int"))
+    postings = index.join(vocab, "term").select(d_key, "tid", "dl", "tf")
+    df = np.zeros(len(terms))
+    for r in postings.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).collect():     # a row per term
+        df[r["tid"]] = r["n"]
+    # terms without postings are never looked up
+    idf = np.log(np.maximum(1.0 + (n_docs - df + 0.5) / (df + 0.5), 1e-300))
+    by_doc = postings.groupBy(d_key).agg(F.collect_list(F.struct("tid", "dl", "tf")).alias("terms"))      # at most the vocabulary
+    shared = spark.sparkContext.broadcast((idf, first, asks[:, 1], list(qids)))
+    cells = 4_000_000
+
+    def score(batches):
+        idf, first, of, qids = shared.value
+        nq, held = len(qids), np.full((len(qids), k), -np.inf)                        # the k best scores so far
+        for batch in batches:
+            lists = batch.column(1)
+            at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            flat = lists.flatten()
+            tid, dl, tf_ = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
+            w = idf[tid] * (tf_ * (k1 + 1.0) / (tf_ + k1 * (1.0 - b + b * dl / avgdl)))
+            n_of = first[tid + 1] - first[tid]
+            pairs = np.concatenate([[0], np.cumsum(n_of)])
+            lo, n = 0, len(at) - 1
+            while lo < n:                                                             # bounded pairs and score matrix
+                hi = int(np.searchsorted(pairs[at], pairs[at[lo]] + cells, "right")) - 1
+                hi = min(n, max(lo + 1, hi), lo + max(1, cells // nq))
+                e = slice(at[lo], at[hi])
+                row = np.repeat(np.arange(hi - lo), np.diff(at[lo:hi + 1]))
+                many = n_of[e]
+                q = of[np.repeat(first[tid[e]] - (pairs[at[lo]:at[hi]] - pairs[at[lo]]), many) + np.arange(many.sum())]
+                cell = q * (hi - lo) + np.repeat(row, many)
+                s = np.bincount(cell, np.repeat(w[e], many), nq * (hi - lo)).reshape(nq, hi - lo)
+                s = np.floor(s * 1e6 + 0.5) / 1e6
+                none = np.ones(s.size, bool)
+                none[cell] = False                                                    # shares no term
+                s[none.reshape(s.shape)] = -np.inf
+                best = np.partition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else s
+                held = np.partition(np.concatenate([held, best], axis=1), -k, axis=1)[:, -k:]
+                r, c = np.nonzero((s >= held.min(axis=1)[:, None]) & (s > -np.inf))   # ties at the k-th score stay
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in r], names[0]), batch.column(0).take(pa.array(c + lo)).cast(names[1]),
+                                                  pa.array(s[r, c])], schema=pa.schema([(q_key, names[0]), (d_key, names[1]), ("score", pa.float64())]))
+                lo = hi
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    names = (to_arrow_type(q_type), to_arrow_type(d_type))
+    return by_doc.mapInArrow(score, out)
+
+
+def _join_postings(index, qt, q_key, d_key, n_docs, avgdl, k1, b) -> DataFrame:
     n_qt = qt.count()
-    vocab = broadcast_if_bounded(qt.select("term").distinct(), n_qt)
-    postings = (spark.read.parquet(f"{path}/postings").where(F.col("tb").isin(buckets))   # partition pruning
-                .join(vocab, "term"))
+    postings = index.join(broadcast_if_bounded(qt.select("term").distinct(), n_qt), "term")
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs, avgdl = F.lit(float(st["n"])), F.lit(float(st["avgdl"] or 0.0))
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / avgdl))
+    idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tfw = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))
     contrib = postings.join(broadcast_if_bounded(df_, n_qt), "term").select(d_key, "term", (idf * tfw).alias("c"))
-    scores = (broadcast_if_bounded(qt, n_qt).join(contrib, "term")
-              .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
-    w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), F.col(d_key).asc())
-    return scores.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
+    return (broadcast_if_bounded(qt, n_qt).join(contrib, "term")
+            .groupBy(q_key, d_key).agg(F.round(F.sum("c"), 6).alias("score")))
