@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grounded import session
 from grounded.session import scratch_dir, ship_package
 from grounded.sources.tables import read_table
 
-# Rows that a Python function sees at once, and rows that Spark hands to a Python worker at once: the texts of so
-# many rows are in its memory.
-ROWS_AT_ONCE, ROWS_A_BATCH = 256, 512
+# Rows that a Python function sees at once; Spark hands a Python worker ``session.ROWS_A_BATCH`` at once.
+ROWS_AT_ONCE = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -58,12 +58,9 @@ def map_partitions(df: DataFrame, run: Callable, schema: str | T.StructType) ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Executors can import the package, and Arrow batches hold at most ``ROWS_A_BATCH`` rows: texts may be long."""
+    """Executors can import the package, and Arrow batches hold few rows: texts may be long."""
     ship_package(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if not 0 < now <= ROWS_A_BATCH:
-        spark.conf.set(name, str(ROWS_A_BATCH))
+    session.small_batches(spark)
 
 
 def batch_of(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:

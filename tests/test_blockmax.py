@@ -41,3 +41,23 @@ def test_fewer_documents_than_k_and_empty(spark):
     assert blockmax.block_topk(qs, path)[0].count() == 5
     path = blockmax.build_block_index(docs.limit(0), scratch_dir(spark, "t-blocks"))
     assert blockmax.block_topk(qs, path)[0].count() == 0
+
+
+def test_blocks_are_whole_and_the_join_of_many_terms_agrees(spark, monkeypatch):
+    """Batches that cut a block in two, postings that are a number each, and more question terms than a task gets."""
+    docs = spark.createDataFrame(corpus(700, random.Random(3)) + [(9000, None), (None, "w0")], "doc_id long, text string").repartition(2)
+    qs = spark.createDataFrame([(1, "needle w3"), (2, "w0 w1 w9")], "item_id long, text string")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    path = blockmax.build_block_index(docs, scratch_dir(spark, "t-blocks"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    stored = spark.read.parquet(f"{path}/blocks")
+    held = [d for r in stored.where("term is null").collect() for d in r.docs]
+    assert sorted(held) == sorted([*range(700), 9000])
+    terms = stored.where("term is not null")
+    assert terms.count() == terms.select("term", "block").distinct().count()
+    assert dict(terms.dtypes)["postings"] == "array<bigint>"
+    key = lambda df: sorted((r.item_id, r.rk, r.doc_id, r.score) for r in df.collect())
+    scanned = key(blockmax.block_topk(qs, path)[0])
+    monkeypatch.setattr(blockmax, "MAX_QUERY_TERMS", 0)
+    assert scanned == key(blockmax.block_topk(qs, path)[0]) and len(scanned) == 20
