@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grounded.operators.store import Collection
-from grounded.session import materialize
+from grounded.session import broadcast_if_bounded, materialize
 
 MANIFEST_SCHEMA = "path string, digest string, since long, v int"
 # Start version of a removed document: no version of its points is that high.
@@ -54,20 +54,22 @@ def manifest_rows(manifest: Collection) -> DataFrame:
 
 
 def sync(docs: DataFrame, to_points: Callable[[DataFrame], DataFrame], collection: Collection, manifest: Collection,
-         path: str = "path", text: str = "text", batch: tuple[str, int] | None = None, whole: bool = True) -> DataFrame:
+         path: str = "path", text: str = "text", batch: tuple[str, int] | None = None, whole: bool = True, stored: bool = False) -> DataFrame:
     """Bring ``collection`` up to the state of ``docs``; returns what changed, ``(path, digest, state)``.
 
     ``to_points`` makes the points (with ``point_id`` and ``path``) of the documents it gets: rows of ``docs``, all
     columns.  ``whole``: ``docs`` is everything there is, so paths it lacks are removed; otherwise it holds some
     documents to add or replace, and a null text with ``whole=False`` removes its document.  ``batch`` names a
-    stream's micro-batch, so that a replayed one changes nothing."""
+    stream's micro-batch, so that a replayed one changes nothing.  ``stored``: see ``Collection.upsert``, for the points."""
     todo = changes(snapshot(docs, path, text, whole), manifest_rows(manifest), whole)
     todo = materialize(todo, "changed-documents")       # read three times below, and the manifest moves on
     if not todo.limit(1).count():
         return todo
     kept = todo.where(F.col("state") != "removed").select(F.col("path").alias("_path"), F.col("digest").alias("_digest"))
-    fresh = docs.join(kept, (F.col(path) == F.col("_path")) & (digest_of(text) == F.col("_digest")), "left_semi")
-    version = collection.upsert(to_points(fresh), batch=batch)
+    fresh, n = docs.where(F.col(path).isNotNull()), kept.count()
+    if n < fresh.count():                               # as many rows as paths: every row is to be ingested, no text moves
+        fresh = docs.join(broadcast_if_bounded(kept, n), (F.col(path) == F.col("_path")) & (digest_of(text) == F.col("_digest")), "left_semi")
+    version = collection.upsert(to_points(fresh), batch=batch, stored=stored)
     since = F.when(F.col("state") == "removed", F.lit(REMOVED)).otherwise(F.lit(version)).cast("long")
     manifest.upsert(todo.select("path", "digest", since.alias("since")), key="path", batch=batch)
     return todo
@@ -78,6 +80,7 @@ def live(collection: Collection, manifest: Collection) -> DataFrame | None:
     points = collection.current()
     if points is None:
         return None
-    # A row per path on the right; the many points of one path are split by AQE's skew join.
-    over = manifest_rows(manifest).select(F.col("path").alias("_path"), "since")
-    return points.join(over, (F.col("path") == F.col("_path")) & (F.col("v") < F.col("since")), "left_anti")
+    # Versions begin with 1: a document that starts from it has no earlier points.  A row per path on the right; without a
+    # broadcast the many points of one path are split by AQE's skew join.
+    over = manifest_rows(manifest).where(F.col("since") > 1).select(F.col("path").alias("_path"), "since")
+    return points.join(broadcast_if_bounded(over, over.count()), (F.col("path") == F.col("_path")) & (F.col("v") < F.col("since")), "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grounded.functions import text as tf
+from grounded.session import MAX_BROADCAST_ROWS, broadcast_if_bounded, materialize
 
 
 def point_ids(df: DataFrame, path_col: str, block_col: str | None, chunk_no_col: str, chunk_col: str,
@@ -106,29 +107,59 @@ class Collection:
         if not parts:
             return None
         frames = [self.spark.read.parquet(p) for p in parts]
-        merged = frames[0]
-        for f in frames[1:]:
-            merged = merged.unionByName(f, allowMissingColumns=True)
-        return (latest_wins(merged, "_key") if len(frames) > 1 else merged).drop("_key", "_batch")
+        return self._merged(frames).drop("_key", "_batch")
+
+    @staticmethod
+    def _merged(frames: list[DataFrame]) -> DataFrame:
+        """Per key the newest row of ``frames``, the oldest first; no key is twice in one of them.
+
+        The oldest is the largest as a rule, and most of its keys have no later row: their hashes are not among those of the
+        later keys, counted and broadcast, and they stay where they are.  The few others meet the later keys themselves."""
+        if len(frames) == 1:
+            return frames[0]
+        rest = frames[1]
+        for f in frames[2:]:
+            rest = rest.unionByName(f, allowMissingColumns=True)
+        if rest.count() > MAX_BROADCAST_ROWS:
+            return latest_wins(frames[0].unionByName(rest, allowMissingColumns=True), "_key")
+        h = F.xxhash64("_key")
+        hashes = F.broadcast(rest.select(h.alias("_h")).distinct())
+        old, later = frames[0].withColumn("_at", h), rest.select(F.col("_key").alias("_later"))
+        at = F.col("_at") == F.col("_h")
+        perhaps = old.join(hashes, at, "left_semi").join(later, F.col("_key").eqNullSafe(F.col("_later")), "left_anti")
+        kept = old.join(hashes, at, "left_anti").unionByName(perhaps).drop("_at")
+        return kept.unionByName(rest if len(frames) == 2 else latest_wins(rest, "_key"), allowMissingColumns=True)
 
     # -- upsert (O10) ---------------------------------------------------------
-    def upsert(self, points: DataFrame, key: str = "point_id", batch: tuple[str, int] | None = None) -> int:
+    def upsert(self, points: DataFrame, key: str = "point_id", batch: tuple[str, int] | None = None, stored: bool = False) -> int:
         """Latest wins by key; always a new version, written as a delta of these points alone.
 
         ``batch`` (a stream's name and its batch number) makes a replayed micro-batch a no-op: its
         name is stored with the delta, and a committed delta of that name is left as it is.  Points that
         share a key within one upsert leave one of them, always the same.  Points without a key are refused
-        by the caller's gate (``split_by_dim``), not here: NULL is a key like any other."""
+        by the caller's gate (``split_by_dim``), not here: NULL is a key like any other.  ``stored``: the points lie in files, so
+        reading them twice gives the same rows; then only keys are shuffled, and whole points only where a key is repeated."""
         name = f"{batch[0]}#{batch[1]}" if batch else ""
         if batch:
             for v in reversed(self.versions()):
                 if self._batch_of(v) == name:
                     return v
+        cols = [F.col(c) for c in points.columns]
+
+        def single(rows: DataFrame) -> DataFrame:
+            return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r")).select("_key", "_r.*")
+
+        if stored:
+            twice = materialize(points.groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_twice"), "repeated-keys")
+            n, same = twice.count(), F.col(key).eqNullSafe(F.col("_twice"))
+            one, twice = points.select(F.col(key).alias("_key"), *cols), broadcast_if_bounded(twice, n)
+            if n:
+                one = one.join(twice, same, "left_anti").unionByName(single(points.join(twice, same, "left_semi")))
+        else:
+            one = single(points)
         version = self._claim()
         target = self._folder("delta", version)
-        cols = [F.col(c) for c in points.columns]
-        one = (points.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*cols), F.xxhash64(*cols)).alias("_r"))
-               .select("_key", "_r.*").withColumn("v", F.lit(version)))
+        one = one.withColumn("v", F.lit(version))
         marker = self.spark.createDataFrame([(name,)], "batch string").coalesce(1)
         try:
             marker.write.mode("overwrite").parquet(f"{self.path}/_batches/{version:08d}")

@@ -85,9 +85,9 @@ def stream_ingest(spark: SparkSession, docs: DataFrame, collection: store.Collec
             return good
 
         if manifest is None:
-            collection.upsert(points(d), batch=batch_name)
+            collection.upsert(points(d), batch=batch_name, stored=True)
         else:
-            documents.sync(d, points, collection, manifest, batch=batch_name, whole=False)
+            documents.sync(d, points, collection, manifest, batch=batch_name, whole=False, stored=True)
 
     _run(docs.writeStream.foreachBatch(handle), f"{root}/checkpoint")
     return collection.current() if manifest is None else documents.live(collection, manifest)
@@ -98,8 +98,8 @@ def ingest_points(points: DataFrame, cfg: EmbedConfig = EmbedConfig(), float32:
 
     Vectors are computed once and written to the shared folder; both frames read them there."""
     vecs = emb.dense_embed(points, "embed_text", cfg=EmbedConfig(dim=cfg.dim, strip_newlines=False), float32=float32)
-    vecs = materialize(vecs, "ingest-vectors")
-    good, bad = store.split_by_dim(vecs.drop("embed_text"), "embedding", cfg.dim)
+    vecs = materialize(vecs.drop("embed_text"), "ingest-vectors")
+    good, bad = store.split_by_dim(vecs, "embedding", cfg.dim)
     return good, bad.select("point_id", "path", "reason")
 
 

@@ -126,3 +126,37 @@ def test_two_writers_never_share_a_version(spark):
     col._fs.delete(col._Path(col._claimed(held)), False)
     assert sorted(r.label for r in col.current().collect()) == ["a", "b", "c"]
     assert col.compact() == held + 1 and sorted(r.label for r in col.current().collect()) == ["a", "b", "c"]
+
+
+def test_keys_decide_what_is_shuffled(spark, monkeypatch):
+    """Stored points: repeated and null keys leave one row each, as without ``stored``; later rows win in both ways of merging."""
+    rows = [("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5), ("c", 6), ("c", 6)]
+    later = [("b", 7), (None, 8), ("d", 9)]
+    got = []
+    for stored, most in ((False, 0), (True, store.MAX_BROADCAST_ROWS), (True, 0)):
+        monkeypatch.setattr(store, "MAX_BROADCAST_ROWS", most)
+        col = store.Collection(spark, scratch_dir(spark, "t-keys"), "c")
+        col.ensure(truncate=True, dim=0)
+        for part in (rows, later):
+            col.upsert(spark.createDataFrame(part, "point_id string, label int"), stored=stored)
+        got.append(sorted(((r.point_id, r.label, r.v) for r in col.current().collect()), key=str))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
+    assert {(None, 8, 2), ("b", 7, 2), ("d", 9, 2), ("c", 6, 1)} < set(got[0])
+
+
+def test_a_plain_snapshot_moves_no_text(spark):
+    """Without repeated paths and unchanged documents the texts are not joined, and stored points are not grouped."""
+    plans, root = [], scratch_dir(spark, "t-plain")
+    col, man = store.Collection(spark, root, "points"), store.Collection(spark, root, "manifest")
+    col.ensure(truncate=True, dim=0)
+    man.ensure(truncate=True, dim=0)
+
+    def points(rows):
+        plans.append(rows._jdf.queryExecution().toString())
+        return rows.selectExpr("path AS point_id", "path", "text")
+
+    docs = spark.createDataFrame([("a", "one"), ("b", "two")], "path string, text string")
+    documents.sync(docs, points, col, man, stored=True)
+    documents.sync(docs.selectExpr("path", "if(path = 'a', 'new', text) AS text"), points, col, man, stored=True)
+    assert "Join" not in plans[0] and "Join" in plans[1]
+    assert sorted((r.path, r.text, r.v) for r in documents.live(col, man).collect()) == [("a", "new", 2), ("b", "two", 1)]
