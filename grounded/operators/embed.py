@@ -19,6 +19,7 @@ from grounded.config import EmbedConfig
 from grounded.functions import text as tf
 from grounded.functions.arrays import explode_run_counts, runs_norm
 from grounded.functions.vectors import densify_buckets
+from grounded.session import small_batches
 
 
 class EmbeddingProvider:
@@ -78,6 +79,7 @@ def dense_embed(df: DataFrame, text_col: str, provider: EmbeddingProvider | None
     fails on a batch is asked row by row; rows it fails on get a NULL vector (which the dimension gate
     rejects) and, with ``error_col``, the error."""
     cfg.validate()
+    small_batches(df.sparkSession)
     dim = cfg.dim
     np_type = np.float32 if float32 else np.float64
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(
