@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from grounded.functions import text as tf
 from grounded.functions.vectors import TopK
-from grounded.session import broadcast_if_bounded, ensure_checkpoint_dir, materialize
+from grounded.session import broadcast_if_bounded, ensure_checkpoint_dir, materialize, small_batches
 
 # ---- fixed values: BM25 parameters and fusion constant ----
 BM25_K1 = 1.2
@@ -53,6 +53,7 @@ def bm25(questions: DataFrame, docs: DataFrame, q_key: str = "item_id", q_text:
 
 def _bm25_scan(rows, docs, q_key, q_type, d_key, d_text, k, k1, b) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     terms = sorted({r["term"] for r in rows})
     qids = sorted({r[q_key] for r in rows})
     index = {t: i for i, t in enumerate(terms)}

@@ -125,3 +125,24 @@ def test_weeks_are_dealt_out_in_one_pass(spark, tmp_path, monkeypatch):
     late, final = catalog.q_request_rate_late(spark, str(tmp_path)), catalog._weekly(spark, str(tmp_path))[0]
     assert scans.value == 2 * len(rows)                                        # every event is read once a run
     assert late.count() and final.count()
+
+
+def test_python_batches_are_small(spark):
+    """Texts and wide vectors go to Python a few hundred rows at a time, whatever the session allows."""
+    from grounded.operators import embed
+    from grounded.operators import text as txt
+    from grounded.session import ROWS_A_BATCH
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    buckets = docs.selectExpr("doc_id", "array(1, 2) AS cb")
+    vc = srch.VecCol("cb", "buckets", 768)
+    made = (lambda: embed.dense_embed(docs, "text"), lambda: txt.recursive_windows(docs), lambda: lexical.bm25(qs, docs),
+            lambda: srch.nn_search(spark, buckets, buckets, q_id="doc_id", q_vec=vc, c_id="doc_id", c_vec=vc, cfg=SearchConfig(k=1)))
+    try:
+        for make in made:
+            spark.conf.set(name, "10000")
+            assert make().count() >= 1 and int(spark.conf.get(name)) == ROWS_A_BATCH
+    finally:
+        spark.conf.set(name, was)
