@@ -36,69 +36,77 @@ BLOCK = 1 << BLOCK_BITS
 FIRST, WIDEN = 4, 4
 # The bucket of the rows that hold the ids and lengths of a block.
 DOCS = -1
-# Documents that a task makes blocks of at a time (whole blocks), and (question, posting) pairs and scores of one step.
+# Rows of a block where documents are repeated, and (question, posting) pairs and scores of one step.
 _ROWS, _CELLS = 16 * BLOCK, 4_000_000
 
 
 def _blocks(rows: DataFrame, d_key: str) -> DataFrame:
     """``term, block, n, max_tf, min_dl, postings`` of ``d_key, _t, _row``, rows numbered on within every partition, and a row
-    without a term per block: ``docs`` and ``dls``, the ids and lengths in it.
+    without a term per block: ``docs`` and ``dls``, the ids and lengths in it, and the ``n_tokens`` of all its rows.
 
-    A posting is ``tf * BLOCK + at``, where ``at`` is the place of its document in the block; rows of one id and length share it."""
+    A posting is ``tf * BLOCK + at``, where ``at`` is the place of its document in the block; rows of one id and length
+    follow each other, share it and are not cut apart (but for runs of over ``_ROWS``)."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
                            T.StructField("max_tf", T.IntegerType()), T.StructField("min_dl", T.IntegerType()), T.StructField("postings", T.ArrayType(T.LongType())),
-                           T.StructField("docs", T.ArrayType(rows.schema[d_key].dataType)), T.StructField("dls", T.ArrayType(T.IntegerType()))])
+                           T.StructField("docs", T.ArrayType(rows.schema[d_key].dataType)), T.StructField("dls", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType())])
     out, find = to_arrow_schema(schema), re.compile(tf.TOKEN_PATTERN).findall
 
-    def grouped(batch):
-        ids, first = batch.column(0), int(batch.column(2)[0].as_py()) >> BLOCK_BITS
-        words = [find(t or "") for t in batch.column(1).to_pylist()]
-        counts = [Counter(w) for w in words]
-        doc, dl = np.repeat(np.arange(len(words)), [len(c) for c in counts]), np.array([len(w) for w in words], dtype=np.int32)
-        step = np.arange(0, len(words), BLOCK)
-        ends = pa.array([*step, len(words)], pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, v, type=out.field(c).type) for c, v in (("docs", pa.concat_arrays([ids])), ("dls", pa.array(dl)))]
+    def grouped(entries, base):
+        block, at, dl = (np.array([e[i] for e in entries]) for i in (0, 1, 3))
+        new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))      # a row per document
+        own, ends = np.unique(block[new], return_index=True)
+        ends = pa.array([*ends, len(new)], pa.int32())
+        held = {"docs": [entries[i][2] for i in new], "dls": dl[new]}
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v, out.field(c).type.value_type), type=out.field(c).type) for c, v in held.items()]
         nulls = lambda names, n: [pa.nulls(n, out.field(c).type) for c in names]
-        yield pa.RecordBatch.from_arrays([*nulls(["term"], len(step)), pa.array(step // BLOCK + first), *nulls(["n", "max_tf", "min_dl", "postings"], len(step)),
-                                          *lists], schema=out)
-        if not len(doc):
+        yield pa.RecordBatch.from_arrays([*nulls(["term"], len(own)), pa.array(own + base), *nulls(["n", "max_tf", "min_dl", "postings"], len(own)), *lists,
+                                          pa.array(np.bincount(block - block[0], dl).astype(np.int64))], schema=out)
+        counts = [e[4] for e in entries]
+        row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        if not len(row):
             return
-        code = np.asarray(ids.dictionary_encode().indices).astype(np.int64)
-        _, one, of = np.unique(np.stack([np.arange(len(words)) >> BLOCK_BITS, code, dl]), axis=1, return_index=True, return_inverse=True)
-        at = one[of.ravel()] % BLOCK
         terms = pa.array([t for c in counts for t in c], pa.string()).dictionary_encode()
-        tf_ = np.array([n for c in counts for n in c.values()], dtype=np.int32)
-        key = np.asarray(terms.indices).astype(np.int64) * _ROWS + (doc >> BLOCK_BITS)       # a slice begins with a block
+        tf_, most = np.array([n for c in counts for n in c.values()], dtype=np.int32), int(own[-1] - own[0]) + 1
+        key = np.asarray(terms.indices).astype(np.int64) * most + block[row] - own[0]
         order = np.argsort(key, kind="stable")
-        key, doc, tf_ = key[order], doc[order], tf_[order]
+        key, row, tf_ = key[order], row[order], tf_[order]
         start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         yield pa.RecordBatch.from_arrays([
-            terms.dictionary.take(pa.array(key[start] // _ROWS)), pa.array(key[start] % _ROWS + first), pa.array(np.diff([*start, len(key)])),
-            pa.array(np.maximum.reduceat(tf_, start)), pa.array(np.minimum.reduceat(dl[doc], start)),
-            pa.ListArray.from_arrays(pa.array([*start, len(key)], pa.int32()), pa.array(tf_ * np.int64(BLOCK) + at[doc]), type=out.field("postings").type),
-            *nulls(["docs", "dls"], len(start))], schema=out)
+            terms.dictionary.take(pa.array(key[start] // most)), pa.array(key[start] % most + own[0] + base), pa.array(np.diff([*start, len(key)])),
+            pa.array(np.maximum.reduceat(tf_, start)), pa.array(np.minimum.reduceat(dl[row], start).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array([*start, len(key)], pa.int32()), pa.array(tf_ * np.int64(BLOCK) + at[row]), type=out.field("postings").type),
+            *nulls(["docs", "dls", "n_tokens"], len(start))], schema=out)
 
     def run(batches):
-        held = None
+        entries, base, block, place, n, last = [], None, 0, -1, 0, None
         for batch in batches:
-            whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
-            if not whole:
+            if not batch.num_rows:
                 continue
-            full = whole[0].num_rows - whole[0].num_rows % BLOCK                             # a block may go on in the next batch
-            for lo in range(0, full, _ROWS):
-                yield from grouped(whole[0].slice(lo, min(_ROWS, full - lo)))
-            held = whole[0].slice(full)
-        if held is not None and held.num_rows:
-            yield from grouped(held)
+            base = int(batch.column(2)[0].as_py()) >> BLOCK_BITS if base is None else base
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = find(text or "")
+                if (doc, len(words)) != last or n == _ROWS:
+                    place, last = place + 1, (doc, len(words))
+                    if place == BLOCK or n == _ROWS:
+                        block, place, n = block + 1, 0, 0
+                n += 1
+                entries.append((block, place, doc, len(words), Counter(words)))
+            done = next(i for i, e in enumerate(entries) if e[0] == block)                   # a block may go on in the next batch
+            if done:
+                yield from grouped(entries[:done], base)
+                entries = entries[done:]
+        if entries:
+            yield from grouped(entries, base)
 
     return rows.mapInArrow(run, schema)
 
 
 def build_block_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text: str = "text", n_buckets: int = 64) -> str:
-    """Write ``blocks`` (``term, block, n, max_tf, min_dl, postings``; ``docs, dls``), by buckets of terms, and one row of ``stats``.
+    """Write ``blocks`` (``term, block, n, max_tf, min_dl, postings``; ``docs, dls, n_tokens``), by buckets of terms, and one row of ``stats``.
 
     Documents are dealt by ranges of their length in bytes, so a block holds documents of like length and its bounds are close;
     null ids are left out."""
@@ -112,9 +120,8 @@ def build_block_index(docs: DataFrame, path: str, d_key: str = "doc_id", d_text:
     blocks = _blocks(rows, d_key).withColumn("tb", F.when(ids, DOCS).otherwise(F.pmod(F.xxhash64("term"), F.lit(n_buckets))).cast("int"))
     (blocks.repartition("tb", F.pmod("block", F.when(ids, n_buckets).otherwise(salt)))
      .sortWithinPartitions("tb", "term", "block").write.mode("errorifexists").partitionBy("tb").parquet(f"{path}/blocks"))
-    # Null texts have no length and are not part of the mean; they stand in their blocks with none.
-    lengths = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
-    tokens = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").where(F.col("tb") == DOCS).agg(F.sum(lengths).alias("all"))
+    # Null texts have no length and are not part of the mean.
+    tokens = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").where(F.col("tb") == DOCS).agg(F.sum("n_tokens").alias("all"))
     (docs.agg(F.count(key).cast("double").alias("n"), F.count(F.when(key.isNotNull(), t)).alias("texts")).crossJoin(tokens)     # a row each
      .select("n", (F.coalesce("all", F.lit(0)).cast("double") / F.nullif("texts", F.lit(0))).alias("avgdl"))
      .withColumns({"n_buckets": F.lit(n_buckets), "schema": F.lit(blocks.schema.json())}).coalesce(1).write.mode("errorifexists").parquet(f"{path}/stats"))

@@ -61,3 +61,17 @@ def test_blocks_are_whole_and_the_join_of_many_terms_agrees(spark, monkeypatch):
     scanned = key(blockmax.block_topk(qs, path)[0])
     monkeypatch.setattr(blockmax, "MAX_QUERY_TERMS", 0)
     assert scanned == key(blockmax.block_topk(qs, path)[0]) and len(scanned) == 20
+
+
+def test_repeated_rows_stay_in_one_block(spark):
+    """Every row twice: a document's score is that of both its rows, wherever a block of 64 would have ended."""
+    rows = corpus(150, random.Random(5))
+    once, odd = (spark.createDataFrame(r, "doc_id long, text string").repartition(1) for r in (rows, [(-1, "odd one"), *rows, *rows]))
+    path = blockmax.build_block_index(odd, scratch_dir(spark, "t-blocks"))
+    ids = [d for r in spark.read.parquet(f"{path}/blocks").where("term is null").collect() for d in r.docs]
+    assert sorted(ids) == [-1, *range(150)]
+    st = spark.read.parquet(f"{path}/stats").first()
+    assert st["n"] == 301 and abs(st["avgdl"] - (2 + 2 * sum(len(t.split()) for _, t in rows)) / 301) < 1e-9
+    qs = spark.createDataFrame([(1, "needle haystack")], "item_id long, text string")
+    got = {r.doc_id for r in blockmax.block_topk(qs, path)[0].collect()}
+    assert got == {r.doc_id for r in lexical.bm25(qs, once).collect()}
