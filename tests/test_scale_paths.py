@@ -146,3 +146,38 @@ def test_python_batches_are_small(spark):
             assert make().count() >= 1 and int(spark.conf.get(name)) == ROWS_A_BATCH
     finally:
         spark.conf.set(name, was)
+
+
+def test_pairs_that_cannot_be_among_the_best_are_not_rescored():
+    """Of each question about k pairs are left, and all of its k best."""
+    r = np.random.default_rng(12)
+    Q, V = unit_rows(r.normal(size=(40, 16))), unit_rows(np.repeat(r.normal(size=(4000, 16)), [2] * 50 + [1] * 3950, axis=0))
+    S, k = np.floor(Q @ V.T * 1e6 + 0.5) / 1e6, 5
+    for dtype, margin in ((np.float32, 2 * single_margin(16) + 2e-6), (np.float64, 2e-6)):
+        top, left = TopK(40, k), 0
+        for q, c, _ in reaching(Q.astype(dtype), V.astype(dtype), margin, 100, top, np.arange(40), least=0.1):
+            top.push(q, c, S[q, c])
+            left += len(q)
+        qi, found, _ = top.items()
+        assert all(list(found[qi == q]) == sorted(range(len(V)), key=lambda i: (-S[q, i], i))[:k] for q in range(40))
+        assert left <= 40 * 2 * k
+
+
+def test_cells_that_all_questions_probe_are_one_product(monkeypatch):
+    r = np.random.default_rng(14)
+    V, P = unit_rows(np.vstack([r.normal(size=(400, 8)), np.zeros((1, 8))])), unit_rows(np.vstack([r.normal(size=(30, 8)), np.zeros((1, 8))]))
+    ids, cells, calls = np.arange(len(V)), srch.nearest_cells(V, P, 1, 6)[:, 0], []
+    plain = srch.reaching
+    monkeypatch.setattr(srch, "reaching", lambda *a: calls.append(a) or plain(*a))
+    cfg = SearchConfig(k=4, threshold=0.1, exclude_self=True)
+
+    def found(probes):
+        calls.clear()
+        scorer = srch._Scorer(V, ids, cfg, 1 << 20, probes)
+        return sorted(zip(*(np.concatenate(x).tolist() for x in zip(*[*scorer.add(V, ids, cells), *scorer.rest()]))))
+
+    want = found(None)
+    for probes in (srch.Probes(srch.nearest_cells(V, P, 31, 6)), srch.WideProbes(V, P, 31, 6)):
+        assert found(probes) == want and len(calls) == 1                  # not one for each of 30 cells
+    few = found(srch.Probes(srch.nearest_cells(V, P, 9, 6)))
+    assert few == found(srch.WideProbes(V, P, 9, 6)) and few != want and len(calls) > 1
