@@ -181,3 +181,33 @@ def test_cells_that_all_questions_probe_are_one_product(monkeypatch):
         assert found(probes) == want and len(calls) == 1                  # not one for each of 30 cells
     few = found(srch.Probes(srch.nearest_cells(V, P, 9, 6)))
     assert few == found(srch.WideProbes(V, P, 9, 6)) and few != want and len(calls) > 1
+
+
+def test_wide_probes_hold_bits_and_no_lists(monkeypatch):
+    r = np.random.default_rng(15)
+    V, P = unit_rows(np.vstack([r.normal(size=(203, 8)), np.zeros((1, 8))])), unit_rows(np.vstack([r.normal(size=(19, 8)), np.zeros((1, 8))]))
+    monkeypatch.setattr(srch, "_MAX_CELLS", 200)                          # slices of a few questions
+    tree = srch.pivot_tree(P[:19], beam=2)
+    for pivots, n in ((P, 6), (P, 19), (P, 20), (tree, 6), (tree, 40)):
+        lists, wide = srch.Probes(srch.nearest_cells(V, pivots, n, 6)), srch.WideProbes(V, pivots, n, 6)
+        assert all(list(wide.questions(c)) == list(lists.questions(c)) for c in range(len(pivots)))
+        assert wide.bits.nbytes == len(pivots) * 26
+    monkeypatch.setattr(srch, "nearest_cells", lambda *a: pytest.fail("all cells are probed, whatever their order"))
+    assert len(srch.WideProbes(V, P, 20, 6).questions(3)) == 203
+
+
+def test_trained_recall_of_all_cells_in_blocks(spark, monkeypatch, tmp_path):
+    """The last row probes every cell; with no probe list on the driver it finds all exact hits."""
+    from grounded.plans import catalog
+    r = np.random.default_rng(16)
+    rows = [(i, [float(x) for x in r.normal(size=64)], 0) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(srch, "_MAX_PROBES", 1)
+    monkeypatch.setattr(srch, "_WIDE_PROBE", 4)
+    monkeypatch.setattr(srch, "_SCAN_QUESTIONS", 50)
+    monkeypatch.setattr(srch, "_broadcast_scan", lambda *a, **k: pytest.fail("in blocks"))
+    got = catalog.q_ann_recall_trained(spark, str(tmp_path))
+    assert "CoGroups" not in got._jdf.queryExecution().executedPlan().toString()      # questions are held, vectors stream by
+    few, more, every = sorted(got.collect(), key=lambda x: x.nprobe)
+    assert (few.nprobe, more.nprobe) == (4, 8) and every.nprobe == 18                # cells: the root of 300, rounded up
+    assert few.n_found <= more.n_found <= every.n_found == every.n_exact and every.recall == 1.0
