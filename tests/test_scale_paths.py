@@ -211,3 +211,27 @@ def test_trained_recall_of_all_cells_in_blocks(spark, monkeypatch, tmp_path):
     few, more, every = sorted(got.collect(), key=lambda x: x.nprobe)
     assert (few.nprobe, more.nprobe) == (4, 8) and every.nprobe == 18                # cells: the root of 300, rounded up
     assert few.n_found <= more.n_found <= every.n_found == every.n_exact and every.recall == 1.0
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_hits_without_k_leave_a_task_as_they_are_found(spark, monkeypatch, ids):
+    """No task holds all hits of a block: vectors stream by in small pieces, and hits go out a few at a time."""
+    r = np.random.default_rng(18)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(220)] + [(900, None), (901, [0.0] * 4), (902, [1.0] * 3), (None, [1.0] * 4)]
+    rows += [rows[3], (4, rows[5][1])]                                        # repeated ids
+    df = spark.createDataFrame(rows, "id long, v array<float>").withColumn("id", F.col("id").cast(ids))
+    args = dict(q_id="id", q_vec=srch.VecCol("v", dim=4), c_id="id", c_vec=srch.VecCol("v", dim=4), cfg=SearchConfig(k=None, threshold=0.2, exclude_self=True))
+    want = key(srch.nn_search(spark, df, df, dim_hint=4, **args))
+    monkeypatch.setattr(srch, "_BLOCK_BYTES", 8 * 4 * 30)
+    monkeypatch.setattr(srch, "_OUT_ROWS", 7)
+    found = srch.block_search(spark, df, df, **args)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
+    assert len(want) > 5000 and key(found) == want
+    indexed = srch.assign_cells(df, srch.VecCol("v", dim=4), np.eye(4))
+    for nprobe in (4, 2):
+        probed = dict(args, cfg=SearchConfig(k=None, threshold=0.2, nprobe=nprobe, exclude_self=True), pivots=np.eye(4))
+        for wide in (1, 16):
+            monkeypatch.setattr(srch, "_WIDE_PROBE", wide)
+            a, b = key(srch.block_search(spark, df, df, **probed)), key(srch.block_search(spark, df, indexed, cell_col="cell", **probed))
+            assert a == b and a == key(srch.nn_search(spark, df, df, dim_hint=4, **probed))
